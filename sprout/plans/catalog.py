@@ -75,3 +75,78 @@ def q_health(spark, sf):
 def q_health_by_site(spark, sf):
     from ..operators.health import compute_health
     return compute_health(td.daily_metrics(spark, sf, by_site=True), td.seo_pages(spark, sf))
+
+
+# ---------------------------------------------------------------- rules
+from . import oracle_queries as OQ  # noqa: E402
+
+
+def _tables(spark, sf, by_site=False):
+    return td.daily_metrics(spark, sf, by_site=by_site), td.seo_pages(spark, sf)
+
+
+@register("page_issues", O.with_ctes(O.pages_ctes(), body=OQ.page_issues_body()))
+def q_page_issues(spark, sf):
+    from ..operators.rules import page_issues_long
+    return page_issues_long(td.seo_pages(spark, sf))
+
+
+@register("page_recommendations",
+          O.with_ctes(O.pages_ctes(), body=", " + OQ.page_recs_ctes(10).strip() + "\nSELECT * FROM page_recs"))
+def q_page_recs(spark, sf):
+    from ..operators.rules import page_recommendations
+    return page_recommendations(td.seo_pages(spark, sf), limit=10)
+
+
+@register("site_recommendations",
+          O.with_ctes(O.daily_ctes(), body=", " + OQ.site_recs_ctes().strip() + "\nSELECT * FROM site_recs"))
+def q_site_recs(spark, sf):
+    from ..operators.rules import site_recommendations
+    return site_recommendations(td.daily_metrics(spark, sf))
+
+
+def _recs(spark, sf, by_site=False):
+    from ..operators.rules import combine_recommendations, page_recommendations, site_recommendations
+    daily, pages = _tables(spark, sf, by_site)
+    return combine_recommendations(site_recommendations(daily), page_recommendations(pages, limit=8))
+
+
+@register("strategy", O.with_ctes(O.daily_ctes(), O.pages_ctes(), body=OQ.strategy_body(8)))
+def q_strategy(spark, sf):
+    from ..operators.rules import build_strategy
+    return build_strategy(_recs(spark, sf))
+
+
+@register("strategy_by_site", O.with_ctes(O.daily_ctes(True), O.pages_ctes(), body=OQ.strategy_body(8)))
+def q_strategy_by_site(spark, sf):
+    from ..operators.rules import build_strategy
+    return build_strategy(_recs(spark, sf, by_site=True))
+
+
+@register("action_plan", O.with_ctes(O.daily_ctes(), O.pages_ctes(), body=OQ.action_plan_body("auto", 8)))
+def q_action_plan(spark, sf):
+    from ..operators.rules import plan_actions
+    return plan_actions(_recs(spark, sf), autonomy="auto")
+
+
+# ---------------------------------------------------------------- cycles
+@register("kpi_cycles", O.with_ctes(O.daily_ctes(True), O.pages_ctes(),
+                                    body=OQ.cycle_kpis_ctes(30) + "\nSELECT * FROM kpis"))
+def q_kpi_cycles(spark, sf):
+    from ..operators.cycle import cycle_kpis
+    daily, pages = _tables(spark, sf, by_site=True)
+    return cycle_kpis(daily, pages, 30)
+
+
+@register("kpi_alerts", O.with_ctes(O.daily_ctes(True), O.pages_ctes(), body=OQ.alerts_body(30)))
+def q_kpi_alerts(spark, sf):
+    from ..operators.cycle import cycle_kpis, diff_snapshots
+    daily, pages = _tables(spark, sf, by_site=True)
+    return diff_snapshots(cycle_kpis(daily, pages, 30))
+
+
+@register("sync_summary", O.with_ctes(O.daily_ctes(), O.pages_ctes(), O.users_ctes(), O.keywords_ctes(),
+                                      body=OQ.sync_summary_body()))
+def q_sync_summary(spark, sf):
+    from ..sources import read_testdata_tables, sync_summary
+    return sync_summary(read_testdata_tables(spark, sf), "testdata")

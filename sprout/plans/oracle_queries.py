@@ -1,7 +1,8 @@
-"""Query bodies of the DuckDB oracles (the SELECT after the shared CTEs)."""
+"""Query bodies of the DuckDB oracles (CTEs and SELECTs after the shared table CTEs)."""
 
 from __future__ import annotations
 
+from ..operators import texts as T
 from .oracle import rnd
 
 
@@ -23,42 +24,272 @@ def grade(s: str) -> str:
             f"WHEN {s} >= 60 THEN 'D' ELSE 'F' END")
 
 
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def fill(template: str, *exprs: str) -> str:
+    pieces = template.split("{}")
+    assert len(pieces) == len(exprs) + 1, template
+    out = [q(pieces[0])]
+    for e, tail in zip(exprs, pieces[1:]):
+        out += [f"({e})", q(tail)]
+    return "(" + " || ".join(out) + ")"
+
+
+def pct_text(x: str) -> str:
+    return f"(CAST(CAST(round_even(({x}) * 100, 0) AS BIGINT) AS VARCHAR) || '%')"
+
+
+def int_text(x: str) -> str:
+    return f"CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR)"
+
+
+def thousands_text(x: str) -> str:
+    return f"format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT))"
+
+
 def last_rows_cte(name: str, src: str, n: int, offset: int = 0, keys: str = "site_id") -> str:
     cond = f"_rn <= {offset + n}" + (f" AND _rn > {offset}" if offset else "")
     return (f"{name} AS (SELECT * EXCLUDE (_rn) FROM (SELECT *, row_number() OVER "
             f"(PARTITION BY {keys} ORDER BY date DESC) AS _rn FROM {src}) WHERE {cond})")
 
 
-def health_ctes() -> str:
-    seo = (f"0.5 * {clip('100.0 - (m_position - 1.0) * 4.0', 0, 100)} + 0.5 * m_seo")
+# ---------------------------------------------------------------- health
+def health_ctes(prefix: str = "h", src: str = "daily_metrics", keys: str = "site_id",
+                last_n: int | None = 30) -> str:
+    """Defines ``{prefix}_health`` with keys, five dims, health_score, health_grade."""
+    seo = f"0.5 * {clip('100.0 - (m_position - 1.0) * 4.0', 0, 100)} + 0.5 * m_seo"
     ux = clip(f"(1.0 - m_bounce) * 100.0 * 0.6 + {clip('m_time / 3.0', 0, 100)} * 0.4", 0, 100)
     content = clip(f"m_content * 0.8 + {clip('(m_words - 300.0) / 30.0', 0, 20)}", 0, 100)
     security = clip("70.0 + 15.0 * m_schema + 15.0 * m_mobile", 0, 100)
+    recent = last_rows_cte(f"{prefix}_recent", src, last_n, keys=keys) if last_n else \
+        f"{prefix}_recent AS (SELECT * FROM {src})"
     return f"""
-{last_rows_cte('h_recent', 'daily_metrics', 30)},
-h_daily AS (
-  SELECT site_id, {dmean('avg_position', 2)} AS m_position, {dmean('page_speed', 1)} AS m_speed,
+{recent},
+{prefix}_daily AS (
+  SELECT {keys}, {dmean('avg_position', 2)} AS m_position, {dmean('page_speed', 1)} AS m_speed,
     {dmean('bounce_rate', 4)} AS m_bounce, {dmean('avg_time_on_site', 1)} AS m_time,
     {dmean('content_score', 1)} AS m_content
-  FROM h_recent GROUP BY site_id
+  FROM {prefix}_recent GROUP BY {keys}
 ),
-h_pages AS (
+{prefix}_pages AS (
   SELECT {dmean('seo_score', 1)} AS m_seo, {dmean('word_count', 0)} AS m_words,
     {dmean('has_schema', 0)} AS m_schema, {dmean('mobile_friendly', 0)} AS m_mobile
   FROM seo_pages
 ),
-h_dims AS (
-  SELECT site_id, {rnd(seo, 1)} AS seo, {rnd('m_speed', 1)} AS performance, {rnd(ux, 1)} AS ux,
+{prefix}_dims AS (
+  SELECT {keys}, {rnd(seo, 1)} AS seo, {rnd('m_speed', 1)} AS performance, {rnd(ux, 1)} AS ux,
     {rnd(security, 1)} AS security, {rnd(content, 1)} AS content
-  FROM h_daily CROSS JOIN h_pages
+  FROM {prefix}_daily CROSS JOIN {prefix}_pages
 ),
-health AS (
+{prefix}_health0 AS (
   SELECT *, {rnd('seo * 0.3 + performance * 0.2 + ux * 0.2 + security * 0.15 + content * 0.15', 1)}
     AS health_score
-  FROM h_dims
-)"""
+  FROM {prefix}_dims
+),
+{prefix}_health AS (SELECT *, {grade('health_score')} AS health_grade FROM {prefix}_health0)"""
 
 
 def health_body() -> str:
-    return (", " + health_ctes().strip() + "\nSELECT *, " + grade("health_score")
-            + " AS health_grade FROM health")
+    return ", " + health_ctes().strip() + "\nSELECT * FROM h_health"
+
+
+# ---------------------------------------------------------------- page rules
+def _struct(fields: dict[str, str]) -> str:
+    return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+
+def issues_list() -> str:
+    """The ordered list of triggered issues of one page (stable by priority)."""
+    args = {
+        "thin": ("word_count < 400", "CAST(word_count AS VARCHAR)"),
+        "alt": ("alt_ratio < 0.6", pct_text("alt_ratio")),
+        "slow": ("page_speed < 60", int_text("page_speed")),
+        "schema": ("has_schema = 0", None),
+        "links": ("internal_links < 5", "CAST(internal_links AS VARCHAR)"),
+        "title": ("abs(title_length - 55) > 20", "CAST(title_length AS VARCHAR)"),
+    }
+    built = []
+    for pos, (key, problem, reason, action, gain, prio) in enumerate(T.PAGE_ISSUES):
+        cond, arg = args[key]
+        reason_sql = fill(reason, arg) if arg else q(reason)
+        st = _struct({"problem": q(problem), "reason": reason_sql, "action": q(action),
+                      "expected_gain": q(gain), "priority": f"CAST({prio} AS INTEGER)"})
+        built.append((prio, pos, f"CASE WHEN {cond} THEN {st} END"))
+    items = [s for _, _, s in sorted(built)]
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+
+
+def page_issues_body() -> str:
+    return f""", pi AS (SELECT url, {issues_list()} AS issues FROM seo_pages),
+pi2 AS (SELECT url, issues, unnest(range(1, len(issues) + 1)) AS issue_rank FROM pi)
+SELECT url, CAST(issue_rank AS INTEGER) AS issue_rank, issues[issue_rank].problem AS problem,
+  issues[issue_rank].reason AS reason, issues[issue_rank].priority AS priority
+FROM pi2"""
+
+
+def page_recs_ctes(limit: int, name: str = "page_recs") -> str:
+    opp = rnd("greatest(CAST(0.0 AS DOUBLE), 80.0 - seo_score) * ln(1 + CAST(organic_traffic AS DOUBLE))", 6)
+    return f"""
+pr_focus AS (SELECT *, {opp} AS opportunity FROM seo_pages ORDER BY opportunity DESC, url LIMIT {limit}),
+pr_i AS (SELECT * FROM (SELECT pr_focus.*, {issues_list()} AS issues FROM pr_focus) WHERE len(issues) > 0),
+{name} AS (
+  SELECT 0 AS source, CAST(row_number() OVER (ORDER BY opportunity DESC, url) AS INTEGER) AS seq, 'SEO' AS area,
+    url || ': ' || issues[1].problem AS problem, issues[1].reason AS reason, issues[1].action AS action,
+    issues[1].expected_gain AS expected_gain, issues[1].priority AS priority
+  FROM pr_i
+)"""
+
+
+# ---------------------------------------------------------------- site rules
+def _rule_struct(spec, problem_args=(), reason_args=(), action_args=()) -> str:
+    _, area, problem, reason, action, gain, prio = spec
+    return _struct({
+        "area": q(area),
+        "problem": fill(problem, *problem_args) if problem_args else q(problem),
+        "reason": fill(reason, *reason_args) if reason_args else q(reason),
+        "action": fill(action, *action_args) if action_args else q(action),
+        "expected_gain": q(gain), "priority": f"CAST({prio} AS INTEGER)"})
+
+
+def site_recs_ctes(name: str = "site_recs") -> str:
+    r = {s[0]: s for s in T.SITE_RULES}
+    rules = [
+        f"CASE WHEN v_prior IS NOT NULL AND v_recent < v_prior * 0.95 THEN "
+        f"{_rule_struct(r['traffic_down'], reason_args=[pct_text('1.0 - v_recent / v_prior')])} END",
+        f"CASE WHEN bounce > 0.6 THEN {_rule_struct(r['high_bounce'], reason_args=[pct_text('bounce')])} END",
+        f"CASE WHEN speed < 70 THEN {_rule_struct(r['slow_site'], reason_args=[int_text('speed')])} END",
+    ]
+    return f"""
+{last_rows_cte('sr_recent', 'daily_metrics', 30)},
+{last_rows_cte('sr_prior', 'daily_metrics', 30, offset=30)},
+sr_r AS (SELECT site_id, {dmean('visitors', 0)} AS v_recent, {dmean('bounce_rate', 4)} AS bounce,
+  {dmean('page_speed', 1)} AS speed FROM sr_recent GROUP BY site_id),
+sr_p AS (SELECT site_id, {dmean('visitors', 0)} AS v_prior FROM sr_prior GROUP BY site_id),
+sr_l AS (
+  SELECT r.site_id, list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL) AS recs
+  FROM sr_r r LEFT JOIN sr_p p ON r.site_id = p.site_id
+),
+sr_u AS (SELECT site_id, recs, unnest(range(1, len(recs) + 1)) AS seq FROM sr_l),
+{name} AS (
+  SELECT site_id, 1 AS source, CAST(seq AS INTEGER) AS seq, recs[seq].area AS area, recs[seq].problem AS problem,
+    recs[seq].reason AS reason, recs[seq].action AS action, recs[seq].expected_gain AS expected_gain,
+    recs[seq].priority AS priority
+  FROM sr_u
+)"""
+
+
+def recs_ctes(limit: int = 8) -> str:
+    return f""", {page_recs_ctes(limit).strip()},
+{site_recs_ctes().strip()},
+all_recs AS (
+  SELECT site_id, source, seq, area, problem, reason, action, expected_gain, priority FROM site_recs
+  UNION ALL
+  SELECT s.site_id, p.source, p.seq, p.area, p.problem, p.reason, p.action, p.expected_gain, p.priority
+  FROM page_recs p CROSS JOIN (SELECT DISTINCT site_id FROM site_recs) s
+),
+ranked_recs AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY site_id ORDER BY priority, source, seq) AS INTEGER) AS rank
+  FROM all_recs
+)"""
+
+
+def strategy_body(limit: int = 8) -> str:
+    return recs_ctes(limit) + """
+SELECT *, CASE WHEN priority <= 1 THEN 'today' WHEN priority <= 2 THEN 'this_week' ELSE 'this_month' END AS bucket
+FROM ranked_recs"""
+
+
+def action_plan_body(autonomy: str, limit: int = 8) -> str:
+    areas = ", ".join(q(a) for a in T.LOW_RISK_AREAS)
+    auto = "TRUE" if autonomy == "auto" else "FALSE"
+    return recs_ctes(limit) + f"""
+SELECT site_id, rank, area, action, expected_gain, priority,
+  CASE WHEN {auto} AND area IN ({areas}) AND priority <= 2 THEN 'simulated' ELSE 'proposed' END AS status
+FROM ranked_recs WHERE rank <= {T.PLAN_SIZE}"""
+
+
+# ---------------------------------------------------------------- cycles
+def cycle_kpis_ctes(period: int = 30) -> str:
+    return f""", cb0 AS (
+  SELECT *, floor((row_number() OVER (PARTITION BY site_id ORDER BY date DESC) - 1) / {period}) AS _block
+  FROM daily_metrics
+),
+cb_full AS (
+  SELECT site_id, COUNT(*) AS _nb FROM (SELECT site_id, _block FROM cb0 GROUP BY 1, 2 HAVING COUNT(*) = {period})
+  GROUP BY 1
+),
+cb AS (
+  SELECT cb0.*, CAST(_nb - _block AS INTEGER) AS cycle FROM cb0 JOIN cb_full ON cb0.site_id = cb_full.site_id
+  WHERE _block < _nb
+),
+{health_ctes('ch', 'cb', 'site_id, cycle', None).strip()},
+kpis AS (
+  SELECT b.site_id, b.cycle, b.avg_daily_visitors, b.monthly_revenue, b.avg_conversion_rate,
+    ch_health.health_score, ch_health.health_grade
+  FROM (
+    SELECT site_id, cycle, CAST(trunc({dmean('visitors', 0)}) AS BIGINT) AS avg_daily_visitors,
+      CAST(SUM(CAST(revenue AS DECIMAL(28,2))) AS DOUBLE) AS monthly_revenue,
+      {rnd(dmean('conversion_rate', 4), 4)} AS avg_conversion_rate
+    FROM cb GROUP BY site_id, cycle
+  ) b JOIN ch_health ON b.site_id = ch_health.site_id AND b.cycle = ch_health.cycle
+)"""
+
+
+def one_decimal_text(x: str) -> str:
+    t = f"CAST(round_even(({x}) * 10, 0) AS BIGINT)"
+    return (f"((CASE WHEN {t} < 0 THEN '-' ELSE '' END) || CAST(CAST(trunc(abs({t}) / 10) AS BIGINT) AS VARCHAR)"
+            f" || '.' || CAST(abs({t}) % 10 AS VARCHAR))")
+
+
+def alerts_body(period: int = 30) -> str:
+    change = "(CAST(c_v - p_v AS DOUBLE) / CAST(p_v AS DOUBLE))"
+
+    def alert(level, metric, msg, cond):
+        return (f"CASE WHEN {cond} THEN "
+                f"{_struct({'level': q(level), 'metric': q(metric), 'message': msg})} END")
+    rules = [
+        alert("critical", "traffic",
+              fill(T.ALERT_TRAFFIC_DOWN, pct_text(f"abs({change})"), thousands_text("p_v"), thousands_text("c_v")),
+              f"p_v <> 0 AND {change} <= -0.05"),
+        alert("info", "traffic",
+              fill(T.ALERT_TRAFFIC_UP, pct_text(change), thousands_text("p_v"), thousands_text("c_v")),
+              f"p_v <> 0 AND {change} >= 0.10"),
+        alert("warning", "health", fill(T.ALERT_HEALTH_DOWN, int_text("p_h"), int_text("c_h")), "c_h - p_h <= -3"),
+        alert("info", "health", fill(T.ALERT_HEALTH_UP, int_text("p_h"), int_text("c_h")), "c_h - p_h >= 3"),
+        alert("warning", "anomaly",
+              fill(T.ALERT_ANOMALY, "CAST(c_a - p_a AS VARCHAR)", "CAST(p_a AS VARCHAR)", "CAST(c_a AS VARCHAR)"),
+              "c_a > p_a"),
+        alert("warning", "forecast", fill(T.ALERT_FORECAST, one_decimal_text("fc")), "fc <= -5"),
+    ]
+    base = _struct({"level": "'info'", "metric": "'baseline'", "message": q(T.ALERT_BASELINE)})
+    stable = _struct({"level": "'info'", "metric": "'stable'", "message": q(T.ALERT_STABLE)})
+    return cycle_kpis_ctes(period) + f""",
+ax AS (
+  SELECT site_id, cycle, lag(cycle) OVER w IS NOT NULL AS has_prev,
+    COALESCE(avg_daily_visitors, 0) AS c_v, COALESCE(lag(avg_daily_visitors) OVER w, 0) AS p_v,
+    CAST(COALESCE(health_score, 0) AS DOUBLE) AS c_h, CAST(COALESCE(lag(health_score) OVER w, 0) AS DOUBLE) AS p_h,
+    CAST(0 AS BIGINT) AS c_a, CAST(0 AS BIGINT) AS p_a, CAST(0 AS DOUBLE) AS fc
+  FROM kpis WINDOW w AS (PARTITION BY site_id ORDER BY cycle)
+),
+af AS (SELECT *, list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL) AS fired FROM ax),
+al AS (
+  SELECT site_id, cycle,
+    CASE WHEN NOT has_prev THEN [{base}] WHEN len(fired) = 0 THEN [{stable}] ELSE fired END AS alerts
+  FROM af
+),
+au AS (SELECT site_id, cycle, alerts, unnest(range(1, len(alerts) + 1)) AS alert_seq FROM al)
+SELECT site_id, cycle, CAST(alert_seq AS INTEGER) AS alert_seq, alerts[alert_seq].level AS level,
+  alerts[alert_seq].metric AS metric, alerts[alert_seq].message AS message
+FROM au"""
+
+
+def sync_summary_body() -> str:
+    return """, s_d AS (SELECT COUNT(*) AS daily_rows, strftime(MIN(date), '%Y-%m-%d') AS date_min,
+  strftime(MAX(date), '%Y-%m-%d') AS date_max FROM daily_metrics),
+s_p AS (SELECT COUNT(*) AS pages_rows FROM seo_pages),
+s_u AS (SELECT COUNT(*) AS users_rows FROM users),
+s_k AS (SELECT COUNT(*) AS keywords_rows FROM keywords)
+SELECT 'testdata' AS source, daily_rows, pages_rows, users_rows, keywords_rows, date_min, date_max
+FROM s_d CROSS JOIN s_p CROSS JOIN s_u CROSS JOIN s_k"""

@@ -208,7 +208,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("u"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("user_id"),
         F.col("sessions").cast("bigint").alias("sessions"),
         F.col("pageviews").cast("bigint").alias("pageviews"),
-        F.when(pv > 0, rnd(F.lit(6.0) * F.col("qty").cast("double") / pv, 1)).otherwise(0.0)
+        F.when(pv > 0, rnd(F.try_divide(F.lit(6.0) * F.col("qty").cast("double"), pv), 1)).otherwise(0.0)
         .alias("avg_time_on_site"),
         F.datediff("cutoff", "last_od").cast("bigint").alias("recency_days"),
         F.col("num_orders").cast("bigint").alias("num_orders"),
