@@ -150,3 +150,93 @@ def q_kpi_alerts(spark, sf):
 def q_sync_summary(spark, sf):
     from ..sources import read_testdata_tables, sync_summary
     return sync_summary(read_testdata_tables(spark, sf), "testdata")
+
+
+# ---------------------------------------------------------------- features, splits, metrics
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import rnd  # noqa: E402
+from ..sources.schemas import TRAFFIC_LAGS, USER_FEATURES  # noqa: E402
+
+
+@register("traffic_features", O.with_ctes(O.daily_ctes(), body=OQ.traffic_features_body()))
+def q_traffic_features(spark, sf):
+    from ..operators.features import traffic_features
+    tf = traffic_features(td.daily_metrics(spark, sf))
+    return tf.select("site_id", "date", "visitors", *[f"lag_{k}" for k in TRAFFIC_LAGS],
+                     rnd("roll_mean_7", 6).alias("roll_mean_7"), rnd("roll_std_7", 6).alias("roll_std_7"),
+                     "momentum_7", "dow", "month", F.col("_delta").alias("delta"))
+
+
+@register("traffic_split", O.with_ctes(O.daily_ctes(), body=OQ.traffic_split_body(0.15)))
+def q_traffic_split(spark, sf):
+    from ..operators.features import chronological_split, traffic_features
+    return chronological_split(traffic_features(td.daily_metrics(spark, sf)), 0.15).select("site_id", "date", "split")
+
+
+@register("backtest_seasonal_naive", O.with_ctes(O.daily_ctes(True), body=OQ.seasonal_naive_backtest_body()))
+def q_backtest_naive(spark, sf):
+    from ..operators.forecast import backtest, seasonal_naive_forecaster
+    return backtest(td.daily_metrics(spark, sf, by_site=True), seasonal_naive_forecaster(7), "seasonal_naive",
+                    horizon=14, folds=3, min_train=180)
+
+
+@register("sales_split", O.with_ctes(O.daily_ctes(True), body=OQ.hash_split_body(0.2)))
+def q_sales_split(spark, sf):
+    from ..operators.features import hash_split
+    return hash_split(td.daily_metrics(spark, sf, by_site=True), ["site_id", "date"], 0.2).select(
+        "site_id", "date", "split")
+
+
+@register("customer_split", O.with_ctes(O.users_ctes(), body=OQ.stratified_split_body(0.25)))
+def q_customer_split(spark, sf):
+    from ..operators.features import stratified_split
+    u = td.users(spark, sf)
+    return stratified_split(u, (F.col("num_orders") > 0).cast("int"), "user_id", 0.25).select("user_id", "split")
+
+
+@register("keyword_split", O.with_ctes(O.keywords_ctes(), body=OQ.group_split_ctes(0.2) + "\nSELECT * FROM gs"))
+def q_keyword_split(spark, sf):
+    from ..operators.features import group_split
+    return group_split(td.keywords(spark, sf).select("keyword_id"), "keyword_id", 0.2).distinct()
+
+
+@register("auc_baseline", O.with_ctes(O.users_ctes(), body=OQ.auc_body()))
+def q_auc(spark, sf):
+    from ..operators.metrics import auc
+    u = td.users(spark, sf).withColumn("purchase", (F.col("num_orders") > 0).cast("int"))
+    a = auc(u, "churned", "recency_days", "user_id").select(
+        F.lit("churned").alias("target"), F.lit("recency_days").alias("score"), "*")
+    b = auc(u, "purchase", "pageviews", "user_id").select(
+        F.lit("purchase").alias("target"), F.lit("pageviews").alias("score"), "*")
+    return a.unionByName(b)
+
+
+@register("ndcg_heuristic", O.with_ctes(O.keywords_ctes(), body=OQ.ndcg_body()))
+def q_ndcg(spark, sf):
+    from ..operators.features import group_split
+    from ..operators.metrics import mean_ndcg
+    from ..operators.ranking import heuristic_rank_score
+    kw = group_split(heuristic_rank_score(td.keywords(spark, sf)), "keyword_id", 0.2)
+    m = mean_ndcg(kw.where(F.col("split") == "test"), "keyword_id", "relevance_label", "rank_score")
+    return m.select(rnd("ndcg_at_10", 6).alias("ndcg_at_10"), "n_groups", rnd("ndcg_at_5", 6).alias("ndcg_at_5"))
+
+
+@register("keyword_positions", O.with_ctes(O.keywords_ctes(), body=OQ.positions_body()))
+def q_positions(spark, sf):
+    from ..operators.ranking import heuristic_rank_score, predicted_positions
+    return predicted_positions(heuristic_rank_score(td.keywords(spark, sf))).select(
+        "keyword_id", "candidate_id", "rank_score", "predicted_position")
+
+
+@register("keyword_opportunities", O.with_ctes(O.keywords_ctes(), body=OQ.opportunities_body(15)))
+def q_opportunities(spark, sf):
+    from ..operators.ranking import heuristic_rank_score, opportunities
+    return opportunities(heuristic_rank_score(td.keywords(spark, sf)), 15)
+
+
+@register("users_standardized", O.with_ctes(O.users_ctes(), body=OQ.standardized_body(USER_FEATURES)))
+def q_users_std(spark, sf):
+    from ..operators.segment import standardize
+    z = standardize(td.users(spark, sf), USER_FEATURES)
+    return z.select("user_id", *[rnd(f"z_{f}", 6).alias(f"z_{f}") for f in USER_FEATURES])

@@ -293,3 +293,203 @@ s_u AS (SELECT COUNT(*) AS users_rows FROM users),
 s_k AS (SELECT COUNT(*) AS keywords_rows FROM keywords)
 SELECT 'testdata' AS source, daily_rows, pages_rows, users_rows, keywords_rows, date_min, date_max
 FROM s_d CROSS JOIN s_p CROSS JOIN s_u CROSS JOIN s_k"""
+
+
+# ---------------------------------------------------------------- features and splits
+from ..sources.schemas import TRAFFIC_LAGS  # noqa: E402
+from .oracle import h16, md5_key  # noqa: E402
+
+
+def traffic_features_ctes(name: str = "tf") -> str:
+    lags = ",\n    ".join(f"lag(y, {k}) OVER w AS lag_{k}" for k in TRAFFIC_LAGS)
+    feats = [f"lag_{k}" for k in TRAFFIC_LAGS] + ["roll_mean_7", "roll_std_7", "momentum_7", "delta"]
+    return f""", {name}_0 AS (
+  SELECT site_id, date, visitors, CAST(visitors AS DOUBLE) AS y FROM daily_metrics
+),
+{name}_1 AS (
+  SELECT site_id, date, visitors,
+    {lags},
+    CASE WHEN count(y) OVER w7 = 7 THEN avg(y) OVER w7 END AS roll_mean_7,
+    CASE WHEN count(y) OVER w7 = 7 THEN stddev_samp(y) OVER w7 END AS roll_std_7,
+    lag(y, 1) OVER w - lag(y, 8) OVER w AS momentum_7,
+    isodow(date) - 1 AS dow, month(date) AS month,
+    y - lag(y, 1) OVER w AS delta
+  FROM {name}_0
+  WINDOW w AS (PARTITION BY site_id ORDER BY date),
+         w7 AS (PARTITION BY site_id ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)
+),
+{name} AS (SELECT * FROM {name}_1 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in feats)})"""
+
+
+def traffic_features_body() -> str:
+    lags = ", ".join(f"lag_{k}" for k in TRAFFIC_LAGS)
+    return traffic_features_ctes() + f"""
+SELECT site_id, date, visitors, {lags}, {rnd('roll_mean_7', 6)} AS roll_mean_7,
+  {rnd('roll_std_7', 6)} AS roll_std_7, momentum_7, CAST(dow AS INTEGER) AS dow, CAST(month AS INTEGER) AS month,
+  delta
+FROM tf"""
+
+
+def traffic_split_body(eval_fraction: float = 0.15) -> str:
+    keep = repr(1.0 - eval_fraction)
+    return traffic_features_ctes() + f"""
+SELECT site_id, date,
+  CASE WHEN row_number() OVER (PARTITION BY site_id ORDER BY date)
+       <= CAST(trunc(count(*) OVER (PARTITION BY site_id) * CAST({keep} AS DOUBLE)) AS BIGINT)
+  THEN 'train' ELSE 'test' END AS split
+FROM tf"""
+
+
+def seasonal_naive_backtest_body(horizon: int = 14, folds: int = 3, min_train: int = 180) -> str:
+    return f""", bt_idx AS (
+  SELECT site_id, date, visitors, row_number() OVER (PARTITION BY site_id ORDER BY date) - 1 AS idx
+  FROM daily_metrics
+),
+bt_n AS (SELECT site_id, COUNT(*) AS n FROM daily_metrics GROUP BY 1),
+bt_folds AS (
+  SELECT * FROM (
+    SELECT site_id, n, fold, n - {horizon} * ({folds} - fold) AS cut
+    FROM bt_n CROSS JOIN range(0, {folds}) t(fold)
+  ) WHERE cut >= {min_train} AND cut < n
+),
+bt_test AS (
+  SELECT i.site_id, f.fold, i.idx, f.cut, CAST(i.visitors AS DOUBLE) AS actual,
+    f.cut - 7 + (i.idx - f.cut) % 7 AS src_idx
+  FROM bt_idx i JOIN bt_folds f ON i.site_id = f.site_id
+  WHERE i.idx >= f.cut AND i.idx < f.cut + {horizon}
+),
+bt_pred AS (
+  SELECT t.*, CAST(s.visitors AS DOUBLE) AS pred FROM bt_test t
+  JOIN bt_idx s ON t.site_id = s.site_id AND t.src_idx = s.idx
+),
+bt_fold AS (
+  SELECT site_id, fold, avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) * (actual - pred))) AS rmse,
+    avg(CASE WHEN actual <> 0 THEN abs((actual - pred) / actual) END) AS mape
+  FROM bt_pred GROUP BY 1, 2
+)
+SELECT s.site_id, 'seasonal_naive' AS model, MAE, MAPE, RMSE, CAST(COALESCE(folds, 0) AS BIGINT) AS folds
+FROM (SELECT DISTINCT site_id FROM daily_metrics) s LEFT JOIN (
+  SELECT site_id, {rnd('avg(mae)', 1)} AS MAE, {rnd('avg(mape)', 4)} AS MAPE,
+    {rnd('avg(rmse)', 1)} AS RMSE, COUNT(*) AS folds
+  FROM bt_fold GROUP BY site_id
+) b ON s.site_id = b.site_id"""
+
+
+def hash_split_body(test_size: float = 0.2) -> str:
+    thr = int(round(test_size * 65536))
+    return f"""
+SELECT site_id, date, CASE WHEN {h16('split', 'site_id', 'date')} < {thr} THEN 'test' ELSE 'train' END AS split
+FROM daily_metrics"""
+
+
+def stratified_split_body(test_size: float = 0.25) -> str:
+    return f""", ss AS (
+  SELECT user_id, CAST(num_orders > 0 AS INTEGER) AS stratum, {md5_key('strat', 'user_id')} AS hk FROM users
+)
+SELECT user_id, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY hk, user_id)
+  <= CAST(trunc(count(*) OVER (PARTITION BY stratum) * CAST({float(test_size)} AS DOUBLE)) AS BIGINT)
+  THEN 'test' ELSE 'train' END AS split
+FROM ss"""
+
+
+def group_split_ctes(test_fraction: float = 0.2, name: str = "gs") -> str:
+    return f""", {name}_ids AS (SELECT DISTINCT keyword_id FROM keywords),
+{name} AS (
+  SELECT keyword_id, CASE WHEN row_number() OVER (ORDER BY {md5_key('group', 'keyword_id')}, keyword_id)
+    <= greatest(1, CAST(trunc(count(*) OVER () * CAST({float(test_fraction)} AS DOUBLE)) AS BIGINT))
+    THEN 'test' ELSE 'train' END AS split
+  FROM {name}_ids
+)"""
+
+
+def auc_body() -> str:
+    def one(target: str, label: str, score: str) -> str:
+        return f"""(
+  SELECT '{target}' AS target, '{score}' AS score,
+    CASE WHEN SUM(pos) > 0 AND SUM(cnt) - SUM(pos) > 0 THEN
+      (SUM(pos * (lo + hi) / 2.0) - CAST(SUM(pos) AS DOUBLE) * (CAST(SUM(pos) AS DOUBLE) + 1.0) / 2.0)
+      / (CAST(SUM(pos) AS DOUBLE) * CAST(SUM(cnt) - SUM(pos) AS DOUBLE)) END AS auc,
+    SUM(pos) AS n_pos, SUM(cnt) - SUM(pos) AS n_neg
+  FROM (
+    SELECT s, MIN(r) AS lo, MAX(r) AS hi, COUNT_IF(y = 1) AS pos, COUNT(*) AS cnt FROM (
+      SELECT {label} AS y, {score} AS s, row_number() OVER (ORDER BY {score}, user_id) AS r FROM users
+    ) GROUP BY s
+  )
+)"""
+    return "\n" + one("churned", "churned", "recency_days") + "\nUNION ALL\n" + \
+        one("purchase", "CAST(num_orders > 0 AS INTEGER)", "pageviews")
+
+
+HEURISTIC = rnd("3.0 * relevance + 0.9 * ln(1 + CAST(backlinks AS DOUBLE)) + 0.02 * domain_authority", 6)
+
+
+def ndcg_ctes(src: str, k: int, name: str) -> str:
+    return f"""{name}_g AS (SELECT keyword_id FROM {src} GROUP BY 1 HAVING COUNT(*) >= 2),
+{name}_x AS (SELECT * FROM {src} WHERE keyword_id IN (SELECT keyword_id FROM {name}_g)),
+{name}_b0 AS (
+  SELECT keyword_id, rank_score, COUNT(*) AS nb, SUM(CAST(relevance_label AS DOUBLE)) AS gsum
+  FROM {name}_x GROUP BY 1, 2
+),
+{name}_b AS (
+  SELECT * FROM (
+    SELECT *, CAST(SUM(nb) OVER (PARTITION BY keyword_id ORDER BY rank_score DESC
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - nb AS BIGINT) AS start
+    FROM {name}_b0
+  ) WHERE start < {k}
+),
+{name}_dcg AS (
+  SELECT keyword_id, SUM(gsum / nb * list_reduce(list_transform(range(start, least(start + nb, {k})),
+    lambda p: 1.0 / log2(p + 2.0)), lambda a, b: a + b, CAST(0.0 AS DOUBLE))) AS dcg
+  FROM {name}_b GROUP BY 1
+),
+{name}_idcg AS (
+  SELECT keyword_id, SUM(CAST(relevance_label AS DOUBLE) / log2(ri + 1.0)) AS idcg FROM (
+    SELECT keyword_id, relevance_label,
+      row_number() OVER (PARTITION BY keyword_id ORDER BY relevance_label DESC) AS ri
+    FROM {name}_x
+  ) WHERE ri <= {k} GROUP BY 1
+),
+{name} AS (
+  SELECT AVG(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END) AS ndcg, COUNT(*) AS n_groups
+  FROM {name}_dcg JOIN {name}_idcg USING (keyword_id)
+)"""
+
+
+def ndcg_body() -> str:
+    return group_split_ctes() + f""",
+nd_src AS (
+  SELECT k.*, {HEURISTIC} AS rank_score FROM keywords k JOIN gs ON k.keyword_id = gs.keyword_id
+  WHERE gs.split = 'test'
+),
+{ndcg_ctes('nd_src', 10, 'n10')},
+{ndcg_ctes('nd_src', 5, 'n5')}
+SELECT {rnd('n10.ndcg', 6)} AS ndcg_at_10, n10.n_groups AS n_groups, {rnd('n5.ndcg', 6)} AS ndcg_at_5
+FROM n10 CROSS JOIN n5"""
+
+
+def positions_ctes() -> str:
+    return f""", kp AS (
+  SELECT *, row_number() OVER (PARTITION BY keyword_id ORDER BY rank_score DESC, candidate_id) AS predicted_position
+  FROM (SELECT *, {HEURISTIC} AS rank_score FROM keywords)
+)"""
+
+
+def positions_body() -> str:
+    return positions_ctes() + """
+SELECT keyword_id, candidate_id, rank_score, CAST(predicted_position AS INTEGER) AS predicted_position FROM kp"""
+
+
+def opportunities_body(top: int = 15) -> str:
+    return positions_ctes() + f"""
+SELECT keyword, search_volume, keyword_difficulty, CAST(predicted_position AS INTEGER) AS predicted_position,
+  relevance, backlinks, domain_authority
+FROM kp WHERE is_ours = 1 AND predicted_position BETWEEN 4 AND 15
+ORDER BY search_volume DESC, keyword, keyword_id LIMIT {top}"""
+
+
+def standardized_body(features) -> str:
+    stats = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS mu_{f}, "
+                      f"COALESCE(NULLIF(stddev_pop(CAST({f} AS DOUBLE)), 0.0), 1.0) AS sd_{f}" for f in features)
+    zs = ", ".join(rnd(f"(CAST({f} AS DOUBLE) - mu_{f}) / sd_{f}", 6) + f" AS z_{f}" for f in features)
+    return f""", st AS (SELECT {stats} FROM users)
+SELECT user_id, {zs} FROM users CROSS JOIN st"""
