@@ -240,3 +240,106 @@ def q_users_std(spark, sf):
     from ..operators.segment import standardize
     z = standardize(td.users(spark, sf), USER_FEATURES)
     return z.select("user_id", *[rnd(f"z_{f}", 6).alias(f"z_{f}") for f in USER_FEATURES])
+
+
+# ---------------------------------------------------------------- model-backed (rows-only checks)
+def _fast(**kw):
+    return dict(max_iter=15, step_size=0.2, **kw)
+
+
+@register("traffic_forecast")
+def q_traffic_forecast(spark, sf):
+    """Boosted deltas rolled forward 30 days for every site."""
+    from ..operators.traffic import TrafficForecaster
+    daily = td.daily_metrics(spark, sf, by_site=True)
+    tf = TrafficForecaster(**_fast())
+    tf.fit(daily)
+    return tf.forecast(daily, 30)
+
+
+@register("traffic_model_metrics")
+def q_traffic_metrics(spark, sf):
+    from ..operators.traffic import TrafficForecaster
+    return TrafficForecaster(**_fast()).fit(td.daily_metrics(spark, sf, by_site=True))
+
+
+@register("holt_winters_forecast")
+def q_hw_forecast(spark, sf):
+    from ..operators.forecast import forecast, holt_winters_forecaster
+    return forecast(td.daily_metrics(spark, sf, by_site=True), 30, holt_winters_forecaster())
+
+
+@register("seasonal_regression_forecast")
+def q_sr_forecast(spark, sf):
+    from ..operators.forecast import forecast, seasonal_regression_forecaster
+    return forecast(td.daily_metrics(spark, sf, by_site=True), 30, seasonal_regression_forecaster())
+
+
+@register("forecaster_comparison")
+def q_compare(spark, sf):
+    from ..operators.forecast import compare_forecasters
+    return compare_forecasters(td.daily_metrics(spark, sf, by_site=True), horizon=14, folds=3)
+
+
+@register("sales_model")
+def q_sales(spark, sf):
+    from ..operators.models import SalesPredictor
+    m = SalesPredictor(**_fast())
+    met = m.fit(td.daily_metrics(spark, sf, by_site=True))
+    imp = m.feature_importance().orderBy(F.desc("importance"), "feature").limit(5)
+    return imp.crossJoin(met)
+
+
+@register("seo_model")
+def q_seo(spark, sf):
+    from ..operators.models import SEOScorer
+    m = SEOScorer(**_fast())
+    met = m.fit(td.seo_pages(spark, sf))
+    imp = m.feature_importance().orderBy(F.desc("importance"), "feature").limit(5)
+    return imp.crossJoin(met)
+
+
+@register("customer_scores")
+def q_customer_scores(spark, sf):
+    from ..operators.models import CustomerIntelligence
+    users = td.users(spark, sf)
+    ci = CustomerIntelligence(**_fast())
+    ci.fit(users)
+    return ci.score(users).select("user_id", "purchase_prob", "churn_risk", "predicted_clv")
+
+
+@register("customer_report")
+def q_customer_report(spark, sf):
+    """Fit metrics, the one-row summary and the top-10 at-risk customers."""
+    from ..operators.models import CustomerIntelligence, customer_summary, top_at_risk
+    users = td.users(spark, sf)
+    ci = CustomerIntelligence(**_fast())
+    met = ci.fit(users)
+    scored = ci.score(users).cache()
+    summ = customer_summary(scored).crossJoin(met)
+    return top_at_risk(scored).select("user_id", "churn_risk", "predicted_clv").crossJoin(summ)
+
+
+@register("user_segments")
+def q_segments(spark, sf):
+    from ..operators.segment import UserSegmenter
+    users = td.users(spark, sf)
+    seg = UserSegmenter(n_init=4)
+    met = seg.fit(users)
+    return seg.segment_summary(users).crossJoin(met)
+
+
+@register("anomalous_days")
+def q_anomalies(spark, sf):
+    from ..operators.anomaly import TrafficAnomalyDetector
+    daily = td.daily_metrics(spark, sf, by_site=True)
+    return TrafficAnomalyDetector(n_trees=100).fit(daily).anomalous_days(daily)
+
+
+@register("keyword_ranker")
+def q_ranker(spark, sf):
+    """Listwise boosted ranker: NDCG on held-out keywords and striking-distance wins."""
+    from ..operators.ranking import ListwiseRanker, fit_and_evaluate
+    kw = td.keywords(spark, sf)
+    ranker, nd = fit_and_evaluate(kw, ListwiseRanker(rounds=8))
+    return ranker.opportunities(kw, 15).crossJoin(nd)
