@@ -56,3 +56,14 @@ def thousands_text(x) -> Column:
     digits = F.abs(F.rint(_c(x)).cast("bigint")).cast("string")
     grouped = F.regexp_replace(F.reverse(F.regexp_replace(F.reverse(digits), r"(\d{3})(?=\d)", "$1,")), r"^,", "")
     return F.concat(F.when(F.rint(_c(x)) < 0, F.lit("-")).otherwise(F.lit("")), grouped)
+
+
+def canonical_layout(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
+    """Hash-partition by a unique key and sort within partitions before an MLlib fit.
+
+    Tree statistics are float sums merged per partition, so the fitted model
+    depends on which rows share a partition and in what order; a fixed layout
+    makes fits repeatable for a given ``spark.sql.shuffle.partitions``.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*(order or keys))

@@ -49,31 +49,36 @@ def auc(df: DataFrame, label: str, score: str, tiebreak: str) -> DataFrame:
                     F.col("P").alias("n_pos"), F.col("N").alias("n_neg"))
 
 
-def ndcg_per_group(df: DataFrame, group: str, label: str, score: str, k: int) -> DataFrame:
-    """NDCG@k per group: linear gain, log2 discount, tied scores share their gains
-    (averaged over the positions they span). Groups under 2 rows are skipped; a
-    group with no relevant item scores 0."""
+def ndcg_per_group(df: DataFrame, group: str, label: str, score: str, ks=(10,)) -> DataFrame:
+    """NDCG@k per group for every k in ``ks`` (columns ``ndcg_at_{k}``), in one pass.
+
+    Linear gain, log2 discount, tied scores share their gains (averaged over the
+    positions they span). Groups under 2 rows are skipped; a group with no
+    relevant item scores 0.
+    """
+    kmax = max(ks)
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn")).where(F.col("_gn") >= 2)
     x = df.join(sizes, group, "left_semi")
     blocks = x.groupBy(group, F.col(score).alias("_s")).agg(
         F.count(F.lit(1)).alias("nb"), F.sum(F.col(label).cast("double")).alias("gsum"))
     wb = Window.partitionBy(group).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.withColumn("start", F.sum("nb").over(wb) - F.col("nb")).where(F.col("start") < k)
-    disc = F.aggregate(F.sequence(F.col("start"), F.least(F.col("start") + F.col("nb"), F.lit(k)) - 1),
-                       F.lit(0.0), lambda acc, p: acc + F.lit(1.0) / F.log2(p + F.lit(2.0)))
-    dcg = blocks.groupBy(group).agg(F.sum(F.col("gsum") / F.col("nb") * disc).alias("dcg"))
+    blocks = blocks.withColumn("start", F.sum("nb").over(wb) - F.col("nb")).where(F.col("start") < kmax)
+
+    def disc(k):
+        return F.aggregate(F.sequence(F.col("start"), F.least(F.col("start") + F.col("nb"), F.lit(k)) - 1),
+                           F.lit(0.0), lambda acc, p: acc + F.lit(1.0) / F.log2(p + F.lit(2.0)))
+    dcg = blocks.groupBy(group).agg(*[
+        F.sum(F.when(F.col("start") < k, F.col("gsum") / F.col("nb") * disc(k))).alias(f"dcg_{k}") for k in ks])
     wi = Window.partitionBy(group).orderBy(F.desc(label))
-    ideal = (x.withColumn("_ri", F.row_number().over(wi)).where(F.col("_ri") <= k)
-             .groupBy(group).agg(F.sum(F.col(label).cast("double") / F.log2(F.col("_ri") + F.lit(1.0))).alias("idcg")))
-    return (dcg.join(ideal, group)
-            .select(group, F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg")))
+    gain = F.col(label).cast("double") / F.log2(F.col("_ri") + F.lit(1.0))
+    ideal = (x.withColumn("_ri", F.row_number().over(wi)).where(F.col("_ri") <= kmax)
+             .groupBy(group).agg(*[F.sum(F.when(F.col("_ri") <= k, gain)).alias(f"idcg_{k}") for k in ks]))
+    return dcg.join(ideal, group).select(group, *[
+        F.when(F.col(f"idcg_{k}") > 0, F.col(f"dcg_{k}") / F.col(f"idcg_{k}")).otherwise(0.0).alias(f"ndcg_at_{k}")
+        for k in ks])
 
 
 def mean_ndcg(df: DataFrame, group: str, label: str, score: str, ks=(10, 5)) -> DataFrame:
     """Mean NDCG over groups for each k: one row with ``ndcg_at_{k}`` and ``n_groups``."""
-    out = None
-    for k in ks:
-        m = ndcg_per_group(df, group, label, score, k).agg(F.avg("ndcg").alias(f"ndcg_at_{k}"),
-                                                            F.count(F.lit(1)).alias("n_groups"))
-        out = m if out is None else out.crossJoin(m.drop("n_groups"))
-    return out
+    per = ndcg_per_group(df, group, label, score, ks)
+    return per.agg(*[F.avg(f"ndcg_at_{k}").alias(f"ndcg_at_{k}") for k in ks], F.count(F.lit(1)).alias("n_groups"))
