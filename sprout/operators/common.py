@@ -67,3 +67,20 @@ def canonical_layout(df: DataFrame, keys: Sequence[str], order: Sequence[str] |
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys).sortWithinPartitions(*(order or keys))
+
+
+def records_json(df: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """Record export: one JSON object per row (dates as text), column ``record``."""
+    cols = [F.date_format(c, date_format).alias(c) if t in ("date", "timestamp", "timestamp_ntz") else F.col(c)
+            for c, t in df.dtypes]
+    return df.select(F.to_json(F.struct(*cols)).alias("record"))
+
+
+def history_and_forecast(daily: DataFrame, forecast: DataFrame, days: int = 60,
+                         keys: Sequence[str] = ("site_id",)) -> DataFrame:
+    """Last ``days`` actual days then the forecast, tagged ``kind`` (UNION ALL)."""
+    hist = last_rows(daily, days, keys).select(*keys, "date", F.col("visitors").cast("bigint").alias("visitors"),
+                                               F.lit("actual").alias("kind"))
+    fc = forecast.select(*keys, "date", F.col("predicted_visitors").cast("bigint").alias("visitors"),
+                         F.lit("forecast").alias("kind"))
+    return hist.unionByName(fc)
