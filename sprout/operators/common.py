@@ -84,3 +84,16 @@ def history_and_forecast(daily: DataFrame, forecast: DataFrame, days: int = 60,
     fc = forecast.select(*keys, "date", F.col("predicted_visitors").cast("bigint").alias("visitors"),
                          F.lit("forecast").alias("kind"))
     return hist.unionByName(fc)
+
+
+def run_concurrently(tasks, max_workers: int = 4) -> list:
+    """Run independent Spark jobs from a driver thread pool; results in task order.
+
+    Each task is a zero-argument callable (a model fit, say). Spark schedules the
+    jobs of all threads on the same executors, so small fits overlap instead of
+    queueing behind each other's per-job latency.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max_workers) as pool:
+        futures = [pool.submit(t) for t in tasks]
+        return [f.result() for f in futures]

@@ -70,7 +70,8 @@ def indexed(daily: DataFrame, keys: Sequence[str] = ("site_id",)) -> DataFrame:
 def fold_rows(daily: DataFrame, folds: DataFrame, horizon: int, keys: Sequence[str] = ("site_id",),
               part: str = "test") -> DataFrame:
     """Rows of each fold's train or test part (range join against the small fold table)."""
-    x = indexed(daily, keys).join(F.broadcast(folds.select(*keys, "fold", "cut")), list(keys))
+    # folds x series rows: grows with the number of series, so the planner decides
+    x = indexed(daily, keys).join(folds.select(*keys, "fold", "cut"), list(keys))
     if part == "train":
         return x.where(F.col("idx") < F.col("cut"))
     return x.where((F.col("idx") >= F.col("cut")) & (F.col("idx") < F.col("cut") + horizon))

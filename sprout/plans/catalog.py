@@ -343,3 +343,29 @@ def q_ranker(spark, sf):
     kw = td.keywords(spark, sf)
     ranker, nd = fit_and_evaluate(kw, ListwiseRanker(rounds=8))
     return ranker.opportunities(kw, 15).crossJoin(nd)
+
+
+# ---------------------------------------------------------------- customers and segments on stand-in inputs
+@register("customer_summary_heuristic", O.with_ctes(O.users_ctes(), body=OQ.customer_summary_body()))
+def q_customer_summary_h(spark, sf):
+    from ..operators.models import customer_summary, heuristic_customer_scores
+    return customer_summary(heuristic_customer_scores(td.users(spark, sf)))
+
+
+@register("customer_recommendations_heuristic", O.with_ctes(O.users_ctes(), body=OQ.customer_recs_body()))
+def q_customer_recs_h(spark, sf):
+    from ..operators.models import customer_summary, heuristic_customer_scores
+    from ..operators.rules import customer_recommendations
+    return customer_recommendations(customer_summary(heuristic_customer_scores(td.users(spark, sf))))
+
+
+@register("top_at_risk_heuristic", O.with_ctes(O.users_ctes(), body=OQ.top_at_risk_body(10)))
+def q_top_at_risk_h(spark, sf):
+    from ..operators.models import heuristic_customer_scores, top_at_risk
+    return top_at_risk(heuristic_customer_scores(td.users(spark, sf))).select("user_id", "churn_risk", "predicted_clv")
+
+
+@register("segments_fixed_centroids", O.with_ctes(O.users_ctes(), body=OQ.fixed_segments_body(USER_FEATURES)))
+def q_segments_fixed(spark, sf):
+    from ..operators.segment import fixed_centroid_segments
+    return fixed_centroid_segments(td.users(spark, sf))

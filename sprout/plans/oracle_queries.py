@@ -493,3 +493,89 @@ def standardized_body(features) -> str:
     zs = ", ".join(rnd(f"(CAST({f} AS DOUBLE) - mu_{f}) / sd_{f}", 6) + f" AS z_{f}" for f in features)
     return f""", st AS (SELECT {stats} FROM users)
 SELECT user_id, {zs} FROM users CROSS JOIN st"""
+
+
+# ---------------------------------------------------------------- customers and segments (stand-in inputs)
+def heuristic_scores_cte(name: str = "hs") -> str:
+    return f""", {name} AS (
+  SELECT *, {rnd('least(CAST(1.0 AS DOUBLE), CAST(pageviews AS DOUBLE) / 100.0)', 4)} AS purchase_prob,
+    {rnd('least(CAST(1.0 AS DOUBLE), CAST(recency_days AS DOUBLE) / 365.0)', 4)} AS churn_risk,
+    {rnd('CAST(total_spent AS DOUBLE) * 1.5', 2)} AS predicted_clv
+  FROM users
+)"""
+
+
+def customer_summary_cte(name: str = "cs") -> str:
+    return heuristic_scores_cte() + f""",
+{name} AS (
+  SELECT COUNT(*) AS customers, {rnd(dmean('purchase_prob', 4), 4)} AS avg_purchase_prob,
+    {rnd(dmean('churn_risk', 4), 4)} AS avg_churn_risk,
+    COUNT_IF(churn_risk >= 0.5) AS high_churn_customers,
+    {rnd('CAST(SUM(CAST(churn_risk AS DECIMAL(8,4)) * CAST(predicted_clv AS DECIMAL(18,2))) AS DOUBLE)', 2)}
+      AS revenue_at_risk,
+    {rnd(dmean('predicted_clv', 2), 2)} AS avg_predicted_clv,
+    COUNT_IF(num_orders = 0 AND purchase_prob >= 0.5) AS conversion_opportunities
+  FROM hs
+)"""
+
+
+def customer_summary_body() -> str:
+    return customer_summary_cte() + "\nSELECT * FROM cs"
+
+
+def customer_recs_body() -> str:
+    r = {s[0]: s for s in T.CUSTOMER_RULES}
+    rules = [
+        f"CASE WHEN high_churn_customers > 0 THEN {_rule_struct(r['churn'], problem_args=['CAST(high_churn_customers AS VARCHAR)'], reason_args=[thousands_text('COALESCE(revenue_at_risk, 0.0)')])} END",
+        f"CASE WHEN conversion_opportunities > 0 THEN {_rule_struct(r['intent'], problem_args=['CAST(conversion_opportunities AS VARCHAR)'])} END",
+    ]
+    return customer_summary_cte() + f""",
+cr AS (SELECT list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL) AS recs FROM cs),
+cru AS (SELECT recs, unnest(range(1, len(recs) + 1)) AS seq FROM cr)
+SELECT 2 AS source, CAST(seq AS INTEGER) AS seq, recs[seq].area AS area, recs[seq].problem AS problem,
+  recs[seq].reason AS reason, recs[seq].action AS action, recs[seq].expected_gain AS expected_gain,
+  recs[seq].priority AS priority
+FROM cru"""
+
+
+def top_at_risk_body(n: int = 10) -> str:
+    return heuristic_scores_cte() + f"""
+SELECT user_id, churn_risk, predicted_clv FROM hs
+ORDER BY churn_risk DESC, predicted_clv DESC, user_id LIMIT {n}"""
+
+
+def fixed_segments_body(features, k: int = 4) -> str:
+    stats = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS mu_{f}, "
+                      f"COALESCE(NULLIF(stddev_pop(CAST({f} AS DOUBLE)), 0.0), 1.0) AS sd_{f}" for f in features)
+    zs = ", ".join(rnd(f"(CAST({f} AS DOUBLE) - mu_{f}) / sd_{f}", 6) + f" AS z_{f}" for f in features)
+    dist = " + ".join(f"(u.z_{f} - c.z_{f}) * (u.z_{f} - c.z_{f})" for f in features)
+    prof = ", ".join(f"{dmean(f, 2)} AS {f}" for f in features)
+    rest = T.PERSONA_REST
+    rest_case = " ".join(f"WHEN r3 = {i + 1} THEN {q(n)}" for i, n in enumerate(rest))
+    return f""", fs_st AS (SELECT {stats} FROM users),
+fs_z AS (SELECT users.*, {zs} FROM users CROSS JOIN fs_st),
+fs_c AS (
+  SELECT CAST(row_number() OVER (ORDER BY hk, user_id) - 1 AS INTEGER) AS cluster, * FROM (
+    SELECT *, {md5_key('centroid', 'user_id')} AS hk FROM fs_z ORDER BY hk, user_id LIMIT {k})
+),
+fs_a AS (
+  SELECT * EXCLUDE (rk) FROM (
+    SELECT u.*, c.cluster, row_number() OVER (PARTITION BY u.user_id ORDER BY {dist}, c.cluster) AS rk
+    FROM fs_z u CROSS JOIN fs_c c
+  ) WHERE rk = 1
+),
+fs_p AS (SELECT cluster, {prof} FROM fs_a GROUP BY cluster),
+fs_r1 AS (SELECT *, row_number() OVER (ORDER BY total_spent DESC, cluster) AS r1 FROM fs_p),
+fs_r2 AS (SELECT *, row_number() OVER (ORDER BY r1 = 1, pageviews DESC, cluster) AS r2 FROM fs_r1),
+fs_r3 AS (SELECT *, row_number() OVER (ORDER BY (r1 = 1 OR r2 = 1), sessions DESC, cluster) AS r3 FROM fs_r2),
+fs_l AS (
+  SELECT cluster, CASE WHEN r1 = 1 THEN {q(T.PERSONA_BUYER)} WHEN r2 = 1 THEN {q(T.PERSONA_POTENTIAL)}
+    {rest_case} ELSE 'Segment ' || CAST(cluster AS VARCHAR) END AS segment_label
+  FROM fs_r3
+),
+fs_s AS (
+  SELECT segment_label, COUNT(user_id) AS users, {dmean('num_orders', 0)} AS avg_orders,
+    {dmean('total_spent', 2)} AS avg_spent, {dmean('pageviews', 0)} AS avg_pageviews
+  FROM fs_a JOIN fs_l ON fs_a.cluster = fs_l.cluster GROUP BY segment_label
+)
+SELECT *, {rnd('avg_spent * (1.0 + avg_orders)', 2)} AS est_clv FROM fs_s"""
