@@ -369,3 +369,17 @@ def q_top_at_risk_h(spark, sf):
 def q_segments_fixed(spark, sf):
     from ..operators.segment import fixed_centroid_segments
     return fixed_centroid_segments(td.users(spark, sf))
+
+
+@register("anomaly_flags_zscore", O.with_ctes(O.daily_ctes(True), body=OQ.zscore_anomalies_body(0.06)))
+def q_anomaly_flags(spark, sf):
+    """Contamination threshold, flags and ordering on a fixed stand-in score (|z| of visitors)."""
+    from ..operators.anomaly import anomalous_only, flag_days
+    from pyspark.sql import Window
+    daily = td.daily_metrics(spark, sf, by_site=True)
+    w = Window.partitionBy("site_id")  # day-grain series, one site per partition
+    sd = F.coalesce(F.nullif(F.stddev_pop(F.col("visitors").cast("double")).over(w), F.lit(0.0)), F.lit(1.0))
+    z = F.abs((F.col("visitors").cast("double") - F.avg(F.col("visitors").cast("double")).over(w)) / sd)
+    scored = daily.select("site_id", "date", rnd(z, 6).alias("s"))
+    thr = scored.groupBy("site_id").agg(rnd(F.percentile("s", 0.94), 6).alias("threshold"))
+    return anomalous_only(flag_days(scored, thr))

@@ -579,3 +579,20 @@ fs_s AS (
   FROM fs_a JOIN fs_l ON fs_a.cluster = fs_l.cluster GROUP BY segment_label
 )
 SELECT *, {rnd('avg_spent * (1.0 + avg_orders)', 2)} AS est_clv FROM fs_s"""
+
+
+def zscore_anomalies_body(contamination: float = 0.06) -> str:
+    p = repr(1.0 - contamination)
+    return f""", az_st AS (
+  SELECT site_id, avg(CAST(visitors AS DOUBLE)) AS mu,
+    COALESCE(NULLIF(stddev_pop(CAST(visitors AS DOUBLE)), 0.0), 1.0) AS sd
+  FROM daily_metrics GROUP BY site_id
+),
+az_s AS (
+  SELECT d.site_id, d.date, {rnd('abs((CAST(d.visitors AS DOUBLE) - st.mu) / st.sd)', 6)} AS s
+  FROM daily_metrics d JOIN az_st st ON d.site_id = st.site_id
+),
+az_t AS (SELECT site_id, {rnd(f'quantile_cont(s, {p})', 6)} AS threshold FROM az_s GROUP BY site_id)
+SELECT s.site_id, s.date, s.s - t.threshold AS anomaly_score
+FROM az_s s JOIN az_t t ON s.site_id = t.site_id
+WHERE s.s - t.threshold > 0"""

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The reference has no streams, watermarks, event-time windows or stateful
+operators; its only repeated computation is a scheduled cycle, which is the
+batch job ``sprout.plans.bundles.run_cycle`` over an append-only snapshot table.
+If incremental refresh is wanted, the Spark form is ``readStream`` over new
+lineitem files -> ``foreachBatch`` appending the batch's per-day partial sums
+(associative, exact decimals) -> ``run_cycle`` on the re-aggregated days.
+"""
