@@ -6,7 +6,9 @@ range-partitioned on (keys, order) instead, numbered inside each partition with
 ``monotonically_increasing_id`` after a local sort, and shifted by the counts of
 earlier partitions. The per-partition block table has at most
 ``partitions x keys-per-partition`` rows; with no key (or a handful of strata)
-it is bounded by the partition count and broadcast.
+it is bounded by the partition count and broadcast. The id-stamped rows are
+written once to the shared checkpoint folder, so a retried or re-planned pass
+cannot see a different range split.
 
 The order must be total (end it with a unique column): both passes over the
 sorted partitions must see the same row order.
@@ -19,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _POS_MASK = (1 << 33) - 1
 
 
@@ -29,8 +33,12 @@ def ordered_row_number(df: DataFrame, order: Sequence, keys: Sequence[str] = (),
     order = list(order)
     s = (df.repartitionByRange(n_parts, *keys, *order)
          .sortWithinPartitions(*keys, *order)
-         .withColumn("_mid", F.monotonically_increasing_id())
-         .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    # Both passes below must see the same partition of every row. Two range
+    # exchanges would each sample their own bounds, so the ids are stamped once
+    # and stored with a reliable checkpoint; both passes read the stored ids.
+    s = cut_lineage(s)
+    s = (s.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
          .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_POS_MASK))))
     blocks = s.groupBy("_pid", *keys).agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*keys).orderBy("_pid")  # one row per partition a key spans
