@@ -374,12 +374,24 @@ def q_segments_fixed(spark, sf):
 @register("anomaly_flags_zscore", O.with_ctes(O.daily_ctes(True), body=OQ.zscore_anomalies_body(0.06)))
 def q_anomaly_flags(spark, sf):
     """Contamination threshold, flags and ordering on a fixed stand-in score (|z| of visitors)."""
-    from ..operators.anomaly import anomalous_only, flag_days
+    return _zscore_flags(td.daily_metrics(spark, sf, by_site=True))
+
+
+def _zscore_flags(daily):
     from pyspark.sql import Window
-    daily = td.daily_metrics(spark, sf, by_site=True)
+    from ..operators.anomaly import anomalous_only, flag_days
     w = Window.partitionBy("site_id")  # day-grain series, one site per partition
-    sd = F.coalesce(F.nullif(F.stddev_pop(F.col("visitors").cast("double")).over(w), F.lit(0.0)), F.lit(1.0))
-    z = F.abs((F.col("visitors").cast("double") - F.avg(F.col("visitors").cast("double")).over(w)) / sd)
-    scored = daily.select("site_id", "date", rnd(z, 6).alias("s"))
+    v = F.col("visitors").cast("double")
+    sd = F.coalesce(F.nullif(F.stddev_pop(v).over(w), F.lit(0.0)), F.lit(1.0))
+    scored = daily.select("site_id", "date", rnd(F.abs((v - F.avg(v).over(w)) / sd), 6).alias("s"))
     thr = scored.groupBy("site_id").agg(rnd(F.percentile("s", 0.94), 6).alias("threshold"))
     return anomalous_only(flag_days(scored, thr))
+
+
+@register("site_recommendations_with_anomalies",
+          O.with_ctes(O.daily_ctes(True), body=OQ.site_recs_with_anomalies_body()))
+def q_site_recs_anom(spark, sf):
+    """Site rules including the anomaly rule, fed with the z-score flags."""
+    from ..operators.rules import site_recommendations
+    daily = td.daily_metrics(spark, sf, by_site=True)
+    return site_recommendations(daily, anomalies=_zscore_flags(daily))

@@ -582,6 +582,11 @@ SELECT *, {rnd('avg_spent * (1.0 + avg_orders)', 2)} AS est_clv FROM fs_s"""
 
 
 def zscore_anomalies_body(contamination: float = 0.06) -> str:
+    return zscore_anomalies_ctes(contamination) + """
+SELECT site_id, date, anomaly_score FROM az"""
+
+
+def zscore_anomalies_ctes(contamination: float = 0.06) -> str:
     p = repr(1.0 - contamination)
     return f""", az_st AS (
   SELECT site_id, avg(CAST(visitors AS DOUBLE)) AS mu,
@@ -592,7 +597,38 @@ az_s AS (
   SELECT d.site_id, d.date, {rnd('abs((CAST(d.visitors AS DOUBLE) - st.mu) / st.sd)', 6)} AS s
   FROM daily_metrics d JOIN az_st st ON d.site_id = st.site_id
 ),
-az_t AS (SELECT site_id, {rnd(f'quantile_cont(s, {p})', 6)} AS threshold FROM az_s GROUP BY site_id)
-SELECT s.site_id, s.date, s.s - t.threshold AS anomaly_score
-FROM az_s s JOIN az_t t ON s.site_id = t.site_id
-WHERE s.s - t.threshold > 0"""
+az_t AS (SELECT site_id, {rnd(f'quantile_cont(s, {p})', 6)} AS threshold FROM az_s GROUP BY site_id),
+az AS (
+  SELECT s.site_id, s.date, s.s - t.threshold AS anomaly_score
+  FROM az_s s JOIN az_t t ON s.site_id = t.site_id
+  WHERE s.s - t.threshold > 0
+)"""
+
+
+def site_recs_with_anomalies_body() -> str:
+    r = {s[0]: s for s in T.SITE_RULES}
+    anomaly = _rule_struct(r["anomalies"], problem_args=["CAST(n_anom AS VARCHAR)"],
+                           reason_args=["strftime(top_day, '%Y-%m-%d')"])
+    base = site_recs_ctes("site_recs0").strip()
+    return zscore_anomalies_ctes() + f""",
+{base},
+sa_top AS (
+  SELECT site_id, date AS top_day FROM (
+    SELECT site_id, date, row_number() OVER (PARTITION BY site_id ORDER BY anomaly_score DESC, date DESC) AS rk
+    FROM az) WHERE rk = 1
+),
+sa_n AS (SELECT site_id, COUNT(*) AS n_anom FROM az GROUP BY site_id),
+sa_x AS (
+  SELECT l.site_id, n.n_anom, t.top_day FROM (SELECT DISTINCT site_id FROM daily_metrics) l
+  LEFT JOIN sa_n n ON l.site_id = n.site_id LEFT JOIN sa_top t ON l.site_id = t.site_id
+),
+sa_extra AS (
+  SELECT site_id, 1 AS source, CAST(seq AS INTEGER) AS seq, r.area AS area, r.problem AS problem,
+    r.reason AS reason, r.action AS action, r.expected_gain AS expected_gain, r.priority AS priority
+  FROM (
+    SELECT x.site_id, COALESCE(c.cnt, 0) + 1 AS seq, {anomaly} AS r FROM sa_x x
+    LEFT JOIN (SELECT site_id, COUNT(*) AS cnt FROM site_recs0 GROUP BY site_id) c ON x.site_id = c.site_id
+    WHERE COALESCE(x.n_anom, 0) > 0
+  )
+)
+SELECT * FROM site_recs0 UNION ALL SELECT * FROM sa_extra"""
