@@ -247,11 +247,18 @@ def _fast(**kw):
     return dict(max_iter=15, step_size=0.2, **kw)
 
 
+def _materialized(df):
+    """Model fits read their input many times (features, fit, scoring): derive it from
+    the raw tables once and keep it in the shared checkpoint folder."""
+    from ..session import cut_lineage
+    return cut_lineage(df)
+
+
 @register("traffic_forecast")
 def q_traffic_forecast(spark, sf):
     """Boosted deltas rolled forward 30 days for every site."""
     from ..operators.traffic import TrafficForecaster
-    daily = td.daily_metrics(spark, sf, by_site=True)
+    daily = _materialized(td.daily_metrics(spark, sf, by_site=True))
     tf = TrafficForecaster(**_fast())
     tf.fit(daily)
     return tf.forecast(daily, 30)
@@ -260,7 +267,7 @@ def q_traffic_forecast(spark, sf):
 @register("traffic_model_metrics")
 def q_traffic_metrics(spark, sf):
     from ..operators.traffic import TrafficForecaster
-    return TrafficForecaster(**_fast()).fit(td.daily_metrics(spark, sf, by_site=True))
+    return TrafficForecaster(**_fast()).fit(_materialized(td.daily_metrics(spark, sf, by_site=True)))
 
 
 @register("holt_winters_forecast")
@@ -278,14 +285,14 @@ def q_sr_forecast(spark, sf):
 @register("forecaster_comparison")
 def q_compare(spark, sf):
     from ..operators.forecast import compare_forecasters
-    return compare_forecasters(td.daily_metrics(spark, sf, by_site=True), horizon=14, folds=3)
+    return compare_forecasters(_materialized(td.daily_metrics(spark, sf, by_site=True)), horizon=14, folds=3)
 
 
 @register("sales_model")
 def q_sales(spark, sf):
     from ..operators.models import SalesPredictor
     m = SalesPredictor(**_fast())
-    met = m.fit(td.daily_metrics(spark, sf, by_site=True))
+    met = m.fit(_materialized(td.daily_metrics(spark, sf, by_site=True)))
     imp = m.feature_importance().orderBy(F.desc("importance"), "feature").limit(5)
     return imp.crossJoin(met)
 
@@ -302,7 +309,7 @@ def q_seo(spark, sf):
 @register("customer_scores")
 def q_customer_scores(spark, sf):
     from ..operators.models import CustomerIntelligence
-    users = td.users(spark, sf)
+    users = _materialized(td.users(spark, sf))
     ci = CustomerIntelligence(**_fast())
     ci.fit(users)
     return ci.score(users).select("user_id", "purchase_prob", "churn_risk", "predicted_clv")
@@ -312,7 +319,7 @@ def q_customer_scores(spark, sf):
 def q_customer_report(spark, sf):
     """Fit metrics, the one-row summary and the top-10 at-risk customers."""
     from ..operators.models import CustomerIntelligence, customer_summary, top_at_risk
-    users = td.users(spark, sf)
+    users = _materialized(td.users(spark, sf))
     ci = CustomerIntelligence(**_fast())
     met = ci.fit(users)
     scored = ci.score(users).cache()
@@ -323,7 +330,7 @@ def q_customer_report(spark, sf):
 @register("user_segments")
 def q_segments(spark, sf):
     from ..operators.segment import UserSegmenter
-    users = td.users(spark, sf)
+    users = _materialized(td.users(spark, sf))
     seg = UserSegmenter(n_init=4)
     met = seg.fit(users)
     return seg.segment_summary(users).crossJoin(met)
@@ -332,7 +339,7 @@ def q_segments(spark, sf):
 @register("anomalous_days")
 def q_anomalies(spark, sf):
     from ..operators.anomaly import TrafficAnomalyDetector
-    daily = td.daily_metrics(spark, sf, by_site=True)
+    daily = _materialized(td.daily_metrics(spark, sf, by_site=True))
     return TrafficAnomalyDetector(n_trees=100).fit(daily).anomalous_days(daily)
 
 
@@ -340,7 +347,7 @@ def q_anomalies(spark, sf):
 def q_ranker(spark, sf):
     """Listwise boosted ranker: NDCG on held-out keywords and striking-distance wins."""
     from ..operators.ranking import ListwiseRanker, fit_and_evaluate
-    kw = td.keywords(spark, sf)
+    kw = _materialized(td.keywords(spark, sf))
     ranker, nd = fit_and_evaluate(kw, ListwiseRanker(rounds=8))
     return ranker.opportunities(kw, 15).crossJoin(nd)
 
