@@ -48,3 +48,25 @@ def ordered_row_number(df: DataFrame, order: Sequence, keys: Sequence[str] = (),
     joined = s.join(blocks, ["_pid", *keys])
     return (joined.withColumn(out, F.col("_pos") - F.col("_p0") + F.col("_off") + 1)
             .drop("_mid", "_pid", "_pos", "_p0", "_off"))
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn",
+                hot_rows: int = 1_000_000) -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` that splits hot groups.
+
+    Group sizes come from one partial aggregate. Groups up to ``hot_rows`` rows use
+    the plain window (one task per group, bounded by ``hot_rows``); larger groups
+    go through ``ordered_row_number`` (range partitioning, so one group spans many
+    tasks). The hot-key list has at most ``rows / hot_rows`` entries, which bounds
+    its broadcast. ``order`` must end with a unique column.
+    """
+    keys, order = list(keys), list(order)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gsize")).where(F.col("_gsize") > hot_rows).select(*keys)
+    hot = F.broadcast(hot)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    cold = df.join(hot, keys, "left_anti").withColumn(out, F.row_number().over(w))
+    if hot.limit(1).count() == 0:  # tiny job: are there any hot groups at all?
+        return cold
+    heavy = ordered_row_number(df.join(hot, keys, "left_semi"), order, keys=keys, out=out,
+                               small_key_set=True)
+    return cold.unionByName(heavy.select(*cold.columns))

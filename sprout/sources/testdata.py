@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import h16, md5_key, rnd
+from ..operators.ordering import rank_within
 from ..session import cut_lineage
 
 DEC = "decimal(18,2)"
@@ -244,27 +245,30 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (part, supplier) candidate; a part is a keyword.
 
     Every supplier of a part competes (no cap on candidates). Lineitem is first
-    pre-aggregated to (part, supplier) grain (partial aggregation map-side), then
-    one exchange on the part key serves the part-level sums and the positions.
+    pre-aggregated to (part, supplier) grain and stored once; part-level values are
+    a grouped aggregate joined back, and positions split hot keywords across tasks.
     """
     li = read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey", "l_quantity", "l_discount"])
-    cand = (li.groupBy("l_partkey", "l_suppkey")
-            .agg(F.count(F.lit(1)).alias("n"), _dsum("l_quantity", QTY).alias("qty"),
-                 _dsum("l_discount", RATE).alias("disc"))
-            .withColumn("_ours_key", md5_key("ours", "l_partkey", "l_suppkey")))
+    # (part, supplier) grain, combined map-side, stored once: both the part-level
+    # aggregate and the candidate rows read it, so lineitem is scanned once
+    cand = cut_lineage(li.groupBy("l_partkey", "l_suppkey")
+                       .agg(F.count(F.lit(1)).alias("n"), _dsum("l_quantity", QTY).alias("qty"),
+                            _dsum("l_discount", RATE).alias("disc"))
+                       .withColumn("_ours_key", md5_key("ours", "l_partkey", "l_suppkey")))
+    # part-level values as a grouped aggregate (partial + final, so a hot part is
+    # combined map-side) joined back on the part key (one row per part)
+    per_part = cand.groupBy("l_partkey").agg(F.sum("qty").alias("sv"), F.min("_ours_key").alias("_min_ours"))
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_size"])
-    # part-level values as windows on the same partitioning as the position window:
-    # one exchange on the part key serves all three, and lineitem is scanned once
-    wp = Window.partitionBy("keyword_id")
     rel = rnd(F.col("disc").cast("double") / F.col("n").cast("double") * F.lit(10.0), 3)
-    kw = (cand.join(part, F.col("l_partkey") == part.p_partkey)
+    kw = (cand.join(per_part, "l_partkey")
+          .join(part, F.col("l_partkey") == part.p_partkey)
           .withColumnRenamed("l_partkey", "keyword_id")
           .select(
               "keyword_id",
               F.col("p_name").alias("keyword"),
-              F.sum("qty").over(wp).cast("bigint").alias("search_volume"),
+              F.col("sv").cast("bigint").alias("search_volume"),
               (F.col("p_size") * 2).cast("double").alias("keyword_difficulty"),
-              F.when(F.col("_ours_key") == F.min("_ours_key").over(wp), 1).otherwise(0).alias("is_ours"),
+              F.when(F.col("_ours_key") == F.col("_min_ours"), 1).otherwise(0).alias("is_ours"),
               rel.alias("relevance"),
               (F.col("qty") * 20).cast("bigint").alias("word_count"),
               (F.col("n") * 10).cast("bigint").alias("backlinks"),
@@ -276,8 +280,9 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.col("l_suppkey").alias("candidate_id"),
           ))
     kw = kw.withColumn("_true_score", rnd(true_rank_score(), 6))
-    w = Window.partitionBy("keyword_id").orderBy(F.desc("_true_score"), "candidate_id")
-    kw = kw.withColumn("position", F.row_number().over(w).cast("int"))
+    # positions: plain window per keyword, hot keywords split across tasks
+    kw = rank_within(kw, ["keyword_id"], [F.desc("_true_score"), F.col("candidate_id")], out="position")
+    kw = kw.withColumn("position", F.col("position").cast("int"))
     return kw.withColumn("relevance_label", relevance_label("position")).drop("_true_score")
 
 
