@@ -57,12 +57,17 @@ def ndcg_per_group(df: DataFrame, group: str, label: str, score: str, ks=(10,))
     relevant item scores 0.
     """
     kmax = max(ks)
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn")).where(F.col("_gn") >= 2)
-    x = df.join(sizes, group, "left_semi")
-    blocks = x.groupBy(group, F.col(score).alias("_s")).agg(
-        F.count(F.lit(1)).alias("nb"), F.sum(F.col(label).cast("double")).alias("gsum"))
-    wb = Window.partitionBy(group).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.withColumn("start", F.sum("nb").over(wb) - F.col("nb")).where(F.col("start") < kmax)
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn")).where(F.col("_gn") >= 2).select(group)
+    # rank() <= k keeps whole tie blocks that start before position k; applied to the
+    # input directly it plans as a WindowGroupLimit both before and after the shuffle,
+    # and a block's start is its rank - 1, so no cumulative window is needed. Groups
+    # under 2 rows are dropped afterwards with a semi join on the group sizes.
+    wr = Window.partitionBy(group).orderBy(F.desc(score))
+    top = (df.withColumn("_rk", F.rank().over(wr)).where(F.col("_rk") <= kmax)
+           .join(sizes, group, "left_semi"))
+    blocks = top.groupBy(group, F.col(score).alias("_s")).agg(
+        F.count(F.lit(1)).alias("nb"), F.sum(F.col(label).cast("double")).alias("gsum"),
+        (F.min("_rk") - 1).alias("start"))
 
     def disc(k):
         return F.aggregate(F.sequence(F.col("start"), F.least(F.col("start") + F.col("nb"), F.lit(k)) - 1),
@@ -71,7 +76,8 @@ def ndcg_per_group(df: DataFrame, group: str, label: str, score: str, ks=(10,))
         F.sum(F.when(F.col("start") < k, F.col("gsum") / F.col("nb") * disc(k))).alias(f"dcg_{k}") for k in ks])
     wi = Window.partitionBy(group).orderBy(F.desc(label))
     gain = F.col(label).cast("double") / F.log2(F.col("_ri") + F.lit(1.0))
-    ideal = (x.withColumn("_ri", F.row_number().over(wi)).where(F.col("_ri") <= kmax)
+    ideal = (df.withColumn("_ri", F.row_number().over(wi)).where(F.col("_ri") <= kmax)
+             .join(sizes, group, "left_semi")
              .groupBy(group).agg(*[F.sum(F.when(F.col("_ri") <= k, gain)).alias(f"idcg_{k}") for k in ks]))
     return dcg.join(ideal, group).select(group, *[
         F.when(F.col(f"idcg_{k}") > 0, F.col(f"dcg_{k}") / F.col(f"idcg_{k}")).otherwise(0.0).alias(f"ndcg_at_{k}")
