@@ -108,7 +108,8 @@ def q_site_recs(spark, sf):
 def _recs(spark, sf, by_site=False):
     from ..operators.rules import combine_recommendations, page_recommendations, site_recommendations
     daily, pages = _tables(spark, sf, by_site)
-    return combine_recommendations(site_recommendations(daily), page_recommendations(pages, limit=8))
+    return combine_recommendations(site_recommendations(daily), page_recommendations(pages, limit=8),
+                                   sites=daily.select("site_id"))
 
 
 @register("strategy", O.with_ctes(O.daily_ctes(), O.pages_ctes(), body=OQ.strategy_body(8)))
@@ -402,3 +403,43 @@ def q_site_recs_anom(spark, sf):
     from ..operators.rules import site_recommendations
     daily = td.daily_metrics(spark, sf, by_site=True)
     return site_recommendations(daily, anomalies=_zscore_flags(daily))
+
+
+# ---------------------------------------------------------------- insight tables on stand-in models
+def _naive_forecast(daily, horizon=30):
+    from ..operators.forecast import forecast, seasonal_naive_forecaster
+    return forecast(daily, horizon, seasonal_naive_forecaster())
+
+
+@register("history_and_forecast_naive",
+          O.with_ctes(O.daily_ctes(True), body=OQ.history_forecast_body(60, 30)))
+def q_history_forecast(spark, sf):
+    """Last 60 actual days ++ a 30-day seasonal-naive forecast per site (the report's series)."""
+    from ..operators.common import history_and_forecast
+    daily = td.daily_metrics(spark, sf, by_site=True)
+    return history_and_forecast(daily, _naive_forecast(daily), 60)
+
+
+@register("forecast_records_naive", O.with_ctes(O.daily_ctes(True), body=OQ.forecast_records_body(30)))
+def q_forecast_records(spark, sf):
+    """Record export of the forecast table: one JSON object per row, dates as text."""
+    from ..operators.common import records_json
+    return records_json(_naive_forecast(td.daily_metrics(spark, sf, by_site=True)))
+
+
+@register("kpi_row_heuristic",
+          O.with_ctes(O.daily_ctes(True), O.pages_ctes(), O.users_ctes(), body=OQ.kpi_row_body(30, 8)))
+def q_kpi_row(spark, sf):
+    """The 13-field KPI row per site, fed by deterministic stand-ins for the models:
+    seasonal-naive forecast, z-score anomaly flags, heuristic customer scores."""
+    from ..operators import rules as R
+    from ..operators.health import compute_health
+    from ..operators.models import customer_summary, heuristic_customer_scores
+    from .bundles import kpi_row
+    daily, pages = _tables(spark, sf, by_site=True)
+    anomalies = _zscore_flags(daily)
+    customers = customer_summary(heuristic_customer_scores(td.users(spark, sf)))
+    recs = R.combine_recommendations(R.site_recommendations(daily, anomalies=anomalies),
+                                     R.page_recommendations(pages, 8), R.customer_recommendations(customers),
+                                     sites=daily.select("site_id"))
+    return kpi_row(daily, _naive_forecast(daily), compute_health(daily, pages), anomalies, recs, customers)

@@ -187,7 +187,7 @@ all_recs AS (
   SELECT site_id, source, seq, area, problem, reason, action, expected_gain, priority FROM site_recs
   UNION ALL
   SELECT s.site_id, p.source, p.seq, p.area, p.problem, p.reason, p.action, p.expected_gain, p.priority
-  FROM page_recs p CROSS JOIN (SELECT DISTINCT site_id FROM site_recs) s
+  FROM page_recs p CROSS JOIN (SELECT DISTINCT site_id FROM daily_metrics) s
 ),
 ranked_recs AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY site_id ORDER BY priority, source, seq) AS INTEGER) AS rank
@@ -523,7 +523,7 @@ def customer_summary_body() -> str:
     return customer_summary_cte() + "\nSELECT * FROM cs"
 
 
-def customer_recs_body() -> str:
+def customer_recs_ctes(name: str = "cr_all") -> str:
     r = {s[0]: s for s in T.CUSTOMER_RULES}
     rules = [
         f"CASE WHEN high_churn_customers > 0 THEN {_rule_struct(r['churn'], problem_args=['CAST(high_churn_customers AS VARCHAR)'], reason_args=[thousands_text('COALESCE(revenue_at_risk, 0.0)')])} END",
@@ -531,11 +531,17 @@ def customer_recs_body() -> str:
     ]
     return customer_summary_cte() + f""",
 cr AS (SELECT list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL) AS recs FROM cs),
-cru AS (SELECT recs, unnest(range(1, len(recs) + 1)) AS seq FROM cr)
-SELECT 2 AS source, CAST(seq AS INTEGER) AS seq, recs[seq].area AS area, recs[seq].problem AS problem,
-  recs[seq].reason AS reason, recs[seq].action AS action, recs[seq].expected_gain AS expected_gain,
-  recs[seq].priority AS priority
-FROM cru"""
+cru AS (SELECT recs, unnest(range(1, len(recs) + 1)) AS seq FROM cr),
+{name} AS (
+  SELECT 2 AS source, CAST(seq AS INTEGER) AS seq, recs[seq].area AS area, recs[seq].problem AS problem,
+    recs[seq].reason AS reason, recs[seq].action AS action, recs[seq].expected_gain AS expected_gain,
+    recs[seq].priority AS priority
+  FROM cru
+)"""
+
+
+def customer_recs_body() -> str:
+    return customer_recs_ctes() + "\nSELECT * FROM cr_all"
 
 
 def top_at_risk_body(n: int = 10) -> str:
@@ -606,6 +612,10 @@ az AS (
 
 
 def site_recs_with_anomalies_body() -> str:
+    return site_recs_with_anomalies_ctes() + "\nSELECT * FROM sa_all"
+
+
+def site_recs_with_anomalies_ctes(name: str = "sa_all") -> str:
     r = {s[0]: s for s in T.SITE_RULES}
     anomaly = _rule_struct(r["anomalies"], problem_args=["CAST(n_anom AS VARCHAR)"],
                            reason_args=["strftime(top_day, '%Y-%m-%d')"])
@@ -630,5 +640,64 @@ sa_extra AS (
     LEFT JOIN (SELECT site_id, COUNT(*) AS cnt FROM site_recs0 GROUP BY site_id) c ON x.site_id = c.site_id
     WHERE COALESCE(x.n_anom, 0) > 0
   )
-)
-SELECT * FROM site_recs0 UNION ALL SELECT * FROM sa_extra"""
+),
+{name} AS (SELECT * FROM site_recs0 UNION ALL SELECT * FROM sa_extra)"""
+
+
+# ---------------------------------------------------------------- insight tables on stand-in models
+def naive_forecast_ctes(horizon: int = 30, season: int = 7, name: str = "fc") -> str:
+    """Seasonal-naive forecast: day ``j`` after the last repeats index ``n - season + j % season``."""
+    return f""", fc_idx AS (
+  SELECT site_id, visitors, row_number() OVER (PARTITION BY site_id ORDER BY date) - 1 AS idx FROM daily_metrics
+),
+fc_n AS (SELECT site_id, COUNT(*) AS n, max(date) AS last_day FROM daily_metrics GROUP BY site_id),
+{name} AS (
+  SELECT n.site_id, CAST(n.last_day + CAST(t.step + 1 AS INTEGER) AS DATE) AS date,
+    CAST(i.visitors AS BIGINT) AS predicted_visitors
+  FROM fc_n n CROSS JOIN range(0, {horizon}) t(step)
+  JOIN fc_idx i ON i.site_id = n.site_id AND i.idx = n.n - {season} + t.step % {season}
+)"""
+
+
+def history_forecast_body(days: int = 60, horizon: int = 30) -> str:
+    return naive_forecast_ctes(horizon) + f""",
+{last_rows_cte('hf_hist', 'daily_metrics', days)}
+SELECT site_id, date, CAST(visitors AS BIGINT) AS visitors, 'actual' AS kind FROM hf_hist
+UNION ALL
+SELECT site_id, date, predicted_visitors AS visitors, 'forecast' AS kind FROM fc"""
+
+
+def forecast_records_body(horizon: int = 30) -> str:
+    return naive_forecast_ctes(horizon) + """
+SELECT CAST(to_json({'site_id': site_id, 'date': strftime(date, '%Y-%m-%d'),
+  'predicted_visitors': predicted_visitors}) AS VARCHAR) AS record
+FROM fc"""
+
+
+def kpi_row_body(horizon: int = 30, page_limit: int = 8) -> str:
+    """The 13 KPIs per site from a seasonal-naive forecast, z-score anomaly flags,
+    heuristic customer scores and every recommendation source."""
+    return (customer_recs_ctes() + site_recs_with_anomalies_ctes() + naive_forecast_ctes(horizon)
+            + ", " + page_recs_ctes(page_limit).strip() + ", " + health_ctes("kh").strip() + f""",
+{last_rows_cte('kp_recent', 'daily_metrics', 30)},
+kp_r AS (
+  SELECT site_id, CAST(trunc({dmean('visitors', 0)}) AS BIGINT) AS avg_daily_visitors, {dmean('visitors', 0)} AS v_recent,
+    CAST(SUM(CAST(revenue AS DECIMAL(28,2))) AS DOUBLE) AS monthly_revenue,
+    {rnd(dmean('conversion_rate', 4), 4)} AS avg_conversion_rate
+  FROM kp_recent GROUP BY site_id
+),
+kp_f AS (
+  SELECT site_id, {dmean('predicted_visitors', 0)} AS v_fc, CAST(COUNT(*) AS INTEGER) AS forecast_horizon_days
+  FROM fc GROUP BY site_id
+),
+kp_a AS (SELECT site_id, COUNT(*) AS n FROM az GROUP BY site_id),
+kp_s AS (SELECT site_id, COUNT(*) AS n FROM sa_all GROUP BY site_id),
+kp_free AS (SELECT (SELECT COUNT(*) FROM page_recs) + (SELECT COUNT(*) FROM cr_all) AS n)
+SELECT r.site_id, r.avg_daily_visitors, CAST(trunc(f.v_fc) AS BIGINT) AS forecast_avg_visitors,
+  f.forecast_horizon_days, {rnd('100.0 * (f.v_fc / r.v_recent - 1.0)', 1)} AS predicted_traffic_change_pct,
+  r.monthly_revenue, r.avg_conversion_rate, h.health_score, h.health_grade,
+  COALESCE(a.n, 0) AS n_anomalies, COALESCE(s.n, 0) + kp_free.n AS n_recommendations,
+  cs.revenue_at_risk, cs.high_churn_customers, cs.conversion_opportunities
+FROM kp_r r LEFT JOIN kp_f f ON r.site_id = f.site_id LEFT JOIN kh_health h ON r.site_id = h.site_id
+  LEFT JOIN kp_a a ON r.site_id = a.site_id LEFT JOIN kp_s s ON r.site_id = s.site_id
+  CROSS JOIN kp_free CROSS JOIN cs""")
