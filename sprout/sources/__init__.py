@@ -63,6 +63,21 @@ def read_testdata_tables(spark: SparkSession, location: str, by_site: bool = Fal
     }
 
 
+def materialize_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Derive each logical table once and keep it in the shared checkpoint folder.
+
+    Training and analysis read the same tables many times (features, several fits,
+    scoring, rules); without this every read re-runs the derivation from the raw
+    tables (for ``daily_metrics`` a full lineitem aggregate).
+    """
+    from ..operators.common import run_concurrently
+    from ..session import cut_lineage
+    names = list(tables)
+    # independent jobs: overlap them on the cluster instead of queueing one after another
+    done = run_concurrently([lambda d=tables[n]: cut_lineage(d) for n in names], max_workers=len(names))
+    return dict(zip(names, done))
+
+
 SOURCES: dict[str, Callable[..., dict[str, DataFrame]]] = {
     "csv": read_csv_tables,
     "parquet": read_parquet_tables,
