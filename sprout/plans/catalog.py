@@ -443,3 +443,37 @@ def q_kpi_row(spark, sf):
                                      R.page_recommendations(pages, 8), R.customer_recommendations(customers),
                                      sites=daily.select("site_id"))
     return kpi_row(daily, _naive_forecast(daily), compute_health(daily, pages), anomalies, recs, customers)
+
+
+@register("report_top_anomalies_zscore", O.with_ctes(O.daily_ctes(True), body=OQ.top_anomalies_body(3)))
+def q_top_anomalies(spark, sf):
+    """The report's 3 most anomalous days per site (per-key top-k, a WindowGroupLimit)."""
+    from pyspark.sql import Window
+    from .bundles import REPORT_TOP_ANOMALIES
+    flags = _zscore_flags(td.daily_metrics(spark, sf, by_site=True))
+    w = Window.partitionBy("site_id").orderBy(F.desc("anomaly_score"), "date")
+    return (flags.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= REPORT_TOP_ANOMALIES)
+            .select("site_id", "date", "anomaly_score"))
+
+
+@register("customer_feature_importance")
+def q_customer_importance(spark, sf):
+    """Importance matrix: feature x (purchase, churn, clv) of the three customer models."""
+    from ..operators.models import CustomerIntelligence
+    ci = CustomerIntelligence(**_fast())
+    ci.fit(_materialized(td.users(spark, sf)))
+    return ci.feature_importance()
+
+
+@register("keyword_report")
+def q_keyword_report(spark, sf):
+    """Top-5 ranking factors of the fitted ranker, beside the striking-distance keywords."""
+    from ..operators.ranking import ListwiseRanker, fit_and_evaluate
+    kw = _materialized(td.keywords(spark, sf))
+    ranker, _ = fit_and_evaluate(kw, ListwiseRanker(rounds=8))
+    top = ranker.feature_importance().orderBy(F.desc("importance"), "feature").limit(5)
+    opp = ranker.opportunities(kw, 15)
+    return (opp.select(F.lit("opportunity").alias("part"), "keyword", "predicted_position",
+                       F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("importance"))
+            .unionByName(top.select(F.lit("factor").alias("part"), F.lit(None).cast("string").alias("keyword"),
+                                    F.lit(None).cast("int").alias("predicted_position"), "feature", "importance")))

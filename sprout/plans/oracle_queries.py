@@ -701,3 +701,11 @@ SELECT r.site_id, r.avg_daily_visitors, CAST(trunc(f.v_fc) AS BIGINT) AS forecas
 FROM kp_r r LEFT JOIN kp_f f ON r.site_id = f.site_id LEFT JOIN kh_health h ON r.site_id = h.site_id
   LEFT JOIN kp_a a ON r.site_id = a.site_id LEFT JOIN kp_s s ON r.site_id = s.site_id
   CROSS JOIN kp_free CROSS JOIN cs""")
+
+
+def top_anomalies_body(n: int = 3) -> str:
+    """The report's most anomalous days per site: score desc, then date."""
+    return zscore_anomalies_ctes() + f"""
+SELECT site_id, date, anomaly_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY anomaly_score DESC, date) AS rk FROM az
+) WHERE rk <= {n}"""
