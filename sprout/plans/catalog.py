@@ -81,8 +81,9 @@ def q_health_by_site(spark, sf):
 from . import oracle_queries as OQ  # noqa: E402
 
 
-def _tables(spark, sf, by_site=False):
-    return td.daily_metrics(spark, sf, by_site=by_site), td.seo_pages(spark, sf)
+def _tables(spark, sf, by_site=False, once=False):
+    daily = td.daily_metrics(spark, sf, by_site=by_site)
+    return (_materialized(daily) if once else daily), td.seo_pages(spark, sf)
 
 
 @register("page_issues", O.with_ctes(O.pages_ctes(), body=OQ.page_issues_body()))
@@ -107,7 +108,7 @@ def q_site_recs(spark, sf):
 
 def _recs(spark, sf, by_site=False):
     from ..operators.rules import combine_recommendations, page_recommendations, site_recommendations
-    daily, pages = _tables(spark, sf, by_site)
+    daily, pages = _tables(spark, sf, by_site, once=True)
     return combine_recommendations(site_recommendations(daily), page_recommendations(pages, limit=8),
                                    sites=daily.select("site_id"))
 
@@ -135,14 +136,14 @@ def q_action_plan(spark, sf):
                                     body=OQ.cycle_kpis_ctes(30) + "\nSELECT * FROM kpis"))
 def q_kpi_cycles(spark, sf):
     from ..operators.cycle import cycle_kpis
-    daily, pages = _tables(spark, sf, by_site=True)
+    daily, pages = _tables(spark, sf, by_site=True, once=True)
     return cycle_kpis(daily, pages, 30)
 
 
 @register("kpi_alerts", O.with_ctes(O.daily_ctes(True), O.pages_ctes(), body=OQ.alerts_body(30)))
 def q_kpi_alerts(spark, sf):
     from ..operators.cycle import cycle_kpis, diff_snapshots
-    daily, pages = _tables(spark, sf, by_site=True)
+    daily, pages = _tables(spark, sf, by_site=True, once=True)
     return diff_snapshots(cycle_kpis(daily, pages, 30))
 
 
@@ -178,7 +179,7 @@ def q_traffic_split(spark, sf):
 @register("backtest_seasonal_naive", O.with_ctes(O.daily_ctes(True), body=OQ.seasonal_naive_backtest_body()))
 def q_backtest_naive(spark, sf):
     from ..operators.forecast import backtest, seasonal_naive_forecaster
-    return backtest(td.daily_metrics(spark, sf, by_site=True), seasonal_naive_forecaster(7), "seasonal_naive",
+    return backtest(_materialized(td.daily_metrics(spark, sf, by_site=True)), seasonal_naive_forecaster(7), "seasonal_naive",
                     horizon=14, folds=3, min_train=180)
 
 
@@ -239,7 +240,7 @@ def q_opportunities(spark, sf):
 @register("users_standardized", O.with_ctes(O.users_ctes(), body=OQ.standardized_body(USER_FEATURES)))
 def q_users_std(spark, sf):
     from ..operators.segment import standardize
-    z = standardize(td.users(spark, sf), USER_FEATURES)
+    z = standardize(_materialized(td.users(spark, sf)), USER_FEATURES)
     return z.select("user_id", *[rnd(f"z_{f}", 6).alias(f"z_{f}") for f in USER_FEATURES])
 
 
@@ -249,8 +250,11 @@ def _fast(**kw):
 
 
 def _materialized(df):
-    """Model fits read their input many times (features, fit, scoring): derive it from
-    the raw tables once and keep it in the shared checkpoint folder."""
+    """Queries that read a derived table more than once (model fits: features, fit,
+    scoring; rule queries: signals, anomalies, forecast, health) derive it from the
+    raw tables once and keep it in the shared checkpoint folder. Column pruning makes
+    each read a different plan, so Spark would not reuse the exchange and every read
+    would rescan lineitem / orders."""
     from ..session import cut_lineage
     return cut_lineage(df)
 
@@ -274,13 +278,13 @@ def q_traffic_metrics(spark, sf):
 @register("holt_winters_forecast")
 def q_hw_forecast(spark, sf):
     from ..operators.forecast import forecast, holt_winters_forecaster
-    return forecast(td.daily_metrics(spark, sf, by_site=True), 30, holt_winters_forecaster())
+    return forecast(_materialized(td.daily_metrics(spark, sf, by_site=True)), 30, holt_winters_forecaster())
 
 
 @register("seasonal_regression_forecast")
 def q_sr_forecast(spark, sf):
     from ..operators.forecast import forecast, seasonal_regression_forecaster
-    return forecast(td.daily_metrics(spark, sf, by_site=True), 30, seasonal_regression_forecaster())
+    return forecast(_materialized(td.daily_metrics(spark, sf, by_site=True)), 30, seasonal_regression_forecaster())
 
 
 @register("forecaster_comparison")
@@ -376,13 +380,13 @@ def q_top_at_risk_h(spark, sf):
 @register("segments_fixed_centroids", O.with_ctes(O.users_ctes(), body=OQ.fixed_segments_body(USER_FEATURES)))
 def q_segments_fixed(spark, sf):
     from ..operators.segment import fixed_centroid_segments
-    return fixed_centroid_segments(td.users(spark, sf))
+    return fixed_centroid_segments(_materialized(td.users(spark, sf)))
 
 
 @register("anomaly_flags_zscore", O.with_ctes(O.daily_ctes(True), body=OQ.zscore_anomalies_body(0.06)))
 def q_anomaly_flags(spark, sf):
     """Contamination threshold, flags and ordering on a fixed stand-in score (|z| of visitors)."""
-    return _zscore_flags(td.daily_metrics(spark, sf, by_site=True))
+    return _zscore_flags(_materialized(td.daily_metrics(spark, sf, by_site=True)))
 
 
 def _zscore_flags(daily):
@@ -401,7 +405,7 @@ def _zscore_flags(daily):
 def q_site_recs_anom(spark, sf):
     """Site rules including the anomaly rule, fed with the z-score flags."""
     from ..operators.rules import site_recommendations
-    daily = td.daily_metrics(spark, sf, by_site=True)
+    daily = _materialized(td.daily_metrics(spark, sf, by_site=True))
     return site_recommendations(daily, anomalies=_zscore_flags(daily))
 
 
@@ -416,7 +420,7 @@ def _naive_forecast(daily, horizon=30):
 def q_history_forecast(spark, sf):
     """Last 60 actual days ++ a 30-day seasonal-naive forecast per site (the report's series)."""
     from ..operators.common import history_and_forecast
-    daily = td.daily_metrics(spark, sf, by_site=True)
+    daily = _materialized(td.daily_metrics(spark, sf, by_site=True))
     return history_and_forecast(daily, _naive_forecast(daily), 60)
 
 
@@ -424,7 +428,7 @@ def q_history_forecast(spark, sf):
 def q_forecast_records(spark, sf):
     """Record export of the forecast table: one JSON object per row, dates as text."""
     from ..operators.common import records_json
-    return records_json(_naive_forecast(td.daily_metrics(spark, sf, by_site=True)))
+    return records_json(_naive_forecast(_materialized(td.daily_metrics(spark, sf, by_site=True))))
 
 
 @register("kpi_row_heuristic",
@@ -436,9 +440,9 @@ def q_kpi_row(spark, sf):
     from ..operators.health import compute_health
     from ..operators.models import customer_summary, heuristic_customer_scores
     from .bundles import kpi_row
-    daily, pages = _tables(spark, sf, by_site=True)
+    daily, pages = _tables(spark, sf, by_site=True, once=True)
     anomalies = _zscore_flags(daily)
-    customers = customer_summary(heuristic_customer_scores(td.users(spark, sf)))
+    customers = customer_summary(heuristic_customer_scores(_materialized(td.users(spark, sf))))
     recs = R.combine_recommendations(R.site_recommendations(daily, anomalies=anomalies),
                                      R.page_recommendations(pages, 8), R.customer_recommendations(customers),
                                      sites=daily.select("site_id"))
@@ -450,7 +454,7 @@ def q_top_anomalies(spark, sf):
     """The report's 3 most anomalous days per site (per-key top-k, a WindowGroupLimit)."""
     from pyspark.sql import Window
     from .bundles import REPORT_TOP_ANOMALIES
-    flags = _zscore_flags(td.daily_metrics(spark, sf, by_site=True))
+    flags = _zscore_flags(_materialized(td.daily_metrics(spark, sf, by_site=True)))
     w = Window.partitionBy("site_id").orderBy(F.desc("anomaly_score"), "date")
     return (flags.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= REPORT_TOP_ANOMALIES)
             .select("site_id", "date", "anomaly_score"))
