@@ -281,6 +281,19 @@ def q_hw_forecast(spark, sf):
     return forecast(_materialized(td.daily_metrics(spark, sf, by_site=True)), 30, holt_winters_forecaster())
 
 
+# One point of the smoothing grid, used where the recursion is checked exactly.
+HW_FIXED = (0.3, 0.05, 0.1)
+
+
+@register("holt_winters_fixed_forecast",
+          O.with_ctes(O.daily_ctes(True), body=OQ.holt_winters_fixed_body(*HW_FIXED, horizon=30),
+                      recursive=True))
+def q_hw_fixed(spark, sf):
+    """Holt-Winters at fixed smoothing: the per-series recursion, checked exactly."""
+    from ..operators.forecast import forecast, holt_winters_forecaster
+    return forecast(td.daily_metrics(spark, sf, by_site=True), 30, holt_winters_forecaster(params=HW_FIXED))
+
+
 @register("seasonal_regression_forecast")
 def q_sr_forecast(spark, sf):
     from ..operators.forecast import forecast, seasonal_regression_forecaster

@@ -251,5 +251,5 @@ keywords AS (
 )"""
 
 
-def with_ctes(*parts: str, body: str) -> str:
-    return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + body
+def with_ctes(*parts: str, body: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(p.strip() for p in parts) + "\n" + body

@@ -709,3 +709,48 @@ def top_anomalies_body(n: int = 3) -> str:
 SELECT site_id, date, anomaly_score FROM (
   SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY anomaly_score DESC, date) AS rk FROM az
 ) WHERE rk <= {n}"""
+
+
+def holt_winters_fixed_body(alpha: float, beta: float, gamma: float, horizon: int = 30, m: int = 7) -> str:
+    """Holt-Winters (additive trend and season) at fixed smoothing, as a recursive CTE:
+    one row per (site, t) carrying level, trend and the season list."""
+    a, b, g = (f"CAST({v!r} AS DOUBLE)" for v in (alpha, beta, gamma))
+    one, mm = "CAST(1 AS DOUBLE)", f"CAST({m} AS DOUBLE)"
+    return f""", hw_y AS (
+  SELECT site_id, CAST(visitors AS DOUBLE) AS y, row_number() OVER (PARTITION BY site_id ORDER BY date) - 1 AS t
+  FROM daily_metrics
+),
+hw_n AS (SELECT site_id, COUNT(*) AS n, max(date) AS last_day FROM daily_metrics GROUP BY site_id),
+hw_init AS (
+  SELECT site_id, SUM(y) FILTER (WHERE t < {m}) / {mm} AS m1,
+    SUM(y) FILTER (WHERE t >= {m} AND t < {2 * m}) / {mm} AS m2,
+    list(y ORDER BY t) FILTER (WHERE t < {m}) AS first
+  FROM hw_y GROUP BY site_id
+),
+hw_rec AS (
+  SELECT site_id, 0 AS t, m1 AS level, (m2 - m1) / {mm} AS trend, list_transform(first, lambda x: x - m1) AS season
+  FROM hw_init
+  UNION ALL
+  SELECT site_id, t + 1, nl, {b} * (nl - level) + ({one} - {b}) * trend,
+    list_concat(list_slice(season, 1, k), [{g} * (y - nl) + ({one} - {g}) * s], list_slice(season, k + 2, {m}))
+  FROM (
+    SELECT r.site_id, r.t, r.level, r.trend, r.season, y.y, CAST(r.t % {m} AS BIGINT) AS k,
+      r.season[CAST(r.t % {m} AS BIGINT) + 1] AS s,
+      {a} * (y.y - r.season[CAST(r.t % {m} AS BIGINT) + 1]) + ({one} - {a}) * (r.level + r.trend) AS nl
+    FROM hw_rec r JOIN hw_y y ON y.site_id = r.site_id AND y.t = r.t
+  )
+),
+hw_last AS (
+  SELECT r.* FROM hw_rec r JOIN hw_n n ON r.site_id = n.site_id AND r.t = n.n
+),
+hw_tail AS (SELECT site_id, y AS last_y FROM hw_y y JOIN hw_n n USING (site_id) WHERE y.t = n.n - 1),
+hw_fc AS (
+  SELECT n.site_id, CAST(h.h AS INTEGER) AS h, n.last_day,
+    CASE WHEN n.n < {2 * m} THEN tl.last_y
+      ELSE l.level + CAST(h.h AS DOUBLE) * l.trend + l.season[CAST((n.n + h.h - 1) % {m} AS BIGINT) + 1] END AS v
+  FROM hw_n n CROSS JOIN range(1, {horizon + 1}) h(h)
+  LEFT JOIN hw_last l ON l.site_id = n.site_id LEFT JOIN hw_tail tl ON tl.site_id = n.site_id
+)
+SELECT site_id, CAST(last_day + h AS DATE) AS date,
+  CAST(round_even(greatest(v, CAST(0 AS DOUBLE)), 0) AS BIGINT) AS predicted_visitors
+FROM hw_fc"""
