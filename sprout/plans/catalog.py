@@ -494,3 +494,14 @@ def q_keyword_report(spark, sf):
                        F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("importance"))
             .unionByName(top.select(F.lit("factor").alias("part"), F.lit(None).cast("string").alias("keyword"),
                                     F.lit(None).cast("int").alias("predicted_position"), "feature", "importance")))
+
+
+@register("insight_kpis")
+def q_insight_kpis(spark, sf):
+    """The whole bundle: every model fitted (fast profile) on tables derived once,
+    then the analysis; the result is its 13-field KPI row per site."""
+    from ..sources import materialize_tables, read_testdata_tables
+    from .bundles import analyze, train_all
+    tables = materialize_tables(read_testdata_tables(spark, sf, by_site=True))
+    models, _ = train_all(tables, fast=True)
+    return analyze(tables, models, horizon=30).kpis
