@@ -72,21 +72,14 @@ def daily_metrics(spark: SparkSession, sf_dir: str, by_site: bool = False) -> Da
             _dsum("l_tax", RATE).alias("tax"),
             F.sum(F.col("l_extendedprice").cast(MONEY) * (F.lit(1) - F.col("l_discount").cast(RATE))).alias("rev")]
     day_key = [F.col("site_id"), F.to_date("l_shipdate").alias("date")]
-    if by_site:
-        # one join with the growing supplier table, then a two-level aggregate:
-        # (site, day, order) then (site, day); counting the first level's order keys
-        # is the distinct order count without count(DISTINCT)'s Expand
-        per_order = li.groupBy(*day_key, "l_orderkey").agg(*aggs)
-        names = ["qty", "organic", "paid", "n_lines", "n_r", "n_f", "disc", "tax", "rev"]
-        day = (per_order.groupBy("site_id", "date")
-               .agg(*[F.sum(c).alias(c) for c in names], F.count("l_orderkey").alias("n_orders")))
-    else:
-        # no join: sums per day combine map-side into a tiny shuffle, and the
-        # distinct order count runs alone (planned without Expand, shuffling only
-        # de-duplicated (day, order) keys); the two day-grain results are joined
-        sums = li.groupBy(*day_key).agg(*aggs)
-        orders = li.groupBy(*day_key).agg(F.countDistinct("l_orderkey").alias("n_orders"))
-        day = sums.join(orders, ["site_id", "date"])
+    # sums per (site, day) combine map-side into a tiny shuffle; the distinct order
+    # count runs alone (planned without Expand: only de-duplicated (site, day, order)
+    # keys, three narrow columns, are shuffled); the two day-grain results are joined.
+    # A two-level (site, day, order) -> (site, day) aggregate would shuffle nearly
+    # every line with all nine aggregate buffers (an order's lines ship on different days).
+    sums = li.groupBy(*day_key).agg(*aggs)
+    orders = li.groupBy(*day_key).agg(F.countDistinct("l_orderkey").alias("n_orders"))
+    day = sums.join(orders, ["site_id", "date"])
 
     n = F.col("n_lines").cast("double")
     visitors = F.col("qty").cast("bigint")
