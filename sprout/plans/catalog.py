@@ -147,6 +147,18 @@ def q_kpi_alerts(spark, sf):
     return diff_snapshots(cycle_kpis(daily, pages, 30))
 
 
+@register("latest_snapshot", O.with_ctes(O.daily_ctes(True), O.pages_ctes(), body=OQ.latest_snapshot_body(30)))
+def q_latest_snapshot(spark, sf):
+    """The snapshot store read back: per site the latest cycle's KPIs (``max_by``, no
+    sort) and the counter the next cycle gets, over a history of 30-day cycles."""
+    from ..operators.cycle import cycle_kpis, latest_snapshot, next_cycle
+    daily, pages = _tables(spark, sf, by_site=True, once=True)
+    snaps = _materialized(cycle_kpis(daily, pages, 30))  # the stored history, read twice below
+    nxt = next_cycle(snaps).withColumnRenamed("cycle", "next_cycle")
+    latest = latest_snapshot(snaps)
+    return latest.join(nxt, "site_id").select(*latest.columns, F.col("next_cycle").cast("int").alias("next_cycle"))
+
+
 @register("sync_summary", O.with_ctes(O.daily_ctes(), O.pages_ctes(), O.users_ctes(), O.keywords_ctes(),
                                       body=OQ.sync_summary_body()))
 def q_sync_summary(spark, sf):

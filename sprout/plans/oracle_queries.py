@@ -754,3 +754,10 @@ hw_fc AS (
 SELECT site_id, CAST(last_day + h AS DATE) AS date,
   CAST(round_even(greatest(v, CAST(0 AS DOUBLE)), 0) AS BIGINT) AS predicted_visitors
 FROM hw_fc"""
+
+
+def latest_snapshot_body(period: int = 30) -> str:
+    """Latest stored cycle per site, with the cycle the next run will write."""
+    return cycle_kpis_ctes(period) + """
+SELECT k.*, CAST(k.cycle + 1 AS INTEGER) AS next_cycle FROM kpis k
+JOIN (SELECT site_id, max(cycle) AS mc FROM kpis GROUP BY site_id) m ON k.site_id = m.site_id AND k.cycle = m.mc"""
