@@ -306,6 +306,17 @@ def q_hw_fixed(spark, sf):
     return forecast(td.daily_metrics(spark, sf, by_site=True), 30, holt_winters_forecaster(params=HW_FIXED))
 
 
+@register("forecaster_comparison_deterministic",
+          O.with_ctes(O.daily_ctes(True), body=OQ.deterministic_comparison_body(*HW_FIXED, horizon=14), recursive=True))
+def q_compare_deterministic(spark, sf):
+    """Walk-forward comparison (horizon 14, 3 folds) of the two deterministic forecasters:
+    seasonal naive and Holt-Winters at fixed smoothing, ranked by rounded MAE."""
+    from ..operators.forecast import compare_forecasters, holt_winters_forecaster, seasonal_naive_forecaster
+    return compare_forecasters(_materialized(td.daily_metrics(spark, sf, by_site=True)), horizon=14, folds=3,
+                               forecasters={"seasonal_naive": seasonal_naive_forecaster(7),
+                                            "holt_winters_fixed": holt_winters_forecaster(params=HW_FIXED)})
+
+
 @register("seasonal_regression_forecast")
 def q_sr_forecast(spark, sf):
     from ..operators.forecast import forecast, seasonal_regression_forecaster

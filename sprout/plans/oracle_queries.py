@@ -341,6 +341,22 @@ FROM tf"""
 
 
 def seasonal_naive_backtest_body(horizon: int = 14, folds: int = 3, min_train: int = 180) -> str:
+    return seasonal_naive_backtest_ctes(horizon, folds, min_train) + "\nSELECT * FROM bt_sn"
+
+
+def _backtest_summary(fold_cte: str, model: str) -> str:
+    """Per site: mean fold MAE (1 dp), mean MAPE over folds that have one (4 dp), mean
+    RMSE (1 dp) and the folds used; sites without a usable fold get NULLs and 0."""
+    return f"""SELECT s.site_id, '{model}' AS model, MAE, MAPE, RMSE, CAST(COALESCE(folds, 0) AS BIGINT) AS folds
+FROM (SELECT DISTINCT site_id FROM daily_metrics) s LEFT JOIN (
+  SELECT site_id, {rnd('avg(mae)', 1)} AS MAE, {rnd('avg(mape)', 4)} AS MAPE,
+    {rnd('avg(rmse)', 1)} AS RMSE, COUNT(*) AS folds
+  FROM {fold_cte} GROUP BY site_id
+) b ON s.site_id = b.site_id"""
+
+
+def seasonal_naive_backtest_ctes(horizon: int = 14, folds: int = 3, min_train: int = 180,
+                                 name: str = "bt_sn") -> str:
     return f""", bt_idx AS (
   SELECT site_id, date, visitors, row_number() OVER (PARTITION BY site_id ORDER BY date) - 1 AS idx
   FROM daily_metrics
@@ -366,13 +382,10 @@ bt_fold AS (
   SELECT site_id, fold, avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) * (actual - pred))) AS rmse,
     avg(CASE WHEN actual <> 0 THEN abs((actual - pred) / actual) END) AS mape
   FROM bt_pred GROUP BY 1, 2
-)
-SELECT s.site_id, 'seasonal_naive' AS model, MAE, MAPE, RMSE, CAST(COALESCE(folds, 0) AS BIGINT) AS folds
-FROM (SELECT DISTINCT site_id FROM daily_metrics) s LEFT JOIN (
-  SELECT site_id, {rnd('avg(mae)', 1)} AS MAE, {rnd('avg(mape)', 4)} AS MAPE,
-    {rnd('avg(rmse)', 1)} AS RMSE, COUNT(*) AS folds
-  FROM bt_fold GROUP BY site_id
-) b ON s.site_id = b.site_id"""
+),
+{name} AS (
+{_backtest_summary('bt_fold', 'seasonal_naive')}
+)"""
 
 
 def hash_split_body(test_size: float = 0.2) -> str:
@@ -761,3 +774,59 @@ def latest_snapshot_body(period: int = 30) -> str:
     return cycle_kpis_ctes(period) + """
 SELECT k.*, CAST(k.cycle + 1 AS INTEGER) AS next_cycle FROM kpis k
 JOIN (SELECT site_id, max(cycle) AS mc FROM kpis GROUP BY site_id) m ON k.site_id = m.site_id AND k.cycle = m.mc"""
+
+
+def holt_winters_backtest_ctes(alpha: float, beta: float, gamma: float, horizon: int = 14, folds: int = 3,
+                               m: int = 7, name: str = "bt_hw") -> str:
+    """Walk-forward Holt-Winters at fixed smoothing: the recursion runs per (site, fold)
+    over the training prefix ``[0, cut)``; needs ``bt_idx`` / ``bt_folds`` above."""
+    a, b, g = (f"CAST({v!r} AS DOUBLE)" for v in (alpha, beta, gamma))
+    one, mm = "CAST(1 AS DOUBLE)", f"CAST({m} AS DOUBLE)"
+    return f""",
+hwb_y AS (SELECT site_id, idx AS t, CAST(visitors AS DOUBLE) AS y FROM bt_idx),
+hwb_init AS (
+  SELECT site_id, SUM(y) FILTER (WHERE t < {m}) / {mm} AS m1,
+    SUM(y) FILTER (WHERE t >= {m} AND t < {2 * m}) / {mm} AS m2,
+    list(y ORDER BY t) FILTER (WHERE t < {m}) AS first
+  FROM hwb_y GROUP BY site_id
+),
+hwb_rec AS (
+  SELECT i.site_id, f.fold, f.cut, 0 AS t, i.m1 AS level, (i.m2 - i.m1) / {mm} AS trend,
+    list_transform(i.first, lambda x: x - i.m1) AS season
+  FROM hwb_init i JOIN bt_folds f ON i.site_id = f.site_id
+  UNION ALL
+  SELECT site_id, fold, cut, t + 1, nl, {b} * (nl - level) + ({one} - {b}) * trend,
+    list_concat(list_slice(season, 1, k), [{g} * (y - nl) + ({one} - {g}) * s], list_slice(season, k + 2, {m}))
+  FROM (
+    SELECT r.site_id, r.fold, r.cut, r.t, r.level, r.trend, r.season, y.y, CAST(r.t % {m} AS BIGINT) AS k,
+      r.season[CAST(r.t % {m} AS BIGINT) + 1] AS s,
+      {a} * (y.y - r.season[CAST(r.t % {m} AS BIGINT) + 1]) + ({one} - {a}) * (r.level + r.trend) AS nl
+    FROM hwb_rec r JOIN hwb_y y ON y.site_id = r.site_id AND y.t = r.t
+    WHERE r.t < r.cut
+  )
+),
+hwb_pred AS (
+  SELECT r.site_id, r.fold, y.y AS actual,
+    round_even(greatest(r.level + CAST(h.h AS DOUBLE) * r.trend
+      + r.season[CAST((r.cut + h.h - 1) % {m} AS BIGINT) + 1], CAST(0 AS DOUBLE)), 0) AS pred
+  FROM hwb_rec r CROSS JOIN range(1, {horizon + 1}) h(h)
+  JOIN hwb_y y ON y.site_id = r.site_id AND y.t = r.cut + h.h - 1
+  WHERE r.t = r.cut
+),
+hwb_fold AS (
+  SELECT site_id, fold, avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) * (actual - pred))) AS rmse,
+    avg(CASE WHEN actual <> 0 THEN abs((actual - pred) / actual) END) AS mape
+  FROM hwb_pred GROUP BY 1, 2
+),
+{name} AS (
+{_backtest_summary('hwb_fold', 'holt_winters_fixed')}
+)"""
+
+
+def deterministic_comparison_body(alpha: float, beta: float, gamma: float, horizon: int = 14,
+                                  folds: int = 3, min_train: int = 180) -> str:
+    """Both backtests in one table; ``rank`` 1 = lowest rounded MAE per site (NULLs last)."""
+    return (seasonal_naive_backtest_ctes(horizon, folds, min_train)
+            + holt_winters_backtest_ctes(alpha, beta, gamma, horizon, folds) + """
+SELECT *, CAST(row_number() OVER (PARTITION BY site_id ORDER BY MAE ASC NULLS LAST, model) AS INTEGER) AS rank
+FROM (SELECT * FROM bt_sn UNION ALL SELECT * FROM bt_hw)""")
