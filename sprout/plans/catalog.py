@@ -170,7 +170,7 @@ def q_sync_summary(spark, sf):
 from pyspark.sql import functions as F  # noqa: E402
 
 from ..functions import rnd  # noqa: E402
-from ..sources.schemas import TRAFFIC_LAGS, USER_FEATURES  # noqa: E402
+from ..sources.schemas import SALES_FEATURES, TRAFFIC_LAGS, USER_FEATURES  # noqa: E402
 
 
 @register("traffic_features", O.with_ctes(O.daily_ctes(), body=OQ.traffic_features_body()))
@@ -528,3 +528,21 @@ def q_insight_kpis(spark, sf):
     tables = materialize_tables(read_testdata_tables(spark, sf, by_site=True))
     models, _ = train_all(tables, fast=True)
     return analyze(tables, models, horizon=30).kpis
+
+
+def _corr_importance(daily):
+    """Deterministic stand-in for the sales model's importance table: |corr(feature,
+    revenue)| (6 dp, 0 if undefined), one global aggregate stacked to (feature, importance)."""
+    one = daily.agg(*[F.coalesce(rnd(F.abs(F.corr(F.col(f).cast("double"), F.col("revenue").cast("double"))), 6),
+                                 F.lit(0.0)).alias(f) for f in SALES_FEATURES])
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("importance")) for f in SALES_FEATURES])
+    return one.select(F.explode(pairs).alias("x")).select("x.*")
+
+
+@register("site_recommendations_with_lever",
+          O.with_ctes(O.daily_ctes(True), body=OQ.site_recs_with_lever_body(SALES_FEATURES)))
+def q_site_recs_lever(spark, sf):
+    """Site rules including the top-revenue-lever rule, fed with a correlation importance."""
+    from ..operators.rules import site_recommendations
+    daily = _materialized(td.daily_metrics(spark, sf, by_site=True))
+    return site_recommendations(daily, sales_importance=_corr_importance(daily))

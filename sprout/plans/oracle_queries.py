@@ -830,3 +830,32 @@ def deterministic_comparison_body(alpha: float, beta: float, gamma: float, horiz
             + holt_winters_backtest_ctes(alpha, beta, gamma, horizon, folds) + """
 SELECT *, CAST(row_number() OVER (PARTITION BY site_id ORDER BY MAE ASC NULLS LAST, model) AS INTEGER) AS rank
 FROM (SELECT * FROM bt_sn UNION ALL SELECT * FROM bt_hw)""")
+
+
+def corr_importance_cte(features, target: str = "revenue", name: str = "li_imp") -> str:
+    """Stand-in for the sales model's importance: |corr(feature, target)|, 6 dp (0 if undefined)."""
+    parts = [f"SELECT '{f}' AS feature, COALESCE({rnd(f'abs(corr(CAST({f} AS DOUBLE), CAST({target} AS DOUBLE)))', 6)}, "
+             f"CAST(0 AS DOUBLE)) AS importance FROM daily_metrics" for f in features]
+    return f""", {name} AS (
+  {chr(10).join(p + (' UNION ALL' if i < len(parts) - 1 else '') for i, p in enumerate(parts))}
+)"""
+
+
+def site_recs_with_lever_body(features) -> str:
+    """Trend rules, then the top revenue lever (largest importance, ties to the larger name)."""
+    r = {s[0]: s for s in T.SITE_RULES}
+    lever = _rule_struct(r["revenue_lever"], reason_args=["top_lever"], action_args=["top_lever"])
+    base = site_recs_ctes("site_recs0").strip()
+    return corr_importance_cte(features) + f""",
+{base},
+li_top AS (SELECT feature AS top_lever FROM li_imp ORDER BY importance DESC, feature DESC LIMIT 1),
+li_extra AS (
+  SELECT site_id, 1 AS source, CAST(seq AS INTEGER) AS seq, r.area AS area, r.problem AS problem,
+    r.reason AS reason, r.action AS action, r.expected_gain AS expected_gain, r.priority AS priority
+  FROM (
+    SELECT x.site_id, COALESCE(c.cnt, 0) + 1 AS seq, {lever} AS r
+    FROM (SELECT DISTINCT site_id FROM sr_r) x CROSS JOIN li_top
+    LEFT JOIN (SELECT site_id, COUNT(*) AS cnt FROM site_recs0 GROUP BY site_id) c ON x.site_id = c.site_id
+  )
+)
+SELECT * FROM site_recs0 UNION ALL SELECT * FROM li_extra"""
