@@ -49,3 +49,24 @@ def test_require_columns():
         columns = ["a"]
     with pytest.raises(ValueError, match=r"\['b', 'c'\]"):
         S.require_columns(Fake(), ["a", "c", "b"], "x")
+
+
+def test_materialize_tables_keeps_every_row(spark):
+    from sprout.sources import materialize_tables, read_testdata_tables
+    from conftest import SMOKE
+    tables = read_testdata_tables(spark, SMOKE, by_site=True)
+    done = materialize_tables(tables)
+    assert set(done) == set(tables)
+    for name, df in tables.items():
+        assert done[name].count() == df.count()
+        assert done[name].columns == df.columns
+
+
+def test_fit_layout_partitions_follow_row_count(spark):
+    from sprout.operators.common import canonical_layout
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = canonical_layout(spark.range(1_000), ["id"])
+    assert small.rdd.getNumPartitions() == 1
+    big = canonical_layout(spark.range(120_000), ["id"], rows_per_partition=50_000)
+    assert big.rdd.getNumPartitions() == min(cap, 3)
+    assert big.count() == 120_000
