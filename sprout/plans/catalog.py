@@ -188,6 +188,20 @@ def q_traffic_split(spark, sf):
     return chronological_split(traffic_features(td.daily_metrics(spark, sf)), 0.15).select("site_id", "date", "split")
 
 
+@register("traffic_metrics_persistence", O.with_ctes(O.daily_ctes(True), body=OQ.persistence_metrics_body(0.15)))
+def q_persistence_metrics(spark, sf):
+    """The traffic model's evaluation path (chronological tail, level rebuilt as
+    max(0, lag_1 + delta)) for a zero-delta predictor: MAE, RMSE, masked and
+    epsilon MAPE and R² per site."""
+    from ..operators.features import chronological_split, traffic_features
+    from ..operators.metrics import regression_metrics
+    sup = chronological_split(traffic_features(td.daily_metrics(spark, sf, by_site=True)), 0.15)
+    test = (sup.where(F.col("split") == "test")
+            .withColumn("pred_level", F.greatest(F.lit(0.0), F.col("lag_1").cast("double") + F.lit(0.0))))
+    m = regression_metrics(test, "visitors", "pred_level", ["site_id"])
+    return m.select("site_id", *[rnd(c, 6).alias(c) for c in ("mae", "rmse", "mape", "mape_eps", "r2")], "n")
+
+
 @register("backtest_seasonal_naive", O.with_ctes(O.daily_ctes(True), body=OQ.seasonal_naive_backtest_body()))
 def q_backtest_naive(spark, sf):
     from ..operators.forecast import backtest, seasonal_naive_forecaster

@@ -859,3 +859,22 @@ li_extra AS (
   )
 )
 SELECT * FROM site_recs0 UNION ALL SELECT * FROM li_extra"""
+
+
+def persistence_metrics_body(eval_fraction: float = 0.15) -> str:
+    """The traffic model's evaluation on the chronological test tail, for a zero-delta
+    predictor (level = max(0, lag_1)): MAE, RMSE, both MAPE forms and R² per site (6 dp)."""
+    keep = repr(1.0 - eval_fraction)
+    eps = "CAST(2.220446049250313e-16 AS DOUBLE)"
+    return traffic_features_ctes() + f""",
+pm AS (
+  SELECT site_id, CAST(visitors AS DOUBLE) AS a, greatest(CAST(0 AS DOUBLE), CAST(lag_1 AS DOUBLE)) AS p FROM (
+    SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY date) AS rn, count(*) OVER (PARTITION BY site_id) AS cnt
+    FROM tf
+  ) WHERE rn > CAST(trunc(cnt * CAST({keep} AS DOUBLE)) AS BIGINT)
+)
+SELECT site_id, {rnd('avg(abs(a - p))', 6)} AS mae, {rnd('sqrt(avg((a - p) * (a - p)))', 6)} AS rmse,
+  {rnd('avg(CASE WHEN a <> 0 THEN abs((a - p) / a) END)', 6)} AS mape,
+  {rnd(f'avg(abs(a - p) / greatest(abs(a), {eps}))', 6)} AS mape_eps,
+  {rnd('CAST(1 AS DOUBLE) - sum((a - p) * (a - p)) / (var_pop(a) * count(a))', 6)} AS r2, COUNT(*) AS n
+FROM pm GROUP BY site_id"""
