@@ -317,7 +317,8 @@ HW_FIXED = (0.3, 0.05, 0.1)
 def q_hw_fixed(spark, sf):
     """Holt-Winters at fixed smoothing: the per-series recursion, checked exactly."""
     from ..operators.forecast import forecast, holt_winters_forecaster
-    return forecast(td.daily_metrics(spark, sf, by_site=True), 30, holt_winters_forecaster(params=HW_FIXED))
+    return forecast(_materialized(td.daily_metrics(spark, sf, by_site=True)), 30,
+                    holt_winters_forecaster(params=HW_FIXED))
 
 
 @register("forecaster_comparison_deterministic",
