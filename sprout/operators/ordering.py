@@ -51,17 +51,21 @@ def ordered_row_number(df: DataFrame, order: Sequence, keys: Sequence[str] = (),
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn",
-                hot_rows: int = 1_000_000) -> DataFrame:
+                hot_rows: int = 1_000_000, sizes: DataFrame | None = None) -> DataFrame:
     """``row_number() OVER (PARTITION BY keys ORDER BY order)`` that splits hot groups.
 
     Group sizes come from one partial aggregate. Groups up to ``hot_rows`` rows use
     the plain window (one task per group, bounded by ``hot_rows``); larger groups
     go through ``ordered_row_number`` (range partitioning, so one group spans many
     tasks). The hot-key list has at most ``rows / hot_rows`` entries, which bounds
-    its broadcast. ``order`` must end with a unique column.
+    its broadcast. ``order`` must end with a unique column. ``sizes`` (keys, ``_gsize``)
+    may be passed when an upstream aggregate already counted the groups (an upper
+    bound is enough: a group counted as hot is still ranked exactly).
     """
     keys, order = list(keys), list(order)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gsize")).where(F.col("_gsize") > hot_rows).select(*keys)
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gsize"))
+    hot = sizes.where(F.col("_gsize") > hot_rows).select(*keys)
     hot = F.broadcast(hot)
     w = Window.partitionBy(*keys).orderBy(*order)
     cold = df.join(hot, keys, "left_anti").withColumn(out, F.row_number().over(w))

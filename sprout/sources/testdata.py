@@ -250,7 +250,8 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
                        .withColumn("_ours_key", md5_key("ours", "l_partkey", "l_suppkey")))
     # part-level values as a grouped aggregate (partial + final, so a hot part is
     # combined map-side) joined back on the part key (one row per part)
-    per_part = cand.groupBy("l_partkey").agg(F.sum("qty").alias("sv"), F.min("_ours_key").alias("_min_ours"))
+    per_part = cand.groupBy("l_partkey").agg(F.sum("qty").alias("sv"), F.min("_ours_key").alias("_min_ours"),
+                                             F.count(F.lit(1)).alias("_gsize"))
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_size"])
     rel = rnd(F.col("disc").cast("double") / F.col("n").cast("double") * F.lit(10.0), 3)
     kw = (cand.join(per_part, "l_partkey")
@@ -274,7 +275,10 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
           ))
     kw = kw.withColumn("_true_score", rnd(true_rank_score(), 6))
     # positions: plain window per keyword, hot keywords split across tasks
-    kw = rank_within(kw, ["keyword_id"], [F.desc("_true_score"), F.col("candidate_id")], out="position")
+    # group sizes come from the part aggregate (candidates per part), read from the stored candidates
+    sizes = per_part.select(F.col("l_partkey").alias("keyword_id"), "_gsize")
+    kw = rank_within(kw, ["keyword_id"], [F.desc("_true_score"), F.col("candidate_id")], out="position",
+                     sizes=sizes)
     kw = kw.withColumn("position", F.col("position").cast("int"))
     return kw.withColumn("relevance_label", relevance_label("position")).drop("_true_score")
 

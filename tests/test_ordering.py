@@ -24,6 +24,14 @@ def test_rank_within_splits_hot_groups(spark):
         assert {(r["k"], r["id"]): r["rn"] for r in got.collect()} == exp
 
 
+def test_rank_within_with_precomputed_sizes(spark):
+    df = _frame(spark)
+    exp = _expected(df)
+    sizes = df.groupBy("k").agg(F.count(F.lit(1)).alias("_gsize"))
+    got = rank_within(df, ["k"], [F.desc("v"), F.col("id")], out="rn", hot_rows=10, sizes=sizes)
+    assert {(r["k"], r["id"]): r["rn"] for r in got.collect()} == exp
+
+
 def test_ordered_row_number_global(spark):
     df = _frame(spark)
     got = ordered_row_number(df, ["v", "id"], out="rn", partitions=5).collect()
