@@ -39,6 +39,15 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """Rows of an aggregate dealt by a second hash of ``key``.
+
+    A join on ``key`` then shuffles both its sides, so that adaptive execution
+    can split a hot key's partition; straight from the aggregate it can't.
+    """
+    return df.repartition(F.xxhash64(key, F.lit("apart")))
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and byte offsets (length rows + 1) of an Arrow string column without nulls."""
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
@@ -97,9 +106,9 @@ def components(edges: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
     while True:
         both = now.unionByName(now.selectExpr("v AS u", "u AS v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").selectExpr("v AS u", "m AS v").distinct()
+        large = both.where("v > u").join(apart(least, "u"), "u").selectExpr("v AS u", "m AS v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(lowest, "u")
+        small = (large.join(apart(lowest, "u"), "u")
                  .select(F.explode(F.expr("CASE WHEN v = m THEN array(struct(u, m AS v)) "
                                           "ELSE array(struct(u, m AS v), struct(v AS u, m AS v)) END")).alias("e"))
                  .select("e.*").where("u <> v").distinct())
