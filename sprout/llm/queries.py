@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, simhash
+from . import bpe, langid, lines, packing, quality, secrets, simhash
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,35 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 1024 tokens."""
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@register
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String-kernel language of every text, learned from the rows that aren't held out."""
+    return langid.identify(documents(spark, sf_dir))
+
+
+@register
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines that occur on many sources."""
+    return lines.remove_boilerplate(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLES["op7_line_dedup"] = """
+WITH l AS (
+  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS k
+  FROM documents
+), n AS (
+  SELECT *, trim(lower(regexp_replace(line, '[ \t\r\f\v]+', ' ', 'g'))) AS plain FROM l
+), bad AS (
+  SELECT plain FROM n WHERE plain <> '' GROUP BY plain HAVING count(DISTINCT source) >= 10
+), d AS (
+  SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (WHERE bad.plain IS NOT NULL) AS gone,
+         coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE bad.plain IS NULL), '') AS rest
+  FROM n LEFT JOIN bad USING (plain) GROUP BY doc_id, text
+)
+SELECT doc_id, CASE WHEN 2 * length(rest) < length(text) THEN text ELSE rest END AS text, n_lines::INT AS n_lines,
+       CASE WHEN 2 * length(rest) < length(text) THEN 0 ELSE gone END::INT AS n_removed
+FROM d
+"""
