@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, packing, pii, quality, secrets, simhash, vectors
+from . import bpe, langid, lines, packing, pii, quality, secrets, simhash, suffixes, vectors
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+@register
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text covered by a 50-byte string of an earlier document."""
+    return suffixes.remove_repeats(documents(spark, sf_dir), 50, keep_bytes=False)
+
+
 @register
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its personal data replaced by keyed surrogates."""
