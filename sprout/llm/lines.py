@@ -59,8 +59,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, id_col: str = "doc_id",
-                       text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """All columns of ``docs`` with the text cleaned, and n_lines, n_removed."""
+                       text_col: str = "text", site_col: str = "source", report: bool = True) -> DataFrame:
+    """All columns of ``docs`` with the text cleaned; ``report`` adds n_lines and n_removed."""
     bad, lines = boilerplate(docs, min_sites, id_col, text_col, site_col)
     bad, _ = store(bad, "line-boilerplate")
     hit = (lines.join(bad, "line_key").groupBy(F.col("doc_id").alias("__id"))
@@ -76,4 +76,5 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: f
     columns = [cleaned.alias(c) if c == text_col
                else F.char_length(cleaned).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
                for c in docs.columns]
-    return out.select(*columns, F.coalesce(F.size("__all"), F.lit(0)).alias("n_lines"), removed.alias("n_removed"))
+    n_lines = F.when(F.col("__all").isNull(), F.lit(0)).otherwise(F.size("__all"))
+    return out.select(*columns, *[n_lines.alias("n_lines"), removed.alias("n_removed")] * report)

@@ -165,8 +165,9 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
             return done.select("kind", "norm", "made")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with entities replaced, and n_entities."""
+def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text",
+                 report: bool = True) -> DataFrame:
+    """All columns of ``docs`` with entities replaced; ``report`` adds n_entities."""
     text = F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
     hint = F.coalesce(text.rlike(HINT), F.lit(False))
@@ -189,7 +190,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
     def out(frame: DataFrame, new: Column, n: Column) -> DataFrame:
         return frame.select(*[new.alias(c) if c == text_col
                               else F.char_length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
-                              else frame[c] for c in docs.columns], n.alias("n_entities"))
+                              else frame[c] for c in docs.columns], *[n.alias("n_entities")] * report)
 
     changed = F.when(F.col("__to").isNull(), text).otherwise(woven)
     return out(with_pii, changed, F.coalesce(F.size("__to"), F.lit(0))).unionByName(
