@@ -39,10 +39,11 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|(?<![0-9])[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])"
 NUMBER = r"(?<![0-9A-Za-z.,_-])[0-9](?:[ -]?[0-9]){8,18}(?![0-9A-Za-z_])"
+CARD = r"(?<![0-9A-Za-z.,_-])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9]|[A-Za-z_])"
 #: A name is one or two words after an honorific; each word is an entity of its own.
 FIRST_NAME = rf"(?<={TITLE} ){NAME}"
 SECOND_NAME = rf"(?<={TITLE} \p{{Lu}}[\p{{L}}'’-]{{1,40}} ){NAME}"
-ENTITY = "|".join([EMAIL, IBAN, IPV4, SSN, PHONE, NUMBER, SECOND_NAME, FIRST_NAME])
+ENTITY = "|".join([EMAIL, IBAN, IPV4, SSN, CARD, PHONE, NUMBER, SECOND_NAME, FIRST_NAME])
 HINT = "[0-9]|@|" + TITLE + r" \p{Lu}"
 #: Syllables of surrogate names by script, and endings by gender.
 SYLLABLES = {
@@ -118,7 +119,7 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (draw(digest, i, 254) + 1).cast("string")), ".")
     names = F.lit(None).cast("string")
     for script, syllables in SYLLABLES.items():
-        count = 3 + attempt  # more room with each attempt
+        count = 4 + attempt  # more room with each attempt
         stem = F.concat(*(pick(digest, F.lit(i), syllables) for i in range(count)))
         ending = reduce(lambda e, g: F.when(kind == f"given-{g}", ENDINGS[script][g]).otherwise(e), "mfn", F.lit(""))
         names = F.when(script_of(norm) == script, F.concat(stem, ending)).otherwise(names)
