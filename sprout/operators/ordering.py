@@ -1,17 +1,15 @@
-"""Exact row numbers over a global (or few-strata) order without one hot task.
+"""Exact row numbers over a global or grouped order without one hot task.
 
 ``row_number() OVER (ORDER BY ...)`` with no partition key, or with a key that
 holds a third of the rows, runs in a single task. Here the rows are
-range-partitioned on (keys, order) instead, numbered inside each partition with
-``monotonically_increasing_id`` after a local sort, and shifted by the counts of
-earlier partitions. The per-partition block table has at most
-``partitions x keys-per-partition`` rows; with no key (or a handful of strata)
-it is bounded by the partition count and broadcast. The id-stamped rows are
-written once to the shared checkpoint folder, so a retried or re-planned pass
-cannot see a different range split.
-
-The order must be total (end it with a unique column): both passes over the
-sorted partitions must see the same row order.
+range-partitioned on (keys, order) instead, sorted and stamped with their place,
+stored once (so a retried or re-planned pass can't see another range split),
+numbered inside (partition, key), and shifted by the key's rows in earlier
+partitions. A key that goes on from an earlier partition is the first one of its
+partition, so the table of shifts has at most one row per partition: that bounds
+its broadcast whatever the keys.
+
+The order must be total (end it with a unique column).
 """
 
 from __future__ import annotations
@@ -21,56 +19,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import store
 
 _POS_MASK = (1 << 33) - 1
 
 
 def ordered_row_number(df: DataFrame, order: Sequence, keys: Sequence[str] = (), out: str = "rn",
-                       partitions: int | None = None, small_key_set: bool = True) -> DataFrame:
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = list(order)
-    s = (df.repartitionByRange(n_parts, *keys, *order)
-         .sortWithinPartitions(*keys, *order)
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    # Both passes below must see the same partition of every row. Two range
-    # exchanges would each sample their own bounds, so the ids are stamped once
-    # and stored with a reliable checkpoint; both passes read the stored ids.
-    s = cut_lineage(s)
+                       partitions: int | None = None) -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` with every group split over range partitions."""
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys, order = list(keys), list(order)
+    s = store(df.repartitionByRange(n_parts, *keys, *order).sortWithinPartitions(*keys, *order)
+              .withColumn("_mid", F.monotonically_increasing_id()), "ordered-rows")
     s = (s.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
          .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_POS_MASK))))
-    blocks = s.groupBy("_pid", *keys).agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*keys).orderBy("_pid")  # one row per partition a key spans
-    blocks = blocks.withColumn("_off", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
-    if small_key_set:
-        blocks = F.broadcast(blocks)  # <= partitions x strata rows
-    joined = s.join(blocks, ["_pid", *keys])
-    return (joined.withColumn(out, F.col("_pos") - F.col("_p0") + F.col("_off") + 1)
-            .drop("_mid", "_pid", "_pos", "_p0", "_off"))
-
-
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn",
-                hot_rows: int = 1_000_000, sizes: DataFrame | None = None) -> DataFrame:
-    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` that splits hot groups.
-
-    Group sizes come from one partial aggregate. Groups up to ``hot_rows`` rows use
-    the plain window (one task per group, bounded by ``hot_rows``); larger groups
-    go through ``ordered_row_number`` (range partitioning, so one group spans many
-    tasks). The hot-key list has at most ``rows / hot_rows`` entries, which bounds
-    its broadcast. ``order`` must end with a unique column. ``sizes`` (keys, ``_gsize``)
-    may be passed when an upstream aggregate already counted the groups (an upper
-    bound is enough: a group counted as hot is still ranked exactly).
-    """
-    keys, order = list(keys), list(order)
-    if sizes is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gsize"))
-    hot = sizes.where(F.col("_gsize") > hot_rows).select(*keys)
-    hot = F.broadcast(hot)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    cold = df.join(hot, keys, "left_anti").withColumn(out, F.row_number().over(w))
-    if hot.limit(1).count() == 0:  # tiny job: are there any hot groups at all?
-        return cold
-    heavy = ordered_row_number(df.join(hot, keys, "left_semi"), order, keys=keys, out=out,
-                               small_key_set=True)
-    return cold.unionByName(heavy.select(*cold.columns))
+    blocks = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    before = F.sum("_cnt").over(Window.partitionBy(*keys).orderBy("_pid")) - F.col("_cnt")
+    shifts = (blocks.withColumn("_off", before).where(F.col("_off") > 0)
+              .select(F.col("_pid").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_off"))
+    on = F.col("_pid") == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    place = F.row_number().over(Window.partitionBy("_pid", *keys).orderBy("_pos")) if keys else F.col("_pos") + 1
+    return (s.withColumn(out, place).join(F.broadcast(shifts), on, "left")  # at most one row per partition
+            .withColumn(out, (F.col(out) + F.coalesce("_off", F.lit(0))).cast("bigint"))
+            .select(*df.columns, out))
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn") -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` that no hot group holds up."""
+    return ordered_row_number(df, order, keys, out)

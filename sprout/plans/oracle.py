@@ -9,6 +9,8 @@ the twin of Spark's ``rint(x * 10^n) / 10^n``.
 
 from __future__ import annotations
 
+from ..sources.testdata import ENTITIES, HIDDEN_RE
+
 
 def rnd(expr: str, n: int) -> str:
     s = 10 ** n
@@ -108,51 +110,48 @@ daily_metrics AS (
 )"""
 
 
-def _hp(salt: str) -> str:
-    return h16(salt, "url")
+def _decoded(expr: str) -> str:
+    for entity, char in ENTITIES:
+        expr = f"replace({expr}, '{entity}', '{char}')"
+    return expr
 
 
-SEO_RAW = """(0.02 * least(CAST(word_count AS DOUBLE), CAST(2500.0 AS DOUBLE))
-      + 6.0 * CAST(alt_ratio AS DOUBLE)
-      + 0.8 * least(CAST(internal_links AS DOUBLE), CAST(25.0 AS DOUBLE))
-      + 0.25 * CAST(page_speed AS DOUBLE)
-      + 8.0 * CAST(has_schema AS DOUBLE)
-      + 6.0 * CAST(mobile_friendly AS DOUBLE)
-      - 6.0 * abs(CAST(title_length AS DOUBLE) - 55.0) / 10.0
-      - 4.0 * abs(CAST(meta_length AS DOUBLE) - 155.0) / 30.0
-      - 5.0 * abs(CAST(h1_count AS DOUBLE) - 1.0))"""
+PAGE_POINTS = """(50.0 * least(CAST(word_count AS DOUBLE) / 1200.0, CAST(1.0 AS DOUBLE))
+      + 25.0 * least(CAST(internal_links AS DOUBLE) / 8.0, CAST(1.0 AS DOUBLE))
+      + 10.0 * CAST((title_length BETWEEN 30 AND 60)::INT + (meta_length BETWEEN 70 AND 160)::INT + (h1_count = 1)::INT
+                    + (alt_ratio >= 0.9)::INT + (has_schema = 1)::INT + (mobile_friendly = 1)::INT AS DOUBLE)
+      + page_speed / 5.0)"""
 
 
 def pages_ctes() -> str:
+    text = _decoded(f"regexp_replace(regexp_replace(html, '{HIDDEN_RE}', ' ', 'g'), '<[^>]+>', ' ', 'g')")
+    title = _decoded("regexp_extract(html, '<title>(.*?)</title>', 1)")
+    meta = _decoded("""regexp_extract(html, '<meta name="description" content="([^"]*)"', 1)""")
     return f"""
 pg0 AS (
   SELECT url,
-    CAST(len(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[^ \\t\\n\\r\\f]+')) AS BIGINT) AS word_count,
-    CAST({_hp('img')} % 12 AS BIGINT) AS images,
-    CAST({_hp('alt')} % 1001 AS DOUBLE) / 1000.0 AS alt_ratio,
+    CAST(len(regexp_extract_all({text}, '[^ \\t\\n\\r\\f]+')) AS BIGINT) AS word_count,
+    CAST(len(regexp_extract_all(html, '<img[ >]')) AS BIGINT) AS images,
+    CASE WHEN len(regexp_extract_all(html, '<img[ >]')) = 0 THEN CAST(1.0 AS DOUBLE)
+      ELSE {rnd("""CAST(len(regexp_extract_all(html, '<img[^>]* alt="[^"]')) AS DOUBLE) / CAST(len(regexp_extract_all(html, '<img[ >]')) AS DOUBLE)""", 3)} END AS alt_ratio,
     CAST(len(regexp_extract_all(html, '<a href="/')) AS BIGINT) AS internal_links,
-    CAST({_hp('ext')} % 9 AS BIGINT) AS external_links,
-    CAST(length(regexp_extract(html, '<title>(.*?)</title>', 1)) AS BIGINT) AS title_length,
-    CAST({_hp('meta')} % 321 AS BIGINT) AS meta_length,
+    CAST(len(regexp_extract_all(html, '<a href="http')) AS BIGINT) AS external_links,
+    CAST(length({title}) AS BIGINT) AS title_length,
+    CAST(length({meta}) AS BIGINT) AS meta_length,
     CAST(len(regexp_extract_all(html, '<h1[ >]')) AS BIGINT) AS h1_count,
-    CAST(20.0 AS DOUBLE) + CAST({_hp('speed')} % 801 AS DOUBLE) / 10.0 AS page_speed,
-    CAST({_hp('schema')} % 2 AS INTEGER) AS has_schema,
-    CASE WHEN {_hp('mobile')} % 5 > 0 THEN 1 ELSE 0 END AS mobile_friendly,
-    CAST({_hp('traffic')} AS DOUBLE) AS ht
+    {rnd("CAST(20.0 AS DOUBLE) + CAST(1600000.0 AS DOUBLE) / (CAST(20000.0 AS DOUBLE) + length(html))", 1)} AS page_speed,
+    CASE WHEN contains(html, 'application/ld+json') THEN 1 ELSE 0 END AS has_schema,
+    CASE WHEN contains(html, 'name="viewport"') THEN 1 ELSE 0 END AS mobile_friendly
   FROM pages
 ),
-pg1 AS (SELECT *, {SEO_RAW} AS s FROM pg0),
+pg1 AS (SELECT *, {PAGE_POINTS} AS s FROM pg0),
 pg_bounds AS (SELECT MIN(s) AS lo, MAX(s) AS hi FROM pg1),
-pg2 AS (
-  SELECT pg1.*, {rnd("100.0 * (s - lo) / (hi - lo)", 1)} AS seo_score
-  FROM pg1 CROSS JOIN pg_bounds
-),
 seo_pages AS (
   SELECT url, word_count, images, alt_ratio, internal_links, external_links, title_length,
-    meta_length, h1_count, page_speed, has_schema, mobile_friendly, seo_score,
-    CAST(floor({rnd("pow(greatest(seo_score, CAST(1.0 AS DOUBLE)), 1.6) * (0.4 + 0.8 * ht / 65536.0)", 6)}) AS BIGINT)
-      AS organic_traffic
-  FROM pg2
+    meta_length, h1_count, page_speed, has_schema, mobile_friendly,
+    {rnd("100.0 * (s - lo) / (hi - lo)", 1)} AS seo_score,
+    word_count * internal_links AS organic_traffic
+  FROM pg1 CROSS JOIN pg_bounds
 )"""
 
 
@@ -183,7 +182,7 @@ u_per AS (
   HAVING COUNT_IF({pre}) > 0
 ),
 users AS (
-  SELECT 'u' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS user_id,
+  SELECT 'u' || CASE WHEN o_custkey < 100000 THEN lpad(CAST(o_custkey AS VARCHAR), 6, '0') ELSE CAST(o_custkey AS VARCHAR) END AS user_id,
     CAST(sessions AS BIGINT) AS sessions,
     CAST(pageviews AS BIGINT) AS pageviews,
     CASE WHEN pageviews > 0
@@ -197,22 +196,6 @@ users AS (
 )"""
 
 
-TRUE_RANK = """(3.0 * CAST(relevance AS DOUBLE)
-      + 0.9 * ln(1 + CAST(backlinks AS DOUBLE))
-      + 0.02 * CAST(domain_authority AS DOUBLE)
-      + 0.01 * CAST(page_speed AS DOUBLE)
-      + 0.6 * CAST(keyword_in_title AS DOUBLE)
-      + 0.4 * CAST(keyword_in_h1 AS DOUBLE)
-      + 0.02 * CAST(internal_links AS DOUBLE)
-      + 0.0002 * least(CAST(word_count AS DOUBLE), CAST(2500.0 AS DOUBLE))
-      - 0.01 * CAST(keyword_difficulty AS DOUBLE))"""
-
-
-def relevance_label(pos: str) -> str:
-    return (f"CAST(CASE WHEN {pos} = 1 THEN 4 WHEN {pos} <= 3 THEN 3 WHEN {pos} <= 6 THEN 2 "
-            f"WHEN {pos} <= 10 THEN 1 ELSE 0 END AS INTEGER)")
-
-
 def keywords_ctes() -> str:
     rel = rnd("CAST(c.disc AS DOUBLE) / CAST(c.n AS DOUBLE) * 10.0", 3)
     return f"""
@@ -221,7 +204,7 @@ k_cand AS (
     SUM(CAST(l_discount AS {DEC})) AS disc, {md5_key('ours', 'l_partkey', 'l_suppkey')} AS ours_key
   FROM lineitem GROUP BY 1, 2
 ),
-k_part AS (SELECT l_partkey, SUM(qty) AS sv, MIN(ours_key) AS min_ours FROM k_cand GROUP BY 1),
+k_part AS (SELECT l_partkey, SUM(qty) AS sv, MIN(ours_key) AS min_ours, COUNT(*) AS gsize FROM k_cand GROUP BY 1),
 k0 AS (
   SELECT CAST(c.l_partkey AS BIGINT) AS keyword_id, p.p_name AS keyword,
     CAST(trunc(kp.sv) AS BIGINT) AS search_volume,
@@ -235,18 +218,19 @@ k0 AS (
     CASE WHEN {rel} > 0.4 THEN 1 ELSE 0 END AS keyword_in_title,
     CASE WHEN {rel} > 0.5 THEN 1 ELSE 0 END AS keyword_in_h1,
     CAST({h16('il', 'c.l_partkey', 'c.l_suppkey')} % 20 AS BIGINT) AS internal_links,
-    c.l_suppkey AS candidate_id
+    c.l_suppkey AS candidate_id, c.qty AS units, kp.gsize
   FROM k_cand c JOIN k_part kp ON c.l_partkey = kp.l_partkey
   JOIN part p ON c.l_partkey = p.p_partkey
 ),
 k1 AS (
-  SELECT *, row_number() OVER (PARTITION BY keyword_id ORDER BY {rnd(TRUE_RANK, 6)} DESC, candidate_id) AS pos
+  SELECT *, row_number() OVER (PARTITION BY keyword_id ORDER BY units DESC, candidate_id) AS pos
   FROM k0
 ),
 keywords AS (
   SELECT keyword_id, keyword, search_volume, keyword_difficulty, is_ours, relevance, word_count,
     backlinks, domain_authority, page_speed, keyword_in_title, keyword_in_h1, internal_links,
-    candidate_id, CAST(pos AS INTEGER) AS position, {relevance_label('pos')} AS relevance_label
+    candidate_id, CAST(pos AS INTEGER) AS position,
+    CAST(4 - floor(5 * (pos - 1) / gsize) AS INTEGER) AS relevance_label
   FROM k1
 )"""
 

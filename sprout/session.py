@@ -4,33 +4,36 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "sprout", extra: dict | None = None) -> SparkSession:
-    """Session tuned for this engine: AQE on, UTC, Arrow, no UI.
+    """Session for this engine: AQE on, UTC, Arrow, FAIR scheduling for concurrent fits, no UI.
 
-    On a cluster pass ``master=None`` and let spark-submit decide; size
-    ``shuffle_partitions`` to the data (AQE coalesces small ones anyway).
+    On a cluster pass ``master=None``: partition counts and memory are then those of
+    spark-submit; they are set here only for a local master or when given.
     """
     builder = SparkSession.builder.appName(app)
-    if master:
-        builder = builder.master(master)
     conf = {
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.scheduler.mode": "FAIR",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "16g",
     }
-    conf.update(extra or {})
-    for k, v in conf.items():
+    if master:
+        builder = builder.master(master)
+        if master.startswith("local"):
+            conf |= {"spark.sql.shuffle.partitions": str(shuffle_partitions or 8), "spark.driver.memory": "8g"}
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for k, v in (conf | (extra or {})).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -64,3 +67,37 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint to the shared folder: survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store Spark reads it from."""
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+_STORED: list[str] = []
+
+
+def store(df, name: str = "table"):
+    """Write a derived table as Parquet to the shared folder and return it reread.
+
+    Later reads prune columns and push filters, and it survives lost executors.
+    ``discard_stored`` deletes the tables when their readers are done.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STORED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard_stored(spark: SparkSession) -> None:
+    """Delete every table that ``store`` has written in this process."""
+    while _STORED:
+        fs, p = _file_system(spark, _STORED.pop())
+        fs.delete(p, True)

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import path_exists, store
 from . import testdata
 from .schemas import SCHEMAS, require_columns  # noqa: F401
 
@@ -32,17 +33,26 @@ def _typed(df: DataFrame, name: str) -> DataFrame:
     return df.select(*cols, *extra)
 
 
+#: Tables that every source must have; a source may lack the keywords.
+REQUIRED_TABLES = TABLE_NAMES[:3]
+
+
+def _existing(spark: SparkSession, location: str, extension: str = "") -> dict[str, str]:
+    """Paths of the tables a folder holds, in any store; a missing required table is an error."""
+    paths = {n: os.path.join(location, n + extension) for n in TABLE_NAMES}
+    found = {n: p for n, p in paths.items() if path_exists(spark, p)}
+    if missing := [paths[n] for n in REQUIRED_TABLES if n not in found]:
+        raise FileNotFoundError(f"missing tables: {', '.join(missing)}")
+    return found
+
+
 def read_parquet_tables(spark: SparkSession, location: str) -> dict[str, DataFrame]:
-    return {n: _typed(spark.read.parquet(os.path.join(location, n)), n) for n in TABLE_NAMES
-            if os.path.exists(os.path.join(location, n))}
+    return {n: _typed(spark.read.parquet(p), n) for n, p in _existing(spark, location).items()}
 
 
 def read_csv_tables(spark: SparkSession, location: str) -> dict[str, DataFrame]:
     out = {}
-    for n in TABLE_NAMES:
-        path = os.path.join(location, f"{n}.csv")
-        if not os.path.exists(path):
-            continue
+    for n, path in _existing(spark, location, ".csv").items():
         schema = SCHEMAS[n]
         if n == "daily_metrics":
             # the reference's CSV has no site column
@@ -64,17 +74,16 @@ def read_testdata_tables(spark: SparkSession, location: str, by_site: bool = Fal
 
 
 def materialize_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Derive each logical table once and keep it in the shared checkpoint folder.
+    """Derive each logical table once and keep it as Parquet in the shared folder.
 
     Training and analysis read the same tables many times (features, several fits,
     scoring, rules); without this every read re-runs the derivation from the raw
     tables (for ``daily_metrics`` a full lineitem aggregate).
     """
     from ..operators.common import run_concurrently
-    from ..session import cut_lineage
     names = list(tables)
     # independent jobs: overlap them on the cluster instead of queueing one after another
-    done = run_concurrently([lambda d=tables[n]: cut_lineage(d) for n in names], max_workers=len(names))
+    done = run_concurrently([lambda n=n, d=tables[n]: store(d, n) for n in names], max_workers=len(names))
     return dict(zip(names, done))
 
 
@@ -89,13 +98,13 @@ def available_sources() -> list[str]:
     return sorted(SOURCES)
 
 
-def is_available(name: str, location: str) -> bool:
+def is_available(spark: SparkSession, name: str, location: str) -> bool:
     if name not in SOURCES:
         return False
     if name == "testdata":
-        return os.path.exists(os.path.join(location, "lineitem.parquet"))
-    ext = ".csv" if name == "csv" else ""
-    return all(os.path.exists(os.path.join(location, n + ext)) for n in TABLE_NAMES[:3])
+        return path_exists(spark, os.path.join(location, "lineitem.parquet"))
+    extension = ".csv" if name == "csv" else ""
+    return all(path_exists(spark, os.path.join(location, n + extension)) for n in REQUIRED_TABLES)
 
 
 def get_source(name: str) -> Callable[..., dict[str, DataFrame]]:
@@ -109,7 +118,7 @@ def load_tables(spark: SparkSession, source: str, location: str, fallback: str |
                 fallback_location: str | None = None, **kw) -> dict[str, DataFrame]:
     """Read the logical tables; an unavailable source falls back to ``fallback``."""
     get_source(source)
-    if not is_available(source, location) and fallback:
+    if not is_available(spark, source, location) and fallback:
         source, location = fallback, fallback_location or location
     return get_source(source)(spark, location, **kw)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import h16, md5_key, rnd
 from ..operators.ordering import rank_within
-from ..session import cut_lineage
+from ..session import store
 
 DEC = "decimal(18,2)"
 # Narrow input decimals keep sums within 18 digits, where Spark aggregates on a
@@ -131,56 +131,67 @@ def densify_daily(day: DataFrame) -> DataFrame:
 # seo_pages
 # ---------------------------------------------------------------------------
 WORD_RE = r"[^ \t\n\r\f]+"
+#: What isn't page text: scripts, styles and comments with their bodies, then tags.
+HIDDEN_RE = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
 TAG_RE = r"<[^>]+>"
+#: Entities decoded in page text; the ampersand comes last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "\u00a9"),
+            ("&middot;", "\u00b7"), ("&amp;", "&"))
+
+
+def decoded(text: F.Column) -> F.Column:
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
 
 
 def seo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-URL page facts parsed from raw HTML plus md5 surrogates for absent facts."""
+    """Per-URL page facts parsed from raw HTML.
+
+    Facts that the table has no field for follow from the markup: a page is the
+    slower the longer it is, and its traffic stands in words times internal links.
+    """
     pg = read_table(spark, sf_dir, "pages", ["url", "html"])
-    h = lambda salt: h16(salt, F.col("url"))
+    count = lambda pattern: F.regexp_count("html", F.lit(pattern))
+    text = decoded(F.regexp_replace(F.regexp_replace("html", HIDDEN_RE, " "), TAG_RE, " "))
+    images = count("<img[ >]")
     base = pg.select(
         "url",
-        F.regexp_count(F.regexp_replace("html", TAG_RE, " "), F.lit(WORD_RE)).cast("bigint").alias("word_count"),
-        (h("img") % 12).cast("bigint").alias("images"),
-        ((h("alt") % 1001) / F.lit(1000.0)).alias("alt_ratio"),
-        F.regexp_count("html", F.lit('<a href="/')).cast("bigint").alias("internal_links"),
-        (h("ext") % 9).cast("bigint").alias("external_links"),
-        F.length(F.regexp_extract("html", r"<title>(.*?)</title>", 1)).cast("bigint").alias("title_length"),
-        (h("meta") % 321).cast("bigint").alias("meta_length"),
-        F.regexp_count("html", F.lit(r"<h1[ >]")).cast("bigint").alias("h1_count"),
-        (F.lit(20.0) + (h("speed") % 801) / F.lit(10.0)).alias("page_speed"),
-        (h("schema") % 2).cast("int").alias("has_schema"),
-        F.when(h("mobile") % 5 > 0, 1).otherwise(0).alias("mobile_friendly"),
-        h("traffic").alias("_ht"),
+        F.regexp_count(text, F.lit(WORD_RE)).cast("bigint").alias("word_count"),
+        images.cast("bigint").alias("images"),
+        F.when(images == 0, 1.0).otherwise(rnd(count('<img[^>]* alt="[^"]').cast("double")
+                                               / F.greatest(images, F.lit(1)).cast("double"), 3)).alias("alt_ratio"),
+        count('<a href="/').cast("bigint").alias("internal_links"),
+        count('<a href="http').cast("bigint").alias("external_links"),
+        F.length(decoded(F.regexp_extract("html", r"<title>(.*?)</title>", 1))).cast("bigint").alias("title_length"),
+        F.length(decoded(F.regexp_extract("html", r'<meta name="description" content="([^"]*)"', 1))).cast("bigint")
+        .alias("meta_length"),
+        count(r"<h1[ >]").cast("bigint").alias("h1_count"),
+        rnd(F.lit(20.0) + F.lit(1600000.0) / (F.lit(20000.0) + F.length("html")), 1).alias("page_speed"),
+        F.when(F.col("html").contains("application/ld+json"), 1).otherwise(0).alias("has_schema"),
+        F.when(F.col("html").contains('name="viewport"'), 1).otherwise(0).alias("mobile_friendly"),
     )
-    # min-max scaling needs two passes; parse the HTML once into a small feature
-    # table in the shared checkpoint folder and make both passes over that
-    scored = cut_lineage(base.withColumn("_s", seo_raw_score()))
+    # min-max scaling needs two passes; parse the HTML once into a small stored
+    # feature table and make both passes over that
+    scored = store(base.withColumn("_s", page_points()), "page-facts")
     bounds = scored.agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
     out = scored.crossJoin(F.broadcast(bounds))  # one-row side: bounded
     seo = rnd(F.lit(100.0) * (F.col("_s") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), 1)
-    out = out.withColumn("seo_score", seo)
-    traffic = F.floor(rnd(F.pow(F.greatest(F.col("seo_score"), F.lit(1.0)), F.lit(1.6))
-                          * (F.lit(0.4) + F.lit(0.8) * F.col("_ht") / F.lit(65536.0)), 6))
     return out.select(
         "url", "word_count", "images", "alt_ratio", "internal_links", "external_links",
         "title_length", "meta_length", "h1_count", "page_speed", "has_schema", "mobile_friendly",
-        "seo_score", traffic.cast("bigint").alias("organic_traffic"))
+        seo.alias("seo_score"), (F.col("word_count") * F.col("internal_links")).alias("organic_traffic"))
 
 
-def seo_raw_score() -> F.Column:
-    """Transparent page score (noise term dropped): depth, alt, links, speed, schema,
-    mobile, minus title / meta / h1 penalties."""
-    c = lambda n: F.col(n).cast("double")
-    return (F.lit(0.02) * F.least(c("word_count"), F.lit(2500.0))
-            + F.lit(6.0) * c("alt_ratio")
-            + F.lit(0.8) * F.least(c("internal_links"), F.lit(25.0))
-            + F.lit(0.25) * c("page_speed")
-            + F.lit(8.0) * c("has_schema")
-            + F.lit(6.0) * c("mobile_friendly")
-            - F.lit(6.0) * F.abs(c("title_length") - F.lit(55.0)) / F.lit(10.0)
-            - F.lit(4.0) * F.abs(c("meta_length") - F.lit(155.0)) / F.lit(30.0)
-            - F.lit(5.0) * F.abs(c("h1_count") - F.lit(1.0)))
+def page_points() -> F.Column:
+    """The adapter's own page score before scaling: text and links up to a full mark,
+    ten points for each of six checks that hold, and a fifth of the speed."""
+    full = lambda c, most: F.least(F.col(c).cast("double") / F.lit(most), F.lit(1.0))
+    checks = [F.col("title_length").between(30, 60), F.col("meta_length").between(70, 160), F.col("h1_count") == 1,
+              F.col("alt_ratio") >= 0.9, F.col("has_schema") == 1, F.col("mobile_friendly") == 1]
+    held = sum((F.when(c, 1).otherwise(0) for c in checks), F.lit(0))
+    return (F.lit(50.0) * full("word_count", 1200.0) + F.lit(25.0) * full("internal_links", 8.0)
+            + F.lit(10.0) * held.cast("double") + F.col("page_speed") / F.lit(5.0))
 
 
 # ---------------------------------------------------------------------------
@@ -189,6 +200,12 @@ def seo_raw_score() -> F.Column:
 CUTOFF_DAYS = 180
 
 
+def padded_id(prefix: str, key: F.Column) -> F.Column:
+    """Prefix and key, zero-padded to six digits; longer keys stay whole (``lpad`` would cut them)."""
+    text = key.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text))
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with an order on or before the cutoff.
 
@@ -219,7 +236,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
            .where(F.col("sessions") > 0))
     pv = F.col("pageviews").cast("double")
     return per.select(
-        F.concat(F.lit("u"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("user_id"),
+        padded_id("u", F.col("o_custkey")).alias("user_id"),
         F.col("sessions").cast("bigint").alias("sessions"),
         F.col("pageviews").cast("bigint").alias("pageviews"),
         F.when(pv > 0, rnd(F.try_divide(F.lit(6.0) * F.col("qty").cast("double"), pv), 1)).otherwise(0.0)
@@ -244,10 +261,10 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey", "l_quantity", "l_discount"])
     # (part, supplier) grain, combined map-side, stored once: both the part-level
     # aggregate and the candidate rows read it, so lineitem is scanned once
-    cand = cut_lineage(li.groupBy("l_partkey", "l_suppkey")
-                       .agg(F.count(F.lit(1)).alias("n"), _dsum("l_quantity", QTY).alias("qty"),
-                            _dsum("l_discount", RATE).alias("disc"))
-                       .withColumn("_ours_key", md5_key("ours", "l_partkey", "l_suppkey")))
+    cand = store(li.groupBy("l_partkey", "l_suppkey")
+                 .agg(F.count(F.lit(1)).alias("n"), _dsum("l_quantity", QTY).alias("qty"),
+                      _dsum("l_discount", RATE).alias("disc"))
+                 .withColumn("_ours_key", md5_key("ours", "l_partkey", "l_suppkey")), "keyword-candidates")
     # part-level values as a grouped aggregate (partial + final, so a hot part is
     # combined map-side) joined back on the part key (one row per part)
     per_part = cand.groupBy("l_partkey").agg(F.sum("qty").alias("sv"), F.min("_ours_key").alias("_min_ours"),
@@ -271,34 +288,14 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.when(rel > 0.4, 1).otherwise(0).alias("keyword_in_title"),
               F.when(rel > 0.5, 1).otherwise(0).alias("keyword_in_h1"),
               (h16("il", "keyword_id", "l_suppkey") % 20).cast("bigint").alias("internal_links"),
-              F.col("l_suppkey").alias("candidate_id"),
+              F.col("l_suppkey").alias("candidate_id"), F.col("qty").alias("_units"), "_gsize",
           ))
-    kw = kw.withColumn("_true_score", rnd(true_rank_score(), 6))
-    # positions: plain window per keyword, hot keywords split across tasks
-    # group sizes come from the part aggregate (candidates per part), read from the stored candidates
-    sizes = per_part.select(F.col("l_partkey").alias("keyword_id"), "_gsize")
-    kw = rank_within(kw, ["keyword_id"], [F.desc("_true_score"), F.col("candidate_id")], out="position",
-                     sizes=sizes)
+    # the adapter's own order: the supplier that sold most of a part stands first
+    kw = rank_within(kw, ["keyword_id"], [F.desc("_units"), F.col("candidate_id")], out="position")
     kw = kw.withColumn("position", F.col("position").cast("int"))
-    return kw.withColumn("relevance_label", relevance_label("position")).drop("_true_score")
-
-
-def true_rank_score() -> F.Column:
-    """Transparent keyword ranking score (noise dropped): relevance, log backlinks,
-    authority, speed, title/h1 match, links, capped depth, minus difficulty."""
-    c = lambda n: F.col(n).cast("double")
-    return (F.lit(3.0) * c("relevance")
-            + F.lit(0.9) * F.log1p(c("backlinks"))
-            + F.lit(0.02) * c("domain_authority")
-            + F.lit(0.01) * c("page_speed")
-            + F.lit(0.6) * c("keyword_in_title")
-            + F.lit(0.4) * c("keyword_in_h1")
-            + F.lit(0.02) * c("internal_links")
-            + F.lit(0.0002) * F.least(c("word_count"), F.lit(2500.0))
-            - F.lit(0.01) * c("keyword_difficulty"))
-
-
-def relevance_label(position) -> F.Column:
-    p = F.col(position) if isinstance(position, str) else position
-    return (F.when(p == 1, 4).when(p <= 3, 3).when(p <= 6, 2).when(p <= 10, 1)
-            .otherwise(0).cast("int"))
+    return kw.withColumn("relevance_label", relevance_label("position", "_gsize")).drop("_units", "_gsize")
+
+
+def relevance_label(position: str, size: str) -> F.Column:
+    """Label 4 to 0 by fifths of the group: the best fifth is 4."""
+    return (F.lit(4) - F.floor(F.lit(5) * (F.col(position) - 1) / F.col(size))).cast("int")

@@ -18,18 +18,14 @@ def _expected(df):
 
 def test_rank_within_splits_hot_groups(spark):
     df = _frame(spark)
-    exp = _expected(df)
-    for threshold in (10, 10_000):  # hot path taken / not taken
-        got = rank_within(df, ["k"], [F.desc("v"), F.col("id")], out="rn", hot_rows=threshold)
-        assert {(r["k"], r["id"]): r["rn"] for r in got.collect()} == exp
+    got = rank_within(df, ["k"], [F.desc("v"), F.col("id")], out="rn")
+    assert {(r["k"], r["id"]): r["rn"] for r in got.collect()} == _expected(df)
 
 
-def test_rank_within_with_precomputed_sizes(spark):
-    df = _frame(spark)
-    exp = _expected(df)
-    sizes = df.groupBy("k").agg(F.count(F.lit(1)).alias("_gsize"))
-    got = rank_within(df, ["k"], [F.desc("v"), F.col("id")], out="rn", hot_rows=10, sizes=sizes)
-    assert {(r["k"], r["id"]): r["rn"] for r in got.collect()} == exp
+def test_a_group_spans_many_partitions_and_null_is_a_group(spark):
+    df = _frame(spark).unionByName(spark.createDataFrame([(None, i % 3, 5000 + i) for i in range(60)], "k string, v int, id int"))
+    got = ordered_row_number(df, [F.desc("v"), F.col("id")], keys=["k"], partitions=16)
+    assert {(r["k"], r["id"]): r["rn"] for r in got.collect()} == _expected(df)
 
 
 def test_ordered_row_number_global(spark):
