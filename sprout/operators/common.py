@@ -58,25 +58,18 @@ def thousands_text(x) -> Column:
     return F.concat(F.when(F.rint(_c(x)) < 0, F.lit("-")).otherwise(F.lit("")), grouped)
 
 
-# Training rows per partition of an MLlib fit: a few MB of feature vectors per task.
-ROWS_PER_FIT_PARTITION = 50_000
+#: Partitions of an iterative fit: a constant, so a fit depends on the data alone.
+FIT_PARTITIONS = 64
 
 
-def canonical_layout(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None,
-                     rows_per_partition: int = ROWS_PER_FIT_PARTITION) -> DataFrame:
+def hash_layout(df: DataFrame, keys: Sequence[str], partitions: int = FIT_PARTITIONS) -> DataFrame:
     """Hash-partition by a unique key and sort within partitions before an MLlib fit.
 
-    Tree statistics are float sums merged per partition, so the fitted model
-    depends on which rows share a partition and in what order; a fixed layout
-    makes fits repeatable for given data and ``spark.sql.shuffle.partitions``.
-    The partition count follows the row count (capped by the shuffle setting):
-    iterative fits run several jobs per iteration, and near-empty tasks only add
-    scheduling latency to each of them.
+    Float sums are merged per partition, so a fit depends on which rows share a
+    partition and in what order. The layout follows from the key and a constant,
+    neither from the row count nor from the session's settings.
     """
-    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.count()
-    n = max(1, min(cap, -(-rows // rows_per_partition)))
-    return df.repartition(n, *keys).sortWithinPartitions(*(order or keys))
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
 
 
 def records_json(df: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:

@@ -67,16 +67,6 @@ def indexed(daily: DataFrame, keys: Sequence[str] = ("site_id",)) -> DataFrame:
     return daily.withColumn("idx", F.row_number().over(w) - 1)
 
 
-def fold_rows(daily: DataFrame, folds: DataFrame, horizon: int, keys: Sequence[str] = ("site_id",),
-              part: str = "test") -> DataFrame:
-    """Rows of each fold's train or test part (range join against the small fold table)."""
-    # folds x series rows: grows with the number of series, so the planner decides
-    x = indexed(daily, keys).join(folds.select(*keys, "fold", "cut"), list(keys))
-    if part == "train":
-        return x.where(F.col("idx") < F.col("cut"))
-    return x.where((F.col("idx") >= F.col("cut")) & (F.col("idx") < F.col("cut") + horizon))
-
-
 def hash_split(df: DataFrame, keys, test_size: float = 0.2, salt: str = "split") -> DataFrame:
     """Unstratified split by a hash of the key columns: no shuffle, reproducible in SQL."""
     keys = [keys] if isinstance(keys, str) else list(keys)

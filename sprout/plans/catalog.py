@@ -137,14 +137,14 @@ def q_action_plan(spark, sf):
 def q_kpi_cycles(spark, sf):
     from ..operators.cycle import cycle_kpis
     daily, pages = _tables(spark, sf, by_site=True, once=True)
-    return cycle_kpis(daily, pages, 30)
+    return cycle_kpis(daily, pages, 30, anomalies=_zscore_flags(daily))
 
 
 @register("kpi_alerts", O.with_ctes(O.daily_ctes(True), O.pages_ctes(), body=OQ.alerts_body(30)))
 def q_kpi_alerts(spark, sf):
     from ..operators.cycle import cycle_kpis, diff_snapshots
     daily, pages = _tables(spark, sf, by_site=True, once=True)
-    return diff_snapshots(cycle_kpis(daily, pages, 30))
+    return diff_snapshots(cycle_kpis(daily, pages, 30, anomalies=_zscore_flags(daily)))
 
 
 @register("latest_snapshot", O.with_ctes(O.daily_ctes(True), O.pages_ctes(), body=OQ.latest_snapshot_body(30)))
@@ -153,7 +153,7 @@ def q_latest_snapshot(spark, sf):
     sort) and the counter the next cycle gets, over a history of 30-day cycles."""
     from ..operators.cycle import cycle_kpis, latest_snapshot, next_cycle
     daily, pages = _tables(spark, sf, by_site=True, once=True)
-    snaps = _materialized(cycle_kpis(daily, pages, 30))  # the stored history, read twice below
+    snaps = _materialized(cycle_kpis(daily, pages, 30, anomalies=_zscore_flags(daily)))  # the stored history, read twice below
     nxt = next_cycle(snaps).withColumnRenamed("cycle", "next_cycle")
     latest = latest_snapshot(snaps)
     return latest.join(nxt, "site_id").select(*latest.columns, F.col("next_cycle").cast("int").alias("next_cycle"))
@@ -226,13 +226,14 @@ def q_customer_split(spark, sf):
 @register("keyword_split", O.with_ctes(O.keywords_ctes(), body=OQ.group_split_ctes(0.2) + "\nSELECT * FROM gs"))
 def q_keyword_split(spark, sf):
     from ..operators.features import group_split
-    return group_split(td.keywords(spark, sf).select("keyword_id"), "keyword_id", 0.2).distinct()
+    # split the distinct ids: joining them back to all candidates would only be undone by a distinct
+    return group_split(td.keywords(spark, sf).select("keyword_id").distinct(), "keyword_id", 0.2)
 
 
 @register("auc_baseline", O.with_ctes(O.users_ctes(), body=OQ.auc_body()))
 def q_auc(spark, sf):
     from ..operators.metrics import auc
-    u = td.users(spark, sf).withColumn("purchase", (F.col("num_orders") > 0).cast("int"))
+    u = _materialized(td.users(spark, sf)).withColumn("purchase", (F.col("num_orders") > 0).cast("int"))
     a = auc(u, "churned", "recency_days", "user_id").select(
         F.lit("churned").alias("target"), F.lit("recency_days").alias("score"), "*")
     b = auc(u, "purchase", "pageviews", "user_id").select(
@@ -242,14 +243,29 @@ def q_auc(spark, sf):
 
 @register("ndcg_heuristic", O.with_ctes(O.keywords_ctes(), body=OQ.ndcg_body()))
 def q_ndcg(spark, sf):
-    from ..operators.features import group_split
     from ..operators.metrics import mean_ndcg
     from ..operators.ranking import heuristic_rank_score
-    kw = group_split(heuristic_rank_score(td.keywords(spark, sf)), "keyword_id", 0.2)
-    m = mean_ndcg(kw.where(F.col("split") == "test"), "keyword_id", "relevance_label", "rank_score")
+    from ..operators.ranking import train_and_test
+    kw = heuristic_rank_score(_materialized(td.keywords(spark, sf).select("keyword_id", "candidate_id", "relevance", "backlinks",
+                                                                          "domain_authority", "relevance_label")))
+    _, test = train_and_test(kw, 0.2)
+    m = mean_ndcg(_materialized(test), "keyword_id", "relevance_label", "rank_score")
     return m.select(rnd("ndcg_at_10", 6).alias("ndcg_at_10"), "n_groups", rnd("ndcg_at_5", 6).alias("ndcg_at_5"))
 
 
+@register("keyword_train_test", O.with_ctes(O.keywords_ctes(), body=OQ.group_split_ctes(0.2) + """
+SELECT gs.split, COUNT(*) AS n_rows, COUNT(DISTINCT k.keyword_id) AS n_keywords, CAST(SUM(k.candidate_id) AS BIGINT) AS id_sum
+FROM keywords k JOIN gs ON k.keyword_id = gs.keyword_id GROUP BY 1"""))
+def q_train_test(spark, sf):
+    """The ranker's train (anti join) and test (semi join) candidates, counted."""
+    from ..operators.ranking import train_and_test
+    train, test = train_and_test(_materialized(td.keywords(spark, sf).select("keyword_id", "candidate_id")), 0.2)
+    part = lambda df, name: df.agg(
+        F.lit(name).alias("split"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("keyword_id").alias("n_keywords"),
+        F.sum("candidate_id").alias("id_sum"))
+    return part(train, "train").unionByName(part(test, "test"))
+
+
 @register("keyword_positions", O.with_ctes(O.keywords_ctes(), body=OQ.positions_body()))
 def q_positions(spark, sf):
     from ..operators.ranking import heuristic_rank_score, predicted_positions
@@ -271,18 +287,14 @@ def q_users_std(spark, sf):
 
 
 # ---------------------------------------------------------------- model-backed (rows-only checks)
-def _fast(**kw):
-    return dict(max_iter=15, step_size=0.2, **kw)
-
-
 def _materialized(df):
     """Queries that read a derived table more than once (model fits: features, fit,
     scoring; rule queries: signals, anomalies, forecast, health) derive it from the
-    raw tables once and keep it in the shared checkpoint folder. Column pruning makes
+    raw tables once and keep it as Parquet in the shared folder. Column pruning makes
     each read a different plan, so Spark would not reuse the exchange and every read
     would rescan lineitem / orders."""
-    from ..session import cut_lineage
-    return cut_lineage(df)
+    from ..session import store
+    return store(df, "derived")
 
 
 @register("traffic_forecast")
@@ -290,7 +302,7 @@ def q_traffic_forecast(spark, sf):
     """Boosted deltas rolled forward 30 days for every site."""
     from ..operators.traffic import TrafficForecaster
     daily = _materialized(td.daily_metrics(spark, sf, by_site=True))
-    tf = TrafficForecaster(**_fast())
+    tf = TrafficForecaster()
     tf.fit(daily)
     return tf.forecast(daily, 30)
 
@@ -298,7 +310,7 @@ def q_traffic_forecast(spark, sf):
 @register("traffic_model_metrics")
 def q_traffic_metrics(spark, sf):
     from ..operators.traffic import TrafficForecaster
-    return TrafficForecaster(**_fast()).fit(_materialized(td.daily_metrics(spark, sf, by_site=True)))
+    return TrafficForecaster().fit(_materialized(td.daily_metrics(spark, sf, by_site=True)))
 
 
 @register("holt_winters_forecast")
@@ -318,7 +330,7 @@ def q_hw_fixed(spark, sf):
     """Holt-Winters at fixed smoothing: the per-series recursion, checked exactly."""
     from ..operators.forecast import forecast, holt_winters_forecaster
     return forecast(_materialized(td.daily_metrics(spark, sf, by_site=True)), 30,
-                    holt_winters_forecaster(params=HW_FIXED))
+                    holt_winters_forecaster(params=HW_FIXED)).drop("reason")
 
 
 @register("forecaster_comparison_deterministic",
@@ -347,7 +359,7 @@ def q_compare(spark, sf):
 @register("sales_model")
 def q_sales(spark, sf):
     from ..operators.models import SalesPredictor
-    m = SalesPredictor(**_fast())
+    m = SalesPredictor()
     met = m.fit(_materialized(td.daily_metrics(spark, sf, by_site=True)))
     imp = m.feature_importance().orderBy(F.desc("importance"), "feature").limit(5)
     return imp.crossJoin(met)
@@ -356,7 +368,7 @@ def q_sales(spark, sf):
 @register("seo_model")
 def q_seo(spark, sf):
     from ..operators.models import SEOScorer
-    m = SEOScorer(**_fast())
+    m = SEOScorer()
     met = m.fit(td.seo_pages(spark, sf))
     imp = m.feature_importance().orderBy(F.desc("importance"), "feature").limit(5)
     return imp.crossJoin(met)
@@ -366,7 +378,7 @@ def q_seo(spark, sf):
 def q_customer_scores(spark, sf):
     from ..operators.models import CustomerIntelligence
     users = _materialized(td.users(spark, sf))
-    ci = CustomerIntelligence(**_fast())
+    ci = CustomerIntelligence()
     ci.fit(users)
     return ci.score(users).select("user_id", "purchase_prob", "churn_risk", "predicted_clv")
 
@@ -376,18 +388,18 @@ def q_customer_report(spark, sf):
     """Fit metrics, the one-row summary and the top-10 at-risk customers."""
     from ..operators.models import CustomerIntelligence, customer_summary, top_at_risk
     users = _materialized(td.users(spark, sf))
-    ci = CustomerIntelligence(**_fast())
+    ci = CustomerIntelligence()
     met = ci.fit(users)
-    scored = ci.score(users).cache()
+    scored = _materialized(ci.score(users))
     summ = customer_summary(scored).crossJoin(met)
-    return top_at_risk(scored).select("user_id", "churn_risk", "predicted_clv").crossJoin(summ)
+    return top_at_risk(scored).select("user_id", "purchase_prob", "churn_risk", "predicted_clv").crossJoin(summ)
 
 
 @register("user_segments")
 def q_segments(spark, sf):
     from ..operators.segment import UserSegmenter
     users = _materialized(td.users(spark, sf))
-    seg = UserSegmenter(n_init=4)
+    seg = UserSegmenter()
     met = seg.fit(users)
     return seg.segment_summary(users).crossJoin(met)
 
@@ -396,7 +408,7 @@ def q_segments(spark, sf):
 def q_anomalies(spark, sf):
     from ..operators.anomaly import TrafficAnomalyDetector
     daily = _materialized(td.daily_metrics(spark, sf, by_site=True))
-    return TrafficAnomalyDetector(n_trees=100).fit(daily).anomalous_days(daily)
+    return TrafficAnomalyDetector().fit(daily).anomalous_days(daily)
 
 
 @register("keyword_ranker")
@@ -404,7 +416,7 @@ def q_ranker(spark, sf):
     """Listwise boosted ranker: NDCG on held-out keywords and striking-distance wins."""
     from ..operators.ranking import ListwiseRanker, fit_and_evaluate
     kw = _materialized(td.keywords(spark, sf))
-    ranker, nd = fit_and_evaluate(kw, ListwiseRanker(rounds=8))
+    ranker, nd = fit_and_evaluate(kw, ListwiseRanker())
     return ranker.opportunities(kw, 15).crossJoin(nd)
 
 
@@ -425,7 +437,7 @@ def q_customer_recs_h(spark, sf):
 @register("top_at_risk_heuristic", O.with_ctes(O.users_ctes(), body=OQ.top_at_risk_body(10)))
 def q_top_at_risk_h(spark, sf):
     from ..operators.models import heuristic_customer_scores, top_at_risk
-    return top_at_risk(heuristic_customer_scores(td.users(spark, sf))).select("user_id", "churn_risk", "predicted_clv")
+    return top_at_risk(heuristic_customer_scores(td.users(spark, sf))).select("user_id", "purchase_prob", "churn_risk", "predicted_clv")
 
 
 @register("segments_fixed_centroids", O.with_ctes(O.users_ctes(), body=OQ.fixed_segments_body(USER_FEATURES)))
@@ -463,7 +475,7 @@ def q_site_recs_anom(spark, sf):
 # ---------------------------------------------------------------- insight tables on stand-in models
 def _naive_forecast(daily, horizon=30):
     from ..operators.forecast import forecast, seasonal_naive_forecaster
-    return forecast(daily, horizon, seasonal_naive_forecaster())
+    return forecast(daily, horizon, seasonal_naive_forecaster()).drop("reason")
 
 
 @register("history_and_forecast_naive",
@@ -515,7 +527,7 @@ def q_top_anomalies(spark, sf):
 def q_customer_importance(spark, sf):
     """Importance matrix: feature x (purchase, churn, clv) of the three customer models."""
     from ..operators.models import CustomerIntelligence
-    ci = CustomerIntelligence(**_fast())
+    ci = CustomerIntelligence()
     ci.fit(_materialized(td.users(spark, sf)))
     return ci.feature_importance()
 
@@ -525,7 +537,7 @@ def q_keyword_report(spark, sf):
     """Top-5 ranking factors of the fitted ranker, beside the striking-distance keywords."""
     from ..operators.ranking import ListwiseRanker, fit_and_evaluate
     kw = _materialized(td.keywords(spark, sf))
-    ranker, _ = fit_and_evaluate(kw, ListwiseRanker(rounds=8))
+    ranker, _ = fit_and_evaluate(kw, ListwiseRanker())
     top = ranker.feature_importance().orderBy(F.desc("importance"), "feature").limit(5)
     opp = ranker.opportunities(kw, 15)
     return (opp.select(F.lit("opportunity").alias("part"), "keyword", "predicted_position",
@@ -536,12 +548,12 @@ def q_keyword_report(spark, sf):
 
 @register("insight_kpis")
 def q_insight_kpis(spark, sf):
-    """The whole bundle: every model fitted (fast profile) on tables derived once,
+    """The whole bundle: every model fitted on tables derived once,
     then the analysis; the result is its 13-field KPI row per site."""
     from ..sources import materialize_tables, read_testdata_tables
     from .bundles import analyze, train_all
     tables = materialize_tables(read_testdata_tables(spark, sf, by_site=True))
-    models, _ = train_all(tables, fast=True)
+    models, _ = train_all(tables)
     return analyze(tables, models, horizon=30).kpis
 
 

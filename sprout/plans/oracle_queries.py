@@ -211,29 +211,30 @@ FROM ranked_recs WHERE rank <= {T.PLAN_SIZE}"""
 
 
 # ---------------------------------------------------------------- cycles
-def cycle_kpis_ctes(period: int = 30) -> str:
-    return f""", cb0 AS (
-  SELECT *, floor((row_number() OVER (PARTITION BY site_id ORDER BY date DESC) - 1) / {period}) AS _block
+def cycle_kpis_ctes(period: int = 30, season: int = 7, contamination: float = 0.06) -> str:
+    last = dmean(f"CASE WHEN _back % {period} < {season} THEN visitors END", 0)
+    return zscore_anomalies_ctes(contamination) + f""", cb0 AS (
+  SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY date DESC) - 1 AS _back,
+    COUNT(*) OVER (PARTITION BY site_id) AS _days
   FROM daily_metrics
 ),
-cb_full AS (
-  SELECT site_id, COUNT(*) AS _nb FROM (SELECT site_id, _block FROM cb0 GROUP BY 1, 2 HAVING COUNT(*) = {period})
-  GROUP BY 1
-),
 cb AS (
-  SELECT cb0.*, CAST(_nb - _block AS INTEGER) AS cycle FROM cb0 JOIN cb_full ON cb0.site_id = cb_full.site_id
-  WHERE _block < _nb
+  SELECT *, CAST(ceil(_days / {period}) - floor(_back / {period}) AS INTEGER) AS cycle,
+    _days - floor(_back / {period}) * {period} >= {period} AS complete
+  FROM cb0
 ),
 {health_ctes('ch', 'cb', 'site_id, cycle', None).strip()},
+cb_anom AS (SELECT cb.site_id, cycle, COUNT(*) AS n FROM cb JOIN az ON cb.site_id = az.site_id AND cb.date = az.date GROUP BY 1, 2),
 kpis AS (
-  SELECT b.site_id, b.cycle, b.avg_daily_visitors, b.monthly_revenue, b.avg_conversion_rate,
-    ch_health.health_score, ch_health.health_grade
+  SELECT b.*, ch_health.health_score, ch_health.health_grade, CAST(COALESCE(cb_anom.n, 0) AS BIGINT) AS n_anomalies
   FROM (
-    SELECT site_id, cycle, CAST(trunc({dmean('visitors', 0)}) AS BIGINT) AS avg_daily_visitors,
+    SELECT site_id, cycle, bool_and(complete) AS complete, CAST(trunc({dmean('visitors', 0)}) AS BIGINT) AS avg_daily_visitors,
       CAST(SUM(CAST(revenue AS DECIMAL(28,2))) AS DOUBLE) AS monthly_revenue,
-      {rnd(dmean('conversion_rate', 4), 4)} AS avg_conversion_rate
+      {rnd(dmean('conversion_rate', 4), 4)} AS avg_conversion_rate,
+      {rnd(f"COALESCE(100.0 * ({last} / NULLIF({dmean('visitors', 0)}, 0) - 1.0), 0)", 1)} AS predicted_traffic_change_pct
     FROM cb GROUP BY site_id, cycle
   ) b JOIN ch_health ON b.site_id = ch_health.site_id AND b.cycle = ch_health.cycle
+  LEFT JOIN cb_anom ON b.site_id = cb_anom.site_id AND b.cycle = cb_anom.cycle
 )"""
 
 
@@ -270,7 +271,7 @@ ax AS (
   SELECT site_id, cycle, lag(cycle) OVER w IS NOT NULL AS has_prev,
     COALESCE(avg_daily_visitors, 0) AS c_v, COALESCE(lag(avg_daily_visitors) OVER w, 0) AS p_v,
     CAST(COALESCE(health_score, 0) AS DOUBLE) AS c_h, CAST(COALESCE(lag(health_score) OVER w, 0) AS DOUBLE) AS p_h,
-    CAST(0 AS BIGINT) AS c_a, CAST(0 AS BIGINT) AS p_a, CAST(0 AS DOUBLE) AS fc
+    n_anomalies AS c_a, COALESCE(lag(n_anomalies) OVER w, 0) AS p_a, predicted_traffic_change_pct AS fc
   FROM kpis WINDOW w AS (PARTITION BY site_id ORDER BY cycle)
 ),
 af AS (SELECT *, list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL) AS fired FROM ax),
@@ -559,7 +560,7 @@ def customer_recs_body() -> str:
 
 def top_at_risk_body(n: int = 10) -> str:
     return heuristic_scores_cte() + f"""
-SELECT user_id, churn_risk, predicted_clv FROM hs
+SELECT user_id, purchase_prob, churn_risk, predicted_clv FROM hs
 ORDER BY churn_risk DESC, predicted_clv DESC, user_id LIMIT {n}"""
 
 
@@ -637,7 +638,7 @@ def site_recs_with_anomalies_ctes(name: str = "sa_all") -> str:
 {base},
 sa_top AS (
   SELECT site_id, date AS top_day FROM (
-    SELECT site_id, date, row_number() OVER (PARTITION BY site_id ORDER BY anomaly_score DESC, date DESC) AS rk
+    SELECT site_id, date, row_number() OVER (PARTITION BY site_id ORDER BY anomaly_score DESC, date) AS rk
     FROM az) WHERE rk = 1
 ),
 sa_n AS (SELECT site_id, COUNT(*) AS n_anom FROM az GROUP BY site_id),

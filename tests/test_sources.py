@@ -62,11 +62,25 @@ def test_materialize_tables_keeps_every_row(spark):
         assert done[name].columns == df.columns
 
 
-def test_fit_layout_partitions_follow_row_count(spark):
-    from sprout.operators.common import canonical_layout
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = canonical_layout(spark.range(1_000), ["id"])
-    assert small.rdd.getNumPartitions() == 1
-    big = canonical_layout(spark.range(120_000), ["id"], rows_per_partition=50_000)
-    assert big.rdd.getNumPartitions() == min(cap, 3)
-    assert big.count() == 120_000
+def test_fit_layout_depends_on_the_key_alone(spark):
+    from sprout.operators.common import hash_layout
+    assert hash_layout(spark.range(1_000), ["id"]).rdd.getNumPartitions() == hash_layout(spark.range(50_000), ["id"]).rdd.getNumPartitions()
+
+
+def test_long_customer_keys_stay_distinct(spark):
+    from sprout.sources.testdata import padded_id
+    keys = [7, 999_999, 1_000_001, 1_000_009, 12_345_678]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(padded_id("u", F.col("k"))).collect()]
+    assert got == ["u000007", "u999999", "u1000001", "u1000009", "u12345678"]
+
+
+def test_sources_read_uris_and_report_missing_tables(spark, scratch):
+    from sprout.sources import is_available, load_tables, read_parquet_tables, read_testdata_tables, write_tables
+    tables = read_testdata_tables(spark, "file:///root/testdata/sf0.001")
+    write_tables(tables, f"file://{scratch}/all")
+    again = read_parquet_tables(spark, f"file://{scratch}/all")
+    assert sorted(again) == sorted(tables) and again["users"].count() == tables["users"].count()
+    write_tables({"users": tables["users"]}, f"file://{scratch}/part")
+    assert is_available(spark, "parquet", f"file://{scratch}/all") and not is_available(spark, "parquet", f"file://{scratch}/part")
+    with pytest.raises(FileNotFoundError, match="daily_metrics"):
+        load_tables(spark, "parquet", f"file://{scratch}/part", fallback=None)
