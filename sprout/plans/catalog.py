@@ -170,6 +170,7 @@ def q_sync_summary(spark, sf):
 from pyspark.sql import functions as F  # noqa: E402
 
 from ..functions import rnd  # noqa: E402
+from ..operators.forecast import HW_ALPHA, HW_BETA, HW_GAMMA  # noqa: E402
 from ..sources.schemas import SALES_FEATURES, TRAFFIC_LAGS, USER_FEATURES  # noqa: E402
 
 
@@ -313,10 +314,11 @@ def q_traffic_metrics(spark, sf):
     return TrafficForecaster().fit(_materialized(td.daily_metrics(spark, sf, by_site=True)))
 
 
-@register("holt_winters_forecast")
+@register("holt_winters_forecast", O.with_ctes(
+    O.daily_ctes(True), body=OQ.holt_winters_grid_body(HW_ALPHA, HW_BETA, HW_GAMMA, horizon=30), recursive=True))
 def q_hw_forecast(spark, sf):
     from ..operators.forecast import forecast, holt_winters_forecaster
-    return forecast(_materialized(td.daily_metrics(spark, sf, by_site=True)), 30, holt_winters_forecaster())
+    return forecast(_materialized(td.daily_metrics(spark, sf, by_site=True)), 30, holt_winters_forecaster()).drop("reason")
 
 
 # One point of the smoothing grid, used where the recursion is checked exactly.
@@ -573,3 +575,77 @@ def q_site_recs_lever(spark, sf):
     from ..operators.rules import site_recommendations
     daily = _materialized(td.daily_metrics(spark, sf, by_site=True))
     return site_recommendations(daily, sales_importance=_corr_importance(daily))
+
+
+# ---------------------------------------------------------------- scoring with given trees
+def _given_trees(features, base, *trees):
+    """A small model given by hand, so that scoring can be compared with SQL: each tree is
+    three (feature, threshold) splits, root first, and four leaf values."""
+    import numpy as np
+    from ..operators.boosting import Boosted
+    at = [[features.index(f) for f, _ in splits] for splits, _ in trees]
+    return Boosted(list(features), base, np.array(at), np.array([[t for _, t in splits] for splits, _ in trees], float),
+                   np.array([values for _, values in trees], float), np.zeros(len(features)))
+
+
+from ..sources.schemas import BEHAVIOUR_FEATURES, PAGE_SEO_FEATURES, RANKING_FEATURES  # noqa: E402
+
+SALES_TREES = _given_trees(list(SALES_FEATURES), 5000.0,
+                           ((("sessions", 130.0), ("page_speed", 70.0), ("content_score", 50.0)), (-5400.0, -900.0, 850.5, 2100.25)),
+                           ((("bounce_rate", 0.6), ("sessions", 90.0), ("page_speed", 68.0)), (-125.5, 75.0, 10.0, -33.0)))
+PAGE_TREES = _given_trees(list(PAGE_SEO_FEATURES), 45.0,
+                          ((("word_count", 300.0), ("title_length", 30.0), ("internal_links", 5.0)), (-60.0, -20.0, 15.0, 70.0)),
+                          ((("page_speed", 90.0), ("word_count", 150.0), ("title_length", 55.0)), (1.5, -2.25, 3.0, 0.5)))
+VISITOR_TREES = {
+    k: _given_trees(list(BEHAVIOUR_FEATURES), base,
+                    ((("pageviews", 30.0), ("recency_days", 200.0), ("sessions", 12.0)), values),
+                    ((("recency_days", 90.0), ("sessions", 5.0), ("avg_time_on_site", 150.0)), (0.25, 0.5, -0.125, -0.75)))
+    for k, base, values in (("purchase", -0.25, (-1.5, -2.0, 0.5, 1.25)), ("churn", 0.1, (0.5, 1.5, -1.0, -0.25)),
+                            ("clv", 900.0, (-1200.0, -950.0, 1500.5, 20000.25)))}
+RANK_TREES = _given_trees(list(RANKING_FEATURES), 0.0,
+                          ((("relevance", 0.5), ("backlinks", 15.0), ("domain_authority", 50.0)), (-1.0, -0.25, 0.5, 1.5)),
+                          ((("word_count", 500.0), ("page_speed", 60.0), ("backlinks", 25.0)), (0.0, 0.125, -0.0625, 0.25)))
+
+
+@register("sales_predict_given_trees", O.with_ctes(O.daily_ctes(True), body=f"""
+SELECT site_id, date, greatest({OQ.trees_sql(SALES_TREES)}, CAST(0 AS DOUBLE)) AS prediction FROM daily_metrics"""))
+def q_sales_given(spark, sf):
+    """The revenue model's scoring path (sum of trees, clipped at 0) for given trees."""
+    from ..operators.models import SalesPredictor
+    m = SalesPredictor()
+    m.model = SALES_TREES
+    return m.predict(td.daily_metrics(spark, sf, by_site=True)).select("site_id", "date", "prediction")
+
+
+@register("seo_predict_given_trees", O.with_ctes(O.pages_ctes(), body=f"""
+SELECT url, least(greatest({OQ.trees_sql(PAGE_TREES)}, CAST(0 AS DOUBLE)), CAST(100 AS DOUBLE)) AS prediction FROM seo_pages"""))
+def q_seo_given(spark, sf):
+    """The page model's scoring path (clipped to 0..100) for given trees."""
+    from ..operators.models import SEOScorer
+    m = SEOScorer()
+    m.model = PAGE_TREES
+    return m.predict(td.seo_pages(spark, sf)).select("url", "prediction")
+
+
+@register("customer_scores_given_trees", O.with_ctes(O.users_ctes(), body=f"""
+SELECT user_id, {O.rnd(f"1 / (1 + exp(-{OQ.trees_sql(VISITOR_TREES['purchase'])}))", 4)} AS purchase_prob,
+  {O.rnd(f"1 / (1 + exp(-{OQ.trees_sql(VISITOR_TREES['churn'])}))", 4)} AS churn_risk,
+  {O.rnd(f"greatest(CAST(0 AS DOUBLE), {OQ.trees_sql(VISITOR_TREES['clv'])})", 2)} AS predicted_clv
+FROM users"""))
+def q_customer_given(spark, sf):
+    """The three customer models' scoring path (logistic link, rounding) for given trees."""
+    from ..operators.models import CustomerIntelligence
+    ci = CustomerIntelligence()
+    ci.models = VISITOR_TREES
+    return ci.score(td.users(spark, sf)).select("user_id", "purchase_prob", "churn_risk", "predicted_clv")
+
+
+@register("rank_predict_given_trees", O.with_ctes(O.keywords_ctes(), body=f"""
+SELECT *, row_number() OVER (PARTITION BY keyword_id ORDER BY rank_score DESC, candidate_id) AS predicted_position
+FROM (SELECT keyword_id, candidate_id, {OQ.trees_sql(RANK_TREES)} AS rank_score FROM keywords)"""))
+def q_rank_given(spark, sf):
+    """The ranker's scoring path and positions for given trees."""
+    from ..operators.ranking import ListwiseRanker
+    r = ListwiseRanker()
+    r.model = RANK_TREES
+    return r.predict_ranking(td.keywords(spark, sf)).select("keyword_id", "candidate_id", "rank_score", "predicted_position")

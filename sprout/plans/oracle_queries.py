@@ -770,6 +770,62 @@ SELECT site_id, CAST(last_day + h AS DATE) AS date,
 FROM hw_fc"""
 
 
+def holt_winters_grid_body(alphas, betas, gammas, horizon: int = 30, m: int = 7) -> str:
+    """Holt-Winters with the smoothing chosen by in-sample squared error: one recursion
+    per site and grid point, the first of the least errors wins."""
+    values = ", ".join(f"({i}, CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE), CAST({g!r} AS DOUBLE))" for i, (a, b, g) in enumerate(
+        (a, b, g) for a in alphas for b in betas for g in gammas))
+    one, mm, k = "CAST(1 AS DOUBLE)", f"CAST({m} AS DOUBLE)", f"CAST(r.t % {m} AS BIGINT)"
+    return f""", hg_p(gid, a, b, g) AS (VALUES {values}),
+hg_y AS (
+  SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY date) - 1 AS t, CAST(visitors AS DOUBLE) AS y FROM daily_metrics
+),
+hg_n AS (SELECT site_id, COUNT(*) AS n, max(date) AS last_day FROM daily_metrics GROUP BY site_id),
+hg_i AS (
+  SELECT site_id, SUM(y) FILTER (WHERE t < {m}) / {mm} AS m1, SUM(y) FILTER (WHERE t >= {m} AND t < {2 * m}) / {mm} AS m2,
+    list(y ORDER BY t) FILTER (WHERE t < {m}) AS first
+  FROM hg_y GROUP BY site_id
+),
+hg AS (
+  SELECT site_id, gid, a, b, g, 0 AS t, m1 AS level, (m2 - m1) / {mm} AS trend,
+    list_transform(first, lambda x: x - m1) AS season, CAST(0 AS DOUBLE) AS sse
+  FROM hg_i CROSS JOIN hg_p
+  UNION ALL
+  SELECT site_id, gid, a, b, g, t + 1, nl, b * (nl - level) + ({one} - b) * trend,
+    list_concat(list_slice(season, 1, k), [g * (y - nl) + ({one} - g) * s], list_slice(season, k + 2, {m})),
+    sse + (y - (level + trend + s)) * (y - (level + trend + s))
+  FROM (
+    SELECT r.*, y.y, {k} AS k, r.season[{k} + 1] AS s,
+      r.a * (y.y - r.season[{k} + 1]) + ({one} - r.a) * (r.level + r.trend) AS nl
+    FROM hg r JOIN hg_y y ON y.site_id = r.site_id AND y.t = r.t
+  )
+),
+hg_best AS (
+  SELECT * FROM (
+    SELECT r.*, n.n, n.last_day, row_number() OVER (PARTITION BY r.site_id ORDER BY sse, gid) AS place
+    FROM hg r JOIN hg_n n ON r.site_id = n.site_id AND r.t = n.n
+  ) WHERE place = 1
+)
+SELECT site_id, CAST(last_day + CAST(h.h AS INTEGER) AS DATE) AS date,
+  CASE WHEN n >= {2 * m} THEN CAST(round_even(greatest(level + CAST(h.h AS DOUBLE) * trend
+    + season[CAST((n + h.h - 1) % {m} AS BIGINT) + 1], CAST(0 AS DOUBLE)), 0) AS BIGINT) END AS predicted_visitors
+FROM hg_best CROSS JOIN range(1, {horizon + 1}) h(h)"""
+
+
+def trees_sql(model) -> str:
+    """The summed trees of a boosted model as one expression over its feature columns."""
+    def node(tree: int, i: int) -> str:
+        inner = model.feature.shape[1]
+        if i >= inner:
+            return f"CAST({float(model.value[tree, i - inner])!r} AS DOUBLE)"
+        column, cut = model.features[int(model.feature[tree, i])], float(model.threshold[tree, i])
+        return f"CASE WHEN CAST({column} AS DOUBLE) > {cut!r} THEN {node(tree, 2 * i + 2)} ELSE {node(tree, 2 * i + 1)} END"
+    out = f"CAST({model.base!r} AS DOUBLE)"
+    for t in range(len(model.feature)):
+        out = f"({out} + {node(t, 0)})"
+    return out
+
+
 def latest_snapshot_body(period: int = 30) -> str:
     """Latest stored cycle per site, with the cycle the next run will write."""
     return cycle_kpis_ctes(period) + """
