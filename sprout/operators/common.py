@@ -58,20 +58,6 @@ def thousands_text(x) -> Column:
     return F.concat(F.when(F.rint(_c(x)) < 0, F.lit("-")).otherwise(F.lit("")), grouped)
 
 
-#: Partitions of an iterative fit: a constant, so a fit depends on the data alone.
-FIT_PARTITIONS = 64
-
-
-def hash_layout(df: DataFrame, keys: Sequence[str], partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """Hash-partition by a unique key and sort within partitions before an MLlib fit.
-
-    Float sums are merged per partition, so a fit depends on which rows share a
-    partition and in what order. The layout follows from the key and a constant,
-    neither from the row count nor from the session's settings.
-    """
-    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
-
-
 def records_json(df: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
     """Record export: one JSON object per row (dates as text), column ``record``."""
     cols = [F.date_format(c, date_format).alias(c) if t in ("date", "timestamp", "timestamp_ntz") else F.col(c)

@@ -190,3 +190,15 @@ def test_boosting_doesnt_depend_on_partitioning(spark):
     fits = [fit_models(sampled(p, ["url"], 200), ["word_count", "alt_ratio"], {"m": ("seo_score", "squared")}, rounds=10, depth=3, rate=0.1)["m"]
             for p in (pages.repartition(1), pages.repartition(7))]
     assert fits[0].to_json() == fits[1].to_json()
+
+
+def test_segments_agree_across_layouts(spark):
+    from sprout.operators.segment import UserSegmenter
+    users = spark.createDataFrame(users_frame(1500))
+    labels = []
+    for n in (1, 7):
+        part = users.repartition(n)
+        seg = UserSegmenter(n_init=3)
+        seg.fit(part)
+        labels.append({r["user_id"]: r["segment_label"] for r in seg.predict(users).select("user_id", "segment_label").collect()})
+    assert sum(labels[0][u] == labels[1][u] for u in labels[0]) >= 0.99 * 1500

@@ -62,11 +62,6 @@ def test_materialize_tables_keeps_every_row(spark):
         assert done[name].columns == df.columns
 
 
-def test_fit_layout_depends_on_the_key_alone(spark):
-    from sprout.operators.common import hash_layout
-    assert hash_layout(spark.range(1_000), ["id"]).rdd.getNumPartitions() == hash_layout(spark.range(50_000), ["id"]).rdd.getNumPartitions()
-
-
 def test_long_customer_keys_stay_distinct(spark):
     from sprout.sources.testdata import padded_id
     keys = [7, 999_999, 1_000_001, 1_000_009, 12_345_678]
