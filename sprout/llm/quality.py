@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import apart, store, text_buffers
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MAX_DOCS, MIN_SHARE = 20, 0.3
+#: A line on over MAX_DOCS documents of a host is removed; a document left with less than this is depleted.
+MAX_DOCS, LEFT_WORDS, LEFT_SHARE = 20, 25, 0.3
 SYMBOLS = b"#*$%&|<>"
 NOT_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
 #: UTF-8 bytes that don't start a code point.
@@ -103,7 +104,7 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           + ", line array<bigint>, line_words array<bigint>")
 
 
-def quality(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE,
+def quality(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = LEFT_WORDS, min_share: float = LEFT_SHARE,
             id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Counts, base_failed, words removed with frequent lines, and kept, one row per row."""
     rows, _ = store(text_counts(docs, id_col, text_col, host_col), "quality-counts")
