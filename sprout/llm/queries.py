@@ -103,3 +103,55 @@ SELECT doc_id, CASE WHEN 2 * length(rest) < length(text) THEN text ELSE rest END
        CASE WHEN 2 * length(rest) < length(text) THEN 0 ELSE gone END::INT AS n_removed
 FROM d
 """
+
+ORACLES["op8_embedding_pq"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(a, b) AS (
+  SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), low AS (SELECT a AS vec_id, min(b) AS least FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low.least, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(low.least, vec_id)) AS kept
+FROM embeddings LEFT JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+ORACLES["op10_quality_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents
+), tri AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words) AS n FROM tri) WHERE n > 1
+), inside AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, range(0, 3) r(k) GROUP BY doc_id
+), line AS (
+  SELECT doc_id, source, raw, array_to_string(words, ' ') AS line, len(words) AS n FROM (
+    SELECT doc_id, source, raw, regexp_extract_all(
+      translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS words
+    FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS raw FROM d))
+  WHERE len(words) > 0
+), dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM line GROUP BY doc_id),
+often AS (
+  SELECT source, line, min(doc_id) AS first FROM line GROUP BY source, line HAVING count(DISTINCT doc_id) > 20
+), gone AS (
+  SELECT line.doc_id, sum(line.n) AS n_removed_words
+  FROM line JOIN often ON line.line = often.line AND line.source IS NOT DISTINCT FROM often.source
+  WHERE line.doc_id <> often.first GROUP BY line.doc_id
+), counted AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed_words, 0) AS n_removed_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN inside USING (doc_id) LEFT JOIN gone USING (doc_id)
+), judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND n_words - n_removed_words >= 25 AND n_words - n_removed_words >= 0.3 * n_words AS kept,
+  n_removed_words::BIGINT AS n_removed_words
+FROM judged
+"""
