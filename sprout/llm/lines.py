@@ -45,16 +45,18 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     keys = F.array_compact(F.array_distinct(F.transform(split_lines(F.col(text_col)), line_key)))
     lines, _ = store(docs.select(F.col(id_col).alias("doc_id"), F.col(site_col).cast("string").alias("site"),
                                  F.explode(keys).alias("line_key")), "line-keys")
-    often = lines.groupBy("line_key").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("line_key")
-    seen = lines.where("site IS NOT NULL").join(apart(often, "line_key"), "line_key", "left_semi")
-    spread = (seen.groupBy("line_key").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"))
+    # one row a line and site, combined before the shuffle: a line that every document has is few rows
+    pairs, _ = store(lines.where("site IS NOT NULL").groupBy("line_key", "site").agg(F.count("*").alias("n")), "line-sites")
+    often = pairs.groupBy("line_key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_sites).select("line_key")
+    spread = (pairs.join(apart(often, "line_key"), "line_key", "left_semi")
+              .groupBy("line_key").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"))
               .select("line_key", F.hll_sketch_estimate("sketch").alias("sites")))
     spread, _ = store(spread, "line-spread")
     low, high = min_sites * (1 - MARGIN), min_sites * (1 + MARGIN)
     sure = spread.where(F.col("sites") > high).select("line_key")
     near = spread.where(F.col("sites").between(low, high)).select("line_key")
-    exact = (lines.where("site IS NOT NULL").join(near, "line_key", "left_semi").select("line_key", "site").distinct()
-             .groupBy("line_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line_key"))
+    exact = (pairs.join(near, "line_key", "left_semi").groupBy("line_key").agg(F.count("*").alias("n"))
+             .where(F.col("n") >= min_sites).select("line_key"))
     return sure.unionByName(exact), lines
 
 
