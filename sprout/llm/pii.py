@@ -41,10 +41,10 @@ PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|(?<![0-9])[0-9]{2,4}[ .
 NUMBER = r"(?<![0-9A-Za-z.,_-])[0-9](?:[ -]?[0-9]){8,18}(?![0-9A-Za-z_])"
 CARD = r"(?<![0-9A-Za-z.,_-])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9]|[A-Za-z_])"
 #: A name is one or two words after an honorific; each word is an entity of its own.
-FIRST_NAME = rf"(?<={TITLE} ){NAME}"
-SECOND_NAME = rf"(?<={TITLE} \p{{Lu}}[\p{{L}}'’-]{{1,40}} ){NAME}"
+FIRST_NAME = rf"(?=\p{{Lu}})(?<={TITLE} ){NAME}"
+SECOND_NAME = rf"(?=\p{{Lu}})(?<={TITLE} \p{{Lu}}[\p{{L}}'’-]{{1,40}} ){NAME}"
 ENTITY = "|".join([EMAIL, IBAN, IPV4, SSN, CARD, PHONE, NUMBER, SECOND_NAME, FIRST_NAME])
-HINT = "[0-9]|@|" + TITLE + r" \p{Lu}"
+TITLED = TITLE + r" \p{Lu}"
 #: Syllables of surrogate names by script, and endings by gender.
 SYLLABLES = {
     "latin": "ba,de,fi,go,lu,ma,ne,ri,so,ta,ve,jo,ka,li,mo,na,pe,ra,si,to".split(","),
@@ -55,6 +55,17 @@ ENDINGS = {"latin": {"m": "n", "f": "lia", "n": "s"}, "cyrillic": {"m": "н", "f
            "greek": {"m": "ς", "f": "λια", "n": "ς"}}
 
 
+def hinted(text: Column) -> Column:
+    """Whether a text can hold an entity at all: a digit, an at sign, or an honorific before a capital.
+
+    The plain searches come first; the pattern for honorifics runs only where one occurs.
+    """
+    titles = sorted({t for g in HONORIFICS.values() for t in g})
+    stems = [t for t in titles if not any(t != u and u in t for u in titles)]
+    some = reduce(lambda a, b: a | b, (text.contains(t) for t in stems))
+    return F.coalesce(text.rlike("[0-9@]") | (some & text.rlike(TITLED)), F.lit(False))
+
+
 def script_of(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
@@ -171,7 +182,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
     """All columns of ``docs`` with entities replaced; ``report`` adds n_entities."""
     text = F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    hint = F.coalesce(text.rlike(HINT), F.lit(False))
+    hint = hinted(text)
     parts = docs.where(hint).select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"),
                                     F.split(text, ENTITY, -1).alias("gaps"), found.alias("raws"))
     near = lambda c, i: F.coalesce(F.try_element_at(c, i), F.lit(""))
