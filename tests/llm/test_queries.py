@@ -67,3 +67,14 @@ def test_near_dedup_stage_keeps_one_row_of_a_repeated_id(spark):
         out.collect()
         assert name == "best_fit_packing" or out.columns == docs.columns
         assert stage(spark, brute.table(spark, []), SMALL).count() == 0
+
+
+def test_language_stage_keeps_clean_documents_of_any_size(spark):
+    docs = corpus_pipeline.documents(spark, SMALL)
+    english = "\n".join(r[0] for r in docs.where("lang = 'en' AND text IS NOT NULL").orderBy("doc_id").select("text").collect())
+    long = english * (1 + 4_000_000 // len(english))
+    texts = {-1: "A.", -2: "OK", -3: "Yes, please.", -4: long, -5: "12 - 34", -6: None}
+    added = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    more = docs.unionByName(added, allowMissingColumns=True)
+    kept = {r[0] for r in corpus_pipeline.language_id(spark, more, SMALL).where("doc_id < 0").select("doc_id").collect()}
+    assert kept == {-1, -2, -3, -4}
