@@ -1,28 +1,39 @@
-"""Gradient-boosted trees: fitted on a bounded sample of labelled rows, scored on every row.
+"""Gradient-boosted trees: level by level on quantile-binned features, second-order leaf values.
 
-A fit takes the ``fit_rows`` labelled rows with the smallest key hash (so it
-depends on the data alone, not on partitions or cluster settings) and runs all
-its rounds in one task; several models are several tasks of one job. Trees are
-grown level by level on quantile-binned features with second-order leaf values.
+Regressors and the ranker are fitted on every training row (``fit_whole``): binned
+rows are a stored table of blocks, each level's (node, feature, bin) sums are taken
+inside the tasks, and the driver chooses the splits from them. Gradients are rounded
+to a fixed binary grid, so that sums are exact and don't depend on partitions.
+
+Classifiers take the ``fit_rows`` labelled rows with the smallest key hash and run
+all rounds in one task (``fit_models``); several models are several tasks of one job.
+So does ``fit_whole`` where all training rows are no more than that.
 Scoring is a vectorised function over Arrow batches.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import md5_key
-from ..session import path_exists
+from ..session import path_exists, store
 
 FIT_ROWS = 10_000
 BINS = 64
+UNSPLIT = 255     # a bin no row is above
+ADVANCE = 8       # rounds between stored scores
+TASK_ROWS = 500_000
+DIRECT_PARTS = 64  # sums of more tasks are added up in the cluster first
 
 
 @dataclass
@@ -157,6 +168,172 @@ def fit_models(sample: DataFrame, features: Sequence[str], targets: dict[str, tu
     return {r["model"]: Boosted.from_json(r["trees"]) for r in done}
 
 
+class Block:
+    """Binned rows of one task's share; listwise rows are sorted, so only a block's end groups go on in others."""
+
+    def __init__(self, n: int, bins: bytes, y: bytes, draw: bytes, code: bytes, ends: tuple[str, str], base: float):
+        self.bins = np.frombuffer(bins, np.uint8).reshape(n, -1)
+        self.y, self.draw, self.code = np.frombuffer(y), np.frombuffer(draw, np.uint64), np.frombuffer(code, np.int32)
+        self.starts = np.flatnonzero(np.diff(self.code, prepend=-1))
+        self.ends, self.score = ends, np.full(n, base)
+
+    def leaf(self, which: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+        rows, node = np.arange(len(self.y)), np.zeros(len(self.y), np.int64)
+        for level in range(levels):
+            at = node + (1 << level) - 1
+            node = 2 * node + (self.bins[rows, which[at]] > cut[at])
+        return node
+
+    def advanced(self, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        score = self.score
+        for which, cut, value in trees:
+            score = score + value[self.leaf(which, cut, len(value).bit_length() - 1)]
+        return score
+
+    def used(self, r: int, seed: int, share: float) -> np.ndarray:
+        """The rows a round draws, by their key hash."""
+        z = self.draw + np.uint64((0x9E3779B97F4A7C15 * (seed * 100_003 + r + 1)) % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) < share * 2.0 ** 53
+
+    def softmax(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per own group: top score, sum of exponentials above it, sum of gains."""
+        top = np.maximum.reduceat(score, self.starts)
+        return (top, np.add.reduceat(np.exp(score - top[self.code]), self.starts),
+                np.add.reduceat(2.0 ** self.y - 1, self.starts))
+
+    def slopes(self, score: np.ndarray, shared: dict | None) -> tuple[np.ndarray, np.ndarray]:
+        if shared is None:
+            return score - self.y, np.ones_like(score)
+        top, total, gains = self.softmax(score)
+        for k, key in ((0, self.ends[0]), (-1, self.ends[1])):
+            top[k], total[k], gains[k] = shared[key]
+        p = np.exp(score - top[self.code]) / total[self.code]
+        gain = gains[self.code]
+        target = np.where(gain > 0, (2.0 ** self.y - 1) / np.maximum(gain, 1e-12), 0)
+        return p - target, np.maximum(p * (1 - p), 1e-9)
+
+
+def end_sums(blocks: RDD, trees: list) -> dict[str, tuple[float, float, float]]:
+    """Softmax sums of the groups at the ends of blocks, over all their blocks: at most two a block."""
+    def run(part: Iterator[Block]) -> Iterator[tuple]:
+        for b in part:
+            sums = b.softmax(b.advanced(trees))
+            for k in {0, len(b.starts) - 1}:
+                yield b.ends[k > 0], *(float(x[k]) for x in sums)
+
+    out = {}
+    for key, top, total, gains in sorted(blocks.mapPartitions(run).collect()):
+        a, b, c = out.get(key, (top, 0.0, 0.0))
+        high = max(a, top)
+        out[key] = high, b * math.exp(a - high) + total * math.exp(top - high), c + gains
+    return out
+
+
+def level_sums(blocks: RDD, parts: int, trees: list, which: np.ndarray, cut: np.ndarray, level: int, shared: dict | None,
+               grid: float, r: int, seed: int, share: float) -> np.ndarray:
+    """(gradient, hessian, rows) sums by node, feature and bin over the rows the round draws."""
+    width = 1 << level
+
+    def run(part: Iterator[Block]) -> Iterator[np.ndarray]:
+        sums = None
+        for b in part:
+            g, h = (np.rint(v / grid) * grid for v in b.slopes(b.advanced(trees), shared))
+            use, f = b.used(r, seed, share), b.bins.shape[1]
+            key = ((b.leaf(which, cut, level)[use, None] * f + np.arange(f)) * BINS + b.bins[use]).ravel()
+            own = np.array([np.bincount(key, w, width * f * BINS) for w in (np.repeat(g[use], f), np.repeat(h[use], f), None)])
+            sums = own if sums is None else sums + own
+        if sums is not None:
+            yield sums.reshape(3, width, -1, BINS)
+
+    each = blocks.mapPartitions(run)
+    return each.treeReduce(np.add) if parts > DIRECT_PARTS else sum(each.collect())
+
+
+def fit_whole(train: DataFrame, features: Sequence[str], target: str, objective: str, keys: Sequence[str], rounds: int,
+              depth: int, rate: float, seed: int = 42, group: str | None = None, min_rows: int = 1, l2: float = 1.0,
+              rows: float = 0.9, columns: float = 0.9) -> Boosted:
+    """Fit one ``squared`` or ``listwise`` model on every row of ``train``; ``keys`` name a row."""
+    features, f, spark = list(features), len(features), train.sparkSession
+    options = dict(min_rows=min_rows, l2=l2, rows=rows, columns=columns)
+    plain = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(-math.inf)), F.lit(-math.inf))
+    known = store(train.where(F.col(target).isNotNull()).select(
+        *[plain(c).alias(f"x{j}") for j, c in enumerate(features)], F.col(target).cast("double").alias("y"),
+        F.xxhash64(*keys).alias("draw"), F.coalesce(F.col(group).cast("string") if group else F.lit(""), F.lit("")).alias("g")), "boost-rows")
+    n, mean, largest = known.agg(F.count("*"), F.avg("y"), F.max(F.abs("y"))).first()
+    if n <= FIT_ROWS:
+        return fit_models(train, features, {"m": (target, objective)}, rounds, depth, rate, seed, group, **options)["m"]
+
+    listwise_fit = objective == "listwise"
+    base = 0.0 if listwise_fit else float(f"{mean:.12g}")
+    grid = 2.0 ** -26 if listwise_fit else 2.0 ** (math.ceil(math.log2(max(largest, 1e-9))) - 24)
+    at = F.array(*[F.lit(float(q)) for q in np.linspace(0, 1, BINS + 1)[1:-1]])
+    marks = known.select(*[F.percentile_approx(f"x{j}", at, F.lit(10_000)) for j in range(f)]).first()
+    edges = [np.unique(m) for m in marks]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            bins = np.column_stack([np.searchsorted(e, batch.column(j).to_numpy(zero_copy_only=False)) for j, e in enumerate(edges)])
+            y, draw = (batch.column(f + k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            g = batch.column(f + 2).to_pylist()
+            code = np.cumsum(np.array([a != b for a, b in zip(g, [g[0], *g])]), dtype=np.int32)
+            packed = [bins.astype(np.uint8).tobytes(), y.astype(float).tobytes(), draw.astype(np.int64).tobytes(), code.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32()), *[pa.array([v], pa.binary()) for v in packed],
+                                              pa.array([g[0]]), pa.array([g[-1]])], ["n", "bins", "y", "draw", "code", "a", "b"])
+
+    tasks = min(-(-n // FIT_ROWS), max(2 * spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
+    dealt = known.repartitionByRange(tasks, "g", "draw").sortWithinPartitions("g", "draw") if listwise_fit else known.repartition(tasks)
+    table = store(dealt.mapInArrow(pack, "n int, bins binary, y binary, draw binary, code binary, a string, b string"), "boost-blocks")
+    blocks = table.rdd.map(lambda r: Block(r["n"], r["bins"], r["y"], r["draw"], r["code"], (r["a"], r["b"]), base))
+    blocks = blocks.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+
+    rng, pending, older = np.random.default_rng(seed), [], None
+    out = Boosted(features, base, np.zeros((rounds, 2 ** depth - 1), np.int64),
+                  np.full((rounds, 2 ** depth - 1), np.inf), np.zeros((rounds, 2 ** depth)), np.zeros(f))
+    for r in range(rounds):
+        shared = end_sums(blocks, pending) if listwise_fit else None
+        closed = np.ones(f, bool)
+        closed[rng.choice(f, max(1, round(columns * f)), replace=False)] = False
+        which, cuts = np.zeros(2 ** depth - 1, np.int64), np.full(2 ** depth - 1, UNSPLIT)
+        for level in range(depth):
+            width = 1 << level
+            sums = level_sums(blocks, tasks, pending, which, cuts, level, shared, grid, r, seed, rows)
+            if older is not None:
+                older, _ = None, older.unpersist()
+            (gl, hl, nl), (gt, ht, nt) = (x := sums.cumsum(3)), x[..., -1:]
+            won = gl ** 2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt ** 2 / (ht + l2)
+            won[(nl < min_rows) | (nt - nl < min_rows)] = 0
+            won[:, closed] = 0
+            best = won.reshape(width, -1).argmax(1)
+            gain = won.reshape(width, -1)[np.arange(width), best]
+            feature, cut, split, first = best // BINS, best % BINS, gain > 1e-9, width - 1
+            which[first:first + width] = feature
+            cuts[first:first + width] = np.where(split, cut, UNSPLIT)
+            out.threshold[r, first:first + width] = [edges[j][c] if s else np.inf for j, c, s in zip(feature, cut, split)]
+            np.add.at(out.gain, feature[split], gain[split])
+        # the last level's sums on both sides of its cuts are those of the leaves
+        own = np.arange(width), feature, np.where(split, cut, BINS - 1)
+        g, h = (np.stack([left[own], total[own[0], own[1], 0] - left[own]], 1).ravel() for left, total in ((gl, gt), (hl, ht)))
+        out.feature[r], out.value[r] = which, -rate * g / (h + l2)
+        pending.append((which, cuts, out.value[r]))
+        if len(pending) == ADVANCE:
+            older, blocks, pending = blocks, advance(blocks, pending), []
+    blocks.unpersist()
+    return out
+
+
+def advance(blocks: RDD, trees: list) -> RDD:
+    """The blocks with the trees' values in their scores."""
+    def run(b: Block) -> Block:
+        b.score = b.advanced(trees)
+        return b
+
+    return blocks.map(run).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def scored(model: Boosted, link: str = "raw") -> Column:
     """The model's value for every row, from its feature columns."""
     @F.pandas_udf("double")

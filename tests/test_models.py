@@ -202,3 +202,38 @@ def test_segments_agree_across_layouts(spark):
         seg.fit(part)
         labels.append({r["user_id"]: r["segment_label"] for r in seg.predict(users).select("user_id", "segment_label").collect()})
     assert sum(labels[0][u] == labels[1][u] for u in labels[0]) >= 0.99 * 1500
+
+
+def whole_frame(n=600):
+    import pandas as pd
+    i = pd.Series(range(n))
+    return pd.DataFrame({"k": i, "g": (i % 40).where(i % 3 > 0, 999), "a": i * 7 % 10, "b": i * 13 % 9,
+                         "y": (i * 7 % 10 > 6) * 2.0 + (i * 13 % 9 > 4) * (i % 2) + 0.0})
+
+
+@pytest.mark.parametrize("objective, group", [("squared", None), ("listwise", "g")])
+def test_a_spread_fit_uses_every_row(spark, monkeypatch, objective, group):
+    from sprout.operators import boosting
+    pdf, shape = whole_frame(), dict(rounds=10, depth=3, rate=0.3, min_rows=5, rows=1.0, columns=1.0)
+    monkeypatch.setattr(boosting, "FIT_ROWS", 100)
+    frame = spark.createDataFrame(pdf)
+    fits = [boosting.fit_whole(p, ["a", "b"], "y", objective, ["k"], group=group, **shape) for p in (frame.repartition(1), frame.repartition(5))]
+    assert fits[0].to_json() == fits[1].to_json()
+    # one task over all rows gives the same trees, although keyword 999 has a third of the rows, in several blocks
+    x, y = pdf[["a", "b"]].to_numpy(float), pdf["y"].to_numpy(float)
+    aim = boosting.squared(y) if group is None else boosting.listwise(y, pdf["g"].to_numpy())
+    want = boosting.boost(x, aim, ["a", "b"], **shape)
+    assert max(abs(fits[0].raw(x) - want.raw(x))) < 1e-4
+
+
+def test_models_are_fitted_on_all_rows_above_the_sample_bound(spark, monkeypatch):
+    from sprout.operators import boosting
+    from sprout.operators.models import CustomerIntelligence
+    monkeypatch.setattr(boosting, "FIT_ROWS", 200)
+    users = spark.createDataFrame(users_frame(1000))
+    ci = CustomerIntelligence(rounds=3, fit_rows=200)
+    ci.fit(users)
+    from sprout.operators.features import stratified_split
+    lab = users.withColumn("_purchase", (F.col("num_orders") > 0).cast("double"))
+    train = stratified_split(lab, "_purchase", "user_id", 0.25).where("split = 'train'")
+    assert math.isclose(ci.models["clv"].base, train.agg(F.avg("total_spent")).first()[0], rel_tol=1e-9)
