@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -301,6 +302,28 @@ class Vocabulary:
         ids = flat[np.repeat(first[index] - ends + n, n) + np.arange(ends[-1])]
         return ids, np.append(0, ends)[np.searchsorted(starts, offsets)]
 
+    def encode_added(self, data: np.ndarray, offsets: np.ndarray, added: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` with texts split at added tokens (the longest where several start), which have ids of their own."""
+        raw, cuts = data.tobytes(), offsets.tolist()
+        pattern = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)))
+        if not pattern.search(raw):
+            return self.encode(data, offsets)
+        parts, ends, special, after, n_before = [], [0], [], [], [0]
+        for a, b in zip(cuts, cuts[1:]):
+            for m in pattern.finditer(raw, a, b):
+                parts.append(raw[a:m.start()])
+                ends.append(ends[-1] + len(parts[-1]))
+                special.append(added[m.group()])
+                after.append(len(parts))
+                a = m.end()
+            parts.append(raw[a:b])
+            ends.append(ends[-1] + len(parts[-1]))
+            n_before.append(len(special))
+        ids, first = self.encode(np.frombuffer(b"".join(parts), np.uint8), np.array(ends, np.int64))
+        n_before = np.array(n_before)
+        docs = np.arange(len(cuts)) + n_before  # index of each text's first part
+        return np.insert(ids, first[after], special), first[docs] + n_before
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of ids, and the byte offset of each id (length ids + 1)."""
         return text_buffers(self.tokens.take(pa.array(ids, pa.int32())))
@@ -312,9 +335,10 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-           offsets: bool = False, decoded: bool = False) -> DataFrame:
+           offsets: bool = False, decoded: bool = False, added: dict[bytes, int] | None = None) -> DataFrame:
     """Encode whole texts: (id, n_tokens, ids) with ids as packed little-endian uint32.
 
+    ``added`` are tokens that texts are split at first (without ``offsets`` and ``decoded``).
     ``offsets`` adds each token's byte offset in its document (packed the same
     way); ``decoded`` decodes the ids again in the same pass and adds the bytes.
     """
@@ -326,7 +350,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             data, offs = text_buffers(batch.column(1))
             for lo, hi in chunks(offs):
-                ids, first = vocab.encode(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
+                chunk, starts = data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
+                ids, first = vocab.encode_added(chunk, starts, added) if added else vocab.encode(chunk, starts)
                 cols = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)),
                         binary_array(ids.astype("<u4").view(np.uint8), first * 4)]
                 if offsets or decoded:

@@ -24,6 +24,7 @@ import json
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -40,10 +41,22 @@ BLOCK_ROWS = 200_000
 Pattern = tuple[int, ...]
 
 
+def added_tokens(path: str) -> dict[bytes, int]:
+    """Added tokens of the tokenizer JSON beside a vocabulary file; none without that file."""
+    described = Path(path).with_suffix(".json")
+    tokens = json.loads(described.read_text())["added_tokens"] if described.exists() else []
+    if odd := [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+        raise ValueError(f"added tokens that depend on their surroundings are not supported: {odd}")
+    return {t["content"].encode(): t["id"] for t in tokens}
+
+
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, keep_ids: bool = False,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and end id, cut."""
-    coded = bpe.encode(docs, path, id_col, text_col).select(
+    """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and end id, cut.
+
+    The tokenizer's added tokens (``<|endoftext|>``) are matched in text, as the library does.
+    """
+    coded = bpe.encode(docs, path, id_col, text_col, added=added_tokens(path)).select(
         F.col(id_col).alias("doc_id"), (F.col("n_tokens") + 1).alias("n"),
         F.concat("ids", F.lit(end_id.to_bytes(4, "little"))).alias("all"))
     first = F.pmod(F.col("n") - 1, F.lit(size)) + 1

@@ -343,3 +343,14 @@ def test_components(spark):
     want = brute.components({x for a, b in edges if a != b for x in (a, b)}, edges)
     assert {r["node"]: r["component"] for r in found.collect()} == want
     assert components(spark.createDataFrame([], "u bigint, v bigint"), "test-none")[0].count() == 0
+
+
+def test_packing_matches_added_tokens_in_text(spark):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["a" + end + "b", end, end + "start", "stop" + end, end * 3, f"a {end} b {end}{end}\n\n c", "no token  ", "", None,
+             "<|endoftext", "|>", "ä" + end + "ö " * 1500 + end, "x<|endoftext|" + end]
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pieces(
+        brute.table(spark, list(enumerate(texts))), RANKS, size=1 << 20, keep_ids=True).collect()}
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
