@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, over whole tables, and their DuckDB SQL."""
+"""Registered queries of the operators, over whole tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, packing, pii, quality, secrets, simhash, suffixes, vectors
+from . import (bpe, conversations, langid, lines, packing, pii, quality, secrets, simhash, suffixes, superkmers, variants,
+               vectors)
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +86,42 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.remove_boilerplate(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
 
 
+@register
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every damaged conversation."""
+    rows = conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.repair(rows, gone="gone")
+
+
+@register
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text covered by a 35-word window that occurs again."""
+    return superkmers.remove_repeats(documents(spark, sf_dir), 35, keep_text=False)
+
+
+@register
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words' number, its form and root."""
+    return variants.variants(documents(spark, sf_dir), damage=199)
+
+
+ORACLES["op12_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY words) AS n FROM win) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS at FROM again, range(0, 35) r(k)
+), word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS words FROM word ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES["op7_line_dedup"] = """
 WITH l AS (
   SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import functools
 import hashlib
 import re
 import zlib
@@ -114,3 +116,98 @@ def tokenizer():
         _TOKENIZER.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
         _TOKENIZER[0].encode_special_tokens = True
     return _TOKENIZER[0]
+
+
+def repeated_words_removed(rows, window=35):
+    """(id, n_words, n_removed, sha256 of kept words) of each (id, text) row."""
+    split = [(i, re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for i, t in rows]
+    count = collections.Counter(tuple(w[k:k + window]) for _, w in split for k in range(len(w) - window + 1))
+    out = []
+    for i, w in split:
+        gone = {j for k in range(len(w) - window + 1) if count[tuple(w[k:k + window])] > 1 for j in range(k, k + window)}
+        left = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(left).hexdigest()))
+    return out
+
+
+def one_edit(a, b):
+    a, b = sorted((a, b), key=len)
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) - len(a) == 1 and any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+
+
+def spelling_variants(rows, length=6, least=5, damage=199, ratio=5):
+    """(word, form, root, n, n_near, form_n): neighbours by deleting each letter."""
+    n = collections.Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", t or ""):
+            run = re.sub("[A-Z]", lambda m: m.group().lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if damage and h % damage == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            n[run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= length and k >= least}
+    index = collections.defaultdict(set)
+    for w in n:
+        for k in range(len(w)):
+            index[w[:k] + w[k + 1:]].add(w)
+    near = collections.defaultdict(set)
+    for cut, words in index.items():
+        both = words | ({cut} & n.keys())
+        for a in both:
+            near[a] |= {b for b in both if one_edit(a, b)}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        if best is not None and n[best] >= ratio * n[w]:
+            form[w] = best
+
+    def root(w):
+        return root(form[w]) if w in form else w
+    return [(w, form.get(w), root(w), k, len(near[w]), n.get(form.get(w))) for w, k in n.items()]
+
+
+def conversation(rows):
+    """Facts, cheapest edits (all of them tried) and digest of one conversation's (turn, role, text) rows."""
+    rows = sorted(rows, key=lambda m: (m[0] is not None, m[0] or 0, m[1], hashlib.sha256(f"{len(m[1])}:{m[1]}{m[2]}".encode()).digest()))
+    seen, faults = set(), []
+    for _, role, text in rows:
+        shown = re.sub("[\x20\x09-\x0D]", "", text)
+        faults.append("b" if not shown else "d" if (role, text) in seen else "t" if shown[-1] not in ".!?" else "")
+        seen.add((role, text))
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    grammar = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+
+    @functools.cache
+    def best(i, state, put_in):
+        ways = [(0, "", "")] if i == len(rows) and state in (0, 3) else []
+        choices = [("I", i, 2, r, "") for r in ("user", "assistant")] if put_in < 3 else []
+        if i < len(rows):
+            _, role, text = rows[i]
+            if rest := best(i + 1, state, 0):
+                ways.append((3 + rest[0], "D" + rest[1], rest[2]))
+            if faults[i] not in ("b", "d"):
+                extra = faults[i] == "t"
+                choices += [("K", i + 1, extra, role, text), *[("R", i + 1, 2 + extra, r, text) for r in ("user", "assistant")]]
+        for letter, to, cost, role, text in choices:
+            if (state, role[:1]) in grammar and (rest := best(to, grammar[state, role[:1]], put_in + 1 if letter == "I" else 0)):
+                ways.append((cost + rest[0], letter + rest[1], f"\n{role}:{text}{rest[2]}"))
+        return min(ways, default=None)
+
+    cost, audit, text = best(0, 0, 0)
+    return (gaps, *map(faults.count, "bdt"), illegal, cost, audit, hashlib.sha256(text[1:].encode()).hexdigest())
+
+
+def damaged_conversations(rows):
+    """(conv_id, *facts) of all conversations after the damage by hash."""
+    plain = lambda v: " " if v is None else str(v)
+    groups = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        group, draw, role, text = groups[conv], zlib.crc32(f"{plain(conv)}:{plain(turn)}".encode()) % 20, plain(role), plain(text)
+        if draw:
+            text = "" if draw == 1 else re.sub("[.!?]", "", text) if draw == 2 else text
+            group += [(turn, "user" if draw == 4 else role, text)] * (2 if draw == 3 else 1)
+    return [(conv, *conversation(group)) for conv, group in groups.items()]
