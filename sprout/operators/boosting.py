@@ -1,61 +1,80 @@
-"""Gradient-boosted trees: level by level on quantile-binned features, second-order leaf values.
-
-Regressors and the ranker are fitted on every training row (``fit_whole``): binned
-rows are a stored table of blocks, each level's (node, feature, bin) sums are taken
-inside the tasks, and the driver chooses the splits from them. Gradients are rounded
-to a fixed binary grid, so that sums are exact and don't depend on partitions.
-
-Classifiers take the ``fit_rows`` labelled rows with the smallest key hash and run
-all rounds in one task (``fit_models``); several models are several tasks of one job.
-So does ``fit_whole`` where all training rows are no more than that.
-Scoring is a vectorised function over Arrow batches.
+"""Gradient-boosted trees on quantile-binned features, second-order leaf values, fitted on every training row.
+
+A tree grows from (node, feature, bin) sums of gradients, curvatures and rows. Only the
+smaller child of a split is summed; its sibling is the difference. A tree takes the best
+splits first, up to a number of leaves or a depth; nodes that may be split are summed
+together, a depth at a time.
+
+One algorithm has two plans. Up to ``TASK_ROWS`` rows a fit is one task, and several
+fits are tasks of one job. Above, binned rows are a stored table of blocks; a job sums
+what a step of the growing tree needs, the driver chooses the splits from those bounded
+sums, and the scores are stored with the blocks every ``STORED_EVERY`` rounds, so that a
+lost executor costs a few rounds at most. Quantiles are exact, row draws come from key
+hashes, and gradients are rounded to a binary grid on which sums are exact, so both
+plans, and all layouts of the rows, give equal trees.
+
+Objectives: ``squared``, ``logistic``, and ``lambdarank`` (Burges, "From RankNet to
+LambdaRank to LambdaMART", 2010): pairs of a group's ``TOP`` best-placed rows with all
+rows placed lower, weighted by what their exchange changes in NDCG at ``TOP``. That is
+linear in a group's rows, and a group may lie in several blocks.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import md5_key
-from ..session import path_exists, store
+from ..session import discard_path, path_exists, store_at
 
-FIT_ROWS = 10_000
 BINS = 64
-UNSPLIT = 255     # a bin no row is above
-ADVANCE = 8       # rounds between stored scores
-TASK_ROWS = 500_000
-DIRECT_PARTS = 64  # sums of more tasks are added up in the cluster first
+TASK_ROWS = 500_000     # rows of a fit that one task takes
+BLOCK_ROWS = 250_000
+STORED_EVERY = 16       # rounds between stored scores
+DIRECT_PARTS = 64       # sums of more tasks are added up in the cluster first
+TOP = 30                # places whose pairs a ranking gradient takes
+LEAST_GAIN = 1e-9
 
 
 @dataclass
 class Boosted:
-    """Complete binary trees: split feature and threshold per inner node, value per leaf."""
+    """Trees: feature, threshold and children of the inner nodes, root first, and leaf values.
+
+    A child is an inner node's number, or ``~k`` for leaf k; without ``left`` and
+    ``right`` the trees are complete, a depth after the other.
+    """
 
     features: list[str]
     base: float
-    feature: np.ndarray    # rounds x (2^depth - 1)
-    threshold: np.ndarray  # same; infinity where a node isn't split
-    value: np.ndarray      # rounds x 2^depth
-    gain: np.ndarray       # per feature
+    feature: list[np.ndarray]
+    threshold: list[np.ndarray]
+    value: list[np.ndarray]
+    gain: np.ndarray        # per feature
+    left: list[np.ndarray] = field(default_factory=list)
+    right: list[np.ndarray] = field(default_factory=list)
+
+    def __post_init__(self):
+        if not len(self.left):
+            for t in self.feature:
+                child, n = 2 * np.arange(len(t)) + 1, len(t)
+                self.left.append(np.where(child < n, child, ~(child - n)))
+                self.right.append(np.where(child + 1 < n, child + 1, ~(child + 1 - n)))
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        x = np.where(np.isnan(x), -np.inf, x)
-        rows, inner = np.arange(len(x)), self.feature.shape[1]
+        columns = np.ascontiguousarray(np.where(np.isnan(x), -np.inf, x).T)
         out = np.full(len(x), self.base)
-        for feature, threshold, value in zip(self.feature, self.threshold, self.value):
-            node = np.zeros(len(x), np.int64)
-            while node[0] < inner if len(node) else False:
-                node = 2 * node + 1 + (x[rows, feature[node]] > threshold[node])
-            out += value[node - inner]
+        for feature, threshold, value, left, right in zip(self.feature, self.threshold, self.value, self.left, self.right):
+            out += value[descend(columns, 0 if len(feature) else ~0, feature, threshold, left, right)]
         return out
 
     def importance(self) -> list[tuple[str, float]]:
@@ -63,275 +82,614 @@ class Boosted:
         return [(f, float(g) / total) for f, g in zip(self.features, self.gain)]
 
     def to_json(self) -> str:
-        plain = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
+        plain = {k: [np.asarray(a).tolist() for a in v] if k in TREE_PARTS else v.tolist() if isinstance(v, np.ndarray) else v
+                 for k, v in self.__dict__.items()}
         return json.dumps(plain)
 
     @classmethod
     def from_json(cls, text: str) -> "Boosted":
         x = json.loads(text)
-        return cls(x["features"], x["base"], *(np.array(x[k]) for k in ("feature", "threshold", "value", "gain")))
-
-
-def squared(y: np.ndarray):
-    return float(y.mean()), lambda s: (s - y, np.ones_like(y))
+        parts = {k: [np.array(a, float if k in ("threshold", "value") else int) for a in x[k]] for k in TREE_PARTS if k in x}
+        return cls(x["features"], x["base"], gain=np.array(x["gain"]), **parts)
+
+
+TREE_PARTS = ("feature", "threshold", "value", "left", "right")
+
+
+def descend(columns: np.ndarray, start: int, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The end that each row reaches; children below zero are ends."""
+    at = np.full(columns.shape[1], start)
+    rows = np.arange(len(at)) if start >= 0 else np.zeros(0, int)
+    while len(rows):
+        node = at[rows]
+        at[rows] = after = np.where(columns[feature[node], rows] > cut[node], right[node], left[node])
+        rows = rows[after >= 0]
+    return ~at
+
+
+# ---------------------------------------------------------------- growth
+class Shape(NamedTuple):
+    depth: int
+    leaves: int
+    min_rows: int
+    l2: float
+
+
+class Split(NamedTuple):
+    node: int
+    feature: int
+    cut: int
+    left: int
+    right: int
+
+
+class Growth:
+    """A growing tree: every node that was summed, whether the tree keeps it or not."""
+
+    def __init__(self, shape: Shape, closed: np.ndarray):
+        self.shape, self.closed = shape, closed
+        self.sums, self.depth, self.best, self.kids = [], [], [], []
+
+    def add(self, sums: np.ndarray, depths: Sequence[int]) -> None:
+        """New nodes with (gradient, curvature, rows) sums by feature and bin."""
+        left = sums.cumsum(3)
+        total = left[..., -1:]
+        (gl, hl, nl), (gt, ht, nt) = left.swapaxes(0, 1), total.swapaxes(0, 1)
+        l2 = self.shape.l2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            won = np.nan_to_num(gl ** 2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt ** 2 / (ht + l2), nan=0.0, posinf=0.0, neginf=0.0)
+        won[(nl < self.shape.min_rows) | (nt - nl < self.shape.min_rows)] = 0
+        won[:, self.closed] = 0
+        flat = won.reshape(len(sums), -1)
+        for k, at in enumerate(flat.argmax(1).tolist()):
+            feature, cut = divmod(at, BINS)
+            self.best.append((float(flat[k, at]), feature, cut, bool(2 * nl[k, feature, cut] > nt[k, feature, 0])))
+        self.sums += list(sums)
+        self.depth += depths
+        self.kids += [None] * len(sums)
+
+    def may_split(self, node: int) -> bool:
+        return self.best[node][0] > LEAST_GAIN and self.depth[node] < self.shape.depth
+
+    def chosen(self) -> tuple[list[int], list[int]]:
+        """Splits of the tree, best first, and the nodes to be summed before that is sure."""
+        heap, kept, wanted, leaves = [(-self.best[0][0], 0)] if self.may_split(0) else [], [], [], 1
+        while heap and leaves < self.shape.leaves:
+            _, node = heapq.heappop(heap)
+            leaves += 1
+            if self.kids[node] is None:
+                wanted.append(node)
+                continue
+            kept.append(node)
+            for kid in self.kids[node]:
+                if self.may_split(kid):
+                    heapq.heappush(heap, (-self.best[kid][0], kid))
+        return kept, wanted
+
+    def widen(self, nodes: list[int], summed: Callable) -> None:
+        """Split the nodes; only the smaller child of each is summed."""
+        splits, small, first = [], [], len(self.sums)
+        for k, node in enumerate(nodes):
+            _, feature, cut, left_larger = self.best[node]
+            self.kids[node] = first + 2 * k, first + 2 * k + 1
+            splits.append(Split(node, feature, cut, *self.kids[node]))
+            small.append(self.kids[node][left_larger])
+        found = summed(splits, small)
+        both = np.empty((2 * len(nodes), *found.shape[1:]))
+        for k, node in enumerate(nodes):
+            own = small[k] - first
+            both[own], both[own ^ 1] = found[k], self.sums[node] - found[k]
+            self.sums[node] = self.sums[node][:, 0].sum(-1)  # the totals are enough from here
+        self.add(both, [self.depth[n] + 1 for n in nodes for _ in (0, 1)])
+
+    def finish(self, kept: list[int], rate: float) -> tuple:
+        """(feature, cut, value, left, right) of the tree, and the leaf of every node."""
+        number, leaf = {n: k for k, n in enumerate(kept)}, np.zeros(len(self.sums), int)
+        value, todo = [], [(0, None)]
+        code = {}
+        while todo:
+            node, own = todo.pop()
+            if own is None and node not in number:
+                totals = self.sums[node] if self.sums[node].ndim == 1 else self.sums[node][:, 0].sum(-1)
+                own = len(value)
+                value.append(-rate * totals[0] / (totals[1] + self.shape.l2) if totals[1] + self.shape.l2 > 0 else 0.0)
+                code[node] = ~own
+            leaf[node] = own if own is not None else -1
+            todo += [(kid, own) for kid in reversed(self.kids[node] or ())]
+        code |= number
+        left, right = (np.array([code[self.kids[n][s]] for n in kept], int) for s in (0, 1))
+        feature, cut = (np.array([self.best[n][1 + s] for n in kept], int) for s in (0, 1))
+        return (feature, cut, np.array(value), left, right), leaf
+
+
+def boost(rows, features: Sequence[str], base: float, edges: list[np.ndarray], shape: Shape, rounds: int, rate: float,
+          seed: int, columns: float) -> Boosted:
+    """All rounds over ``rows``, which gives sums and takes finished trees (``TaskRows`` or ``SpreadRows``)."""
+    rng, f = np.random.default_rng(seed), len(features)
+    out = Boosted(list(features), base, [], [], [], np.zeros(f))
+    for r in range(rounds):
+        closed = np.ones(f, bool)
+        closed[rng.choice(f, max(1, round(columns * f)), replace=False)] = False
+        tree = Growth(shape, closed)
+        tree.add(rows.root(r), [0])
+        while (now := tree.chosen())[1]:
+            tree.widen(now[1], rows.summed)
+        kept = now[0]
+        (feature, cut, value, left, right), leaf = tree.finish(kept, rate)
+        for part, x in zip(TREE_PARTS, (feature, np.array([edges[j][c] for j, c in zip(feature, cut)], float), value, left, right)):
+            getattr(out, part).append(x)
+        np.add.at(out.gain, feature, [tree.best[n][0] for n in kept])
+        rows.finished((feature, cut, value, left, right), leaf)
+    return out
 
 
-def logistic(y: np.ndarray):
-    mean = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
+# ---------------------------------------------------------------- rows
+def pair(head: tuple, row: tuple, inverse, grid: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature on the lower-placed row of a pair; the head's gradient is the negative."""
+    (hs, hg, hd), (rs, rg, rd) = head, row
+    better = np.sign(hg - rg)
+    rho = 1 / (1 + np.exp(np.clip(better * (hs - rs), -60, 60)))
+    weight = np.abs(hg - rg) * np.abs(hd - rd) * inverse
+    return np.rint(better * rho * weight / grid) * grid, np.rint(rho * (1 - rho) * weight / grid) * grid
 
-    def slopes(s):
-        p = 1 / (1 + np.exp(-s))
-        return p - y, np.maximum(p * (1 - p), 1e-9)
-    return float(np.log(mean / (1 - mean))), slopes
 
+DISCOUNT = np.append(1 / np.log2(np.arange(TOP) + 2), 0.0)
 
-def listwise(y: np.ndarray, group: np.ndarray):
-    """Softmax cross-entropy of each group against its normalised gains 2^label - 1."""
-    _, at = np.unique(group, return_inverse=True)
-    gains = 2.0 ** y - 1
-    per_group = np.bincount(at, gains)[at]
-    target = np.where(per_group > 0, gains / np.maximum(per_group, 1e-12), 0)
 
-    def slopes(s):
-        top = np.full(at.max() + 1, -np.inf)
-        np.maximum.at(top, at, s)
-        e = np.exp(s - top[at])
-        p = e / np.bincount(at, e)[at]
-        return p - target, np.maximum(p * (1 - p), 1e-9)
-    return 0.0, slopes
+def discount(place: np.ndarray) -> np.ndarray:
+    return DISCOUNT[np.minimum(place, TOP)]
 
 
-def boost(x: np.ndarray, objective, features: Sequence[str], rounds: int, depth: int, rate: float, seed: int = 42,
-          min_rows: int = 1, l2: float = 1.0, rows: float = 0.9, columns: float = 0.9) -> Boosted:
-    rng, (base, slopes) = np.random.default_rng(seed), objective
-    x = np.where(np.isnan(x), -np.inf, x)
-    n, f = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for j in range(f)]
-    bins = np.column_stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)])
-    cell = bins + np.arange(f) * BINS
-    out = Boosted(list(features), base, np.zeros((rounds, 2 ** depth - 1), np.int64),
-                  np.full((rounds, 2 ** depth - 1), np.inf), np.zeros((rounds, 2 ** depth)), np.zeros(f))
-    score = np.full(n, base)
-    for r in range(rounds):
-        g, h = slopes(score)
-        used = rng.random(n) < rows
-        closed = np.ones(f, bool)
-        closed[rng.choice(f, max(1, round(columns * f)), replace=False)] = False
-        gu, hu, cu = np.repeat(g[used], f), np.repeat(h[used], f), cell[used]
-        node = np.zeros(n, np.int64)
-        for level in range(depth):
-            width = 2 ** level
-            key = (node[used, None] * (f * BINS) + cu).ravel()
-            sums = [np.bincount(key, w, width * f * BINS).reshape(width, f, BINS).cumsum(2) for w in (gu, hu, None)]
-            (gl, hl, nl), (gt, ht, nt) = sums, (s[:, :, -1:] for s in sums)
-            won = gl ** 2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt ** 2 / (ht + l2)
-            won[(nl < min_rows) | (nt - nl < min_rows)] = 0
-            won[:, closed] = 0
-            best = won.reshape(width, -1).argmax(1)
-            gain = won.reshape(width, -1)[np.arange(width), best]
-            which, cut = best // BINS, best % BINS
-            split = gain > 1e-9
-            first = width - 1
-            out.feature[r, first:first + width] = which
-            out.threshold[r, first:first + width] = [edges[j][c] if s else np.inf for j, c, s in zip(which, cut, split)]
-            np.add.at(out.gain, which[split], gain[split])
-            node = 2 * node + (split[node] & (bins[np.arange(n), which[node]] > cut[node]))
-        value = -rate * np.bincount(node[used], g[used], 2 ** depth) / (np.bincount(node[used], h[used], 2 ** depth) + l2)
-        out.value[r] = value
-        score += value[node]
-    return out
+def inverse_of(terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """1 / the sum of each run of terms of a best DCG (0 for nothing), summed on a grid so that order doesn't matter."""
+    best = np.add.reduceat(np.rint(terms * 2.0 ** 32), starts) * 2.0 ** -32
+    return np.divide(1.0, best, out=np.zeros_like(best), where=best > 0)
 
 
-def sampled(df: DataFrame, keys: Sequence[str], fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The ``fit_rows`` rows with the smallest key hash (the documented bound of a fit)."""
-    return df.withColumn("_draw", md5_key("fit", *keys)).orderBy("_draw", *keys).limit(fit_rows).drop("_draw")
+class Cut(NamedTuple):
+    """A group that lies in several blocks: its top rows and what all its pairs add to them."""
 
+    score: np.ndarray
+    gain: np.ndarray
+    draw: np.ndarray
+    inverse: float
+    g: np.ndarray
+    h: np.ndarray
 
-def fit_models(sample: DataFrame, features: Sequence[str], targets: dict[str, tuple[str, str]], rounds: int, depth: int,
-               rate: float, seed: int = 42, group: str | None = None, **options) -> dict[str, Boosted]:
-    """Fit one model per entry of ``targets`` (name -> target column, objective) on a bounded sample."""
-    features = list(features)
-    labels = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.col(c).cast("double").alias("y")) for k, (c, _) in targets.items()]))
-    rows = sample.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
-                         (F.col(group) if group else F.lit(0)).alias("g"), labels.alias("m")).select("x", "g", "m.*").where("y IS NOT NULL")
-    kinds = {k: o for k, (_, o) in targets.items()}
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["model"].iloc[0]
-        x = np.array([[np.nan if v is None else v for v in r] for r in pdf["x"]], float)
-        order = np.lexsort((*x.T, pdf["y"].to_numpy(), pdf["g"].to_numpy()))  # rows arrive in any order
-        x, y, g = x[order], pdf["y"].to_numpy(float)[order], pdf["g"].to_numpy()[order]
-        objective = {"squared": squared, "logistic": logistic}[kinds[name]](y) if kinds[name] != "listwise" else listwise(y, g)
-        return pd.DataFrame({"model": [name], "trees": [boost(x, objective, features, rounds, depth, rate, seed, **options).to_json()]})
+class Block:
+    """Binned rows; ranked rows are sorted by group and draw, so only a block's end groups go on in others."""
 
-    done = rows.groupBy("model").applyInPandas(fit, "model string, trees string").collect()
-    return {r["model"]: Boosted.from_json(r["trees"]) for r in done}
+    def __init__(self, bins: np.ndarray, y: np.ndarray, draw: np.ndarray, code: np.ndarray, score: np.ndarray, ends: tuple = ()):
+        self.bins, self.y, self.draw, self.code, self.score, self.ends = bins, y, draw, code, score, ends
+        self.best: np.ndarray | None = None  # 1 / best DCG of each group
 
+    @classmethod
+    def of(cls, row: dict) -> "Block":
+        n, ends = row["n"], (row["a"], row["b"])
+        y, draw, code, score = (np.frombuffer(row[c], t) for c, t in (("y", "<f8"), ("draw", "<u8"), ("code", "<i4"), ("score", "<f8")))
+        return cls(np.frombuffer(row["bins"], np.uint8).reshape(-1, n), y, draw, code, score, ends)
 
-class Block:
-    """Binned rows of one task's share; listwise rows are sorted, so only a block's end groups go on in others."""
-
-    def __init__(self, n: int, bins: bytes, y: bytes, draw: bytes, code: bytes, ends: tuple[str, str], base: float):
-        self.bins = np.frombuffer(bins, np.uint8).reshape(n, -1)
-        self.y, self.draw, self.code = np.frombuffer(y), np.frombuffer(draw, np.uint64), np.frombuffer(code, np.int32)
-        self.starts = np.flatnonzero(np.diff(self.code, prepend=-1))
-        self.ends, self.score = ends, np.full(n, base)
-
-    def leaf(self, which: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
-        rows, node = np.arange(len(self.y)), np.zeros(len(self.y), np.int64)
-        for level in range(levels):
-            at = node + (1 << level) - 1
-            node = 2 * node + (self.bins[rows, which[at]] > cut[at])
-        return node
-
-    def advanced(self, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    def after(self, trees: list[tuple]) -> np.ndarray:
         score = self.score
-        for which, cut, value in trees:
-            score = score + value[self.leaf(which, cut, len(value).bit_length() - 1)]
+        for feature, cut, value, left, right in trees:
+            score = score + value[descend(self.bins, 0 if len(feature) else ~0, feature, cut, left, right)]
         return score
 
     def used(self, r: int, seed: int, share: float) -> np.ndarray:
         """The rows a round draws, by their key hash."""
+        if share >= 1:
+            return np.ones(len(self.y), bool)
         z = self.draw + np.uint64((0x9E3779B97F4A7C15 * (seed * 100_003 + r + 1)) % (1 << 64))
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) < share * 2.0 ** 53
 
-    def softmax(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per own group: top score, sum of exponentials above it, sum of gains."""
-        top = np.maximum.reduceat(score, self.starts)
-        return (top, np.add.reduceat(np.exp(score - top[self.code]), self.starts),
-                np.add.reduceat(2.0 ** self.y - 1, self.starts))
-
-    def slopes(self, score: np.ndarray, shared: dict | None) -> tuple[np.ndarray, np.ndarray]:
-        if shared is None:
-            return score - self.y, np.ones_like(score)
-        top, total, gains = self.softmax(score)
-        for k, key in ((0, self.ends[0]), (-1, self.ends[1])):
-            top[k], total[k], gains[k] = shared[key]
-        p = np.exp(score - top[self.code]) / total[self.code]
-        gain = gains[self.code]
-        target = np.where(gain > 0, (2.0 ** self.y - 1) / np.maximum(gain, 1e-12), 0)
-        return p - target, np.maximum(p * (1 - p), 1e-9)
-
-
-def end_sums(blocks: RDD, trees: list) -> dict[str, tuple[float, float, float]]:
-    """Softmax sums of the groups at the ends of blocks, over all their blocks: at most two a block."""
-    def run(part: Iterator[Block]) -> Iterator[tuple]:
-        for b in part:
-            sums = b.softmax(b.advanced(trees))
-            for k in {0, len(b.starts) - 1}:
-                yield b.ends[k > 0], *(float(x[k]) for x in sums)
-
-    out = {}
-    for key, top, total, gains in sorted(blocks.mapPartitions(run).collect()):
-        a, b, c = out.get(key, (top, 0.0, 0.0))
-        high = max(a, top)
-        out[key] = high, b * math.exp(a - high) + total * math.exp(top - high), c + gains
-    return out
-
-
-def level_sums(blocks: RDD, parts: int, trees: list, which: np.ndarray, cut: np.ndarray, level: int, shared: dict | None,
-               grid: float, r: int, seed: int, share: float) -> np.ndarray:
-    """(gradient, hessian, rows) sums by node, feature and bin over the rows the round draws."""
-    width = 1 << level
-
-    def run(part: Iterator[Block]) -> Iterator[np.ndarray]:
-        sums = None
-        for b in part:
-            g, h = (np.rint(v / grid) * grid for v in b.slopes(b.advanced(trees), shared))
-            use, f = b.used(r, seed, share), b.bins.shape[1]
-            key = ((b.leaf(which, cut, level)[use, None] * f + np.arange(f)) * BINS + b.bins[use]).ravel()
-            own = np.array([np.bincount(key, w, width * f * BINS) for w in (np.repeat(g[use], f), np.repeat(h[use], f), None)])
-            sums = own if sums is None else sums + own
-        if sums is not None:
-            yield sums.reshape(3, width, -1, BINS)
+    def slopes(self, objective: str, score: np.ndarray, grid: float, cut: dict[str, Cut]) -> tuple[np.ndarray, np.ndarray | None]:
+        """Gradients and curvatures (None: all one) on the grid."""
+        if objective == "squared":
+            return np.rint((score - self.y) / grid) * grid, None
+        if objective == "logistic":
+            p = 1 / (1 + np.exp(-np.clip(score, -60, 60)))
+            return np.rint((p - self.y) / grid) * grid, np.rint(np.maximum(p * (1 - p), 1e-9) / grid) * grid
+        return self.lambdas(score, grid, cut)
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """First row of each group, and the rows of each."""
+        starts = np.flatnonzero(np.diff(self.code, prepend=-1))
+        return starts, np.diff(np.append(starts, len(self.code)))
+
+    def placed(self, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows by group and falling value (ties by draw), and each row's place in its group."""
+        starts, _ = self.groups()
+        order = np.lexsort((-by, self.code))
+        place = np.empty(len(order), int)
+        place[order] = np.arange(len(order)) - starts[self.code[order]]
+        return order, place
+
+    def inverse(self) -> np.ndarray:
+        """1 / best DCG of each group, 0 where nothing is relevant."""
+        if self.best is None:
+            gain = 2.0 ** self.y - 1
+            order, place = self.placed(gain)
+            self.best = inverse_of((gain * discount(place))[order], self.groups()[0])
+        return self.best
+
+    def lambdas(self, score: np.ndarray, grid: float, cut: dict[str, Cut]) -> tuple[np.ndarray, np.ndarray]:
+        starts, sizes = self.groups()
+        gain, n = 2.0 ** self.y - 1, len(score)
+        g, h, whole = np.zeros(n), np.zeros(n), np.ones(len(starts), bool)
+        for k, key in self.end_groups():
+            if key in cut:
+                whole[k] = False
+                own = slice(starts[k], starts[k] + sizes[k])
+                g[own], h[own] = self.against(cut[key], score[own], gain[own], self.draw[own], grid)[:2]
+        order, place = self.placed(score)
+        inverse, off = self.inverse(), discount(place)
+        rows = order[whole[self.code[order]]]
+        for t in range(TOP):
+            rows = rows[place[rows] > t]
+            if not len(rows):
+                break
+            head = order[starts[self.code[rows]] + t]
+            dg, dh = pair((score[head], gain[head], off[head]), (score[rows], gain[rows], off[rows]), inverse[self.code[rows]], grid)
+            g[rows] += dg
+            h[rows] += dh
+            g -= np.bincount(head, dg, n)
+            h += np.bincount(head, dh, n)
+        return g, h
+
+    def end_groups(self) -> list[tuple[int, str]]:
+        last = int(self.code[-1])
+        return [(0, self.ends[0])] + [(last, self.ends[1])] * (last > 0) if self.ends else []
+
+    @staticmethod
+    def against(cut: Cut, score: np.ndarray, gain: np.ndarray, draw: np.ndarray, grid: float) -> tuple:
+        """Gradients and curvatures of a cut group's own rows, and what they add to its top rows."""
+        order = np.argsort(cut.draw)
+        at = order[np.minimum(np.searchsorted(cut.draw[order], draw), len(order) - 1)]
+        top = cut.draw[at] == draw
+        place = np.where(top, at, TOP)
+        g, h = np.where(top, cut.g[at], 0.0), np.where(top, cut.h[at], 0.0)
+        added, off, heads = np.zeros((2, len(order))), discount(place), discount(np.arange(len(order)))
+        for t in range(len(order)):
+            rows = np.flatnonzero(place > t)
+            dg, dh = pair((cut.score[t], cut.gain[t], heads[t]), (score[rows], gain[rows], off[rows]), cut.inverse, grid)
+            g[rows] += dg
+            h[rows] += dh
+            added[:, t] = -dg.sum(), dh.sum()
+        return g, h, added
+
+    def binned_sums(self, slot: np.ndarray, n_slots: int, g: np.ndarray, h: np.ndarray | None) -> np.ndarray:
+        """(slot, 3, feature, bin) sums over the rows whose slot isn't negative."""
+        rows = np.flatnonzero(slot >= 0)
+        base, size = slot[rows] * BINS, n_slots * BINS
+        gw, hw = g[rows], None if h is None else h[rows]
+        out = np.empty((3, len(self.bins), size))
+        for j, bins in enumerate(self.bins):
+            key = base + bins[rows]
+            out[0, j], out[2, j] = np.bincount(key, gw, size), np.bincount(key, minlength=size)
+            out[1, j] = out[2, j] if h is None else np.bincount(key, hw, size)
+        return out.reshape(3, len(self.bins), n_slots, BINS).transpose(2, 0, 1, 3)
+
+
+class TaskRows:
+    """All rows of a fit in one task."""
+
+    def __init__(self, block: Block, objective: str, grid: float, seed: int, share: float):
+        self.block, self.objective, self.grid, self.seed, self.share = block, objective, grid, seed, share
+
+    def root(self, r: int) -> np.ndarray:
+        b = self.block
+        self.g, self.h = b.slopes(self.objective, b.score, self.grid, {})
+        self.use, self.node = b.used(r, self.seed, self.share), np.zeros(len(b.y), int)
+        return b.binned_sums(np.where(self.use, 0, -1), 1, self.g, self.h)
+
+    def summed(self, splits: list[Split], small: list[int]) -> np.ndarray:
+        size = splits[-1].right + 1
+        place, slot = np.full(size, -1), np.full(size, -1)
+        place[[s.node for s in splits]] = np.arange(len(splits))
+        slot[small] = np.arange(len(small))
+        feature, cut, left, right = (np.array(x) for x in list(zip(*splits))[1:])
+        k = place[self.node]
+        rows = np.flatnonzero(k >= 0)
+        k = k[rows]
+        self.node[rows] = np.where(self.block.bins[feature[k], rows] > cut[k], right[k], left[k])
+        own = np.where(self.use[rows], slot[self.node[rows]], -1)
+        every = np.full(len(self.node), -1)
+        every[rows] = own
+        return self.block.binned_sums(every, len(small), self.g, self.h)
+
+    def finished(self, tree: tuple, leaf: np.ndarray) -> None:
+        self.block.score = self.block.score + tree[2][leaf[self.node]]
+
+
+BLOCKS = "n int, bins binary, y binary, draw binary, code binary, score binary, a string, b string"
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+class SpreadRows:
+    """Rows of a fit as a stored table of blocks; a call of ``root`` or ``summed`` is one job (a cut group two more a round)."""
+
+    def __init__(self, table: DataFrame, path: str, parts: int, n_features: int, objective: str, grid: float, seed: int, share: float):
+        self.table, self.path, self.parts, self.f = table.persist(), path, parts, n_features
+        self.objective, self.grid, self.seed, self.share = objective, grid, seed, share
+        self.pending: list[tuple] = []
+        self.inverse: dict[str, float] | None = None
+
+    def collected(self, run: Callable, schema: str) -> list:
+        return self.table.mapInArrow(run, schema).collect()
+
+    def cut_groups(self) -> dict[str, Cut]:
+        """The groups at the ends of blocks: their top rows, then the sums over all their pairs."""
+        trees, known, grid = list(self.pending), self.inverse, self.grid
+
+        def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = []
+            for b in map(Block.of, rows_of(batches)):
+                score, gain = b.after(trees), 2.0 ** b.y - 1
+                starts, sizes = b.groups()
+                for k, key in b.end_groups():
+                    own = np.arange(starts[k], starts[k] + sizes[k])
+                    top = own[np.lexsort((b.draw[own].view(np.int64), -score[own]))[:TOP]]
+                    best = np.sort(gain[own])[::-1][:TOP] if known is None else []
+                    rows.append((key, score[top].tolist(), gain[top].tolist(), b.draw[top].view(np.int64).tolist(), list(best)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) if i == 0 else pa.array(c, pa.list_(pa.int64() if i == 3 else pa.float64()))
+                                                  for i, c in enumerate(zip(*rows))], ["key", "score", "gain", "draw", "best"])
+
+        found: dict[str, list] = {}
+        for r in self.collected(tops, "key string, score array<double>, gain array<double>, draw array<bigint>, best array<double>"):
+            found.setdefault(r["key"], []).append(r)
+        found = {k: v for k, v in found.items() if len(v) > 1}
+        if known is None:
+            self.inverse = {}
+            for key, rs in found.items():
+                best = np.sort(np.concatenate([r["best"] for r in rs]))[::-1][:TOP]
+                self.inverse[key] = float(inverse_of(best * discount(np.arange(len(best))), np.zeros(1, int))[0])
+        heads = {}
+        for key, rs in found.items():
+            score, gain = (np.concatenate([r[c] for r in rs]) for c in ("score", "gain"))
+            draw = np.concatenate([np.array(r["draw"], np.int64) for r in rs])
+            top = np.lexsort((draw, -score))[:TOP]
+            none = np.zeros(len(top))
+            heads[key] = Cut(score[top], gain[top], draw[top].view(np.uint64), self.inverse[key], none, none)
+        if not heads:
+            return {}
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = []
+            for b in map(Block.of, rows_of(batches)):
+                score, gain = b.after(trees), 2.0 ** b.y - 1
+                starts, sizes = b.groups()
+                for k, key in b.end_groups():
+                    if key in heads:
+                        own = slice(starts[k], starts[k] + sizes[k])
+                        added = Block.against(heads[key], score[own], gain[own], b.draw[own], grid)[2]
+                        rows.append((key, added[0].tolist(), added[1].tolist()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["key", "g", "h"])
+
+        sums = {k: np.zeros((2, len(c.score))) for k, c in heads.items()}
+        for r in self.collected(add, "key string, g array<double>, h array<double>"):
+            sums[r["key"]] += [r["g"], r["h"]]
+        return {k: c._replace(g=sums[k][0], h=sums[k][1]) for k, c in heads.items()}
+
+    def job(self, slots: dict[int, int]) -> np.ndarray:
+        """Sums of the nodes in ``slots`` over all blocks."""
+        trees, cuts, (feature, cut, left, right), start = list(self.pending), self.cuts, self.nodes(), 0 if self.splits else ~0
+        objective, grid, r, seed, share, n = self.objective, self.grid, self.r, self.seed, self.share, len(slots)
+        slot = np.full(len(feature), -1)
+        slot[list(slots)] = list(slots.values())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in map(Block.of, rows_of(batches)):
+                g, h = b.slopes(objective, b.after(trees), grid, cuts)
+                own = slot[descend(b.bins, start, feature, cut, left, right)]
+                sums = b.binned_sums(np.where(b.used(r, seed, share), own, -1), n, g, h)
+                total = sums if total is None else total + sums
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(total).tobytes()], pa.binary())], ["sums"])
+
+        def add(parts: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x) for x in parts["sums"].to_pylist())
+            return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
+
+        each = self.table.mapInArrow(run, "sums binary")
+        if self.parts > DIRECT_PARTS:
+            each = each.groupBy(F.spark_partition_id() % 32).applyInArrow(add, "sums binary")
+        return sum(np.frombuffer(x["sums"]) for x in each.collect()).reshape(n, 3, self.f, BINS)
+
+    def nodes(self) -> list[np.ndarray]:
+        """The growing tree by node number; ends are ``~node``."""
+        size = self.splits[-1].right + 1 if self.splits else 1
+        out = [np.zeros(size, int) for _ in range(4)]
+        inner = {s.node for s in self.splits}
+        for s in self.splits:
+            for part, x in zip(out, (s.feature, s.cut, *[k if k in inner else ~k for k in (s.left, s.right)])):
+                part[s.node] = x
+        return out
 
-    each = blocks.mapPartitions(run)
-    return each.treeReduce(np.add) if parts > DIRECT_PARTS else sum(each.collect())
+    def root(self, r: int) -> np.ndarray:
+        self.r, self.splits = r, []
+        self.cuts = self.cut_groups() if self.objective == "lambdarank" and self.inverse != {} else {}
+        return self.job({0: 0})
+
+    def summed(self, splits: list[Split], small: list[int]) -> np.ndarray:
+        self.splits += splits
+        return self.job({node: k for k, node in enumerate(small)})
+
+    def finished(self, tree: tuple, leaf: np.ndarray) -> None:
+        self.pending.append(tree)
+        if len(self.pending) < STORED_EVERY:
+            return
+        trees = self.pending
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows_of(batches):
+                row["score"] = Block.of(row).after(trees).tobytes()
+                yield pa.RecordBatch.from_pylist([row], pa.schema([pa.field("n", pa.int32()), *[
+                    pa.field(c, pa.binary()) for c in ("bins", "y", "draw", "code", "score")], pa.field("a", pa.string()), pa.field("b", pa.string())]))
+
+        table, path = store_at(self.table.mapInArrow(run, BLOCKS), "boost-blocks")
+        self.close()
+        self.table, self.path, self.pending = table.persist(), path, []
+
+    def close(self) -> None:
+        self.table.unpersist()
+        discard_path(self.table.sparkSession, self.path)
+
+
+# ---------------------------------------------------------------- fits
+def marks(n: int) -> list[int]:
+    """Places of the inner quantiles in ``n`` sorted values."""
+    return sorted({((n - 1) * k) // BINS for k in range(1, BINS)})
+
+
+def exact_edges(known: DataFrame, f: int, n: int) -> list[np.ndarray]:
+    """Quantiles of all features, exact: counted values are range-partitioned, and each partition knows its rows before."""
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = known.select(F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"x{j}").alias("x")) for j in range(f)])).alias("v"))
+    counted = values.groupBy("v.j", "v.x").agg(F.count("*").alias("n"))
+    sorted_, path = store_at(counted.repartitionByRange(parts, "j", "x").sortWithinPartitions("j", "x")
+                             .withColumn("at", F.monotonically_increasing_id()), "boost-values")
+    own = Window.partitionBy("part", "j").orderBy("at")
+    numbered = sorted_.withColumn("part", F.shiftright("at", 33)).withColumn("to", F.sum("n").over(own))
+    before, wanted = {}, []
+    for r in sorted(numbered.groupBy("part", "j").agg(F.sum("n").alias("n")).collect()):  # a row a partition and feature
+        low = before.get(r["j"], 0)
+        wanted += [(r["part"], r["j"], m - low) for m in marks(n) if low <= m < low + r["n"]]
+        before[r["j"]] = low + r["n"]
+    spark = known.sparkSession
+    places = spark.createDataFrame(wanted, "p long, f int, place long")
+    hit = numbered.join(F.broadcast(places), (F.col("part") == F.col("p")) & (F.col("j") == F.col("f"))
+                        & (F.col("place") < F.col("to")) & (F.col("place") >= F.col("to") - F.col("n")))
+    out: list[list] = [[] for _ in range(f)]
+    for r in hit.select("j", "x").distinct().collect():
+        out[r["j"]].append(r["x"])
+    discard_path(spark, path)
+    return [np.unique(x) for x in out]
+
+
+def code_of(groups: pa.Array) -> np.ndarray:
+    """Numbers of sorted groups, in order."""
+    if not len(groups):
+        return np.zeros(0, np.int32)
+    names = np.asarray(groups.dictionary_encode().indices)
+    return np.cumsum(np.append(0, names[1:] != names[:-1]), dtype=np.int32)
+
+
+def bin_rows(columns: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(e, x).astype(np.uint8) for e, x in zip(edges, columns)])
+
+
+def fit_many(train: DataFrame, features: Sequence[str], targets: dict[str, tuple[str, str]], keys: Sequence[str], rounds: int,
+             depth: int, rate: float, seed: int = 42, group: str | None = None, leaves: int | None = None, min_rows: int = 1,
+             l2: float = 1.0, rows: float = 0.9, columns: float = 0.9) -> dict[str, Boosted]:
+    """Fit a model per entry of ``targets`` (name -> column, objective) on all rows that have the target.
+
+    ``keys`` name a row. Rows that repeat one exactly are drawn together.
+    """
+    features, f, names = list(features), len(features), list(targets)
+    shape = Shape(depth, leaves or 1 << depth, min_rows, l2)
+    plain = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(-math.inf)), F.lit(-math.inf))
+    known = train.select(*[plain(c).alias(f"x{j}") for j, c in enumerate(features)],
+                         *[F.col(targets[k][0]).cast("double").alias(f"y{i}") for i, k in enumerate(names)], F.xxhash64(*keys).alias("key"),
+                         F.coalesce(F.col(group).cast("string") if group else F.lit(""), F.lit("")).alias("g"))
+    xs, ys = [f"x{j}" for j in range(f)], [f"y{i}" for i in range(len(names))]
+    known, path = store_at(known.withColumn("draw", F.xxhash64("key", *xs, *ys)).drop("key"), "boost-rows")
+    stats = known.agg(*[a.alias(f"{n}{y}") for y in ys for n, a in (("n", F.count(y)), ("top", F.max(F.abs(y))))]).first()
+    scale = {y: 2.0 ** math.ceil(math.log2(max(stats[f"top{y}"] or 0, 1e-9))) for y in ys}
+    unit = {y: scale[y] * 2.0 ** -40 for y in ys}
+    sums = known.agg(*[F.sum(F.rint(F.col(y) / unit[y]).cast("decimal(20,0)")).alias(y) for y in ys]).first()
+    todo, out = {}, {}
+    for name, y in zip(names, ys):
+        objective, n = targets[name][1], stats[f"n{y}"]
+        if not n:
+            raise ValueError(f"no training row has {targets[name][0]}")
+        mean = int(sums[y]) * unit[y] / n
+        bits = math.ceil(math.log2(n + 1)) + (5 if objective == "lambdarank" else 0)
+        grid = (4 * scale[y] if objective == "squared" else 1.0) * 2.0 ** -min(26, 51 - bits)
+        if objective == "logistic":
+            mean = min(max(mean, 1e-6), 1 - 1e-6)
+            base = math.log(mean / (1 - mean))
+        else:
+            base = mean if objective == "squared" else 0.0
+        todo[name] = (y, objective, n, base, grid)
+
+    small = {k: v for k, v in todo.items() if v[2] <= TASK_ROWS}
+    if small:
+        wide = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.col(v[0]).alias("y")) for k, v in small.items()]))
+        long = known.select(*xs, "g", "draw", wide.alias("m")).select(*xs, "g", "draw", "m.*").where("y IS NOT NULL")
+
+        def fit(t: pa.Table) -> pa.Table:
+            name = t["model"][0].as_py()
+            _, objective, n, base, grid = small[name]
+            t = t.sort_by([("g", "ascending"), ("draw", "ascending")]).combine_chunks()
+            x = [t[c].to_numpy() for c in xs]
+            at = marks(n)
+            edges = [np.unique(np.sort(v)[at]) for v in x]
+            block = Block(bin_rows(x, edges), t["y"].to_numpy(), t["draw"].to_numpy().view(np.uint64), code_of(t["g"].combine_chunks()),
+                          np.full(n, base))
+            model = boost(TaskRows(block, objective, grid, seed, rows), features, base, edges, shape, rounds, rate, seed, columns)
+            return pa.table({"model": [name], "trees": [model.to_json()]})
+
+        # tasks are few and long: more partitions than models, so that two seldom share one
+        done = long.repartition(8 * len(small), "model").groupBy("model").applyInArrow(fit, "model string, trees string").collect()
+        out |= {r["model"]: Boosted.from_json(r["trees"]) for r in done}
+    for name in todo.keys() - small.keys():
+        y, objective, n, base, grid = todo[name]
+        own = known.where(F.col(y).isNotNull()).select(*xs, F.col(y).alias("y"), "draw", "g")
+        out[name] = fit_spread(own, features, objective, n, base, grid, shape, rounds, rate, seed, rows, columns)
+    discard_path(train.sparkSession, path)
+    return out
 
 
-def fit_whole(train: DataFrame, features: Sequence[str], target: str, objective: str, keys: Sequence[str], rounds: int,
-              depth: int, rate: float, seed: int = 42, group: str | None = None, min_rows: int = 1, l2: float = 1.0,
-              rows: float = 0.9, columns: float = 0.9) -> Boosted:
-    """Fit one ``squared`` or ``listwise`` model on every row of ``train``; ``keys`` name a row."""
-    features, f, spark = list(features), len(features), train.sparkSession
-    options = dict(min_rows=min_rows, l2=l2, rows=rows, columns=columns)
-    plain = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(-math.inf)), F.lit(-math.inf))
-    known = store(train.where(F.col(target).isNotNull()).select(
-        *[plain(c).alias(f"x{j}") for j, c in enumerate(features)], F.col(target).cast("double").alias("y"),
-        F.xxhash64(*keys).alias("draw"), F.coalesce(F.col(group).cast("string") if group else F.lit(""), F.lit("")).alias("g")), "boost-rows")
-    n, mean, largest = known.agg(F.count("*"), F.avg("y"), F.max(F.abs("y"))).first()
-    if n <= FIT_ROWS:
-        return fit_models(train, features, {"m": (target, objective)}, rounds, depth, rate, seed, group, **options)["m"]
-
-    listwise_fit = objective == "listwise"
-    base = 0.0 if listwise_fit else float(f"{mean:.12g}")
-    grid = 2.0 ** -26 if listwise_fit else 2.0 ** (math.ceil(math.log2(max(largest, 1e-9))) - 24)
-    at = F.array(*[F.lit(float(q)) for q in np.linspace(0, 1, BINS + 1)[1:-1]])
-    marks = known.select(*[F.percentile_approx(f"x{j}", at, F.lit(10_000)) for j in range(f)]).first()
-    edges = [np.unique(m) for m in marks]
+def fit_spread(known: DataFrame, features: list[str], objective: str, n: int, base: float, grid: float, shape: Shape, rounds: int,
+               rate: float, seed: int, share: float, columns: float) -> Boosted:
+    """A fit over stored blocks of binned rows."""
+    f = len(features)
+    edges = exact_edges(known, f, n)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
+            if not batch.num_rows:
                 continue
-            bins = np.column_stack([np.searchsorted(e, batch.column(j).to_numpy(zero_copy_only=False)) for j, e in enumerate(edges)])
-            y, draw = (batch.column(f + k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            g = batch.column(f + 2).to_pylist()
-            code = np.cumsum(np.array([a != b for a, b in zip(g, [g[0], *g])]), dtype=np.int32)
-            packed = [bins.astype(np.uint8).tobytes(), y.astype(float).tobytes(), draw.astype(np.int64).tobytes(), code.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32()), *[pa.array([v], pa.binary()) for v in packed],
-                                              pa.array([g[0]]), pa.array([g[-1]])], ["n", "bins", "y", "draw", "code", "a", "b"])
-
-    tasks = min(-(-n // FIT_ROWS), max(2 * spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
-    dealt = known.repartitionByRange(tasks, "g", "draw").sortWithinPartitions("g", "draw") if listwise_fit else known.repartition(tasks)
-    table = store(dealt.mapInArrow(pack, "n int, bins binary, y binary, draw binary, code binary, a string, b string"), "boost-blocks")
-    blocks = table.rdd.map(lambda r: Block(r["n"], r["bins"], r["y"], r["draw"], r["code"], (r["a"], r["b"]), base))
-    blocks = blocks.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
-
-    rng, pending, older = np.random.default_rng(seed), [], None
-    out = Boosted(features, base, np.zeros((rounds, 2 ** depth - 1), np.int64),
-                  np.full((rounds, 2 ** depth - 1), np.inf), np.zeros((rounds, 2 ** depth)), np.zeros(f))
-    for r in range(rounds):
-        shared = end_sums(blocks, pending) if listwise_fit else None
-        closed = np.ones(f, bool)
-        closed[rng.choice(f, max(1, round(columns * f)), replace=False)] = False
-        which, cuts = np.zeros(2 ** depth - 1, np.int64), np.full(2 ** depth - 1, UNSPLIT)
-        for level in range(depth):
-            width = 1 << level
-            sums = level_sums(blocks, tasks, pending, which, cuts, level, shared, grid, r, seed, rows)
-            if older is not None:
-                older, _ = None, older.unpersist()
-            (gl, hl, nl), (gt, ht, nt) = (x := sums.cumsum(3)), x[..., -1:]
-            won = gl ** 2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt ** 2 / (ht + l2)
-            won[(nl < min_rows) | (nt - nl < min_rows)] = 0
-            won[:, closed] = 0
-            best = won.reshape(width, -1).argmax(1)
-            gain = won.reshape(width, -1)[np.arange(width), best]
-            feature, cut, split, first = best // BINS, best % BINS, gain > 1e-9, width - 1
-            which[first:first + width] = feature
-            cuts[first:first + width] = np.where(split, cut, UNSPLIT)
-            out.threshold[r, first:first + width] = [edges[j][c] if s else np.inf for j, c, s in zip(feature, cut, split)]
-            np.add.at(out.gain, feature[split], gain[split])
-        # the last level's sums on both sides of its cuts are those of the leaves
-        own = np.arange(width), feature, np.where(split, cut, BINS - 1)
-        g, h = (np.stack([left[own], total[own[0], own[1], 0] - left[own]], 1).ravel() for left, total in ((gl, gt), (hl, ht)))
-        out.feature[r], out.value[r] = which, -rate * g / (h + l2)
-        pending.append((which, cuts, out.value[r]))
-        if len(pending) == ADVANCE:
-            older, blocks, pending = blocks, advance(blocks, pending), []
-    blocks.unpersist()
-    return out
+            t = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            bins = bin_rows([t[f"x{j}"].to_numpy(zero_copy_only=False) for j in range(f)], edges)
+            packed = [bins, t["y"].to_numpy(zero_copy_only=False), t["draw"].to_numpy(zero_copy_only=False), code_of(t["g"]),
+                      np.full(batch.num_rows, base)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch.num_rows], pa.int32()), *[pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in packed],
+                 pa.array([t["g"][0].as_py()]), pa.array([t["g"][-1].as_py()])],
+                ["n", "bins", "y", "draw", "code", "score", "a", "b"])
+
+    parts = -(-n // BLOCK_ROWS)
+    ranked = objective == "lambdarank"
+    dealt = known.repartitionByRange(parts, "g", "draw").sortWithinPartitions("g", "draw") if ranked else known.repartition(parts)
+    table, path = store_at(dealt.mapInArrow(pack, BLOCKS), "boost-blocks")
+    rows = SpreadRows(table, path, parts, f, objective, grid, seed, share)
+    try:
+        return boost(rows, features, base, edges, shape, rounds, rate, seed, columns)
+    finally:
+        rows.close()
 
 
-def advance(blocks: RDD, trees: list) -> RDD:
-    """The blocks with the trees' values in their scores."""
-    def run(b: Block) -> Block:
-        b.score = b.advanced(trees)
-        return b
+def fit_whole(train: DataFrame, features: Sequence[str], target: str, objective: str, keys: Sequence[str], rounds: int,
+              depth: int, rate: float, **options) -> Boosted:
+    """Fit one model on every row of ``train``; see ``fit_many``."""
+    return fit_many(train, features, {"model": (target, objective)}, keys, rounds, depth, rate, **options)["model"]
+
 
-    return blocks.map(run).persist(StorageLevel.MEMORY_AND_DISK)
+def sampled(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """The ``rows`` rows with the smallest key hash, for a caller who wants a bounded fit."""
+    return df.withColumn("_draw", md5_key("fit", *keys)).orderBy("_draw", *keys).limit(rows).drop("_draw")
 
 
 def scored(model: Boosted, link: str = "raw") -> Column:

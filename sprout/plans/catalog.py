@@ -7,6 +7,7 @@ fixed texts of ``operators.texts`` so both sides print identical strings.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -149,11 +150,16 @@ def q_kpi_alerts(spark, sf):
 
 @register("latest_snapshot", O.with_ctes(O.daily_ctes(True), O.pages_ctes(), body=OQ.latest_snapshot_body(30)))
 def q_latest_snapshot(spark, sf):
-    """The snapshot store read back: per site the latest cycle's KPIs (``max_by``, no
-    sort) and the counter the next cycle gets, over a history of 30-day cycles."""
-    from ..operators.cycle import cycle_kpis, latest_snapshot, next_cycle
+    """The cycle store read back: per site the latest committed cycle's KPIs (``max_by``, no
+    sort) and the counter the next cycle gets, over a history of 30-day cycles that went in by two commits."""
+    from ..operators.cycle import CycleStore, cycle_kpis, latest_snapshot, next_cycle
+    from ..session import ensure_checkpoint_dir
     daily, pages = _tables(spark, sf, by_site=True, once=True)
-    snaps = _materialized(cycle_kpis(daily, pages, 30, anomalies=_zscore_flags(daily)))  # the stored history, read twice below
+    history = _materialized(cycle_kpis(daily, pages, 30, anomalies=_zscore_flags(daily)))
+    state = CycleStore(spark, f"{ensure_checkpoint_dir(spark)}/cycles-{uuid.uuid4().hex}")
+    state.commit("early", 1, {"snapshots": history.where("cycle <= 40")})
+    state.commit("late", 2, {"snapshots": history.where("cycle > 40")})
+    snaps = state.read("snapshots").select(*history.columns)
     nxt = next_cycle(snaps).withColumnRenamed("cycle", "next_cycle")
     latest = latest_snapshot(snaps)
     return latest.join(nxt, "site_id").select(*latest.columns, F.col("next_cycle").cast("int").alias("next_cycle"))
@@ -416,9 +422,9 @@ def q_anomalies(spark, sf):
 @register("keyword_ranker")
 def q_ranker(spark, sf):
     """Listwise boosted ranker: NDCG on held-out keywords and striking-distance wins."""
-    from ..operators.ranking import ListwiseRanker, fit_and_evaluate
+    from ..operators.ranking import LambdaRanker, fit_and_evaluate
     kw = _materialized(td.keywords(spark, sf))
-    ranker, nd = fit_and_evaluate(kw, ListwiseRanker())
+    ranker, nd = fit_and_evaluate(kw, LambdaRanker())
     return ranker.opportunities(kw, 15).crossJoin(nd)
 
 
@@ -537,9 +543,9 @@ def q_customer_importance(spark, sf):
 @register("keyword_report")
 def q_keyword_report(spark, sf):
     """Top-5 ranking factors of the fitted ranker, beside the striking-distance keywords."""
-    from ..operators.ranking import ListwiseRanker, fit_and_evaluate
+    from ..operators.ranking import LambdaRanker, fit_and_evaluate
     kw = _materialized(td.keywords(spark, sf))
-    ranker, _ = fit_and_evaluate(kw, ListwiseRanker())
+    ranker, _ = fit_and_evaluate(kw, LambdaRanker())
     top = ranker.feature_importance().orderBy(F.desc("importance"), "feature").limit(5)
     opp = ranker.opportunities(kw, 15)
     return (opp.select(F.lit("opportunity").alias("part"), "keyword", "predicted_position",
@@ -645,7 +651,7 @@ SELECT *, row_number() OVER (PARTITION BY keyword_id ORDER BY rank_score DESC, c
 FROM (SELECT keyword_id, candidate_id, {OQ.trees_sql(RANK_TREES)} AS rank_score FROM keywords)"""))
 def q_rank_given(spark, sf):
     """The ranker's scoring path and positions for given trees."""
-    from ..operators.ranking import ListwiseRanker
-    r = ListwiseRanker()
+    from ..operators.ranking import LambdaRanker
+    r = LambdaRanker()
     r.model = RANK_TREES
     return r.predict_ranking(td.keywords(spark, sf)).select("keyword_id", "candidate_id", "rank_score", "predicted_position")

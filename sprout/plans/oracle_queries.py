@@ -434,7 +434,7 @@ def auc_body() -> str:
         one("purchase", "CAST(num_orders > 0 AS INTEGER)", "pageviews")
 
 
-HEURISTIC = rnd("3.0 * relevance + 0.9 * ln(1 + CAST(backlinks AS DOUBLE)) + 0.02 * domain_authority", 6)
+HEURISTIC = rnd("2.5 * relevance + domain_authority / (10.0 + keyword_difficulty) + 0.01 * page_speed", 6)
 
 
 def ndcg_ctes(src: str, k: int, name: str) -> str:
@@ -815,11 +815,11 @@ FROM hg_best CROSS JOIN range(1, {horizon + 1}) h(h)"""
 def trees_sql(model) -> str:
     """The summed trees of a boosted model as one expression over its feature columns."""
     def node(tree: int, i: int) -> str:
-        inner = model.feature.shape[1]
-        if i >= inner:
-            return f"CAST({float(model.value[tree, i - inner])!r} AS DOUBLE)"
-        column, cut = model.features[int(model.feature[tree, i])], float(model.threshold[tree, i])
-        return f"CASE WHEN CAST({column} AS DOUBLE) > {cut!r} THEN {node(tree, 2 * i + 2)} ELSE {node(tree, 2 * i + 1)} END"
+        if i < 0:
+            return f"CAST({float(model.value[tree][~i])!r} AS DOUBLE)"
+        column, cut = model.features[int(model.feature[tree][i])], float(model.threshold[tree][i])
+        below, above = node(tree, int(model.left[tree][i])), node(tree, int(model.right[tree][i]))
+        return f"CASE WHEN CAST({column} AS DOUBLE) > {cut!r} THEN {above} ELSE {below} END"
     out = f"CAST({model.base!r} AS DOUBLE)"
     for t in range(len(model.feature)):
         out = f"({out} + {node(t, 0)})"

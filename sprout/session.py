@@ -80,6 +80,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Sorted names in a folder of any store; none if there is no such folder."""
+    fs, p = _file_system(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file that must not be there yet."""
+    fs, p = _file_system(spark, path)
+    fs.create(p, False).close()
+
+
 _STORED: list[str] = []
 
 
@@ -89,15 +101,25 @@ def store(df, name: str = "table"):
     Later reads prune columns and push filters, and it survives lost executors.
     ``discard_stored`` deletes the tables when their readers are done.
     """
+    table, path = store_at(df, name)
+    _STORED.append(path)
+    return table
+
+
+def store_at(df, name: str = "table"):
+    """The stored table and its path, for a caller who discards it by itself."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STORED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
 
 
 def discard_stored(spark: SparkSession) -> None:
     """Delete every table that ``store`` has written in this process."""
     while _STORED:
-        fs, p = _file_system(spark, _STORED.pop())
-        fs.delete(p, True)
+        discard_path(spark, _STORED.pop())

@@ -33,17 +33,12 @@ def _typed(df: DataFrame, name: str) -> DataFrame:
     return df.select(*cols, *extra)
 
 
-#: Tables that every source must have; a source may lack the keywords.
-REQUIRED_TABLES = TABLE_NAMES[:3]
-
-
 def _existing(spark: SparkSession, location: str, extension: str = "") -> dict[str, str]:
-    """Paths of the tables a folder holds, in any store; a missing required table is an error."""
+    """Paths of the four tables in a folder of any store; a missing one is an error."""
     paths = {n: os.path.join(location, n + extension) for n in TABLE_NAMES}
-    found = {n: p for n, p in paths.items() if path_exists(spark, p)}
-    if missing := [paths[n] for n in REQUIRED_TABLES if n not in found]:
+    if missing := [p for p in paths.values() if not path_exists(spark, p)]:
         raise FileNotFoundError(f"missing tables: {', '.join(missing)}")
-    return found
+    return paths
 
 
 def read_parquet_tables(spark: SparkSession, location: str) -> dict[str, DataFrame]:
@@ -99,12 +94,13 @@ def available_sources() -> list[str]:
 
 
 def is_available(spark: SparkSession, name: str, location: str) -> bool:
+    """Whether a source is there; one that lacks its keywords is, and reading it is an error."""
     if name not in SOURCES:
         return False
     if name == "testdata":
         return path_exists(spark, os.path.join(location, "lineitem.parquet"))
     extension = ".csv" if name == "csv" else ""
-    return all(path_exists(spark, os.path.join(location, n + extension)) for n in REQUIRED_TABLES)
+    return all(path_exists(spark, os.path.join(location, n + extension)) for n in TABLE_NAMES[:3])
 
 
 def get_source(name: str) -> Callable[..., dict[str, DataFrame]]:

@@ -3,6 +3,8 @@ persistence round trips and error paths."""
 
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,9 +103,9 @@ def test_customer_missing_columns(spark):
 
 
 def test_ranker_quality_and_opportunities(spark, scratch):
-    from sprout.operators.ranking import ListwiseRanker, fit_and_evaluate
+    from sprout.operators.ranking import LambdaRanker, fit_and_evaluate
     kw = spark.createDataFrame(keywords_frame(200))
-    ranker, nd = fit_and_evaluate(kw, ListwiseRanker())
+    ranker, nd = fit_and_evaluate(kw, LambdaRanker())
     r = nd.first()
     assert r["ndcg_at_10"] > 0.85 and r["n_groups"] == 40
     ops = ranker.opportunities(kw, 15).collect()
@@ -114,7 +116,7 @@ def test_ranker_quality_and_opportunities(spark, scratch):
     perms = ranked.groupBy("keyword_id").agg(F.sort_array(F.collect_list("predicted_position")).alias("p")).collect()
     assert all(list(r["p"]) == list(range(1, 11)) for r in perms)
     ranker.save(scratch + "/rk")
-    a = ListwiseRanker.load(scratch + "/rk").predict(kw).agg(F.sum("rank_score")).first()[0]
+    a = LambdaRanker.load(scratch + "/rk").predict(kw).agg(F.sum("rank_score")).first()[0]
     b = ranker.predict(kw).agg(F.sum("rank_score")).first()[0]
     assert math.isclose(a, b, rel_tol=1e-12)
 
@@ -173,25 +175,17 @@ def test_short_series_have_null_forecasts_with_a_reason(spark, daily500):
 
 
 def test_ranker_sample_bounds_a_hot_keyword(spark):
-    from sprout.operators.ranking import ListwiseRanker
+    from sprout.operators.ranking import LambdaRanker
     rows = keywords_frame(40, 10)
     hot = keywords_frame(1, 200).assign(keyword_id=999)
     kw = spark.createDataFrame(rows).unionByName(spark.createDataFrame(hot))
-    ranker = ListwiseRanker(rounds=30, group_rows=20)
+    ranker = LambdaRanker(rounds=30, group_rows=20)
     per = {r["keyword_id"]: r["n"] for r in ranker.sample(kw).groupBy("keyword_id").agg(F.count("*").alias("n")).collect()}
     assert per[999] == 20 and len(per) == 41
     ranked = ranker.fit(kw).predict_ranking(kw).where("keyword_id = 999")
     assert sorted(r["predicted_position"] for r in ranked.collect()) == list(range(1, 201))
 
 
-def test_boosting_doesnt_depend_on_partitioning(spark):
-    from sprout.operators.boosting import fit_models, sampled
-    pages = spark.createDataFrame(pages_frame(300))
-    fits = [fit_models(sampled(p, ["url"], 200), ["word_count", "alt_ratio"], {"m": ("seo_score", "squared")}, rounds=10, depth=3, rate=0.1)["m"]
-            for p in (pages.repartition(1), pages.repartition(7))]
-    assert fits[0].to_json() == fits[1].to_json()
-
-
 def test_segments_agree_across_layouts(spark):
     from sprout.operators.segment import UserSegmenter
     users = spark.createDataFrame(users_frame(1500))
@@ -204,36 +198,107 @@ def test_segments_agree_across_layouts(spark):
     assert sum(labels[0][u] == labels[1][u] for u in labels[0]) >= 0.99 * 1500
 
 
-def whole_frame(n=600):
+def whole_frame(n=700):
     import pandas as pd
+    rng = np.random.default_rng(9)
     i = pd.Series(range(n))
-    return pd.DataFrame({"k": i, "g": (i % 40).where(i % 3 > 0, 999), "a": i * 7 % 10, "b": i * 13 % 9,
-                         "y": (i * 7 % 10 > 6) * 2.0 + (i * 13 % 9 > 4) * (i % 2) + 0.0})
+    a, b = rng.normal(size=n), rng.integers(0, 30, n)
+    return pd.DataFrame({"k": i, "g": (i % 40).where(i % 3 > 0, 999), "a": a, "b": b, "c": rng.choice([0.5, np.nan, 7.25], n),
+                         "y": np.clip(np.round(a + b / 15 + rng.normal(size=n) / 2), 0, 4), "z": ((a > 0) ^ (b > 20)) * 1.0})
 
 
-@pytest.mark.parametrize("objective, group", [("squared", None), ("listwise", "g")])
-def test_a_spread_fit_uses_every_row(spark, monkeypatch, objective, group):
-    from sprout.operators import boosting
-    pdf, shape = whole_frame(), dict(rounds=10, depth=3, rate=0.3, min_rows=5, rows=1.0, columns=1.0)
-    monkeypatch.setattr(boosting, "FIT_ROWS", 100)
-    frame = spark.createDataFrame(pdf)
-    fits = [boosting.fit_whole(p, ["a", "b"], "y", objective, ["k"], group=group, **shape) for p in (frame.repartition(1), frame.repartition(5))]
-    assert fits[0].to_json() == fits[1].to_json()
-    # one task over all rows gives the same trees, although keyword 999 has a third of the rows, in several blocks
-    x, y = pdf[["a", "b"]].to_numpy(float), pdf["y"].to_numpy(float)
-    aim = boosting.squared(y) if group is None else boosting.listwise(y, pdf["g"].to_numpy())
-    want = boosting.boost(x, aim, ["a", "b"], **shape)
-    assert max(abs(fits[0].raw(x) - want.raw(x))) < 1e-4
-
-
-def test_models_are_fitted_on_all_rows_above_the_sample_bound(spark, monkeypatch):
+@pytest.mark.parametrize("objective, target, shape", [("squared", "y", {}), ("logistic", "z", {}), ("lambdarank", "y", {"leaves": 7, "depth": 6})])
+def test_both_plans_of_a_fit_give_equal_trees(spark, monkeypatch, objective, target, shape):
     from sprout.operators import boosting
+    frame = spark.createDataFrame(whole_frame())
+    options = dict(rounds=20, depth=3, rate=0.3, min_rows=5, rows=0.8, columns=0.7, group="g") | shape
+    fits = []
+    # keyword 999 has a third of the rows, in several blocks of the spread plan
+    for task_rows, block_rows, parts in ((10_000, 100, 3), (700, 100, 1), (699, 90, 3), (699, 300, 5)):
+        monkeypatch.setattr(boosting, "TASK_ROWS", task_rows)
+        monkeypatch.setattr(boosting, "BLOCK_ROWS", block_rows)
+        monkeypatch.setattr(boosting, "STORED_EVERY", 7)
+        monkeypatch.setattr(boosting, "DIRECT_PARTS", 64 if parts == 3 else 2)
+        fits.append(boosting.fit_whole(frame.repartition(parts), ["a", "b", "c"], target, objective, ["k"], **options).to_json())
+    assert fits[0] == fits[1] == fits[2] == fits[3]
+    model = boosting.Boosted.from_json(fits[0])
+    assert len(model.value) == 20 and max(len(v) for v in model.value) == shape.get("leaves", 8)
+
+
+def test_lambdas_equal_all_pairs_of_the_top_places():
+    from sprout.operators import boosting as B
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 5, 31, 90, 3]
+    code = np.repeat(np.arange(len(sizes)), sizes).astype(np.int32)
+    y, score = rng.integers(0, 4, len(code)) * 1.0, np.round(rng.normal(size=len(code)), 1)
+    y[code == 5] = 0
+    g, h = B.Block(np.zeros((1, len(code)), np.uint8), y, np.arange(len(code), dtype=np.uint64), code, score).lambdas(score, 2.0 ** -40, {})
+    want = np.zeros((2, len(code)))
+    for c in range(len(sizes)):
+        rows = np.flatnonzero(code == c)
+        rows = rows[np.argsort(-score[rows], kind="stable")]
+        off = [1 / math.log2(k + 2) if k < B.TOP else 0.0 for k in range(len(rows))]
+        best = sum(v * d for v, d in zip(sorted(2.0 ** y[rows] - 1, reverse=True), off))
+        for i in range(min(B.TOP, len(rows))):
+            for j in range(i + 1, len(rows)):
+                high, low = (rows[i], rows[j]) if y[rows[i]] > y[rows[j]] else (rows[j], rows[i])
+                if y[high] > y[low]:
+                    weight = (2.0 ** y[high] - 2.0 ** y[low]) * abs(off[i] - off[j]) / best
+                    rho = 1 / (1 + math.exp(score[high] - score[low]))
+                    want[:, high] += -rho * weight, rho * (1 - rho) * weight
+                    want[:, low] += rho * weight, rho * (1 - rho) * weight
+    assert np.abs(np.stack([g, h]) - want).max() < 1e-9
+
+
+def test_a_tree_takes_the_best_splits_first():
+    from sprout.operators import boosting as B
+    rng = np.random.default_rng(5)
+    x, n = rng.integers(0, 40, (3, 900)).astype(float), 900
+    y = np.rint(64 * (np.sin(x[0] / 5) * x[1] + (x[2] > 30) * 20)) / 64
+    edges = [np.unique(np.sort(v)[B.marks(n)]) for v in x]
+    block = B.Block(B.bin_rows(list(x), edges), y, np.arange(n, dtype=np.uint64), np.zeros(n, np.int32), np.zeros(n))
+    model = B.boost(B.TaskRows(block, "squared", 2.0 ** -10, 1, 1.0), ["a", "b", "c"], 0.0, edges, B.Shape(20, 9, 10, 1.0), 1, 1.0, 1, 1.0)
+    parts = {0: np.arange(n)}  # naive: split the leaf of the largest gain, all rows summed anew
+
+    def best(rows):
+        found = (1e-9, None)
+        for j in range(3):
+            for cut in edges[j]:
+                left = x[j][rows] <= cut
+                nl = left.sum()
+                if min(nl, len(rows) - nl) >= 10:
+                    gl, gt = -y[rows][left].sum(), -y[rows].sum()
+                    found = max(found, (gl ** 2 / (nl + 1) + (gt - gl) ** 2 / (len(rows) - nl + 1) - gt ** 2 / (len(rows) + 1), (j, cut)),
+                                key=lambda f: f[0])
+        return found
+    while len(parts) < 9:
+        gain, k = max((best(rows)[0], k) for k, rows in parts.items())
+        j, cut = best(parts[k])[1]
+        rows = parts.pop(k)
+        parts[2 * k + 1], parts[2 * k + 2] = rows[x[j][rows] <= cut], rows[x[j][rows] > cut]
+    want = np.empty(n)
+    for rows in parts.values():
+        want[rows] = y[rows].sum() / (len(rows) + 1)
+    assert np.abs(model.raw(x.T) - want).max() < 1e-9
+
+
+def test_exact_edges_are_those_of_the_sorted_values(spark):
+    from sprout.operators import boosting as B
+    pdf = whole_frame().fillna(-math.inf)
+    frame = spark.createDataFrame(pdf[["a", "b", "c"]].astype(float).set_axis(["x0", "x1", "x2"], axis=1)).repartition(5)
+    got = B.exact_edges(frame, 3, len(pdf))
+    want = [np.unique(np.sort(pdf[c].to_numpy(float))[B.marks(len(pdf))]) for c in "abc"]
+    assert all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+def test_models_are_fitted_on_all_rows(spark):
+    from sprout.operators.features import stratified_split
     from sprout.operators.models import CustomerIntelligence
-    monkeypatch.setattr(boosting, "FIT_ROWS", 200)
     users = spark.createDataFrame(users_frame(1000))
-    ci = CustomerIntelligence(rounds=3, fit_rows=200)
+    ci = CustomerIntelligence(rounds=3)
     ci.fit(users)
-    from sprout.operators.features import stratified_split
     lab = users.withColumn("_purchase", (F.col("num_orders") > 0).cast("double"))
     train = stratified_split(lab, "_purchase", "user_id", 0.25).where("split = 'train'")
-    assert math.isclose(ci.models["clv"].base, train.agg(F.avg("total_spent")).first()[0], rel_tol=1e-9)
+    mean, bought = train.agg(F.avg("total_spent"), F.avg("_purchase")).first()
+    assert math.isclose(ci.models["clv"].base, mean, rel_tol=1e-9)
+    assert math.isclose(ci.models["purchase"].base, math.log(bought / (1 - bought)), rel_tol=1e-9)

@@ -16,11 +16,14 @@ def test_registry_and_errors():
 def test_write_and_read_back(spark, scratch):
     t = S.read_testdata_tables(spark, SMOKE)
     S.write_tables(t, scratch, "parquet")
-    S.write_tables({k: v for k, v in t.items() if k != "keywords"}, scratch, "csv")
+    S.write_tables(t, scratch, "csv")
     for fmt in ("parquet", "csv"):
         back = S.get_source(fmt)(spark, scratch)
         assert back["daily_metrics"].count() == t["daily_metrics"].count()
         assert back["users"].schema["churned"].dataType.simpleString() == "int"
+        S.write_tables({k: v for k, v in t.items() if k != "keywords"}, f"{scratch}/part", fmt)
+        with pytest.raises(FileNotFoundError, match="keywords"):
+            S.load_tables(spark, fmt, f"{scratch}/part", fallback_location=SMOKE)
     fb = S.load_tables(spark, "parquet", "/nonexistent", fallback="testdata", fallback_location=SMOKE)
     assert fb["seo_pages"].count() == t["seo_pages"].count()
 
