@@ -594,7 +594,8 @@ def fit_many(train: DataFrame, features: Sequence[str], targets: dict[str, tuple
              l2: float = 1.0, rows: float = 0.9, columns: float = 0.9) -> dict[str, Boosted]:
     """Fit a model per entry of ``targets`` (name -> column, objective) on all rows that have the target.
 
-    ``keys`` name a row. Rows that repeat one exactly are drawn together.
+    ``keys`` name a row. Rows that repeat one exactly are drawn together. A model is the same
+    whatever other targets it is fitted with.
     """
     features, f, names = list(features), len(features), list(targets)
     shape = Shape(depth, leaves or 1 << depth, min_rows, l2)
@@ -603,7 +604,7 @@ def fit_many(train: DataFrame, features: Sequence[str], targets: dict[str, tuple
                          *[F.col(targets[k][0]).cast("double").alias(f"y{i}") for i, k in enumerate(names)], F.xxhash64(*keys).alias("key"),
                          F.coalesce(F.col(group).cast("string") if group else F.lit(""), F.lit("")).alias("g"))
     xs, ys = [f"x{j}" for j in range(f)], [f"y{i}" for i in range(len(names))]
-    known, path = store_at(known.withColumn("draw", F.xxhash64("key", *xs, *ys)).drop("key"), "boost-rows")
+    known, path = store_at(known.withColumn("draw", F.xxhash64("key", *xs)).drop("key"), "boost-rows")
     stats = known.agg(*[a.alias(f"{n}{y}") for y in ys for n, a in (("n", F.count(y)), ("top", F.max(F.abs(y))))]).first()
     scale = {y: 2.0 ** math.ceil(math.log2(max(stats[f"top{y}"] or 0, 1e-9))) for y in ys}
     unit = {y: scale[y] * 2.0 ** -40 for y in ys}
@@ -631,7 +632,7 @@ def fit_many(train: DataFrame, features: Sequence[str], targets: dict[str, tuple
         def fit(t: pa.Table) -> pa.Table:
             name = t["model"][0].as_py()
             _, objective, n, base, grid = small[name]
-            t = t.sort_by([("g", "ascending"), ("draw", "ascending")]).combine_chunks()
+            t = t.sort_by([("g", "ascending"), ("draw", "ascending"), ("y", "ascending")]).combine_chunks()
             x = [t[c].to_numpy() for c in xs]
             at = marks(n)
             edges = [np.unique(np.sort(v)[at]) for v in x]
@@ -672,7 +673,7 @@ def fit_spread(known: DataFrame, features: list[str], objective: str, n: int, ba
 
     parts = -(-n // BLOCK_ROWS)
     ranked = objective == "lambdarank"
-    dealt = known.repartitionByRange(parts, "g", "draw").sortWithinPartitions("g", "draw") if ranked else known.repartition(parts)
+    dealt = known.repartitionByRange(parts, "g", "draw").sortWithinPartitions("g", "draw", "y") if ranked else known.repartition(parts)
     table, path = store_at(dealt.mapInArrow(pack, BLOCKS), "boost-blocks")
     rows = SpreadRows(table, path, parts, f, objective, grid, seed, share)
     try:

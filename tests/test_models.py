@@ -302,3 +302,56 @@ def test_models_are_fitted_on_all_rows(spark):
     mean, bought = train.agg(F.avg("total_spent"), F.avg("_purchase")).first()
     assert math.isclose(ci.models["clv"].base, mean, rel_tol=1e-9)
     assert math.isclose(ci.models["purchase"].base, math.log(bought / (1 - bought)), rel_tol=1e-9)
+
+
+# ---------------------------------------------------------------- folds, Holt-Winters
+def test_shared_folds_equal_fits_of_each_prefix(spark, daily500):
+    from sprout.operators.forecast import backtest, holt_winters_forecaster, seasonal_regression_forecaster
+    from sprout.operators.traffic import boosted_tree_forecaster
+    daily = daily500.unionByName(spark.createDataFrame(daily_frame(300, seed=3, site="other")))
+    for made in (lambda: boosted_tree_forecaster(rounds=12), holt_winters_forecaster, seasonal_regression_forecaster,
+                 lambda: holt_winters_forecaster(params=(0.2, 0.05, 0.1))):
+        shared, alone = made(), made()
+        if shared.__module__.endswith("traffic"):
+            # a prefix alone, fold by fold: one model for the sites that have the fold
+            whole = alone
+
+            def alone(train, horizon, gk):
+                parts = [whole(train.where(F.col("fold") == f).drop("fold"), horizon, [k for k in gk if k != "fold"])
+                         .withColumn("fold", F.lit(f)) for f in range(3)]
+                return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        else:
+            del alone.at_cuts
+        got, want = (sorted(map(tuple, backtest(daily, f, "m").collect())) for f in (shared, alone))
+        assert got == want and len(got) == 2 and all(r[-1] == 3 for r in got)
+
+
+def test_estimated_holt_winters_is_never_above_the_grid():
+    from sprout.operators import forecast as H
+    rng = np.random.default_rng(6)
+    t = np.arange(400)
+    series = [100 + 0.3 * t + 10 * np.sin(2 * np.pi * t / 7) + rng.normal(0, 3, 400), rng.normal(50, 9, 90), np.full(40, 7.0),
+              np.cumsum(rng.normal(0, 2, 250)) + 300, np.arange(10.0), 50 + np.tile([0, 1, 2, 3, 9, 9, 0], 30) * 1.0]
+    grid = [H.holt_winters_at_cuts(y, [len(y)], 14)[0] for y in series]
+    found = H.holt_winters_estimated(series, 14)
+    assert np.isnan(found[4]["forecast"]).all()
+    for a, b in zip(grid, found):
+        assert a["params"] is None or (b["sse"] <= a["sse"] and np.isfinite(b["forecast"]).all())
+    assert found[0]["sse"] < 0.99 * grid[0]["sse"] and found[5]["sse"] < 1e-6
+    # the batch doesn't change a series' result, and solved initial states are least squares
+    alone = H.holt_winters_estimated(series[:1], 14)[0]
+    assert np.allclose(alone["forecast"], found[0]["forecast"], rtol=1e-6)
+    smooth = np.array([[found[0]["params"]]])
+    sse, state = H.profiled(series[0][None], np.array([400]), smooth, 7)
+    for j in range(8):
+        for step in (-0.5, 0.5):
+            x = state[0, 0].copy()
+            x[j] += step
+            level, trend, season, total = x[0], x[1], np.append(x[2:], -x[2:].sum()), 0.0
+            for k, v in enumerate(series[0]):
+                s = season[k % 7]
+                total += (v - level - trend - s) ** 2
+                new = smooth[0, 0, 0] * (v - s) + (1 - smooth[0, 0, 0]) * (level + trend)
+                trend, level, season[k % 7] = smooth[0, 0, 1] * (new - level) + (1 - smooth[0, 0, 1]) * trend, new, \
+                    smooth[0, 0, 2] * (v - new) + (1 - smooth[0, 0, 2]) * s
+            assert total >= sse[0, 0] - 1e-6
