@@ -613,6 +613,27 @@ RANK_TREES = _given_trees(list(RANKING_FEATURES), 0.0,
                           ((("word_count", 500.0), ("page_speed", 60.0), ("backlinks", 25.0)), (0.0, 0.125, -0.0625, 0.25)))
 
 
+#: Centres and scale given by hand for a step of K-Means: restarts x clusters x visitor features.
+STEP_SCALE = {"sessions": (12.0, 6.0), "pageviews": (40.0, 21.0), "avg_time_on_site": (150.0, 75.5), "recency_days": (120.0, 64.0),
+              "num_orders": (9.0, 4.0), "total_spent": (900000.0, 512000.25)}
+STEP_CENTERS = [[[-1.0, -0.75, 0.0, 1.5, -1.0, -1.25], [0.5, 0.25, 0.125, -0.5, 0.5, 0.25], [1.5, 1.75, -0.25, -0.5, 1.25, 2.0]],
+                [[0.0, 0.0, 1.0, 0.0, 0.0, 0.0], [0.0, 0.0, -1.0, 0.5, 0.25, 0.0], [40.0, 40.0, 40.0, 40.0, 40.0, 40.0]]]
+
+
+@register("kmeans_step_given_centers", O.with_ctes(O.users_ctes(), body=OQ.kmeans_step_body(STEP_SCALE, STEP_CENTERS)))
+def q_kmeans_step(spark, sf):
+    """One step of K-Means for two restarts at once: rows, new centres and cost (its one job's exact sums)."""
+    import numpy as np
+    from ..operators import kmeans
+    users, names = td.users(spark, sf), list(STEP_SCALE)
+    z = users.select("user_id", *[((F.col(f).cast("double") - F.lit(m)) / F.lit(s)).alias(f) for f, (m, s) in STEP_SCALE.items()])
+    n, total, cost = kmeans.lloyd_step(kmeans.on_grid(z, names, ["user_id"]), np.array(STEP_CENTERS))
+    rows = [(i, c, int(n[i, c]), *[float(x) * kmeans.GRID / int(n[i, c]) if n[i, c] else None for x in total[i, c]], float(cost[i]))
+            for i in range(len(n)) for c in range(n.shape[1])]
+    out = spark.createDataFrame(rows, "restart int, cluster int, n long, " + ", ".join(f"{f} double" for f in names) + ", cost double")
+    return out.select("restart", "cluster", "n", *[rnd(f, 9).alias(f) for f in names], rnd("cost", 4).alias("cost"))
+
+
 @register("sales_predict_given_trees", O.with_ctes(O.daily_ctes(True), body=f"""
 SELECT site_id, date, greatest({OQ.trees_sql(SALES_TREES)}, CAST(0 AS DOUBLE)) AS prediction FROM daily_metrics"""))
 def q_sales_given(spark, sf):

@@ -434,7 +434,7 @@ def auc_body() -> str:
         one("purchase", "CAST(num_orders > 0 AS INTEGER)", "pageviews")
 
 
-HEURISTIC = rnd("2.5 * relevance + domain_authority / (10.0 + keyword_difficulty) + 0.01 * page_speed", 6)
+HEURISTIC = rnd("2.5 * relevance + CAST(backlinks AS DOUBLE) / (50.0 + CAST(backlinks AS DOUBLE)) + domain_authority / 25.0", 6)
 
 
 def ndcg_ctes(src: str, k: int, name: str) -> str:
@@ -812,6 +812,26 @@ SELECT site_id, CAST(last_day + CAST(h.h AS INTEGER) AS DATE) AS date,
 FROM hg_best CROSS JOIN range(1, {horizon + 1}) h(h)"""
 
 
+def kmeans_step_body(scale: dict, centers: list) -> str:
+    """One step of K-Means over z-scores in whole multiples of 2^-20, for every restart."""
+    grid = "CAST(1 AS DOUBLE) / 1048576"
+    z = ", ".join(f"round_even(((CAST({f} AS DOUBLE) - CAST({m!r} AS DOUBLE)) / CAST({s!r} AS DOUBLE)) * 1048576, 0) AS {f}" for f, (m, s) in scale.items())
+    values = ", ".join(f"({i}, {c}, " + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in row) + ")"
+                       for i, rows in enumerate(centers) for c, row in enumerate(rows))
+    far = " + ".join(f"(z.{f} / 1048576 - c.{f}) * (z.{f} / 1048576 - c.{f})" for f in scale)
+    sums = ", ".join(f"SUM({f}) AS {f}" for f in scale)
+    means = ", ".join(rnd(f"p.{f} / 1048576 / p.n", 9) + f" AS {f}" for f in scale)
+    return f""", z AS (SELECT user_id, {z} FROM users),
+c(restart, cluster, {", ".join(scale)}) AS (VALUES {values}),
+far AS (SELECT z.*, c.restart, c.cluster, {far} AS d FROM z CROSS JOIN c),
+own AS (SELECT *, row_number() OVER (PARTITION BY user_id, restart ORDER BY d, cluster) AS k FROM far),
+p AS (SELECT restart, cluster, COUNT(*) AS n, {sums} FROM own WHERE k = 1 GROUP BY 1, 2),
+cost AS (SELECT restart, SUM(round_even(d * 1048576, 0)) * ({grid}) AS cost FROM own WHERE k = 1 GROUP BY 1)
+SELECT CAST(c.restart AS INTEGER) AS restart, CAST(c.cluster AS INTEGER) AS cluster, COALESCE(p.n, 0) AS n, {means},
+  {rnd("cost.cost", 4)} AS cost
+FROM c LEFT JOIN p ON c.restart = p.restart AND c.cluster = p.cluster JOIN cost ON cost.restart = c.restart"""
+
+
 def trees_sql(model) -> str:
     """The summed trees of a boosted model as one expression over its feature columns."""
     def node(tree: int, i: int) -> str:

@@ -67,7 +67,7 @@ def test_segmentation(spark, scratch):
     users = spark.createDataFrame(users_frame(1500))
     seg = UserSegmenter()
     m = seg.fit(users).first()
-    assert m["squared_silhouette"] > 0.2 and m["n_clusters"] == 4
+    assert m["silhouette"] > 0.2 and m["n_clusters"] == 4
     summ = seg.segment_summary(users).collect()
     assert {r["segment_label"] for r in summ} == {"Buyer", "Potential Buyer", "Returning Visitor", "New Visitor"}
     assert sum(r["users"] for r in summ) == 1500
@@ -186,16 +186,42 @@ def test_ranker_sample_bounds_a_hot_keyword(spark):
     assert sorted(r["predicted_position"] for r in ranked.collect()) == list(range(1, 201))
 
 
-def test_segments_agree_across_layouts(spark):
+def test_segments_are_equal_on_all_layouts(spark):
     from sprout.operators.segment import UserSegmenter
     users = spark.createDataFrame(users_frame(1500))
-    labels = []
+    fits = []
     for n in (1, 7):
-        part = users.repartition(n)
         seg = UserSegmenter(n_init=3)
-        seg.fit(part)
-        labels.append({r["user_id"]: r["segment_label"] for r in seg.predict(users).select("user_id", "segment_label").collect()})
-    assert sum(labels[0][u] == labels[1][u] for u in labels[0]) >= 0.99 * 1500
+        metrics = tuple(seg.fit(users.repartition(n)).first())
+        fits.append((seg.model.tolist(), metrics, sorted(map(tuple, seg.predict(users).select("user_id", "segment_label").collect()))))
+    assert fits[0] == fits[1]
+
+
+def test_kmeans_ends_where_no_step_helps_and_silhouette_is_near_all_pairs(spark):
+    from sprout.operators import kmeans
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 1.0, (n, 2)) for c, n in (((0, 0), 2500), ((5, 1), 1500), ((1, 6), 999))] + [[[40.0, 40.0]]])
+    frame = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "k long, a double, b double").repartition(5)
+    points = kmeans.on_grid(frame, ["a", "b"], ["k"]).cache()
+    centers, cost = kmeans.fit(points, 2, 4, restarts=5)
+    grid = np.rint(x / kmeans.GRID) * kmeans.GRID
+    far = ((grid[:, None] - centers) ** 2).sum(2)
+    own = far.argmin(1)
+    assert abs(cost - far.min(1).sum()) < 0.01 and len(set(own)) == 4
+    assert all(np.abs(grid[own == c].mean(0) - centers[c]).max() < 0.02 for c in range(4))
+    n, total, _ = kmeans.lloyd_step(points, centers[None])
+    assert n[0].tolist() == np.bincount(own).tolist() and np.array_equal(total[0] * kmeans.GRID, [grid[own == c].sum(0) for c in range(4)])
+    each = []
+    for i in range(len(grid)):
+        d = np.sqrt(((grid[i] - grid) ** 2).sum(1))
+        if (own == own[i]).sum() == 1:
+            each.append(0.0)
+            continue
+        a = d[own == own[i]].sum() / ((own == own[i]).sum() - 1)
+        b = min(d[own == c].mean() for c in range(4) if c != own[i])
+        each.append((b - a) / max(a, b))
+    assert abs(kmeans.silhouette(points, centers) - np.mean(each)) < 0.02
+    assert abs(kmeans.silhouette(points, centers, sample=6000) - np.mean(each)) < 1e-5
 
 
 def whole_frame(n=700):
