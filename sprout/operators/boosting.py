@@ -9,7 +9,7 @@ One algorithm has two plans. Up to ``TASK_ROWS`` rows a fit is one task, and sev
 fits are tasks of one job. Above, binned rows are a stored table of blocks; a job sums
 what a step of the growing tree needs, the driver chooses the splits from those bounded
 sums, and the scores are stored with the blocks every ``STORED_EVERY`` rounds, so that a
-lost executor costs a few rounds at most. Quantiles are exact, row draws come from key
+lost executor costs those few trees' scores at most. Quantiles are exact, row draws come from key
 hashes, and gradients are rounded to a binary grid on which sums are exact, so both
 plans, and all layouts of the rows, give equal trees.
 
@@ -31,6 +31,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +40,11 @@ from ..session import discard_path, path_exists, store_at
 
 BINS = 64
 TASK_ROWS = 500_000     # rows of a fit that one task takes
-BLOCK_ROWS = 250_000
+LEAST_ROWS, BLOCK_ROWS = 20_000, 250_000  # rows of a block of a larger fit
 STORED_EVERY = 16       # rounds between stored scores
 DIRECT_PARTS = 64       # sums of more tasks are added up in the cluster first
 TOP = 30                # places whose pairs a ranking gradient takes
+WIDEST, WIDTH_STEP, PAD = 64, 8, 1e300  # small groups are padded to a few widths
 LEAST_GAIN = 1e-9
 
 
@@ -224,13 +226,24 @@ def boost(rows, features: Sequence[str], base: float, edges: list[np.ndarray], s
 
 
 # ---------------------------------------------------------------- rows
-def pair(head: tuple, row: tuple, inverse, grid: float) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and curvature on the lower-placed row of a pair; the head's gradient is the negative."""
-    (hs, hg, hd), (rs, rg, rd) = head, row
-    better = np.sign(hg - rg)
-    rho = 1 / (1 + np.exp(np.clip(better * (hs - rs), -60, 60)))
-    weight = np.abs(hg - rg) * np.abs(hd - rd) * inverse
-    return np.rint(better * rho * weight / grid) * grid, np.rint(rho * (1 - rho) * weight / grid) * grid
+def pair(head: tuple, row: tuple, fall, inverse, grid: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature on the lower-placed row of a pair; the head's gradient is the negative.
+
+    ``head`` and ``row`` are (score, gain), ``fall`` the discount that the row's place lacks."""
+    (hs, hg), (rs, rg) = head, row
+    more = hg - rg
+    away = np.exp(np.copysign(np.minimum(hs - rs, 60), more).astype(np.float32))  # the grid is no finer
+    rho = 1 / (1 + away)
+    step = more * fall
+    step *= inverse
+    step *= rho
+    bend = np.abs(step)
+    bend *= 1 - rho
+    for v in (step, bend):  # the grid is a power of two: products are exact
+        v *= 1 / grid
+        np.rint(v, out=v)
+        v *= grid
+    return step, bend
 
 
 DISCOUNT = np.append(1 / np.log2(np.arange(TOP) + 2), 0.0)
@@ -263,6 +276,7 @@ class Block:
     def __init__(self, bins: np.ndarray, y: np.ndarray, draw: np.ndarray, code: np.ndarray, score: np.ndarray, ends: tuple = ()):
         self.bins, self.y, self.draw, self.code, self.score, self.ends = bins, y, draw, code, score, ends
         self.best: np.ndarray | None = None  # 1 / best DCG of each group
+        self.squares: list | None = None
 
     @classmethod
     def of(cls, row: dict) -> "Block":
@@ -315,6 +329,17 @@ class Block:
             self.best = inverse_of((gain * discount(place))[order], self.groups()[0])
         return self.best
 
+    def squared_up(self, whole: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers and mask of the small whole groups, padded to a few widths."""
+        starts, sizes = self.groups()
+        width = -(-sizes // WIDTH_STEP) * WIDTH_STEP
+        out = []
+        for w in np.unique(width[whole & (sizes <= WIDEST)]):
+            some, at = np.flatnonzero(whole & (width == w))[:, None], np.arange(w)
+            mask = at < sizes[some]
+            out.append((np.where(mask, starts[some] + at, 0), mask))
+        return out
+
     def lambdas(self, score: np.ndarray, grid: float, cut: dict[str, Cut]) -> tuple[np.ndarray, np.ndarray]:
         starts, sizes = self.groups()
         gain, n = 2.0 ** self.y - 1, len(score)
@@ -324,19 +349,36 @@ class Block:
                 whole[k] = False
                 own = slice(starts[k], starts[k] + sizes[k])
                 g[own], h[own] = self.against(cut[key], score[own], gain[own], self.draw[own], grid)[:2]
-        order, place = self.placed(score)
-        inverse, off = self.inverse(), discount(place)
-        rows = order[whole[self.code[order]]]
-        for t in range(TOP):
-            rows = rows[place[rows] > t]
-            if not len(rows):
-                break
-            head = order[starts[self.code[rows]] + t]
-            dg, dh = pair((score[head], gain[head], off[head]), (score[rows], gain[rows], off[rows]), inverse[self.code[rows]], grid)
-            g[rows] += dg
-            h[rows] += dh
-            g -= np.bincount(head, dg, n)
-            h += np.bincount(head, dh, n)
+        inverse = self.inverse()
+        if self.squares is None:
+            self.squares = self.squared_up(whole)
+        for at, mask in self.squares:  # groups x places
+            order = np.argsort(np.where(mask, -score[at], PAD), 1, kind="stable")
+            at = np.take_along_axis(at, order, 1)
+            s, gains = np.where(mask, score[at], -PAD), gain[at]
+            weight = inverse[self.code[at[:, :1]]] * mask
+            dg, dh = np.zeros(s.shape), np.zeros(s.shape)
+            for t in range(min(TOP, s.shape[1] - 1)):
+                fall = DISCOUNT[t] - discount(np.arange(t + 1, s.shape[1]))
+                pg, ph = pair((s[:, t:t + 1], gains[:, t:t + 1]), (s[:, t + 1:], gains[:, t + 1:]), fall, weight[:, t + 1:], grid)
+                dg[:, t + 1:] += pg
+                dh[:, t + 1:] += ph
+                dg[:, t] -= pg.sum(1)
+                dh[:, t] += ph.sum(1)
+            g[at[mask]], h[at[mask]] = dg[mask], dh[mask]
+        large = whole & (sizes > WIDEST)
+        if large.any():
+            order, place = self.placed(score)
+            off = discount(place)
+            rows = order[large[self.code[order]]]
+            for t in range(TOP):
+                rows = rows[place[rows] > t]
+                head = order[starts[self.code[rows]] + t]
+                dg, dh = pair((score[head], gain[head]), (score[rows], gain[rows]), DISCOUNT[t] - off[rows], inverse[self.code[rows]], grid)
+                g[rows] += dg
+                h[rows] += dh
+                g -= np.bincount(head, dg, n)
+                h += np.bincount(head, dh, n)
         return g, h
 
     def end_groups(self) -> list[tuple[int, str]]:
@@ -351,10 +393,10 @@ class Block:
         top = cut.draw[at] == draw
         place = np.where(top, at, TOP)
         g, h = np.where(top, cut.g[at], 0.0), np.where(top, cut.h[at], 0.0)
-        added, off, heads = np.zeros((2, len(order))), discount(place), discount(np.arange(len(order)))
+        added, off = np.zeros((2, len(order))), discount(place)
         for t in range(len(order)):
             rows = np.flatnonzero(place > t)
-            dg, dh = pair((cut.score[t], cut.gain[t], heads[t]), (score[rows], gain[rows], off[rows]), cut.inverse, grid)
+            dg, dh = pair((cut.score[t], cut.gain[t]), (score[rows], gain[rows]), DISCOUNT[t] - off[rows], cut.inverse, grid)
             g[rows] += dg
             h[rows] += dh
             added[:, t] = -dg.sum(), dh.sum()
@@ -382,129 +424,114 @@ class TaskRows:
     def root(self, r: int) -> np.ndarray:
         b = self.block
         self.g, self.h = b.slopes(self.objective, b.score, self.grid, {})
-        self.use, self.node = b.used(r, self.seed, self.share), np.zeros(len(b.y), int)
-        return b.binned_sums(np.where(self.use, 0, -1), 1, self.g, self.h)
+        self.use, self.rows = b.used(r, self.seed, self.share), {0: np.arange(len(b.y))}
+        return self.sums([0])
+
+    def sums(self, nodes: list[int]) -> np.ndarray:
+        """(node, 3, feature, bin) sums over the drawn rows of each node."""
+        out = np.empty((len(nodes), 3, len(self.block.bins), BINS))
+        for k, node in enumerate(nodes):
+            rows = self.rows[node]
+            rows = rows[self.use[rows]]
+            g, h = self.g[rows], None if self.h is None else self.h[rows]
+            for j, bins in enumerate(self.block.bins):
+                own = bins[rows]
+                out[k, 0, j], out[k, 2, j] = np.bincount(own, g, BINS), np.bincount(own, minlength=BINS)
+                out[k, 1, j] = out[k, 2, j] if h is None else np.bincount(own, h, BINS)
+        return out
 
     def summed(self, splits: list[Split], small: list[int]) -> np.ndarray:
-        size = splits[-1].right + 1
-        place, slot = np.full(size, -1), np.full(size, -1)
-        place[[s.node for s in splits]] = np.arange(len(splits))
-        slot[small] = np.arange(len(small))
-        feature, cut, left, right = (np.array(x) for x in list(zip(*splits))[1:])
-        k = place[self.node]
-        rows = np.flatnonzero(k >= 0)
-        k = k[rows]
-        self.node[rows] = np.where(self.block.bins[feature[k], rows] > cut[k], right[k], left[k])
-        own = np.where(self.use[rows], slot[self.node[rows]], -1)
-        every = np.full(len(self.node), -1)
-        every[rows] = own
-        return self.block.binned_sums(every, len(small), self.g, self.h)
+        for s in splits:
+            rows = self.rows.pop(s.node)
+            above = self.block.bins[s.feature, rows] > s.cut
+            self.rows[s.left], self.rows[s.right] = rows[~above], rows[above]
+        return self.sums(small)
 
     def finished(self, tree: tuple, leaf: np.ndarray) -> None:
-        self.block.score = self.block.score + tree[2][leaf[self.node]]
+        for node, rows in self.rows.items():  # the ends of the widened tree hold each row once
+            self.block.score[rows] += tree[2][leaf[node]]
 
 
-BLOCKS = "n int, bins binary, y binary, draw binary, code binary, score binary, a string, b string"
-
-
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield batch.slice(k, 1).to_pylist()[0]
+BLOCKS = "part int, n int, bins binary, y binary, draw binary, code binary, score binary, a string, b string"
+BLOCK_SCHEMA = pa.schema([pa.field("part", pa.int32()), pa.field("n", pa.int32()),
+                          *[pa.field(c, pa.binary()) for c in ("bins", "y", "draw", "code", "score")],
+                          pa.field("a", pa.string()), pa.field("b", pa.string())])
 
 
 class SpreadRows:
-    """Rows of a fit as a stored table of blocks; a call of ``root`` or ``summed`` is one job (a cut group two more a round)."""
+    """Rows of a fit as blocks, a partition each, from a stored table; a call of ``root`` or ``summed`` is one job
+    (a cut group two more a round). Slopes are taken once a round."""
 
-    def __init__(self, table: DataFrame, path: str, parts: int, n_features: int, objective: str, grid: float, seed: int, share: float):
-        self.table, self.path, self.parts, self.f = table.persist(), path, parts, n_features
-        self.objective, self.grid, self.seed, self.share = objective, grid, seed, share
-        self.pending: list[tuple] = []
+    def __init__(self, table: DataFrame, path: str, parts: int, objective: str, grid: float, seed: int, share: float):
+        self.path, self.parts, self.objective, self.grid, self.seed, self.share = path, parts, objective, grid, seed, share
         self.inverse: dict[str, float] | None = None
+        self.round: RDD | None = None
+        self.load(table)
 
-    def collected(self, run: Callable, schema: str) -> list:
-        return self.table.mapInArrow(run, schema).collect()
+    def load(self, table: DataFrame) -> None:
+        self.table, self.pending = table, []
+        keyed = table.rdd.map(lambda r: (r["part"], r.asDict())).partitionBy(self.parts, int)
+        self.blocks = keyed.mapValues(Block.of).values().persist(StorageLevel.MEMORY_AND_DISK)
 
     def cut_groups(self) -> dict[str, Cut]:
         """The groups at the ends of blocks: their top rows, then the sums over all their pairs."""
         trees, known, grid = list(self.pending), self.inverse, self.grid
 
-        def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = []
-            for b in map(Block.of, rows_of(batches)):
-                score, gain = b.after(trees), 2.0 ** b.y - 1
-                starts, sizes = b.groups()
-                for k, key in b.end_groups():
-                    own = np.arange(starts[k], starts[k] + sizes[k])
-                    top = own[np.lexsort((b.draw[own].view(np.int64), -score[own]))[:TOP]]
-                    best = np.sort(gain[own])[::-1][:TOP] if known is None else []
-                    rows.append((key, score[top].tolist(), gain[top].tolist(), b.draw[top].view(np.int64).tolist(), list(best)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) if i == 0 else pa.array(c, pa.list_(pa.int64() if i == 3 else pa.float64()))
-                                                  for i, c in enumerate(zip(*rows))], ["key", "score", "gain", "draw", "best"])
+        def tops(b: Block) -> list[tuple]:
+            score, gain = b.after(trees), 2.0 ** b.y - 1
+            starts, sizes = b.groups()
+            out = []
+            for k, key in b.end_groups():
+                own = np.arange(starts[k], starts[k] + sizes[k])
+                top = own[np.lexsort((b.draw[own].view(np.int64), -score[own]))[:TOP]]
+                out.append((key, score[top], gain[top], b.draw[top], np.sort(gain[own])[::-1][:TOP] if known is None else None))
+            return out
 
         found: dict[str, list] = {}
-        for r in self.collected(tops, "key string, score array<double>, gain array<double>, draw array<bigint>, best array<double>"):
-            found.setdefault(r["key"], []).append(r)
+        for key, *rest in self.blocks.flatMap(tops).collect():
+            found.setdefault(key, []).append(rest)
         found = {k: v for k, v in found.items() if len(v) > 1}
         if known is None:
             self.inverse = {}
             for key, rs in found.items():
-                best = np.sort(np.concatenate([r["best"] for r in rs]))[::-1][:TOP]
+                best = np.sort(np.concatenate([r[3] for r in rs]))[::-1][:TOP]
                 self.inverse[key] = float(inverse_of(best * discount(np.arange(len(best))), np.zeros(1, int))[0])
         heads = {}
         for key, rs in found.items():
-            score, gain = (np.concatenate([r[c] for r in rs]) for c in ("score", "gain"))
-            draw = np.concatenate([np.array(r["draw"], np.int64) for r in rs])
-            top = np.lexsort((draw, -score))[:TOP]
-            none = np.zeros(len(top))
-            heads[key] = Cut(score[top], gain[top], draw[top].view(np.uint64), self.inverse[key], none, none)
+            score, gain, draw = (np.concatenate([r[c] for r in rs]) for c in range(3))
+            top = np.lexsort((draw.view(np.int64), -score))[:TOP]
+            heads[key] = Cut(score[top], gain[top], draw[top], self.inverse[key], np.zeros(len(top)), np.zeros(len(top)))
         if not heads:
             return {}
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = []
-            for b in map(Block.of, rows_of(batches)):
-                score, gain = b.after(trees), 2.0 ** b.y - 1
-                starts, sizes = b.groups()
-                for k, key in b.end_groups():
-                    if key in heads:
-                        own = slice(starts[k], starts[k] + sizes[k])
-                        added = Block.against(heads[key], score[own], gain[own], b.draw[own], grid)[2]
-                        rows.append((key, added[0].tolist(), added[1].tolist()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["key", "g", "h"])
+        def add(b: Block) -> list[tuple]:
+            score, gain = b.after(trees), 2.0 ** b.y - 1
+            starts, sizes = b.groups()
+            out = []
+            for k, key in b.end_groups():
+                if key in heads:
+                    own = slice(starts[k], starts[k] + sizes[k])
+                    out.append((key, Block.against(heads[key], score[own], gain[own], b.draw[own], grid)[2]))
+            return out
 
         sums = {k: np.zeros((2, len(c.score))) for k, c in heads.items()}
-        for r in self.collected(add, "key string, g array<double>, h array<double>"):
-            sums[r["key"]] += [r["g"], r["h"]]
+        for key, added in self.blocks.flatMap(add).collect():
+            sums[key] += added
         return {k: c._replace(g=sums[k][0], h=sums[k][1]) for k, c in heads.items()}
 
     def job(self, slots: dict[int, int]) -> np.ndarray:
         """Sums of the nodes in ``slots`` over all blocks."""
-        trees, cuts, (feature, cut, left, right), start = list(self.pending), self.cuts, self.nodes(), 0 if self.splits else ~0
-        objective, grid, r, seed, share, n = self.objective, self.grid, self.r, self.seed, self.share, len(slots)
+        (feature, cut, left, right), start, n = self.nodes(), 0 if self.splits else ~0, len(slots)
         slot = np.full(len(feature), -1)
         slot[list(slots)] = list(slots.values())
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for b in map(Block.of, rows_of(batches)):
-                g, h = b.slopes(objective, b.after(trees), grid, cuts)
-                own = slot[descend(b.bins, start, feature, cut, left, right)]
-                sums = b.binned_sums(np.where(b.used(r, seed, share), own, -1), n, g, h)
-                total = sums if total is None else total + sums
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(total).tobytes()], pa.binary())], ["sums"])
-
-        def add(parts: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x) for x in parts["sums"].to_pylist())
-            return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
-
-        each = self.table.mapInArrow(run, "sums binary")
-        if self.parts > DIRECT_PARTS:
-            each = each.groupBy(F.spark_partition_id() % 32).applyInArrow(add, "sums binary")
-        return sum(np.frombuffer(x["sums"]) for x in each.collect()).reshape(n, 3, self.f, BINS)
+        def run(part: Iterator[tuple]) -> Iterator[np.ndarray]:
+            for bins, use, g, h in part:
+                own = slot[descend(bins, start, feature, cut, left, right)]
+                yield Block(bins, g, g, g, g).binned_sums(np.where(use, own, -1), n, g, h)
+
+        each = self.round.mapPartitions(run)
+        return each.treeReduce(np.add) if self.parts > DIRECT_PARTS else sum(each.collect())
 
     def nodes(self) -> list[np.ndarray]:
         """The growing tree by node number; ends are ``~node``."""
@@ -517,9 +544,18 @@ class SpreadRows:
         return out
 
     def root(self, r: int) -> np.ndarray:
-        self.r, self.splits = r, []
-        self.cuts = self.cut_groups() if self.objective == "lambdarank" and self.inverse != {} else {}
-        return self.job({0: 0})
+        cuts = self.cut_groups() if self.objective == "lambdarank" and self.inverse != {} else {}
+        trees, objective, grid, seed, share = list(self.pending), self.objective, self.grid, self.seed, self.share
+
+        def slopes(b: Block) -> tuple:
+            return b.bins, b.used(r, seed, share), *b.slopes(objective, b.after(trees), grid, cuts)
+
+        before, self.splits = self.round, []
+        self.round = self.blocks.map(slopes).persist(StorageLevel.MEMORY_AND_DISK)
+        sums = self.job({0: 0})
+        if before is not None:
+            before.unpersist()
+        return sums
 
     def summed(self, splits: list[Split], small: list[int]) -> np.ndarray:
         self.splits += splits
@@ -532,17 +568,21 @@ class SpreadRows:
         trees = self.pending
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in rows_of(batches):
-                row["score"] = Block.of(row).after(trees).tobytes()
-                yield pa.RecordBatch.from_pylist([row], pa.schema([pa.field("n", pa.int32()), *[
-                    pa.field(c, pa.binary()) for c in ("bins", "y", "draw", "code", "score")], pa.field("a", pa.string()), pa.field("b", pa.string())]))
+            for batch in batches:
+                for row in batch.to_pylist():
+                    row["score"] = Block.of(row).after(trees).tobytes()
+                    yield pa.RecordBatch.from_pylist([row], BLOCK_SCHEMA)
 
         table, path = store_at(self.table.mapInArrow(run, BLOCKS), "boost-blocks")
         self.close()
-        self.table, self.path, self.pending = table.persist(), path, []
+        self.path = path
+        self.load(table)
 
     def close(self) -> None:
-        self.table.unpersist()
+        self.blocks.unpersist()
+        if self.round is not None:
+            self.round.unpersist()
+            self.round = None
         discard_path(self.table.sparkSession, self.path)
 
 
@@ -659,23 +699,23 @@ def fit_spread(known: DataFrame, features: list[str], objective: str, n: int, ba
     edges = exact_edges(known, f, n)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            bins = bin_rows([t[f"x{j}"].to_numpy(zero_copy_only=False) for j in range(f)], edges)
-            packed = [bins, t["y"].to_numpy(zero_copy_only=False), t["draw"].to_numpy(zero_copy_only=False), code_of(t["g"]),
-                      np.full(batch.num_rows, base)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.num_rows], pa.int32()), *[pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in packed],
-                 pa.array([t["g"][0].as_py()]), pa.array([t["g"][-1].as_py()])],
-                ["n", "bins", "y", "draw", "code", "score", "a", "b"])
-
-    parts = -(-n // BLOCK_ROWS)
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches).combine_chunks()
+        bins = bin_rows([t[f"x{j}"].to_numpy() for j in range(f)], edges)
+        packed = [bins, t["y"].to_numpy(), t["draw"].to_numpy(), code_of(t["g"].combine_chunks()), np.full(t.num_rows, base)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([t.num_rows], pa.int32()),
+             *[pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in packed],
+             pa.array([t["g"][0].as_py()], pa.string()), pa.array([t["g"][-1].as_py()], pa.string())], schema=BLOCK_SCHEMA)
+
+    spread = known.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-n // BLOCK_ROWS), min(spread, -(-n // LEAST_ROWS)))  # rows are dealt evenly: a key's rows have their own draws
     ranked = objective == "lambdarank"
     dealt = known.repartitionByRange(parts, "g", "draw").sortWithinPartitions("g", "draw", "y") if ranked else known.repartition(parts)
     table, path = store_at(dealt.mapInArrow(pack, BLOCKS), "boost-blocks")
-    rows = SpreadRows(table, path, parts, f, objective, grid, seed, share)
+    rows = SpreadRows(table, path, parts, objective, grid, seed, share)
     try:
         return boost(rows, features, base, edges, shape, rounds, rate, seed, columns)
     finally:

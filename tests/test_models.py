@@ -243,6 +243,7 @@ def test_both_plans_of_a_fit_give_equal_trees(spark, monkeypatch, objective, tar
     for task_rows, block_rows, parts in ((10_000, 100, 3), (700, 100, 1), (699, 90, 3), (699, 300, 5)):
         monkeypatch.setattr(boosting, "TASK_ROWS", task_rows)
         monkeypatch.setattr(boosting, "BLOCK_ROWS", block_rows)
+        monkeypatch.setattr(boosting, "LEAST_ROWS", block_rows)
         monkeypatch.setattr(boosting, "STORED_EVERY", 7)
         monkeypatch.setattr(boosting, "DIRECT_PARTS", 64 if parts == 3 else 2)
         fits.append(boosting.fit_whole(frame.repartition(parts), ["a", "b", "c"], target, objective, ["k"], **options).to_json())
@@ -273,7 +274,7 @@ def test_lambdas_equal_all_pairs_of_the_top_places():
                     rho = 1 / (1 + math.exp(score[high] - score[low]))
                     want[:, high] += -rho * weight, rho * (1 - rho) * weight
                     want[:, low] += rho * weight, rho * (1 - rho) * weight
-    assert np.abs(np.stack([g, h]) - want).max() < 1e-9
+    assert np.abs(np.stack([g, h]) - want).max() < 1e-6  # exponentials are single precision
 
 
 def test_a_tree_takes_the_best_splits_first():
