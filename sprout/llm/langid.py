@@ -14,6 +14,13 @@ them landmarks, chosen by a hash of the id. Normal equations are summed over the
 sample inside the tasks; only those of landmark size reach the driver. Scoring
 reads every whole text and nothing else.
 
+Whether a text is in one of the learned languages at all is told by its likeness, which
+doesn't depend on its size. Scores are linear in the presence of an n-gram, so each n-gram
+has a weight per language. A text's mean weight over all n-grams as they occur, for its
+best language, over the median of that language's sample texts, is its likeness. A text
+is rejected where that stays below ``LEAST_LIKE`` by more than chance (twice the inverse
+root of the number of n-grams): short texts that can't be told are kept.
+
 A null text, or one without a letter, is ``und`` with score 0, and so is every
 text when no labelled row exists. Equal texts get equal results; ties go to the
 first language in alphabetic order. Null labels aren't learned. Rows that repeat
@@ -40,6 +47,7 @@ RIDGE, FLOOR = 1e-3, 1e-6
 BATCH_DOCS, BATCH_BYTES = 64, 1 << 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 UNKNOWN = "und"
+LEAST_LIKE = 0.4
 
 
 @functools.cache
@@ -53,16 +61,14 @@ def letters() -> np.ndarray:
     return table
 
 
-def mark(text: bytes, row: np.ndarray) -> bool:
-    """Set the buckets of a text's n-grams in ``row``; False if it has no letter. Long texts go in overlapping parts."""
+def gram_buckets(text: bytes) -> Iterator[np.ndarray]:
+    """Buckets of a text's n-grams as they occur; nothing if it has no letter. Long texts go in overlapping parts."""
     cps = np.frombuffer(text.decode().encode("utf-32-le"), "<u4")
-    found = False
     for lo in range(0, len(cps), 1 << 18):
         low = letters()[cps[max(0, lo - 2):lo + (1 << 18)]]
         blank = low == 0
         if blank.all():
             continue
-        found = True
         low = low[~(blank & np.append(False, blank[:-1]))].astype(np.uint64)  # a run of others counts once
         if lo == 0 and low[0]:
             low = np.append(np.uint64(0), low)
@@ -74,10 +80,26 @@ def mark(text: bytes, row: np.ndarray) -> bool:
                 break
             key = key[:len(low) - n + 1] * MIX[2] + low[n - 1:] + np.uint64(n)
             mixed = (key ^ (key >> np.uint64(29))) * MIX[n % 2]
-            row[mixed >> np.uint64(49)] = 1
+            yield mixed >> np.uint64(49)
+
+
+def mark(text: bytes, row: np.ndarray) -> bool:
+    """Set the buckets of a text's n-grams in ``row``; False if it has no letter."""
+    found = False
+    for buckets in gram_buckets(text):
+        row[buckets], found = 1, True
     return found
 
 
+def mean_weights(text: bytes, weights: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of a text's n-grams, and their mean weight per language."""
+    n, total = 0, np.zeros(weights.shape[1])
+    for buckets in gram_buckets(text):
+        n += len(buckets)
+        total += np.bincount(buckets, minlength=BUCKETS) @ weights
+    return n, total / max(n, 1)
+
+
 def presence(raw: bytes, offs: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Presence rows of some texts, and which have a letter."""
     rows = np.zeros((len(offs) - 1, BUCKETS), np.uint8)
@@ -93,11 +115,24 @@ class Model:
         self.used = np.flatnonzero(marks.any(0))
         self.marks = np.packbits(marks[:, self.used], axis=1)
         self.sizes = marks.sum(1, dtype=np.int64)
+        self.typical: np.ndarray | None = None  # median mean weight of each language's sample texts
 
     @functools.cached_property
     def weights(self) -> np.ndarray:
         return np.unpackbits(self.marks, axis=1, count=len(self.used)).T.astype(np.float32)
 
+    @functools.cached_property
+    def gram_weights(self) -> np.ndarray:
+        """Buckets x languages: what an n-gram's presence adds to a score, but for the text's own size."""
+        out = np.zeros((BUCKETS, len(self.languages)))
+        out[self.used] = self.weights.astype(float) @ (self.coefficients / np.sqrt(self.sizes)[:, None])
+        return out
+
+    def likeness(self, text: bytes) -> tuple[int, float]:
+        """Number of a text's n-grams, and its likeness to its best language."""
+        n, mean = mean_weights(text, self.gram_weights)
+        return n, float((mean / self.typical).max()) if n else 0.0
+
     def kernel(self, rows: np.ndarray) -> np.ndarray:
         shared = rows[:, self.used].astype(np.float32) @ self.weights
         return shared / np.sqrt(np.maximum(1, rows.sum(1, dtype=np.int64))[:, None] * self.sizes)
@@ -112,8 +147,10 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, id_col: str = "doc_id",
-        text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on a bounded sample of the rows that aren't held out and have a label; None if there are none."""
+        text_col: str = "text", lang_col: str = "lang", typical: bool = False) -> Model | None:
+    """Fit on a bounded sample of the rows that aren't held out and have a label; None if there are none.
+
+    ``typical`` also takes what the likeness of a text is measured by."""
     labelled = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("text").alias("n")).collect() if r["n"]}
@@ -132,15 +169,17 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, i
                 rows, has = presence(raw, offs[lo:lo + BATCH_DOCS + 1])
                 part = batch.slice(lo, BATCH_DOCS)
                 packed = pa.array([r.tobytes() for r in np.packbits(rows, axis=1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed],
-                                                 ["lang", "draw", "marks"]).filter(pa.array(has))
+                texts = part.column(2) if typical else pa.nulls(part.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed, texts],
+                                                 ["lang", "draw", "marks", "text"]).filter(pa.array(has))
 
-    sample, _ = store(drawn.select("lang", "draw", "text").mapInArrow(mark_rows, "lang string, draw double, marks binary"),
+    sample, _ = store(drawn.select("lang", "draw", "text").mapInArrow(mark_rows, "lang string, draw double, marks binary, text string"),
                       "langid-sample")
     top = F.create_map(*[F.lit(x) for k in languages for x in (k, landmarks / min(fit_rows, counts[k]))])
-    chosen = sample.where(F.col("draw") < top[F.col("lang")]).orderBy("lang", "draw", "marks").collect()
+    marked = sample.drop("text")
+    chosen = marked.where(F.col("draw") < top[F.col("lang")]).orderBy("lang", "draw", "marks").collect()
     if not chosen:
-        chosen = sample.orderBy("draw", "marks").limit(landmarks).collect()
+        chosen = marked.orderBy("draw", "marks").limit(landmarks).collect()
     if not chosen:
         return None
     marks = np.unpackbits(np.array([np.frombuffer(r["marks"], np.uint8) for r in chosen]), axis=1)
@@ -168,7 +207,41 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, i
     sums = sum(np.frombuffer(r["sums"]) for r in parts)
     d = whiten.shape[1]
     left, right, n = sums[:d * d].reshape(d, d), sums[d * d:-1].reshape(d, -1), sums[-1]
-    return Model(languages, marks, whiten @ np.linalg.solve(left + RIDGE * max(n, 1) * np.eye(d), right))
+    model = Model(languages, marks, whiten @ np.linalg.solve(left + RIDGE * max(n, 1) * np.eye(d), right))
+    if typical:
+        weights = model.gram_weights
+
+        def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lang = batch.column(0).to_pylist()
+                own = [mean_weights(t.encode(), weights)[1][languages.index(k)] for k, t in zip(lang, batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())], ["lang", "own"])
+
+        middle = sample.select("lang", "text").mapInArrow(means, "lang string, own double").groupBy("lang").agg(F.percentile("own", 0.5).alias("m"))
+        medians = {r["lang"]: r["m"] for r in middle.collect()}
+        model.typical = np.array([max(medians.get(k) or 0.0, FLOOR) for k in languages])
+    return model
+
+
+def belonging(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and isn't told to be in no learned language.
+
+    Without a learned language (no labelled row) every text with a letter stays. Null and
+    empty texts go; repeated rows are judged alike. All columns pass, whatever their names.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if model is None:
+        return rows.where(F.col("text").rlike(r"\p{L}")).select("row.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = text_buffers(batch.column(1))
+            raw, offs = data.tobytes(), offs.tolist()
+            told = [model.likeness(raw[a:b]) for a, b in zip(offs, offs[1:])]
+            keep = [n > 0 and like + 2 / np.sqrt(n) >= LEAST_LIKE for n, like in told]
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["row"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text",

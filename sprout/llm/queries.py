@@ -113,10 +113,10 @@ WITH d AS (
 ), again AS (
   SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY words) AS n FROM win) WHERE n > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, i + k AS at FROM again, range(0, 35) r(k)
-), word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM d),
+  SELECT DISTINCT doc_id, i + k AS pos FROM again, range(0, 35) r(k)
+), word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
 kept AS (
-  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS words FROM word ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS words FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
@@ -133,11 +133,12 @@ WITH l AS (
   SELECT plain FROM n WHERE plain <> '' GROUP BY plain HAVING count(DISTINCT source) >= 10
 ), d AS (
   SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (WHERE bad.plain IS NOT NULL) AS gone,
+         count(*) FILTER (WHERE n.plain <> '' AND bad.plain IS NULL) AS own,
          coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE bad.plain IS NULL), '') AS rest
-  FROM n LEFT JOIN bad USING (plain) GROUP BY doc_id, text
+  FROM n LEFT JOIN bad ON n.plain = bad.plain GROUP BY doc_id, text
 )
-SELECT doc_id, CASE WHEN 2 * length(rest) < length(text) THEN text ELSE rest END AS text, n_lines::INT AS n_lines,
-       CASE WHEN 2 * length(rest) < length(text) THEN 0 ELSE gone END::INT AS n_removed
+SELECT doc_id, CASE WHEN own = 0 THEN text ELSE rest END AS text, n_lines::INT AS n_lines,
+       CASE WHEN own = 0 THEN 0 ELSE gone END::INT AS n_removed
 FROM d
 """
 

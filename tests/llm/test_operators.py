@@ -318,13 +318,20 @@ def test_packing_search_keeps_all_lengths(spark):
 def test_line_dedup(spark, awkward, nothing):
     notice, rare = "All Rights  reserved.", "On nine sites only."
     rows = [(i, f"s{i}", f"own line {i} with words\n{notice if i % 2 else notice.lower()}\nmore words of {i}" + (f"\n{rare}" if i < 9 else "")) for i in range(14)]
-    rows += [(100, "s0", "whole\ntext\nelsewhere"), (101, None, notice), (102, "s1", None), (103, "s2", ""), (104, "s3", "\n \n\n"), (105, "s3", notice + "\n" + notice)]
+    rows += [(100, "s0", "whole\ntext\nelsewhere"), (101, None, notice), (102, "s1", None), (103, "s2", ""), (104, "s3", "\n \n\n"), (105, "s3", notice + "\n" + notice),
+             (106, "s4", "\n".join([notice] * 50 + ["mine"])), (None, "s5", "here\n" + notice), (None, "s6", notice), (107, "s7", "word " * 600_000 + "\n" + notice)]
     docs = spark.createDataFrame([(i, t, s, None if t is None else len(t), "x") for i, s, t in rows], "doc_id long, text string, source string, n_chars long, site string")
     got = {r["doc_id"]: r for r in lines.remove_boilerplate(docs).collect()}
     for i in range(14):
         assert got[i]["text"] == f"own line {i} with words\nmore words of {i}" + (f"\n{rare}" if i < 9 else "") and got[i]["n_removed"] == 1
         assert got[i]["n_chars"] == len(got[i]["text"])
     assert got[101]["text"] == notice and got[105]["n_removed"] == 0  # frames go, documents don't
+    assert got[106]["text"] == "mine" and got[106]["n_removed"] == 50 and got[107]["text"] == "word " * 600_000
+    clash = docs.selectExpr("*", "1 AS id", "2 AS bad", "3 AS n_lines", "4 AS every", "5 AS row", "6 AS own", "7 AS line_key")
+    same = lines.remove_boilerplate(clash)
+    assert same.columns == [c for c in clash.columns if c != "n_lines"] + ["n_lines", "n_removed"]
+    assert sorted(map(str, same.select(*docs.columns).collect())) == sorted(map(str, lines.remove_boilerplate(docs, report=False).collect()))
+    assert sorted(r["text"] for r in same.where("doc_id IS NULL").collect()) == [notice, "here"]
     assert got[102]["text"] is None and got[103]["text"] == "" and got[104]["text"] == "\n \n\n" and got[102]["n_lines"] == 0
     assert lines.remove_boilerplate(awkward, report=False).columns == awkward.columns
     assert lines.remove_boilerplate(awkward).count() == awkward.count() and lines.remove_boilerplate(nothing).count() == 0
