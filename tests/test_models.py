@@ -382,3 +382,44 @@ def test_estimated_holt_winters_is_never_above_the_grid():
                 trend, level, season[k % 7] = smooth[0, 0, 1] * (new - level) + (1 - smooth[0, 0, 1]) * trend, new, \
                     smooth[0, 0, 2] * (v - new) + (1 - smooth[0, 0, 2]) * s
             assert total >= sse[0, 0] - 1e-6
+
+
+def test_planted_trend_changes_are_found_and_forecasts_are_better_than_a_ridge():
+    from sprout.operators import forecast as H
+    rng, n = np.random.default_rng(2), 1500
+    t, day, knots = np.arange(n), np.arange(n) + 18_000.0, np.linspace(0, 0.8, 27)[1:-1]
+    week = 10 * np.sin(2 * np.pi * t / 7)
+    bent = 100 + 0.3 * np.minimum(t, knots[12] * n)
+    y = bent + week + rng.normal(0, 2, n)
+    beta, _ = H.seasonal_regression_fit(y / y.max(), day)
+    changes = beta[2:27]
+    assert abs(int(np.abs(changes).argmax()) - 12) <= 1 and changes[11:14].sum() < -0.5
+    straight = 100 + 0.1 * t + week + rng.normal(0, 4, n)
+    none = H.seasonal_regression_fit(straight / straight.max(), day)[0][2:27]
+    assert np.count_nonzero(none) <= 5 and np.abs(none).max() < 0.1
+
+    def ridged(y, day, horizon):  # every change free, held by a ridge
+        k = len(y)
+        x = H._design(np.arange(k) / k, day, knots)
+        pen = np.full(x.shape[1], 1e-2)
+        pen[:2], pen[2:27] = 0, 1
+        b = np.linalg.solve(x.T @ x + np.diag(pen) * k / 100, x.T @ (y / y.max()))
+        return H._design((k + np.arange(horizon)) / k, day[-1] + 1 + np.arange(horizon), knots) @ b * y.max()
+    wrong = np.zeros(2)
+    for truth in (bent + week, 100 + 0.1 * t + week, 300 + np.cumsum(rng.normal(0, 1.5, n)) + week):
+        y = truth + rng.normal(0, 4, n)
+        for cut in (900, 1200, 1472):
+            for i, f in enumerate((H.seasonal_regression_fit_forecast, ridged)):
+                wrong[i] += np.abs(f(y[:cut], day[:cut], 28) - truth[cut:cut + 28]).mean()
+    assert wrong[0] < wrong[1]
+
+
+def test_sparse_changes_are_the_least_of_their_sum():
+    from sprout.operators import forecast as H
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8)).cumsum(1)
+    gram, rhs, weight = x.T @ x, x.T @ (x[:, 2] * 2 - x[:, 6] + rng.normal(size=60)), 40.0
+    d = H.sparse_changes(gram, rhs, weight)
+    cost = lambda v: v @ gram @ v / 2 - rhs @ v + weight * np.abs(v).sum()
+    assert 0 < np.count_nonzero(d) < 8
+    assert all(cost(d) <= cost(d + step) + 1e-9 for step in np.concatenate([rng.normal(size=(300, 8)) * s for s in (1e-3, 0.1, 1)]))
