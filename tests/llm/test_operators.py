@@ -8,6 +8,7 @@ import os
 import random
 import re
 import sys
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -314,6 +315,35 @@ def test_packing_search_keeps_all_lengths(spark):
     assert sum(best.values()) <= sum(plain.chromosome().values())
 
 
+def spectrum(text):
+    """All n-grams (n = 1 to 3) of a text's lower-case letters, other runs as one blank."""
+    low = re.sub(r"(?:[^\W\d_]|[^\W\d_])+|[\W\d_]+", lambda m: m.group().lower() if m.group()[0].isalpha() else " ", text)
+    low = f" {low.strip(' ')} "
+    return {low[k:k + n] for n in (1, 2, 3) for k in range(len(low) - n + 1)}
+
+
+def test_language_scores_equal_plain_kernel_ridge(small):
+    """With every sample text a landmark the features are exact: values are those of kernel ridge regression on sets."""
+    docs, rows = small
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    model = langid.fit(docs, fit_rows=10_000, landmarks=10_000)
+    texts = {i: t for i, t in rows if t and any(c.isalpha() for c in t)}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2 and lang[i] is not None]
+    sets = {i: spectrum(t) for i, t in texts.items()}
+    assert len(model.sizes) == len(train) and model.languages == sorted({lang[i] for i in train})
+
+    def kernel(left, right):
+        return np.array([[len(sets[a] & sets[b]) / np.sqrt(len(sets[a]) * len(sets[b])) for b in right] for a in left])
+    target = np.array([[lang[i] == k for k in model.languages] for i in train], float)
+    alpha = np.linalg.solve(kernel(train, train) + langid.RIDGE * len(train) * np.eye(len(train)), target)
+    held = [i for i in texts if i not in set(train)]
+    want = kernel(held, train) @ alpha
+    marks, _ = langid.presence("".join(texts[i] for i in held).encode(), np.cumsum([0, *(len(texts[i].encode()) for i in held)]).tolist())
+    got = model.values(marks)
+    assert np.abs(got - want).max() < 0.1 and (got.argmax(1) == want.argmax(1)).all()  # buckets of hashed n-grams can meet
+    assert np.mean([model.languages[k] == lang[i] for i, k in zip(held, want.argmax(1))]) > 0.95
+
+
 # ---------------------------------------------------------------- 7: line dedup
 def test_line_dedup(spark, awkward, nothing):
     notice, rare = "All Rights  reserved.", "On nine sites only."
