@@ -11,6 +11,7 @@ import sys
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -376,6 +377,29 @@ def vector_rows():
     return [(int(i) + 10, [float(x) for x in v]) for i, v in enumerate(both)]
 
 
+def test_embedding_recall_at_16_of_256_lists(spark):
+    """66,000 vectors have 257 lists, of which 16 are probed; pairs lie around the threshold."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(50_000, 24))
+    noise = rng.normal(size=(16_000, 24)) * rng.uniform(0.2, 0.55, (16_000, 1))
+    both = np.concatenate([base, base[:16_000] + noise]).astype(np.float32)
+    assert vectors.PROBES == 16 and round(len(both) ** 0.5) >= 256
+    pdf = pd.DataFrame({"vec_id": np.arange(len(both)), "embedding": list(both)})
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(spark.createDataFrame(pdf, "vec_id long, embedding array<float>"), 0.9)
+           .select("vec_id", "n_links").collect()}
+    x = both.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    short, true = x.astype(np.float32), np.zeros(len(x), int)
+    for lo in range(0, len(x), 2000):  # all pairs, exact near the threshold
+        i, j = np.nonzero(short[lo:lo + 2000] @ short.T >= 0.9 - 1e-4)
+        i += lo
+        hit = (np.einsum("ij,ij->i", x[i], x[j]) >= 0.9) & (i != j)
+        true += np.bincount(i[hit], minlength=len(x))
+    found = np.array([got[k] for k in range(len(x))])
+    assert true.sum() > 10_000 and (found <= true).all()
+    assert found.sum() >= 0.9 * true.sum(), found.sum() / true.sum()
+
+
 def test_embedding_links(spark):
     rows = vector_rows()
     odd = [(1, None), (2, []), (3, [0.0] * 16), (4, [None] + [1.0] * 15), (5, [float("nan")] * 16), (6, [float("inf")] + [1.0] * 15), (7, [1.0, 2.0])]
