@@ -70,15 +70,16 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     bad, _ = store(bad, "line-boilerplate")
     hit = lines.join(bad, "line_key").groupBy("doc_id").agg(F.collect_set("line_key").alias("bad")).withColumnRenamed("doc_id", "id")
     # the table's own columns travel as one, so no name of theirs can clash
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own"), F.col(text_col).alias("text"))
-    joined = rows.join(apart(hit, "id"), F.col("own").eqNullSafe(F.col("id")), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(apart(hit, "id"), F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")), "left")
+    text = F.col(f"row.`{text_col}`")  # not a column of its own, which would be shuffled as well
     is_bad = lambda x: F.coalesce(F.array_contains("bad", line_key(x)), F.lit(False))
-    out = joined.withColumn("every", split_lines(F.col("text"))).withColumn(
+    out = joined.withColumn("every", split_lines(text)).withColumn(
         "stay", F.when(F.col("bad").isNull(), F.col("every")).otherwise(F.filter("every", lambda x: ~is_bad(x))))
     whole = F.col("bad").isNull() | ~F.exists("stay", lambda x: line_key(x).isNotNull())  # no line of its own
-    cleaned = F.when(F.col("text").isNull() | whole, F.col("text")).otherwise(F.array_join("stay", "\n"))
-    removed = F.when(F.col("text").isNull() | whole, F.lit(0)).otherwise(F.size("every") - F.size("stay"))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("every"))
+    cleaned = F.when(text.isNull() | whole, text).otherwise(F.array_join("stay", "\n"))
+    removed = F.when(text.isNull() | whole, F.lit(0)).otherwise(F.size("every") - F.size("stay"))
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size("every"))
     columns = [cleaned.alias(c) if c == text_col
                else F.char_length(cleaned).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)
                for c in docs.columns if not (report and c in ("n_lines", "n_removed"))]
