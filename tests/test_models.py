@@ -277,6 +277,31 @@ def test_lambdas_equal_all_pairs_of_the_top_places():
     assert np.abs(np.stack([g, h]) - want).max() < 1e-6  # exponentials are single precision
 
 
+def test_pairs_and_sums_are_taken_some_at_a_time(monkeypatch):
+    """A fit of one task: pairs of a few groups at a time, sums of two features a pass; both are exact."""
+    from sprout.operators import boosting as B
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 40, 900)
+    code, n = np.repeat(np.arange(len(sizes)), sizes).astype(np.int32), int(sizes.sum())
+    y, score = rng.integers(0, 5, n) * 1.0, rng.normal(size=n)
+    bins = rng.integers(0, B.BINS, (5, n)).astype(np.uint8)
+    found = []
+    for groups in (7, 10_000):
+        monkeypatch.setattr(B, "SQUARE_GROUPS", groups)
+        block = B.Block(bins, y, np.arange(n, dtype=np.uint64), code, score)
+        g, h = block.lambdas(score, 2.0 ** -26, {})
+        assert max(len(at) for at, _ in block.squares) <= groups
+        found.append((g, h))
+    assert np.array_equal(found[0], found[1])
+    rows = B.TaskRows(block, "lambdarank", 2.0 ** -26, 1, 1.0)
+    rows.g, rows.h, rows.use, rows.rows = g, h, np.ones(n, bool), {0: np.arange(n), 1: np.arange(0, n, 9)}
+    want = np.array([[[np.bincount(b[r], w[r], B.BINS) for b in bins] for w in (g, h, np.ones(n))] for r in rows.rows.values()])
+    passes, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: passes.append(len(a[0])) or count(*a, **k))
+    assert np.array_equal(rows.sums([0, 1]), want)
+    assert n > B.BINS ** 2 > len(rows.rows[1]) and passes.count(n) == 9 and passes.count(len(rows.rows[1])) == 15
+
+
 def test_a_tree_takes_the_best_splits_first():
     from sprout.operators import boosting as B
     rng = np.random.default_rng(5)
