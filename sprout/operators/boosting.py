@@ -1,14 +1,14 @@
 """Gradient-boosted trees on quantile-binned features, second-order leaf values, fitted on every training row.
 
-A tree grows from (node, feature, bin) sums of gradients, curvatures and rows. Only the
-smaller child of a split is summed; its sibling is the difference. A tree takes the best
-splits first, up to a number of leaves or a depth; nodes that may be split are summed
-together, a depth at a time.
+A tree grows from (node, feature, bin) sums of gradients, curvatures and rows. A tree takes
+the best splits first, up to a number of leaves or a depth; nodes that may be split are
+summed together, a depth at a time.
 
 One algorithm has two plans. Up to ``TASK_ROWS`` rows a fit is one task, and several
-fits are tasks of one job. Above, binned rows are a stored table of blocks; a job sums
-what a step of the growing tree needs, the driver chooses the splits from those bounded
-sums, and the scores are stored with the blocks every ``STORED_EVERY`` rounds, so that a
+fits are tasks of one job; only the smaller child of a split is summed, its sibling is the
+difference. Above, binned rows are a stored table of blocks; a job sums what a step of the
+growing tree needs and finds each node's best split, the driver takes the splits in order,
+and the scores are stored with the blocks every ``STORED_EVERY`` rounds, so that a
 lost executor costs those few trees' scores at most. Quantiles are exact, row draws come from key
 hashes, and gradients are rounded to a binary grid on which sums are exact, so both
 plans, and all layouts of the rows, give equal trees.
@@ -21,6 +21,7 @@ linear in a group's rows, and a group may lie in several blocks.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import math
@@ -37,12 +38,14 @@ from pyspark.sql import functions as F
 
 from ..functions import md5_key
 from ..session import discard_path, path_exists, store_at
+from .common import run_concurrently
 
 BINS = 64
 TASK_ROWS = 500_000     # rows of a fit that one task takes
 LEAST_ROWS, BLOCK_ROWS = 20_000, 250_000  # rows of a block of a larger fit
+PLAIN_ROWS = 100_000    # the least where there are no pairs: shorter tasks cost more than their work
 STORED_EVERY = 16       # rounds between stored scores
-DIRECT_PARTS = 64       # sums of more tasks are added up in the cluster first
+DIRECT_PARTS = 64       # sums of so many tasks are added up by one
 TOP = 30                # places whose pairs a ranking gradient takes
 WIDEST, WIDTH_STEP, PAD = 64, 8, 1e300  # small groups are padded to a few widths
 SQUARE_GROUPS = 1024    # small groups whose pairs are taken together: what the cache holds
@@ -124,39 +127,57 @@ class Split(NamedTuple):
     cut: int
     left: int
     right: int
+    left_larger: bool
+
+
+class Node(NamedTuple):
+    """What a tree knows of a node: its best split, and its gradient and curvature."""
+
+    gain: float
+    feature: int
+    cut: int
+    left_larger: bool
+    g: float
+    h: float
+
+
+def best_splits(sums: np.ndarray, shape: Shape, closed: np.ndarray) -> list[Node]:
+    """Nodes with (gradient, curvature, rows) sums by feature and bin."""
+    left = sums.cumsum(3)
+    total = left[..., -1:]
+    (gl, hl, nl), (gt, ht, nt) = left.swapaxes(0, 1), total.swapaxes(0, 1)
+    l2 = shape.l2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        won = np.nan_to_num(gl ** 2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt ** 2 / (ht + l2), nan=0.0, posinf=0.0, neginf=0.0)
+    won[(nl < shape.min_rows) | (nt - nl < shape.min_rows)] = 0
+    won[:, closed] = 0
+    flat = won.reshape(len(sums), -1)
+    out = []
+    for k, at in enumerate(flat.argmax(1).tolist()):
+        feature, cut = divmod(at, BINS)
+        larger = bool(2 * nl[k, feature, cut] > nt[k, feature, 0])
+        out.append(Node(float(flat[k, at]), feature, cut, larger, float(total[k, 0, 0, 0]), float(total[k, 1, 0, 0])))
+    return out
 
 
 class Growth:
-    """A growing tree: every node that was summed, whether the tree keeps it or not."""
-
-    def __init__(self, shape: Shape, closed: np.ndarray):
-        self.shape, self.closed = shape, closed
-        self.sums, self.depth, self.best, self.kids = [], [], [], []
-
-    def add(self, sums: np.ndarray, depths: Sequence[int]) -> None:
-        """New nodes with (gradient, curvature, rows) sums by feature and bin."""
-        left = sums.cumsum(3)
-        total = left[..., -1:]
-        (gl, hl, nl), (gt, ht, nt) = left.swapaxes(0, 1), total.swapaxes(0, 1)
-        l2 = self.shape.l2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            won = np.nan_to_num(gl ** 2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt ** 2 / (ht + l2), nan=0.0, posinf=0.0, neginf=0.0)
-        won[(nl < self.shape.min_rows) | (nt - nl < self.shape.min_rows)] = 0
-        won[:, self.closed] = 0
-        flat = won.reshape(len(sums), -1)
-        for k, at in enumerate(flat.argmax(1).tolist()):
-            feature, cut = divmod(at, BINS)
-            self.best.append((float(flat[k, at]), feature, cut, bool(2 * nl[k, feature, cut] > nt[k, feature, 0])))
-        self.sums += list(sums)
+    """A growing tree: every node that was looked at, whether the tree keeps it or not."""
+
+    def __init__(self, shape: Shape):
+        self.shape = shape
+        self.depth, self.best, self.kids = [], [], []
+
+    def add(self, found: list[Node], depths: Sequence[int]) -> None:
+        self.best += found
         self.depth += depths
-        self.kids += [None] * len(sums)
+        self.kids += [None] * len(found)
 
     def may_split(self, node: int) -> bool:
-        return self.best[node][0] > LEAST_GAIN and self.depth[node] < self.shape.depth
+        return self.best[node].gain > LEAST_GAIN and self.depth[node] < self.shape.depth
 
     def chosen(self) -> tuple[list[int], list[int]]:
         """Splits of the tree, best first, and the nodes to be summed before that is sure."""
-        heap, kept, wanted, leaves = [(-self.best[0][0], 0)] if self.may_split(0) else [], [], [], 1
+        heap, kept, wanted, leaves = [(-self.best[0].gain, 0)] if self.may_split(0) else [], [], [], 1
         while heap and leaves < self.shape.leaves:
             _, node = heapq.heappop(heap)
             leaves += 1
@@ -166,62 +187,55 @@ class Growth:
             kept.append(node)
             for kid in self.kids[node]:
                 if self.may_split(kid):
-                    heapq.heappush(heap, (-self.best[kid][0], kid))
+                    heapq.heappush(heap, (-self.best[kid].gain, kid))
         return kept, wanted
 
-    def widen(self, nodes: list[int], summed: Callable) -> None:
-        """Split the nodes; only the smaller child of each is summed."""
-        splits, small, first = [], [], len(self.sums)
+    def widen(self, nodes: list[int], parted: Callable) -> None:
+        """Split the nodes."""
+        splits, first = [], len(self.best)
         for k, node in enumerate(nodes):
-            _, feature, cut, left_larger = self.best[node]
+            own = self.best[node]
             self.kids[node] = first + 2 * k, first + 2 * k + 1
-            splits.append(Split(node, feature, cut, *self.kids[node]))
-            small.append(self.kids[node][left_larger])
-        found = summed(splits, small)
-        both = np.empty((2 * len(nodes), *found.shape[1:]))
-        for k, node in enumerate(nodes):
-            own = small[k] - first
-            both[own], both[own ^ 1] = found[k], self.sums[node] - found[k]
-            self.sums[node] = self.sums[node][:, 0].sum(-1)  # the totals are enough from here
-        self.add(both, [self.depth[n] + 1 for n in nodes for _ in (0, 1)])
+            splits.append(Split(node, own.feature, own.cut, *self.kids[node], own.left_larger))
+        self.add(parted(splits), [self.depth[n] + 1 for n in nodes for _ in (0, 1)])
 
     def finish(self, kept: list[int], rate: float) -> tuple:
         """(feature, cut, value, left, right) of the tree, and the leaf of every node."""
-        number, leaf = {n: k for k, n in enumerate(kept)}, np.zeros(len(self.sums), int)
+        number, leaf = {n: k for k, n in enumerate(kept)}, np.zeros(len(self.best), int)
         value, todo = [], [(0, None)]
         code = {}
         while todo:
             node, own = todo.pop()
             if own is None and node not in number:
-                totals = self.sums[node] if self.sums[node].ndim == 1 else self.sums[node][:, 0].sum(-1)
+                g, h = self.best[node].g, self.best[node].h
                 own = len(value)
-                value.append(-rate * totals[0] / (totals[1] + self.shape.l2) if totals[1] + self.shape.l2 > 0 else 0.0)
+                value.append(-rate * g / (h + self.shape.l2) if h + self.shape.l2 > 0 else 0.0)
                 code[node] = ~own
             leaf[node] = own if own is not None else -1
             todo += [(kid, own) for kid in reversed(self.kids[node] or ())]
         code |= number
         left, right = (np.array([code[self.kids[n][s]] for n in kept], int) for s in (0, 1))
-        feature, cut = (np.array([self.best[n][1 + s] for n in kept], int) for s in (0, 1))
+        feature, cut = np.array([self.best[n].feature for n in kept], int), np.array([self.best[n].cut for n in kept], int)
         return (feature, cut, np.array(value), left, right), leaf
 
 
 def boost(rows, features: Sequence[str], base: float, edges: list[np.ndarray], shape: Shape, rounds: int, rate: float,
           seed: int, columns: float) -> Boosted:
-    """All rounds over ``rows``, which gives sums and takes finished trees (``TaskRows`` or ``SpreadRows``)."""
+    """All rounds over ``rows``, which gives nodes and takes finished trees (``TaskRows`` or ``SpreadRows``)."""
     rng, f = np.random.default_rng(seed), len(features)
     out = Boosted(list(features), base, [], [], [], np.zeros(f))
     for r in range(rounds):
         closed = np.ones(f, bool)
         closed[rng.choice(f, max(1, round(columns * f)), replace=False)] = False
-        tree = Growth(shape, closed)
-        tree.add(rows.root(r), [0])
+        tree, search = Growth(shape), functools.partial(best_splits, shape=shape, closed=closed)
+        tree.add(rows.root(r, search), [0])
         while (now := tree.chosen())[1]:
-            tree.widen(now[1], rows.summed)
+            tree.widen(now[1], functools.partial(rows.parted, search=search))
         kept = now[0]
         (feature, cut, value, left, right), leaf = tree.finish(kept, rate)
         for part, x in zip(TREE_PARTS, (feature, np.array([edges[j][c] for j, c in zip(feature, cut)], float), value, left, right)):
             getattr(out, part).append(x)
-        np.add.at(out.gain, feature, [tree.best[n][0] for n in kept])
+        np.add.at(out.gain, feature, [tree.best[n].gain for n in kept])
         rows.finished((feature, cut, value, left, right), leaf)
     return out
 
@@ -432,11 +446,12 @@ class TaskRows:
         bins = block.bins.astype(np.int16)
         self.joint = [bins[j] * BINS + bins[j + 1] for j in range(0, len(bins) - 1, 2)]  # two features a pass
 
-    def root(self, r: int) -> np.ndarray:
+    def root(self, r: int, search: Callable) -> list[Node]:
         b = self.block
         self.g, self.h = b.slopes(self.objective, b.score, self.grid, {})
         self.use, self.rows = b.used(r, self.seed, self.share), {0: np.arange(len(b.y))}
-        return self.sums([0])
+        self.of = {0: self.sums([0])[0]}
+        return search(self.of[0][None])
 
     def sums(self, nodes: list[int]) -> np.ndarray:
         """(node, 3, feature, bin) sums over the drawn rows of each node."""
@@ -461,12 +476,19 @@ class TaskRows:
                 out[k, 1] = out[k, 2]
         return out
 
-    def summed(self, splits: list[Split], small: list[int]) -> np.ndarray:
+    def parted(self, splits: list[Split], search: Callable) -> list[Node]:
+        """The children of the splits, in order; only the smaller child of each is summed."""
         for s in splits:
             rows = self.rows.pop(s.node)
             above = self.block.bins[s.feature, rows] > s.cut
             self.rows[s.left], self.rows[s.right] = rows[~above], rows[above]
-        return self.sums(small)
+        found = self.sums([s.right if s.left_larger else s.left for s in splits])
+        both = np.empty((2 * len(splits), *found.shape[1:]))
+        for k, s in enumerate(splits):
+            both[2 * k + s.left_larger] = found[k]
+            both[2 * k + 1 - s.left_larger] = self.of.pop(s.node) - found[k]
+            self.of[s.left], self.of[s.right] = both[2 * k], both[2 * k + 1]
+        return search(both)
 
     def finished(self, tree: tuple, leaf: np.ndarray) -> None:
         for node, rows in self.rows.items():  # the ends of the widened tree hold each row once
@@ -480,8 +502,9 @@ BLOCK_SCHEMA = pa.schema([pa.field("part", pa.int32()), pa.field("n", pa.int32()
 
 
 class SpreadRows:
-    """Rows of a fit as blocks, a partition each, from a stored table; a call of ``root`` or ``summed`` is one job
-    (a cut group two more a round). Slopes are taken once a round."""
+    """Rows of a fit as blocks, a partition each, from a stored table; a call of ``root`` or ``parted`` is one job
+    (a cut group two more a round). Slopes are taken once a round. Sums are added up and searched in the cluster:
+    the driver gets a split a node."""
 
     def __init__(self, table: DataFrame, path: str, parts: int, objective: str, grid: float, seed: int, share: float):
         self.path, self.parts, self.objective, self.grid, self.seed, self.share = path, parts, objective, grid, seed, share
@@ -540,19 +563,29 @@ class SpreadRows:
             sums[key] += added
         return {k: c._replace(g=sums[k][0], h=sums[k][1]) for k, c in heads.items()}
 
-    def job(self, slots: dict[int, int]) -> np.ndarray:
-        """Sums of the nodes in ``slots`` over all blocks."""
-        (feature, cut, left, right), start, n = self.nodes(), 0 if self.splits else ~0, len(slots)
+    def job(self, wanted: list[int], search: Callable) -> list[Node]:
+        """The wanted nodes, from their sums over all blocks."""
+        (feature, cut, left, right), start, n = self.nodes(), 0 if self.splits else ~0, len(wanted)
+        tasks = min(n, 1 + self.parts // DIRECT_PARTS)
         slot = np.full(len(feature), -1)
-        slot[list(slots)] = list(slots.values())
+        slot[wanted] = np.arange(n)
 
-        def run(part: Iterator[tuple]) -> Iterator[np.ndarray]:
+        def run(part: Iterator[tuple]) -> Iterator[tuple]:
             for bins, use, g, h in part:
                 own = slot[descend(bins, start, feature, cut, left, right)]
-                yield Block(bins, g, g, g, g).binned_sums(np.where(use, own, -1), n, g, h)
-
-        each = self.round.mapPartitions(run)
-        return each.treeReduce(np.add) if self.parts > DIRECT_PARTS else sum(each.collect())
+                sums = Block(bins, g, g, g, g).binned_sums(np.where(use, own, -1), n, g, h)
+                yield from ((k, sums[k::tasks]) for k in range(tasks))
+
+        def find(part: Iterator[tuple]) -> Iterator[tuple]:
+            total: dict[int, np.ndarray] = {}
+            for k, sums in part:
+                total[k] = total[k] + sums if k in total else sums
+            return ((k, search(sums)) for k, sums in total.items())
+
+        out: list = [None] * n
+        for k, found in self.round.mapPartitions(run).partitionBy(tasks, int).mapPartitions(find).collect():
+            out[k::tasks] = found
+        return out
 
     def nodes(self) -> list[np.ndarray]:
         """The growing tree by node number; ends are ``~node``."""
@@ -564,7 +597,7 @@ class SpreadRows:
                 part[s.node] = x
         return out
 
-    def root(self, r: int) -> np.ndarray:
+    def root(self, r: int, search: Callable) -> list[Node]:
         cuts = self.cut_groups() if self.objective == "lambdarank" and self.inverse != {} else {}
         trees, objective, grid, seed, share = list(self.pending), self.objective, self.grid, self.seed, self.share
 
@@ -573,14 +606,15 @@ class SpreadRows:
 
         before, self.splits = self.round, []
         self.round = self.blocks.map(slopes).persist(StorageLevel.MEMORY_AND_DISK)
-        sums = self.job({0: 0})
+        found = self.job([0], search)
         if before is not None:
             before.unpersist()
-        return sums
+        return found
 
-    def summed(self, splits: list[Split], small: list[int]) -> np.ndarray:
+    def parted(self, splits: list[Split], search: Callable) -> list[Node]:
+        """The children of the splits, in order."""
         self.splits += splits
-        return self.job({node: k for k, node in enumerate(small)})
+        return self.job([kid for s in splits for kid in (s.left, s.right)], search)
 
     def finished(self, tree: tuple, leaf: np.ndarray) -> None:
         self.pending.append(tree)
@@ -705,10 +739,14 @@ def fit_many(train: DataFrame, features: Sequence[str], targets: dict[str, tuple
         # tasks are few and long: more partitions than models, so that two seldom share one
         done = long.repartition(8 * len(small), "model").groupBy("model").applyInArrow(fit, "model string, trees string").collect()
         out |= {r["model"]: Boosted.from_json(r["trees"]) for r in done}
-    for name in todo.keys() - small.keys():
-        y, objective, n, base, grid = todo[name]
+
+    def spread(y: str, objective: str, n: int, base: float, grid: float) -> Boosted:
         own = known.where(F.col(y).isNotNull()).select(*xs, F.col(y).alias("y"), "draw", "g")
-        out[name] = fit_spread(own, features, objective, n, base, grid, shape, rounds, rate, seed, rows, columns)
+        return fit_spread(own, features, objective, n, base, grid, shape, rounds, rate, seed, rows, columns)
+
+    large = [k for k in names if k not in small]
+    if large:  # their many short jobs overlap
+        out |= zip(large, run_concurrently([functools.partial(spread, *todo[k]) for k in large], max_workers=len(large)))
     discard_path(train.sparkSession, path)
     return out
 
@@ -732,8 +770,9 @@ def fit_spread(known: DataFrame, features: list[str], objective: str, n: int, ba
              pa.array([t["g"][0].as_py()], pa.string()), pa.array([t["g"][-1].as_py()], pa.string())], schema=BLOCK_SCHEMA)
 
     spread = known.sparkSession.sparkContext.defaultParallelism
-    parts = max(-(-n // BLOCK_ROWS), min(spread, -(-n // LEAST_ROWS)))  # rows are dealt evenly: a key's rows have their own draws
     ranked = objective == "lambdarank"
+    least = LEAST_ROWS if ranked else PLAIN_ROWS
+    parts = max(-(-n // BLOCK_ROWS), min(spread, -(-n // least)))  # rows are dealt evenly: a key's rows have their own draws
     dealt = known.repartitionByRange(parts, "g", "draw").sortWithinPartitions("g", "draw", "y") if ranked else known.repartition(parts)
     table, path = store_at(dealt.mapInArrow(pack, BLOCKS), "boost-blocks")
     rows = SpreadRows(table, path, parts, objective, grid, seed, share)

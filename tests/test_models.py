@@ -302,6 +302,20 @@ def test_pairs_and_sums_are_taken_some_at_a_time(monkeypatch):
     assert n > B.BINS ** 2 > len(rows.rows[1]) and passes.count(n) == 9 and passes.count(len(rows.rows[1])) == 15
 
 
+def test_a_spread_fit_sends_splits_and_no_sums_to_the_driver(spark, monkeypatch):
+    from pyspark import RDD
+    from sprout.operators import boosting as B
+    for name, value in (("TASK_ROWS", 100), ("BLOCK_ROWS", 60), ("LEAST_ROWS", 60)):
+        monkeypatch.setattr(B, name, value)
+    sent, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    options = dict(rounds=2, depth=3, rate=0.3)
+    model = B.fit_whole(spark.createDataFrame(whole_frame()), ["a", "b", "c"], "z", "logistic", ["k"], **options)
+    nodes = [n for found in sent for _, some in found for n in some]
+    assert all(isinstance(n, B.Node) for n in nodes) and not any(np.ndim(v) for n in nodes for v in n)
+    assert len(nodes) == sum(1 + 2 * len(t) for t in model.feature)
+
+
 def test_a_tree_takes_the_best_splits_first():
     from sprout.operators import boosting as B
     rng = np.random.default_rng(5)
