@@ -8,16 +8,16 @@ turn the kernel into finite features; one-versus-rest kernel ridge regression on
 them gives a value per language. Scoring is two matrix products per batch:
 presence rows times landmark rows, then kernel rows times coefficients.
 
-Presence is kept in ``BUCKETS`` hashed n-grams. The classifier is fitted on a
-bounded sample of labelled rows: about ``FIT_ROWS`` a language, ``LANDMARKS`` of
-them landmarks, chosen by a hash of the id. Normal equations are summed over the
-sample inside the tasks; only those of landmark size reach the driver. Scoring
-reads every whole text and nothing else.
+Presence is kept in ``BUCKETS`` hashed n-grams. The classifier is fitted on every
+labelled row; about ``LANDMARKS`` a language, chosen by a hash of the id, span its
+features. Normal equations are summed inside the tasks and then, a row each, in the
+cluster; only one of landmark size reaches the driver. Scoring reads every whole text
+and nothing else.
 
 Whether a text is in one of the learned languages at all is told by its likeness, which
 doesn't depend on its size. Scores are linear in the presence of an n-gram, so each n-gram
 has a weight per language. A text's mean weight over all n-grams as they occur, for its
-best language, over the median of that language's sample texts, is its likeness. A text
+best language, over the median of that language's labelled texts, is its likeness. A text
 is rejected where that stays below ``LEAST_LIKE`` by more than chance (twice the inverse
 root of the number of n-grams): short texts that can't be told are kept.
 
@@ -38,11 +38,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, text_buffers
+from ..operators.ordering import rank_within
+from .common import discard, store, text_buffers
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
-FIT_ROWS, LANDMARKS = 400, 48
+LANDMARKS = 48
 RIDGE, FLOOR = 1e-3, 1e-6
 BATCH_DOCS, BATCH_BYTES = 64, 1 << 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -115,7 +116,7 @@ class Model:
         self.used = np.flatnonzero(marks.any(0))
         self.marks = np.packbits(marks[:, self.used], axis=1)
         self.sizes = marks.sum(1, dtype=np.int64)
-        self.typical: np.ndarray | None = None  # median mean weight of each language's sample texts
+        self.typical: np.ndarray | None = None  # median mean weight of each language's labelled texts
 
     @functools.cached_property
     def weights(self) -> np.ndarray:
@@ -146,11 +147,20 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, id_col: str = "doc_id",
+def medians(values: DataFrame) -> dict[str, float]:
+    """Exact median of ``own`` for each ``lang``, however many values a language has."""
+    placed = rank_within(values, ["lang"], ["own"])
+    sizes = values.groupBy("lang").agg(F.count("*").alias("n"))
+    middle = (F.col("rn") == F.expr("(n + 1) div 2")) | (F.col("rn") == F.expr("n div 2 + 1"))
+    return {r["lang"]: r["m"] for r in placed.join(F.broadcast(sizes), "lang").where(middle).groupBy("lang").agg(F.avg("own").alias("m")).collect()}
+
+
+def fit(docs: DataFrame, fit_rows: int | None = None, landmarks: int = LANDMARKS, id_col: str = "doc_id",
         text_col: str = "text", lang_col: str = "lang", typical: bool = False) -> Model | None:
-    """Fit on a bounded sample of the rows that aren't held out and have a label; None if there are none.
+    """Fit on all rows that aren't held out and have a label; None if there are none.
 
-    ``typical`` also takes what the likeness of a text is measured by."""
+    ``typical`` also takes what the likeness of a text is measured by. A caller can bound
+    the fit to about ``fit_rows`` rows a language, chosen by a hash of the id."""
     labelled = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("text").alias("n")).collect() if r["n"]}
@@ -158,7 +168,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, i
         return None
     languages = sorted(counts)
     draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, fit_rows / counts[k]) * (1 << 30))])
+    most = {k: min(fit_rows or n, n) for k, n in counts.items()}
+    share = F.create_map(*[F.lit(x) for k in languages for x in (k, most[k] / counts[k] * (1 << 30))])
     drawn = labelled.withColumn("draw", draw / share[F.col("lang")]).where("text IS NOT NULL AND draw < 1")
 
     def mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +180,15 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, i
                 rows, has = presence(raw, offs[lo:lo + BATCH_DOCS + 1])
                 part = batch.slice(lo, BATCH_DOCS)
                 packed = pa.array([r.tobytes() for r in np.packbits(rows, axis=1)], pa.binary())
-                texts = part.column(2) if typical else pa.nulls(part.num_rows, pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed, texts],
-                                                 ["lang", "draw", "marks", "text"]).filter(pa.array(has))
-
-    sample, _ = store(drawn.select("lang", "draw", "text").mapInArrow(mark_rows, "lang string, draw double, marks binary, text string"),
-                      "langid-sample")
-    top = F.create_map(*[F.lit(x) for k in languages for x in (k, landmarks / min(fit_rows, counts[k]))])
-    marked = sample.drop("text")
-    chosen = marked.where(F.col("draw") < top[F.col("lang")]).orderBy("lang", "draw", "marks").collect()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed], ["lang", "draw", "marks"]).filter(pa.array(has))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return rows.select("lang", "draw", "text").mapInArrow(mark_rows, "lang string, draw double, marks binary")
+
+    top = F.create_map(*[F.lit(x) for k in languages for x in (k, landmarks / most[k])])
+    chosen = marked(drawn.where(F.col("draw") < top[F.col("lang")])).orderBy("lang", "draw", "marks").collect()
     if not chosen:
-        chosen = marked.orderBy("draw", "marks").limit(landmarks).collect()
+        chosen = marked(drawn).orderBy("draw", "marks").limit(landmarks).collect()
     if not chosen:
         return None
     marks = np.unpackbits(np.array([np.frombuffer(r["marks"], np.uint8) for r in chosen]), axis=1)
@@ -187,39 +196,46 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, i
     values, vectors = np.linalg.eigh(plain.kernel(marks).astype(float))
     sound = values > FLOOR * values[-1]
     whiten = vectors[:, sound] / np.sqrt(values[sound])  # kernel values -> Nystrom features
+    d = whiten.shape[1]
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, n = whiten.shape[1], 0
-        left, right = np.zeros((d, d)), np.zeros((d, len(languages)))
+        both, n = np.zeros((d, d + len(languages))), 0
         for batch in batches:
+            data, offs = text_buffers(batch.column(1))
+            raw, offs, names = data.tobytes(), offs.tolist(), batch.column(0).to_pylist()
             for lo in range(0, batch.num_rows, BATCH_DOCS):
-                part = batch.slice(lo, BATCH_DOCS)
-                rows = np.unpackbits(np.array([np.frombuffer(x, np.uint8) for x in part.column(1).to_pylist()]), axis=1)
-                features = plain.kernel(rows) @ whiten
-                target = np.array([[x == k for k in languages] for x in part.column(0).to_pylist()], float)
-                left += features.T @ features
-                right += features.T @ target
-                n += len(rows)
-        both = np.concatenate([left.ravel(), right.ravel(), [n]])
-        yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], ["sums"])
-
-    parts = sample.select("lang", "marks").coalesce(8).mapInArrow(normal, "sums binary").collect()
-    sums = sum(np.frombuffer(r["sums"]) for r in parts)
-    d = whiten.shape[1]
-    left, right, n = sums[:d * d].reshape(d, d), sums[d * d:-1].reshape(d, -1), sums[-1]
-    model = Model(languages, marks, whiten @ np.linalg.solve(left + RIDGE * max(n, 1) * np.eye(d), right))
+                rows, has = presence(raw, offs[lo:lo + BATCH_DOCS + 1])
+                features = plain.kernel(rows[has]) @ whiten
+                target = np.array([[x == k for k in languages] for x in names[lo:lo + BATCH_DOCS]], float)[has]
+                both += features.T @ np.concatenate([features, target], axis=1)
+                n += int(has.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array([r.tobytes() for r in both], pa.binary()),
+                                          pa.array([n] * d, pa.int64())], ["i", "sums", "n"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x) for x in sorted(t["sums"].to_pylist()))  # in an order of its own
+        return pa.table({"i": t["i"][:1], "sums": pa.array([total.tobytes()], pa.binary()), "n": [sum(t["n"].to_pylist())]})
+
+    parts = drawn.select("lang", "text").mapInArrow(normal, "i int, sums binary, n long")
+    added = sorted(parts.groupBy("i").applyInArrow(add, "i int, sums binary, n long").collect())
+    both, n = np.array([np.frombuffer(r["sums"]) for r in added]), added[0]["n"]
+    model = Model(languages, marks, whiten @ np.linalg.solve(both[:, :d] + RIDGE * max(n, 1) * np.eye(d), both[:, d:]))
     if typical:
         weights = model.gram_weights
 
         def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                lang = batch.column(0).to_pylist()
-                own = [mean_weights(t.encode(), weights)[1][languages.index(k)] for k, t in zip(lang, batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())], ["lang", "own"])
-
-        middle = sample.select("lang", "text").mapInArrow(means, "lang string, own double").groupBy("lang").agg(F.percentile("own", 0.5).alias("m"))
-        medians = {r["lang"]: r["m"] for r in middle.collect()}
-        model.typical = np.array([max(medians.get(k) or 0.0, FLOOR) for k in languages])
+                data, offs = text_buffers(batch.column(1))
+                raw, offs = data.tobytes(), offs.tolist()
+                told = [mean_weights(raw[a:b], weights) for a, b in zip(offs, offs[1:])]
+                own = [m[languages.index(k)] for k, (_, m) in zip(batch.column(0).to_pylist(), told)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())],
+                                                 ["lang", "own"]).filter(pa.array([c > 0 for c, _ in told], pa.bool_()))
+
+        own, path = store(drawn.select("lang", "text").mapInArrow(means, "lang string, own double"), "langid-means")
+        middle = medians(own)
+        discard(docs.sparkSession, path)
+        model.typical = np.array([max(middle.get(k) or 0.0, FLOOR) for k in languages])
     return model
 
 

@@ -346,6 +346,33 @@ def test_language_scores_equal_plain_kernel_ridge(small):
 
 
 # ---------------------------------------------------------------- 7: line dedup
+def test_language_model_learns_from_every_labelled_row(spark):
+    """More rows a language than the bound of 400 that a fit once had: each adds its part, in any layout."""
+    draw = random.Random(8)
+    words = {"aa": ["kala", "mora", "tiva", "lumo"], "bb": ["strk", "grnt", "plds", "vrch"]}
+    rows = [(i, " ".join(draw.choices(words[k], k=4)) + (" zz" if k == "aa" and i % 7 else ""), k)
+            for i, k in enumerate(draw.choice(["aa", "bb"]) for _ in range(1500))]
+    table = lambda some: spark.createDataFrame(some, "doc_id long, text string, lang string")
+    own = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    model, again = (langid.fit(table(rows).repartition(k), typical=True) for k in (3, 5))
+    assert np.allclose(model.coefficients, again.coefficients) and np.allclose(model.typical, again.typical)
+    marks = np.zeros((len(model.sizes), langid.BUCKETS), np.uint8)
+    marks[:, model.used] = np.unpackbits(model.marks, axis=1, count=len(model.used))
+    offs = np.cumsum([0, *(len(t) for _, t, _ in own)]).tolist()
+    kernel = model.kernel(langid.presence("".join(t for _, t, _ in own).encode(), offs)[0]).astype(float)
+    target = np.array([[k == x for x in model.languages] for _, _, k in own], float)
+    assert min(target.sum(0)) > 500
+    values, vectors = np.linalg.eigh(model.kernel(marks).astype(float))
+    sound = values > langid.FLOOR * values[-1]
+    white = vectors[:, sound] / np.sqrt(values[sound])
+    x = kernel @ white
+    want = white @ np.linalg.solve(x.T @ x + langid.RIDGE * len(own) * np.eye(x.shape[1]), x.T @ target)
+    assert np.allclose(kernel @ model.coefficients, kernel @ want, atol=1e-4)
+    for k, language in enumerate(model.languages):
+        means = [langid.mean_weights(t.encode(), model.gram_weights)[1][k] for _, t, name in own if name == language]
+        assert np.isclose(model.typical[k], np.median(means))
+
+
 def test_line_dedup(spark, awkward, nothing):
     notice, rare = "All Rights  reserved.", "On nine sites only."
     rows = [(i, f"s{i}", f"own line {i} with words\n{notice if i % 2 else notice.lower()}\nmore words of {i}" + (f"\n{rare}" if i < 9 else "")) for i in range(14)]
