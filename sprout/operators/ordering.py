@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import store
 
 _POS_MASK = (1 << 33) - 1
+GROUP_ROWS = 1_000_000  # rows of a group that one task numbers
 
 
 def ordered_row_number(df: DataFrame, order: Sequence, keys: Sequence[str] = (), out: str = "rn",
@@ -47,5 +48,20 @@ def ordered_row_number(df: DataFrame, order: Sequence, keys: Sequence[str] = (),
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn") -> DataFrame:
-    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` that no hot group holds up."""
-    return ordered_row_number(df, order, keys, out)
+    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` that no hot group holds up.
+
+    Groups of up to ``GROUP_ROWS`` rows are numbered by a plain window, without a stored
+    table; only larger ones are split over range partitions.
+    """
+    keys = list(keys)
+    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > GROUP_ROWS)
+    hot = sizes.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).collect()  # at most rows / GROUP_ROWS
+    if not hot:
+        return df.withColumn(out, plain)
+    known = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).schema))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_h{i}"))
+    split = ordered_row_number(df.join(known, same, "left_semi"), order, keys, out)
+    return df.join(known, same, "left_anti").withColumn(out, plain).select(*df.columns, out).unionByName(split)

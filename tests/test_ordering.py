@@ -33,3 +33,16 @@ def test_ordered_row_number_global(spark):
     got = ordered_row_number(df, ["v", "id"], out="rn", partitions=5).collect()
     ranks = sorted(((r["v"], r["id"]), r["rn"]) for r in got)
     assert [r for _, r in ranks] == list(range(1, len(ranks) + 1))
+
+
+def test_only_groups_over_the_limit_are_split_and_stored(spark, monkeypatch):
+    from sprout.operators import ordering
+    null = spark.createDataFrame([(None, i % 3, 5000 + i) for i in range(60)], "k string, v int, id int")
+    stored, store = [], ordering.store
+    monkeypatch.setattr(ordering, "store", lambda df, name: stored.append(df.count()) or store(df, name))
+    for rows, split in ((1_000, []), (100, [300]), (30, [360])):
+        monkeypatch.setattr(ordering, "GROUP_ROWS", rows, raising=False)
+        df, _ = _frame(spark).unionByName(null), stored.clear()
+        got = rank_within(df, ["k"], [F.desc("v"), F.col("id")])
+        assert got.columns == [*df.columns, "rn"] and dict(got.dtypes)["rn"] == "bigint"
+        assert {(r["k"], r["id"]): r["rn"] for r in got.collect()} == _expected(df) and stored == split
