@@ -2,8 +2,10 @@
 persistence round trips and error paths."""
 
 import math
+import os
 
 import numpy as np
+import pandas as pd
 
 import pytest
 from pyspark.sql import functions as F
@@ -302,6 +304,57 @@ def test_pairs_and_sums_are_taken_some_at_a_time(monkeypatch):
     assert n > B.BINS ** 2 > len(rows.rows[1]) and passes.count(n) == 9 and passes.count(len(rows.rows[1])) == 15
 
 
+def ranked_block(seed: int):
+    from sprout.operators import boosting as B
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 75, 150)
+    sizes[70] = 900
+    n = int(sizes.sum())
+    x = np.round(rng.normal(size=(4, n)), 2)
+    y = np.clip(np.rint(x[0] + x[1] * (x[2] > 0) + rng.normal(size=n) / 3), 0, 4)
+    edges = [np.unique(np.sort(v)[B.marks(n)]) for v in x]
+    draw = rng.integers(0, 1 << 63, n).astype(np.uint64)
+    code = np.repeat(np.arange(len(sizes)), sizes).astype(np.int32)
+    return B.Block(B.bin_rows(list(x), edges), y, draw, code, np.zeros(n)), edges
+
+
+@pytest.mark.parametrize("objective", ["lambdarank", "squared"])
+def test_processes_of_a_task_share_a_fit(objective):
+    from sprout.operators import boosting as B
+    found = []
+    for cores in (0, 1, 2, 5):
+        block, edges = ranked_block(8)
+        options = objective, 2.0 ** -26, 3, 0.8
+        rows = B.TeamRows(block, cores, *options) if cores else B.TaskRows(block, *options)
+        assert cores == 0 or len(rows.helpers) == cores - 1
+        found.append(B.boost(rows, list("abcd"), 0.0, edges, B.Shape(6, 9, 5, 0.05), 6, 0.2, 3, 0.9).to_json())
+        if cores:
+            helpers = [pid for pid, _ in rows.helpers]
+            rows.close()
+            for pid in helpers:  # none is left
+                with pytest.raises(ProcessLookupError):
+                    os.kill(pid, 0)
+    assert len(set(found)) == 1
+
+
+def test_a_ranked_fit_above_a_tasks_rows_takes_no_jobs_a_round(spark, monkeypatch):
+    from sprout.operators import boosting as B
+    options = dict(rounds=5, depth=6, rate=0.3, leaves=7, group="g")
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({c: np.round(rng.normal(size=900), 2) for c in "abc"})
+    pdf["k"], pdf["g"], pdf["y"] = range(900), rng.integers(0, 25, 900), np.clip(np.rint(pdf.a + pdf.b + 1), 0, 4)
+    pdf.loc[:200, "g"] = 7  # lies in several blocks
+    frame = spark.createDataFrame(pdf)
+    lone = B.fit_whole(frame, list("abc"), "y", "lambdarank", ["k"], **options).to_json()
+    for name, value in (("TASK_ROWS", 100), ("BLOCK_ROWS", 60), ("LEAST_ROWS", 60)):
+        monkeypatch.setattr(B, name, value)
+    made, job = [], B.SpreadRows.job
+    monkeypatch.setattr(B.SpreadRows, "job", lambda self, *a: made.append(1) or job(self, *a))
+    assert B.fit_whole(frame, list("abc"), "y", "lambdarank", ["k"], **options).to_json() == lone and not made
+    monkeypatch.setattr(B, "TEAM_ROWS", 100)
+    assert B.fit_whole(frame, list("abc"), "y", "lambdarank", ["k"], **options).to_json() == lone and made
+
+
 def test_a_spread_fit_sends_splits_and_no_sums_to_the_driver(spark, monkeypatch):
     from pyspark import RDD
     from sprout.operators import boosting as B
